@@ -256,8 +256,8 @@ def slice_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     query(
         "pix",
         f"""SELECT sample_id, t, y, x, round({clean('b0')}, 6) AS clean_b0,
-  round(greatest(0.0::DOUBLE, least(10000.0::DOUBLE, b1 * 12000)) / 10000, 6) AS optical_b1,
-  round((greatest(-25.0::DOUBLE, least(0.0::DOUBLE, b2 * 40 - 35)) + 25) / 25, 6) AS radar_b2,
+  CASE WHEN b1 IS NOT NULL THEN round(greatest(0.0::DOUBLE, least(10000.0::DOUBLE, b1 * 12000)) / 10000, 6) END AS optical_b1,
+  CASE WHEN b2 IS NOT NULL THEN round((greatest(-25.0::DOUBLE, least(0.0::DOUBLE, b2 * 40 - 35)) + 25) / 25, 6) END AS radar_b2,
   round(cloud_prob / 100, 6) AS prob FROM pix""",
     ),
 )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterweave.catalog import register
@@ -10,9 +12,11 @@ from rasterweave.catalog.frames import KEY, _ids, _r, frame_quality_of
 from rasterweave.catalog.sql import BANDS, clean, digits, hexa, query, uniform
 from rasterweave.functions import grids
 from rasterweave.operators import gaps, geometry, quality
-from rasterweave.plans.simulate import clean_bands, mask_sequences, selected_frames
+from rasterweave.plans.simulate import choose_frames, clean_bands
+from rasterweave.plans.simulate import simulate_gaps as simulate
 from rasterweave.schema import FilterSettings, MaskSettings
-from rasterweave.sources.driver_tables import scene_frames
+from rasterweave.sources.driver_tables import observations, scene_frames, table
+from rasterweave.sources.settle import settle
 
 FILTER = FilterSettings("cloud-free", 5)
 SETTINGS = MaskSettings(
@@ -24,24 +28,29 @@ SETTINGS = MaskSettings(
 )
 
 
-def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean target frames of usable samples, at most 6 each."""
+def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of usable samples, at most 6 each; scalars only."""
+    return choose_frames(settle(frame_quality_of(spark, sf_dir)), FILTER, 6)
+
+
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen frames with clean bands."""
     frames = clean_bands(scene_frames(spark, sf_dir), BANDS)
-    return selected_frames(frames, frame_quality_of(spark, sf_dir), FILTER, 6)
+    return frames.join(chosen(spark, sf_dir).drop("tile"), ["sample_id", "t"])
 
 
 def simulated(
     spark: SparkSession, sf_dir: str, settings: MaskSettings = SETTINGS
 ) -> DataFrame:
-    """Selected frames with masks and filled input bands."""
-    return mask_sequences(
-        selected(spark, sf_dir), scene_frames(spark, sf_dir), list(BANDS), settings
-    )
+    """Chosen frames with masks and filled input bands."""
+    scored = settle(frame_quality_of(spark, sf_dir))
+    kept = settle(choose_frames(scored, FILTER, 6))
+    frames = clean_bands(scene_frames(spark, sf_dir), BANDS)
+    return simulate(frames, kept, scored, list(BANDS), settings)
 
 
 def drawn_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = selected(spark, sf_dir).select("sample_id", "tile", "t", "pos")
-    return gaps.sample_masked_frames(rows, SETTINGS)
+    return gaps.sample_masked_frames(settle(chosen(spark, sf_dir)), SETTINGS)
 
 
 @register(
@@ -65,8 +74,6 @@ FROM (SELECT *, t <> 0 AND t <> n - 1 AS ok FROM (SELECT *, count(*) OVER (PARTI
     ),
 )
 def masked_frames_fixed_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from rasterweave.sources.driver_tables import observations
-
     settings = MaskSettings(
         ratio_masked_frames=0.3, non_masked_frames=(0, -1), fixed_masking_ratio=True, seed=4
     )
@@ -89,11 +96,9 @@ FROM (SELECT *, CASE WHEN sample_id % 2 = 0 THEN masked ELSE m9 END AS m FROM (
     ),
 )
 def reused_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from dataclasses import replace
-
-    old = drawn_frames(spark, sf_dir).where(F.col("sample_id") % 2 == 0)
+    old = settle(drawn_frames(spark, sf_dir)).where(F.col("sample_id") % 2 == 0)
     earlier = old.select("sample_id", "pos", "masked", F.lit(None).cast("int").alias("fully_masked"))
-    rows = selected(spark, sf_dir).select("sample_id", "tile", "t", "pos")
+    rows = settle(chosen(spark, sf_dir))
     out = gaps.sample_masked_frames(rows, replace(SETTINGS, seed=9), earlier)
     return out.select("sample_id", "t", "pos", *_ids("masked", "fully_masked"))
 
@@ -109,8 +114,8 @@ def coverage_of(frames: DataFrame) -> DataFrame:
     query("draws", "SELECT sample_id, t, donor_sample, donor_t FROM draws"),
 )
 def donor_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    donors = gaps.donor_index(coverage_of(scene_frames(spark, sf_dir)))
-    masked = drawn_frames(spark, sf_dir).where(F.col("masked") == 1)
+    donors = gaps.donor_index(settle(coverage_of(scene_frames(spark, sf_dir))))
+    masked = settle(drawn_frames(spark, sf_dir).where(F.col("masked") == 1))
     return gaps.draw_donors(masked, donors).select("sample_id", "t", "donor_sample", "donor_t")
 
 
@@ -132,8 +137,8 @@ FROM (SELECT DISTINCT tile, donor_sample FROM f)""",
     ),
 )
 def donor_masks_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    donors = gaps.donor_index(coverage_of(scene_frames(spark, sf_dir)), draw="sample")
-    masked = drawn_frames(spark, sf_dir).where(F.col("masked") == 1)
+    donors = gaps.donor_index(settle(coverage_of(scene_frames(spark, sf_dir))), draw="sample")
+    masked = settle(drawn_frames(spark, sf_dir).where(F.col("masked") == 1))
     return gaps.draw_donors(masked, donors, draw="sample").select(
         "sample_id", "t", "donor_sample", "donor_t"
     )
@@ -164,8 +169,6 @@ SELECT CAST(tile AS BIGINT) AS tile, n_samples, CASE WHEN coalesce(sum(n_samples
   < (SELECT sum(n_samples) FROM c) - 50 THEN 'train' ELSE 'val' END AS split FROM k""",
 )
 def split_by_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from rasterweave.sources.driver_tables import table
-
     samples = table(spark, sf_dir, "customer").select(
         F.col("c_nationkey").alias("tile"), F.col("c_custkey").alias("sample_id")
     )
@@ -207,8 +210,6 @@ def simulate_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def simulate_full_and_dilated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from dataclasses import replace
-
     settings = replace(
         SETTINGS, union_real_masks=False, apply_full=True, dilate=2, fill_value=0.25
     )

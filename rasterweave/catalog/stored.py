@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rasterweave.catalog import register
 from rasterweave.catalog.frames import _QUALITY_OUT, _ids, _quality_columns, _r
-from rasterweave.catalog.simulation import SETTINGS, selected, simulated
+from rasterweave.catalog.simulation import SETTINGS, chosen, simulated, targets
 from rasterweave.catalog.sql import BANDS, query
 from rasterweave.functions import grids
 from rasterweave.plans.ingest import score_frames
@@ -99,7 +99,7 @@ def cube_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     query("usable", "SELECT sample_id FROM usable WHERE sample_id % 3 <> 0"),
 )
 def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = selected(spark, sf_dir).select("sample_id").distinct()
+    samples = chosen(spark, sf_dir).select("sample_id").distinct()
     done = simulated(spark, sf_dir).where(F.col("sample_id") % 3 == 0)
     masks = done.select("sample_id", F.lit(SETTINGS.run_key).alias("run_key"))
     return not_yet_simulated(samples, masks, SETTINGS.run_key)
@@ -111,7 +111,7 @@ def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def changed_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames whose stored target no longer matches: one frame of some samples is altered."""
-    now = selected(spark, sf_dir)
+    now = targets(spark, sf_dir)
     altered = (F.col("sample_id") % 7 == 0) & (F.col("pos") == 2)
     stored = now.withColumn(
         "b0", F.transform("b0", lambda v: v + F.when(altered, 1.0).otherwise(0.0))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,15 +11,10 @@ from rasterweave.catalog import register
 from rasterweave.catalog.frames import _PROB, _QUALITY_OUT, _quality_columns
 from rasterweave.catalog.sql import query
 from rasterweave.sources.driver_tables import frames_of, table
+from rasterweave.sources.settle import shared_folder
 from rasterweave.streaming.feed import fill_arriving, flag_arriving, metric_means
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table as a stream of its files."""
     schema = table(spark, sf_dir, name).schema
@@ -29,7 +23,7 @@ def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drain(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """Process all available input into Parquet files and read them back."""
-    folder = scratch(spark)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     (
         stream.writeStream.format("parquet")
         .option("path", f"{folder}/out")

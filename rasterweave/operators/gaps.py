@@ -35,8 +35,16 @@ def _ranked(
     ).drop("_h")
 
 
+def with_length(frames: DataFrame, keys: Sequence[str] = SAMPLE) -> DataFrame:
+    """Add ``n_frames``, the length of the sequence, unless it is there."""
+    if "n_frames" in frames.columns:
+        return frames
+    sizes = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_frames"))
+    return frames.join(sizes, list(keys))
+
+
 def _effective_length(settings: MaskSettings, keys: Sequence[str]) -> Column:
-    n = F.col("_n")
+    n = F.col("n_frames")
     if settings.fixed_masking_ratio:
         return n
     return draw_int(hash_hex(settings.seed, "ratio", *keys), n) + 1
@@ -51,24 +59,16 @@ def draw_masked(
     negative, counting from the end; the draw is capped at the allowed frames.
     """
     keys = list(keys)
-    sizes = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    quota = sizes.select(
-        *keys,
-        "_n",
-        F.ceil(F.lit(float(settings.ratio_masked_frames)) * _effective_length(settings, keys))
-        .cast("bigint")
-        .alias("_quota"),
-    )
-    rows = frames.join(quota, keys)
+    ratio = F.lit(float(settings.ratio_masked_frames))
     excluded = F.lit(False)
     for p in settings.non_masked_frames:
-        excluded = excluded | (F.col(pos) == (F.lit(p) if p >= 0 else F.col("_n") + p))
-    rows = rows.withColumn("_allowed", ~excluded)
+        excluded = excluded | (F.col(pos) == (F.lit(p) if p >= 0 else F.col("n_frames") + p))
+    rows = with_length(frames, keys).withColumn("_allowed", ~excluded)
     ranked = _ranked(
         rows, keys, F.col("_allowed"), hash_hex(settings.seed, "mask", *keys, pos), "_rank"
     )
-    hit = F.col("_allowed") & (F.col("_rank") < F.col("_quota"))
-    return ranked.withColumn("masked", hit.cast("int")).drop("_n", "_quota", "_allowed", "_rank")
+    hit = F.col("_allowed") & (F.col("_rank") < F.ceil(ratio * _effective_length(settings, keys)))
+    return ranked.withColumn("masked", hit.cast("int")).drop("_allowed", "_rank")
 
 
 def draw_fully_masked(
@@ -78,17 +78,17 @@ def draw_fully_masked(
     if settings.ratio_fully_masked_frames <= 0:
         return frames.withColumn("fully_masked", F.lit(0))
     keys = list(keys)
-    sizes = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     ratio = F.lit(float(settings.ratio_fully_masked_frames))
-    quota = sizes.select(
-        *keys, F.ceil(ratio * _effective_length(settings, keys)).cast("bigint").alias("_quota")
-    )
-    rows = frames.join(quota, keys)
     ranked = _ranked(
-        rows, keys, F.col("masked") == 1, hash_hex(settings.seed, "full", *keys, pos), "_rank"
+        with_length(frames, keys),
+        keys,
+        F.col("masked") == 1,
+        hash_hex(settings.seed, "full", *keys, pos),
+        "_rank",
     )
-    hit = (F.col("masked") == 1) & (F.col("_rank") < F.col("_quota"))
-    return ranked.withColumn("fully_masked", hit.cast("int")).drop("_quota", "_rank")
+    quota = F.ceil(ratio * _effective_length(settings, keys))
+    hit = (F.col("masked") == 1) & (F.col("_rank") < quota)
+    return ranked.withColumn("fully_masked", hit.cast("int")).drop("_rank")
 
 
 def sample_masked_frames(

@@ -12,6 +12,12 @@ from rasterweave.functions.hashing import draw_int, hash_hex, uniform
 from rasterweave.schema import CropSettings
 
 
+def _resized(frames: DataFrame, height: Column, width: Column) -> DataFrame:
+    # In its own projection: next to the arrays, "width" inside their lambda
+    # expressions would be taken for the new column.
+    return frames.withColumns({"height": height, "width": width})
+
+
 def crop_frames(
     frames: DataFrame,
     arrays: Sequence[str],
@@ -28,7 +34,7 @@ def crop_frames(
         y0 = draw_int(hash_hex(seed, "crop_y", sample), free_y + 1)
         x0 = draw_int(hash_hex(seed, "crop_x", sample), free_x + 1)
     cropped = {a: grids.crop(F.col(a), F.col("width"), y0, x0, (h, w)) for a in arrays}
-    return frames.withColumns({**cropped, "height": F.lit(h), "width": F.lit(w)})
+    return _resized(frames.withColumns(cropped), F.lit(h), F.lit(w))
 
 
 def rotate_frames(
@@ -43,12 +49,8 @@ def rotate_frames(
     odd = turns % 2 == 1
     h, w = F.col("height"), F.col("width")
     turned = {a: grids.rotate90(F.col(a), h, w, turns) for a in arrays}
-    return frames.withColumns(
-        {
-            **turned,
-            "height": F.when(odd, w).otherwise(h),
-            "width": F.when(odd, h).otherwise(w),
-        }
+    return _resized(
+        frames.withColumns(turned), F.when(odd, w).otherwise(h), F.when(odd, h).otherwise(w)
     )
 
 
@@ -110,4 +112,4 @@ def resample(
     kernel = {"bilinear": grids.resample_bilinear, "mean": grids.downsample_mean}[method]
     h, w = F.col("height"), F.col("width")
     changed = {a: kernel(F.col(a), h, w, shape) for a in arrays}
-    return frames.withColumns({**changed, "height": F.lit(shape[0]), "width": F.lit(shape[1])})
+    return _resized(frames.withColumns(changed), F.lit(shape[0]), F.lit(shape[1]))

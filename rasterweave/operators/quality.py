@@ -28,11 +28,12 @@ def frame_statistics(
     mask: str = "cloud_mask",
     prob: str | None = "cloud_prob",
 ) -> DataFrame:
-    """Per-frame cloud_pct, prob_pct and not_avail from pixel rows (map-side combined)."""
+    """Per-frame cloud_pct, coverage, prob_pct and not_avail from pixel rows (map-side combined)."""
     bands = list(bands or band_columns(pixels.columns))
     n = F.count(F.lit(1))
     aggs = [
         (F.lit(100.0) * F.sum(F.col(mask).cast("double")) / n).alias("cloud_pct"),
+        (F.sum(F.col(mask).cast("double")) / n).alias("coverage"),
         F.every(F.coalesce(*[F.col(b) for b in bands]).isNull()).alias("not_avail"),
     ]
     if prob:
@@ -56,6 +57,7 @@ def frame_statistics_arrays(
     total = F.aggregate(F.col(mask), F.lit(0.0), lambda s, v: s + v.cast("double"))
     cols = [
         (F.lit(100.0) * total / F.size(mask)).alias("cloud_pct"),
+        (total / F.size(mask)).alias("coverage"),
         missing.alias("not_avail"),
     ]
     if prob:

@@ -189,21 +189,20 @@ def trim_random_window(
     """Number the kept frames (``pos`` from 0) and keep a random run of ``max_len``.
 
     Sequences no longer than ``max_len`` stay whole; ``pos`` counts from the
-    first frame that is left.
+    first frame that is left, ``n_frames`` is what is left of the sequence.
     """
     keys = list(keys)
     numbered = number_rows(kept, keys, [t], "pos", block=blocks_of(t, block_size))
+    sizes = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_frames"))
+    rows = numbered.join(sizes, keys)
     if max_len is None:
-        return numbered
-    sizes = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    h = hash_hex(seed, "trim", *keys)
-    start = F.when(F.col("_n") > max_len, draw_int(h, F.col("_n") - max_len + 1)).otherwise(0)
-    starts = sizes.select(*keys, start.alias("_start"))
+        return rows
+    n = F.col("n_frames")
+    start = F.when(n > max_len, draw_int(hash_hex(seed, "trim", *keys), n - max_len + 1))
     return (
-        numbered.join(starts, keys)
-        .withColumn("pos", F.col("pos") - F.col("_start"))
+        rows.withColumn("pos", F.col("pos") - F.coalesce(start, F.lit(0)))
         .where((F.col("pos") >= 0) & (F.col("pos") < max_len))
-        .drop("_start")
+        .withColumn("n_frames", F.least(n, F.lit(max_len).cast("bigint")))
     )
 
 
@@ -264,8 +263,8 @@ def pad_sequences(
     padding = target.where(F.col("_to") > F.col("_n")).select(
         *batch,
         *keys,
-        F.explode(F.sequence(F.col("_n"), F.col("_to") - 1)).cast("bigint").alias(pos),
-    )
+        F.explode(F.sequence("_n", F.col("_to") - 1)).alias(pos),
+    ).withColumn(pos, F.col(pos).cast("bigint"))
     filled = padding.withColumns({**values, "valid_obs": F.lit(0)})
     return frames.unionByName(filled, allowMissingColumns=True)
 

@@ -10,76 +10,69 @@ from pyspark.sql import functions as F
 from rasterweave.functions import radiometry
 from rasterweave.operators import gaps, quality, sequences
 from rasterweave.schema import FilterSettings, MaskSettings
+from rasterweave.sources.settle import settle
 
 
-def selected_frames(
-    frames: DataFrame,
+def choose_frames(
     frame_quality: DataFrame,
     settings: FilterSettings,
     max_len: int | None = None,
     seed: int = 0,
 ) -> DataFrame:
-    """Usable frames of usable samples, numbered by ``pos``.
-
-    All decisions are taken on the small quality table; the band arrays are
-    touched once, in the final join.
-    """
+    """Usable frames of usable samples, numbered by ``pos``; scalars only, no bands."""
     ok = sequences.valid_samples(frame_quality, settings)
     chosen = sequences.select_frames(
         frame_quality.join(ok, "sample_id", "left_semi"), settings
     )
     kept = sequences.trim_random_window(chosen, max_len, seed)
-    return frames.join(kept.select("sample_id", "t", "pos", "valid_obs"), ["sample_id", "t"])
+    return kept.select("sample_id", "tile", "t", "pos", "n_frames", "valid_obs")
 
 
-def mask_sequences(
-    selected: DataFrame,
-    donor_frames: DataFrame,
+def simulate_gaps(
+    frames: DataFrame,
+    chosen: DataFrame,
+    coverage: DataFrame,
     bands: Sequence[str],
     settings: MaskSettings,
     earlier: DataFrame | None = None,
 ) -> DataFrame:
-    """Add mask, masked, fully_masked and ``<band>_in``, the band with its gaps filled.
+    """Chosen frames with mask, masked, fully_masked and the filled bands ``<band>_in``.
 
-    ``selected`` holds the target frames (sample_id, tile, t, pos, arrays);
-    ``donor_frames`` lends cloud masks within the tile.
+    ``chosen`` comes from :func:`choose_frames`; ``coverage`` is any table of (tile,
+    sample_id, t, coverage), such as the frame quality. Both are used several
+    times and should be stored tables (see ``settle``), as should nothing larger:
+    which frame gets which mask is decided on scalars, settled, and the band
+    arrays are read and shuffled once, in the final join. Masks are lent within the tile.
     """
-    if settings.occlude_above:
-        selected = selected.withColumn(
-            "cloud_mask", quality.occlude(F.col("cloud_mask"), settings.occlude_above)
-        )
     if settings.mask_type == "real_clouds":
-        own = selected.withColumns(
-            {"mask": F.col("cloud_mask"), "masked": F.lit(0), "fully_masked": F.lit(0)}
+        flags = chosen.drop("tile", "n_frames").withColumns(
+            {"masked": F.lit(0), "fully_masked": F.lit(0)}
         )
-        return gaps.mask_sequence(own, bands, settings)
+        own = frames.join(flags, ["sample_id", "t"])
+        own = own.withColumn("cloud_mask", quality.occlude(F.col("cloud_mask"), settings.occlude_above))
+        return gaps.mask_sequence(own.withColumn("mask", F.col("cloud_mask")), bands, settings)
 
-    drawn = gaps.sample_masked_frames(
-        selected.select("sample_id", "tile", "t", "pos"), settings, earlier
-    )
-    coverage = donor_frames.select(
-        "tile",
-        "sample_id",
-        "t",
-        (F.aggregate("cloud_mask", F.lit(0.0), lambda s, v: s + v.cast("double"))
-         / F.size("cloud_mask")).alias("coverage"),
-    )
+    drawn = settle(gaps.sample_masked_frames(chosen, settings, earlier))
     donors = gaps.donor_index(
         coverage, settings.min_donor_coverage, settings.seed, settings.donor_draw
     )
-    draws = gaps.draw_donors(
-        drawn.where(F.col("masked") == 1).select("sample_id", "tile", "t"),
-        donors,
-        settings.seed,
-        settings.donor_draw,
+    draws = settle(
+        gaps.draw_donors(
+            drawn.where(F.col("masked") == 1).select("sample_id", "tile", "t"),
+            donors,
+            settings.seed,
+            settings.donor_draw,
+        )
     )
-    flags = drawn.select("sample_id", "t", "masked", "fully_masked")
     out = gaps.compose_masks(
-        selected.join(flags, ["sample_id", "t"]),
+        frames.join(drawn.drop("tile", "n_frames"), ["sample_id", "t"]),
         draws,
-        donor_frames,
+        frames,
         occlude_above=settings.occlude_above,
     )
+    if settings.occlude_above:
+        real = quality.occlude(F.col("cloud_mask"), settings.occlude_above)
+        out = out.withColumn("cloud_mask", real)
     if settings.apply_full:
         ones = F.transform("mask", lambda v: F.lit(1).cast("tinyint"))
         out = out.withColumn("mask", F.when(F.col("fully_masked") == 1, ones).otherwise(F.col("mask")))
