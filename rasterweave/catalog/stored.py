@@ -62,7 +62,7 @@ _NAME = "'tile' || tile || '/s' || sample_id || '_2018-01-01_2018-03-01_x'"
     query(
         "pix",
         f"""SELECT {_NAME} AS sample_id, 'tile' || tile AS tile, t, strftime(DATE '2018-01-05' + CAST(5 * t AS INTEGER), '%Y-%m-%d') AS acq_date,
-  y, x, round(b0, 5) AS b0, round(b3, 5) AS b3, round(cloud_prob, 3) AS cloud_prob, 3 * cloud_mask AS class_id, cloud_mask FROM pix""",
+  y, x, round(CAST(CAST(b0 AS FLOAT) AS DOUBLE), 5) AS b0, round(CAST(CAST(b3 AS FLOAT) AS DOUBLE), 5) AS b3, round(CAST(CAST(cloud_prob AS FLOAT) AS DOUBLE), 3) AS cloud_prob, 3 * cloud_mask AS class_id, cloud_mask FROM pix""",
     ),
 )
 def cube_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

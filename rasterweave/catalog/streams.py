@@ -21,18 +21,21 @@ def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
 
 
-def drain(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """Process all available input into Parquet files and read them back."""
+def drain(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Process all available input into Parquet files and read them back.
+
+    In complete mode each micro-batch replaces the table of the one before.
+    """
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    (
-        stream.writeStream.format("parquet")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .outputMode("append")
-        .start()
-        .awaitTermination()
-    )
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
+    writer = writer.trigger(availableNow=True).outputMode(mode)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{folder}/out")
+    else:
+        writer = writer.foreachBatch(
+            lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out")
+        )
+    writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
@@ -67,10 +70,29 @@ def stream_impute_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sample_id", "event_id", F.round("filled", 6).alias("filled"))
 
 
-@register("stream_metric_means")
+@register(
+    "stream_metric_means",
+    """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type,
+  round(avg(least(1.0::DOUBLE, value / 500)), 6) AS mean, CAST(count(*) AS DOUBLE) AS weight
+FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+GROUP BY date_trunc('hour', ts), event_type""",
+)
 def stream_metric_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly means per event type; windows still open at the end are not emitted."""
     means = metric_means(_events(spark, sf_dir), "seen_at", ["event_type"], "v")
     out = drain(spark, means)
     hour = F.date_format(F.col("window.start").cast("timestamp_ntz"), "yyyy-MM-dd HH")
     return out.select(hour.alias("hour"), "event_type", F.round("mean", 6).alias("mean"), "weight")
+
+
+@register(
+    "stream_running_means",
+    """SELECT event_type, round(sum(least(1.0::DOUBLE, value / 500) * (1 + event_id % 3)) / sum(1 + event_id % 3), 6) AS mean,
+  CAST(sum(1 + event_id % 3) AS DOUBLE) AS weight FROM events GROUP BY event_type""",
+)
+def stream_running_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted means since the start of the stream."""
+    rows = _events(spark, sf_dir).withColumn("n", 1 + F.col("event_id") % 3)
+    means = metric_means(rows, "seen_at", ["event_type"], "v", "n", window=None)
+    out = drain(spark, means, "complete")
+    return out.select("event_type", F.round("mean", 6).alias("mean"), "weight")

@@ -15,15 +15,19 @@ def spread_join(
     spread_by: Sequence[str],
     how: str = "left",
     rows_per_copy: int = 100_000,
+    split: bool = True,
 ) -> DataFrame:
     """Join with hot left keys split into parts and their right rows copied per part.
 
     Keys with at most ``rows_per_copy`` left rows get one part, so nothing is copied
     for them. The left counts are combined map-side; there are at most
     ``rows / rows_per_copy`` hot keys, and whether that table is broadcast is
-    left to the optimizer's size check. ``right`` must be unique in ``on``.
+    left to the optimizer's size check. ``right`` must be unique in ``on``. With
+    ``split`` off - for keys known to be small - it is a plain join.
     """
     on = list(on)
+    if not split:
+        return left.join(right, on, how)
     hot = (
         left.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("_rows"))

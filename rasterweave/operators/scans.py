@@ -22,6 +22,16 @@ def blocks_of(column: str, size: int | None) -> Column | None:
     return None if size is None else F.floor(F.col(column) / F.lit(size)).cast("bigint")
 
 
+# Above this many rows a key is scanned in blocks by the plans that check.
+SINGLE_TASK_ROWS = 200_000
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the most frequent key. Runs a job: a map-side combined count."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.agg(F.max("_n")).first()[0] or 0
+
+
 def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],

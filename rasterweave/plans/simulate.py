@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterweave.functions import radiometry
 from rasterweave.operators import gaps, quality, sequences
+from rasterweave.operators.scans import SINGLE_TASK_ROWS, largest_group
 from rasterweave.schema import FilterSettings, MaskSettings
 from rasterweave.sources.settle import settle
 
@@ -18,13 +19,17 @@ def choose_frames(
     settings: FilterSettings,
     max_len: int | None = None,
     seed: int = 0,
+    block_size: int | None = None,
 ) -> DataFrame:
-    """Usable frames of usable samples, numbered by ``pos``; scalars only, no bands."""
-    ok = sequences.valid_samples(frame_quality, settings)
+    """Usable frames of usable samples, numbered by ``pos``; scalars only, no bands.
+
+    Give ``block_size`` where one sample may have more frames than fit a task.
+    """
+    ok = sequences.valid_samples(frame_quality, settings, block_size=block_size)
     chosen = sequences.select_frames(
-        frame_quality.join(ok, "sample_id", "left_semi"), settings
+        frame_quality.join(ok, "sample_id", "left_semi"), settings, block_size=block_size
     )
-    kept = sequences.trim_random_window(chosen, max_len, seed)
+    kept = sequences.trim_random_window(chosen, max_len, seed, block_size=block_size)
     return kept.select("sample_id", "tile", "t", "pos", "n_frames", "valid_obs")
 
 
@@ -42,7 +47,9 @@ def simulate_gaps(
     sample_id, t, coverage), such as the frame quality. Both are used several
     times and should be stored tables (see ``settle``), as should nothing larger:
     which frame gets which mask is decided on scalars, settled, and the band
-    arrays are read and shuffled once, in the final join. Masks are lent within the tile.
+    arrays are read and shuffled once, in the final join. Masks are lent within the
+    tile; the size of the largest tile is looked up first, and above the limit
+    every ranking and join on tile or sample is split into parts.
     """
     if settings.mask_type == "real_clouds":
         flags = chosen.drop("tile", "n_frames").withColumns(
@@ -52,9 +59,10 @@ def simulate_gaps(
         own = own.withColumn("cloud_mask", quality.occlude(F.col("cloud_mask"), settings.occlude_above))
         return gaps.mask_sequence(own.withColumn("mask", F.col("cloud_mask")), bands, settings)
 
-    drawn = settle(gaps.sample_masked_frames(chosen, settings, earlier))
+    large = largest_group(coverage, ["tile"]) > SINGLE_TASK_ROWS
+    drawn = settle(gaps.sample_masked_frames(chosen, settings, earlier, large=large))
     donors = gaps.donor_index(
-        coverage, settings.min_donor_coverage, settings.seed, settings.donor_draw
+        coverage, settings.min_donor_coverage, settings.seed, settings.donor_draw, large
     )
     draws = settle(
         gaps.draw_donors(
@@ -62,6 +70,7 @@ def simulate_gaps(
             donors,
             settings.seed,
             settings.donor_draw,
+            large=large,
         )
     )
     out = gaps.compose_masks(
@@ -69,6 +78,7 @@ def simulate_gaps(
         draws,
         frames,
         occlude_above=settings.occlude_above,
+        large=large,
     )
     if settings.occlude_above:
         real = quality.occlude(F.col("cloud_mask"), settings.occlude_above)
