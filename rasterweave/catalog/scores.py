@@ -35,7 +35,7 @@ def impute_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = evaluate.impute_pixels(simulated(spark, sf_dir), list(BANDS))
     return filled.select(
         *_ids("sample_id", "t", "y", "x"),
-        *[_r(f"{b}_in_{m}", f"{b}_{m}") for b in BANDS for m in IMPUTE_MODES],
+        *[_r(f"{b}_{m}", f"{b}_{m}") for b in BANDS for m in IMPUTE_MODES],
     )
 
 
@@ -85,7 +85,7 @@ FROM long WHERE value IS NOT NULL GROUP BY ALL"""
     ),
 )
 def metrics_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = evaluate.summarize(evaluate.score_modes(simulated(spark, sf_dir), list(BANDS)))
+    out = evaluate.summarize(evaluate.score_modes_arrays(simulated(spark, sf_dir), list(BANDS)))
     # Infinite means (a perfect sequence) are shown as NULL.
     finite = F.when(F.col("mean") < float("inf"), F.round("mean", 6))
     return out.select("method", "metric", "stratum", finite.alias("mean"), "n")
@@ -103,7 +103,7 @@ QUALIFY row_number() OVER (PARTITION BY metric ORDER BY mean, method) = 1""",
     ),
 )
 def best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = evaluate.summarize(evaluate.score_modes(simulated(spark, sf_dir), list(BANDS)))
+    means = evaluate.summarize(evaluate.score_modes_arrays(simulated(spark, sf_dir), list(BANDS)))
     runs = means.where(F.col("stratum") == "occluded").select(
         "metric", F.col("method").alias("run"), F.col("mean").alias("value")
     )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,44 +106,46 @@ def impute(
     return out.withColumns(added).drop("prev", "next")
 
 
-def _series_kernel(
-    values: Sequence[str], modes: Sequence[str], mask: str, t: str, day: str
-) -> callable:
-    """Vectorised fill of one (sample, pixel block) over all of its frames."""
+def matrix(table: pa.Table, name: str) -> np.ndarray:
+    """An array column of equal lengths as (rows, length) doubles; NULL becomes NaN."""
+    flat = table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(table.num_rows, -1).astype("float64")
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t).reset_index(drop=True)
-        hidden = np.stack(pdf[mask].to_numpy()).astype(bool)
-        n = len(pdf)
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    offsets = np.arange(0, values.size + 1, values.shape[1], dtype="int32")
+    return pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))
+
+
+class SeriesFill:
+    """Fills of one block of pixels over its frames (rows in time order)."""
+
+    def __init__(self, hidden: np.ndarray, days: np.ndarray) -> None:
+        n = len(hidden)
         step = np.arange(n)[:, None]
         prev = np.maximum.accumulate(np.where(hidden, -1, step), axis=0)
-        next_ = np.minimum.accumulate(np.where(hidden, n, step)[::-1], axis=0)[::-1]
-        has0, has1 = prev >= 0, next_ < n
-        i0, i1 = np.maximum(prev, 0), np.minimum(next_, n - 1)
-        days = pdf[day].to_numpy(dtype="float64")
-        gap0, gap1, span = days[:, None] - days[i0], days[i1] - days[:, None], days[i1] - days[i0]
-        both = has0 & has1
-        take0 = has0 & (~has1 | (gap0 <= gap1))
-        weight = np.divide(gap0, span, out=np.zeros_like(span), where=both & (span != 0))
-        out = {c: pdf[c] for c in pdf.columns}
-        for v in values:
-            cube = np.stack(pdf[v].to_numpy()).astype("float64")
-            v0, v1 = np.take_along_axis(cube, i0, 0), np.take_along_axis(cube, i1, 0)
-            filled = {
-                "last": lambda: np.where(has0, v0, np.nan),
-                "next": lambda: np.where(has1, v1, np.nan),
-                "closest": lambda: np.where(take0, v0, np.where(has1, v1, np.nan)),
-                "linear": lambda: np.where(
-                    both & (prev != next_),
-                    v0 + np.where(weight == 0.0, 0.0, (v1 - v0) * weight),
-                    np.where(has0, v0, np.where(has1, v1, np.nan)),
-                ),
-            }
-            for m in modes:
-                out[f"{v}_{m}"] = list(filled[m]())
-        return pd.DataFrame(out)
-
-    return fill
+        later = np.minimum.accumulate(np.where(hidden, n, step)[::-1], axis=0)[::-1]
+        self.has0, self.has1 = prev >= 0, later < n
+        self.i0, self.i1 = np.maximum(prev, 0), np.minimum(later, n - 1)
+        since, until = days[:, None] - days[self.i0], days[self.i1] - days[:, None]
+        span = since + until
+        self.sloped = self.has0 & self.has1 & (span != 0)
+        self.weight = np.divide(since, span, out=np.zeros(span.shape), where=self.sloped)
+        self.take0 = self.has0 & (~self.has1 | (since <= until))
+
+    def __call__(self, mode: str, cube: np.ndarray) -> np.ndarray:
+        v0 = np.take_along_axis(cube, self.i0, 0) if mode != "next" else None
+        v1 = np.take_along_axis(cube, self.i1, 0) if mode != "last" else None
+        if mode == "last":
+            return np.where(self.has0, v0, np.nan)
+        after = np.where(self.has1, v1, np.nan)
+        if mode == "next":
+            return after
+        if mode == "closest":
+            return np.where(self.take0, v0, after)
+        return np.where(
+            self.sloped, v0 + (v1 - v0) * self.weight, np.where(self.has0, v0, after)
+        )
 
 
 def split_blocks(
@@ -183,7 +185,15 @@ def impute_frames(
     added = [
         T.StructField(f"{v}_{m}", T.ArrayType(T.DoubleType())) for v in values for m in modes
     ]
+
+    def fill(table: pa.Table) -> pa.Table:
+        table = table.sort_by(t)
+        series = SeriesFill(matrix(table, mask) == 1, table[day].to_numpy().astype("float64"))
+        for v in values:
+            cube = matrix(table, v)
+            for m in modes:
+                table = table.append_column(f"{v}_{m}", _lists(series(m, cube)))
+        return table
+
     schema = T.StructType([*blocks.schema.fields, *added])
-    return blocks.groupBy(sample, "block").applyInPandas(
-        _series_kernel(values, modes, mask, t, day), schema
-    )
+    return blocks.groupBy(sample, "block").applyInArrow(fill, schema)

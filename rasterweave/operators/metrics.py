@@ -107,17 +107,53 @@ def sample_metrics(
     for stratum, test in tests.items():
         for name in ("_ae", "_se", "_n"):
             aggs.append(F.sum(F.when(test, F.col(name))).alias(f"{name}_{stratum}"))
-        aggs.append(F.avg(F.when(test, F.col("_sam"))).alias(f"sam_{stratum}"))
+        aggs.append(F.sum(F.when(test, F.col("_sam"))).alias(f"_sam_{stratum}"))
+        aggs.append(F.count(F.when(test, F.col("_sam"))).alias(f"_nsam_{stratum}"))
         aggs.append(
             F.sum(F.when(test, F.lit(len(diffs)) - F.col("_n"))).alias(f"_gone_{stratum}")
         )
-    sums = rows.groupBy(*keys).agg(*aggs)
+    return metrics_of_sums(rows.groupBy(*keys).agg(*aggs), keys, missing)
+
+
+SUMS = ("_ae", "_se", "_n", "_sam", "_nsam", "_gone")
+
+
+def block_sums(
+    pred: Sequence[np.ndarray],
+    target: Sequence[np.ndarray],
+    mask: np.ndarray,
+    use: np.ndarray,
+    sam_unit: str,
+) -> dict[str, float]:
+    """The sums behind the metrics of one block of pixels; NaN is a missing value."""
+    diffs = [p - y for p, y in zip(pred, target)]
+    have = [~np.isnan(d) for d in diffs]
+    ae = sum(np.where(h, np.abs(d), 0.0) for d, h in zip(diffs, have))
+    se = sum(np.where(h, d * d, 0.0) for d, h in zip(diffs, have))
+    n = sum(h.astype("float64") for h in have)
+    dot = sum(p * y for p, y in zip(pred, target))
+    norms = np.sqrt(sum(p * p for p in pred)) * np.sqrt(sum(y * y for y in target))
+    seen = norms > 0
+    cosine = np.divide(dot, norms, out=np.ones(norms.shape), where=seen)
+    angle = np.where(seen, np.arccos(np.clip(cosine, -1.0, 1.0)), 0.0)
+    angle = np.degrees(angle) if sam_unit == "deg" else angle
+    parts = dict(zip(SUMS, (ae, se, n, angle, seen.astype("float64"), len(diffs) - n)))
+    out = {}
+    for stratum, test in {"all": use, "occluded": use & (mask == 1), "observed": use & (mask == 0)}.items():
+        for name, values in parts.items():
+            out[f"{name}_{stratum}"] = float(values[test].sum())
+    return out
+
+
+def metrics_of_sums(sums: DataFrame, keys: Sequence[str], missing: str = "skip") -> DataFrame:
+    """mae, mse, rmse, psnr and sam per stratum from one row of sums per key."""
     out = []
     for s in STRATA:
         whole = F.col(f"_gone_{s}") == 0 if missing == "null" else F.lit(True)
         n = F.when(whole & (F.col(f"_n_{s}") > 0), F.col(f"_n_{s}").cast("double"))
         mse = F.col(f"_se_{s}") / n
         rmse = F.sqrt(mse)
+        sam = F.try_divide(F.col(f"_sam_{s}"), F.col(f"_nsam_{s}").cast("double"))
         out += [
             (F.col(f"_ae_{s}") / n).alias(f"mae_{s}"),
             mse.alias(f"mse_{s}"),
@@ -125,7 +161,7 @@ def sample_metrics(
             F.when(rmse == 0, F.lit(float("inf")))
             .otherwise(F.lit(20.0) * F.log10(F.lit(1.0) / F.nullif(rmse, F.lit(0.0))))
             .alias(f"psnr_{s}"),
-            F.when(whole, F.col(f"sam_{s}")).alias(f"sam_{s}"),
+            F.when(whole, sam).alias(f"sam_{s}"),
         ]
     return sums.select(*keys, *out)
 

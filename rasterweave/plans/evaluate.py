@@ -4,21 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterweave.functions.grids import explode_pixels
-from rasterweave.operators.impute import impute, impute_frames
-from rasterweave.operators.metrics import mean_over_samples, sample_metrics, to_long
+from rasterweave.operators.impute import SeriesFill, impute, matrix, split_blocks
+from rasterweave.operators.metrics import (
+    STRATA,
+    SUMS,
+    block_sums,
+    mean_over_samples,
+    metrics_of_sums,
+    sample_metrics,
+    to_long,
+)
 from rasterweave.schema import IMPUTE_MODES
 
 
 def _by_mode(filled: DataFrame, bands: Sequence[str], modes: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """One row per input row and mode, with prediction columns ``p_<band>``."""
     options = [
-        F.struct(
-            F.lit(m).alias("method"), *[F.col(f"{b}_in_{m}").alias(f"p_{b}") for b in bands]
-        )
+        F.struct(F.lit(m).alias("method"), *[F.col(f"{b}_{m}").alias(f"p_{b}") for b in bands])
         for m in modes
     ]
     return filled.select(*keep, F.explode(F.array(*options)).alias("_m")).select(*keep, "_m.*")
@@ -27,12 +35,15 @@ def _by_mode(filled: DataFrame, bands: Sequence[str], modes: Sequence[str], keep
 def impute_pixels(
     masked: DataFrame, bands: Sequence[str], modes: Sequence[str] = IMPUTE_MODES
 ) -> DataFrame:
-    """Filled pixel rows of masked frames; targets travel along, so no join follows."""
-    keep = ["sample_id", "tile", "t", "acq_date"]
-    inputs = [f"{b}_in" for b in bands]
-    pixels = explode_pixels(masked, [*inputs, *bands, "mask", "cloud_mask"], keep)
-    dated = pixels.withColumn("day", F.unix_date("acq_date"))
-    return impute(dated, inputs, modes)
+    """Filled pixel rows ``<band>_<mode>`` of masked frames.
+
+    A masked value is never read by a fill, so the target bands serve as input:
+    prediction and target come out side by side and no join follows.
+    """
+    keep = ["sample_id", "t", "acq_date"]
+    pixels = explode_pixels(masked, [*bands, "mask", "cloud_mask"], keep)
+    dated = pixels.withColumn("day", F.unix_date("acq_date")).drop("acq_date")
+    return impute(dated, bands, modes)
 
 
 def score_modes(
@@ -64,31 +75,40 @@ def score_modes_arrays(
     sam_unit: str = "deg",
     block_pixels: int = 1024,
 ) -> DataFrame:
-    """The same metrics with array rows in the shuffle, for large frames.
+    """The same metrics with arrays in the shuffle, for large frames.
 
-    Pixels are unfolded only after the fill, inside the stage that sums them.
+    Blocks of pixels are shuffled by (sample, block) as arrays and reduced to a few
+    sums per method in place, so neither pixel rows nor predictions are made.
     """
-    inputs = [f"{b}_in" for b in bands]
-    dated = masked.withColumn("day", F.unix_date("acq_date"))
-    filled = impute_frames(
-        dated, inputs, modes, extra=[*bands, "cloud_mask"], block_pixels=block_pixels
-    )
-    outputs = [f"{b}_{m}" for b in inputs for m in modes]
-    pixels = filled.select(
-        "sample_id", F.inline(F.arrays_zip("mask", "cloud_mask", *bands, *outputs))
-    )
-    real = {c: F.when(~F.isnan(c), F.col(c)) for c in outputs}
-    rows = _by_mode(
-        pixels.withColumns(real), bands, modes, ["sample_id", "mask", "cloud_mask", *bands]
-    )
-    return sample_metrics(
-        rows,
-        [f"p_{b}" for b in bands],
-        list(bands),
-        ["method", "sample_id"],
-        cloud="cloud_mask" if masked_metrics else None,
-        sam_unit=sam_unit,
+    blocks = split_blocks(
+        masked.withColumn("day", F.unix_date("acq_date")),
+        [*bands, "mask", "cloud_mask"],
+        ["sample_id", "t", "day"],
+        block_pixels,
     )
+    names = [f"{name}_{s}" for s in STRATA for name in SUMS]
+
+    def score(table: pa.Table) -> pa.Table:
+        table = table.sort_by("t")
+        mask = matrix(table, "mask")
+        use = matrix(table, "cloud_mask") == 0 if masked_metrics else np.ones(mask.shape, bool)
+        fill = SeriesFill(mask == 1, table["day"].to_numpy().astype("float64"))
+        target = [matrix(table, b) for b in bands]
+        sums = [
+            block_sums([fill(m, y) for y in target], target, mask, use, sam_unit) for m in modes
+        ]
+        columns = {
+            "method": pa.array(list(modes)),
+            "sample_id": table["sample_id"].slice(0, 1).combine_chunks().take(pa.array([0] * len(modes))),
+        }
+        return pa.table({**columns, **{n: [float(s[n]) for s in sums] for n in names}})
+
+    kind = blocks.schema["sample_id"].dataType.simpleString()
+    schema = f"method string, sample_id {kind}, " + ", ".join(f"`{n}` double" for n in names)
+    parts = blocks.groupBy("sample_id", "block").applyInArrow(score, schema)
+    keys = ["method", "sample_id"]
+    sums = parts.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
+    return metrics_of_sums(sums, keys)
 
 
 def summarize(per_sample: DataFrame, prefix: str = "masked_", empty: str = "skip") -> DataFrame:
