@@ -515,3 +515,49 @@ def apply_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
         cols = [_r(F.get("attended", F.lit(i)), f"a{i}") for i in range(4)]
         parts.append(out.select(F.lit(mode).alias("kind"), "sample_id", "t", *cols))
     return parts[0].unionByName(parts[1])
+
+
+_MAPS = """maps AS (SELECT a.vec_id // 10 AS sample_id, h AS head, a.vec_id % 10 AS t_out, b.vec_id % 10 AS t_in,
+  m // 2 AS my, m % 2 AS mx, ((7 * a.vec_id + 3 * b.vec_id + 5 * h + m) % 11) / 11.0::DOUBLE AS w
+FROM embeddings a JOIN embeddings b ON a.vec_id // 10 = b.vec_id // 10, range(2) r(h), range(4) q(m)),
+ax AS (SELECT i, CAST(floor(p) AS BIGINT) AS lo, least(CAST(floor(p) AS BIGINT) + 1, 1) AS hi, p - floor(p) AS f
+  FROM (SELECT i, greatest(0.0::DOUBLE, (i + 0.5::DOUBLE) / 2 - 0.5::DOUBLE) AS p FROM range(4) r(i))),
+up AS (SELECT sample_id, head, t_out, t_in, a.i AS y, b.i AS x, sum(w
+    * (CASE WHEN my = a.lo THEN 1 - a.f ELSE 0 END + CASE WHEN my = a.hi THEN a.f ELSE 0 END)
+    * (CASE WHEN mx = b.lo THEN 1 - b.f ELSE 0 END + CASE WHEN mx = b.hi THEN b.f ELSE 0 END)) AS w
+  FROM maps JOIN ax a ON my IN (a.lo, a.hi) JOIN ax b ON mx IN (b.lo, b.hi) GROUP BY ALL)"""
+
+
+@register(
+    "attention_maps",
+    query(
+        "pix",
+        f"""SELECT 'group' AS kind, u.sample_id, t_out AS t, u.y, u.x, round(sum(CASE WHEN head = 0 THEN w * {clean('b0')} END), 6) AS b0,
+  round(sum(CASE WHEN head = 1 THEN w * {clean('b3')} END), 6) AS b3
+FROM up u JOIN pix p ON p.sample_id = u.sample_id AND p.t = u.t_in AND p.y = u.y AND p.x = u.x WHERE t_in <> 9 GROUP BY ALL
+UNION ALL SELECT 'mean', u.sample_id, t_out, u.y, u.x, round(sum(w * {clean('b0')}) / 2, 6), round(sum(w * {clean('b3')}) / 2, 6)
+FROM up u JOIN pix p ON p.sample_id = u.sample_id AND p.t = u.t_in AND p.y = u.y AND p.x = u.x WHERE t_in <> 9 GROUP BY ALL""",
+    ).replace("\nSELECT 'group'", ",\n" + _MAPS + "\nSELECT 'group'"),
+)
+def attention_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2x2 weight maps of two heads, enlarged and applied to the 4x4 frames."""
+    frames = clean_bands(scene_frames(spark, sf_dir), BANDS)
+    a = frames.select("sample_id", F.col("t").alias("t_out"))
+    b = frames.select("sample_id", F.col("t").alias("t_in"))
+    first, second = F.col("sample_id") * 10 + F.col("t_out"), F.col("sample_id") * 10 + F.col("t_in")
+    head = F.explode(F.sequence(F.lit(0), F.lit(1))).alias("head")
+    weights = a.join(b, "sample_id").select("*", head).withColumn(
+        "w",
+        F.transform(
+            F.sequence(F.lit(0), F.lit(3)),
+            lambda m: (7 * first + 3 * second + 5 * F.col("head") + m) % 11 / 11.0,
+        ),
+    )
+    weights = weights.withColumns({"height": F.lit(2), "width": F.lit(2)})
+    rows = frames.withColumn("ok", F.col("t") != 9)
+    parts = []
+    for mode in ("group", "mean"):
+        out = attention.apply_maps(weights, rows, list(BANDS), (4, 4), _HEADS, mode, "ok")
+        cols = [*_ids(*KEY), _r("b0", "b0"), _r("b3", "b3")]
+        parts.append(out.select(F.lit(mode).alias("kind"), *cols))
+    return parts[0].unionByName(parts[1])

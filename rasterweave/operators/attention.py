@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterweave.functions import grids
+
 PIXEL_KEYS = ("sample_id", "y", "x")
 PADDED_SCORE = -1000.0
 
@@ -158,3 +160,63 @@ def apply_attention(
         "_o", _apply_udf(n_head, mode, True)("frames", "ok", "attention", v)
     )
     return _per_frame(done, "_o", out, keys, t)
+
+
+def resize_maps(weights: DataFrame, shape: tuple[int, int], w: str = "w") -> DataFrame:
+    """Weight maps at the resolution of the values they will be applied to.
+
+    One row per (sample, head, t_out, t_in) with a row-major map. Enlarged
+    bilinearly; reduced, where neither side grows, by adaptive block means.
+    """
+    h, wd = F.col("height"), F.col("width")
+    grow = (F.lit(shape[0]) > h) | (F.lit(shape[1]) > wd)
+    larger = grids.resample_bilinear(F.col(w), h, wd, shape)
+    smaller = grids.downsample_mean(F.col(w), h, wd, shape)
+    resized = weights.withColumn(w, F.when(grow, larger).otherwise(smaller))
+    return resized.withColumns({"height": F.lit(shape[0]), "width": F.lit(shape[1])})
+
+
+def mean_heads(weights: DataFrame, w: str = "w", sample: str = "sample_id") -> DataFrame:
+    """Weight maps averaged over the heads, as head 0."""
+    by = [sample, "t_out", "t_in", "height", "width"]
+    rows = weights.select(*by, F.posexplode(w).alias("_p", "_v"))
+    means = rows.groupBy(*by, "_p").agg(F.avg("_v").alias("_v"))
+    ordered = F.sort_array(F.collect_list(F.struct("_p", "_v")))
+    return means.groupBy(*by).agg(F.transform(ordered, lambda s: s["_v"]).alias(w)).withColumn(
+        "head", F.lit(0)
+    )
+
+
+def apply_maps(
+    weights: DataFrame,
+    frames: DataFrame,
+    bands: Sequence[str],
+    shape: tuple[int, int],
+    n_head: int = 1,
+    mode: str = "group",
+    valid: str | None = None,
+    w: str = "w",
+    sample: str = "sample_id",
+) -> DataFrame:
+    """Weighted sums of whole frames of ``shape``: pixel rows (sample, t, y, x, bands).
+
+    ``weights`` has one map per (sample, head, t_out, t_in) at any resolution. With
+    'group', head h weighs the h-th group of bands; with 'mean' the mean of the
+    heads weighs all. Padded source frames count as 0. Products are summed
+    map-side before they are shuffled.
+    """
+    if mode not in ("group", "mean"):
+        raise ValueError("mode must be 'group' or 'mean'")
+    if mode == "mean":
+        weights, n_head = mean_heads(weights, w, sample), 1
+    size = len(bands) // n_head
+    maps = resize_maps(weights, shape, w).select(sample, "head", "t_out", "t_in", "width", w)
+    ok = (F.col(valid).cast("int") != 0) if valid else F.lit(True)
+    source = frames.select(sample, F.col("t").alias("t_in"), ok.alias("_ok"), *bands)
+    rows = maps.join(source.where("_ok"), [sample, "t_in"])
+    pixels = grids.explode_pixels(rows, [w, *bands], [sample, "head", "t_out"])
+    sums = [
+        F.sum(F.when(F.col("head") == i // size, F.col(w) * F.col(b))).alias(b)
+        for i, b in enumerate(bands)
+    ]
+    return pixels.groupBy(sample, F.col("t_out").alias("t"), "y", "x").agg(*sums)

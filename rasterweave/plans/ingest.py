@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterweave.operators.quality import FRAME_KEYS, flag_frames, frame_statistics_arrays
 from rasterweave.operators.sequences import valid_samples
-from rasterweave.schema import FilterSettings
+from rasterweave.operators.gaps import split_by_tile
+from rasterweave.schema import FilterSettings, frames_schema
+from rasterweave.sources.cubes import cubes_to_frames, inventory
+from rasterweave.sources.frames import write_frames, write_valid_samples
 
 # --- fixed values -----------------------------------------------------------
 FOUR_BAND_FILTER = FilterSettings("cloud-free", 5, return_valid_obs_only=False)
@@ -35,3 +38,49 @@ def score_frames(
 def usable_samples(quality: DataFrame, two_sensor: bool = False) -> DataFrame:
     """Samples the later steps may use."""
     return valid_samples(quality, TWO_SENSOR_FILTER if two_sensor else FOUR_BAND_FILTER)
+
+
+def train_val_files(files: DataFrame, val_size: int = VALIDATION_SIZE, seed: int = 0) -> DataFrame:
+    """Cube files with their split; all samples of a tile are in one split."""
+    listed = inventory(files)
+    splits = split_by_tile(listed, val_size, seed).select("tile", "split")
+    return files.join(listed.join(splits, "tile").select("path", "tile", "split"), "path")
+
+
+def store_quality(quality: DataFrame, path: str) -> None:
+    """Write a frame-quality table."""
+    quality.write.mode("append").option("compression", "zstd").parquet(path)
+
+
+def ingest_cubes(
+    spark: SparkSession, source: str, target: str, split: str, with_prob: bool | None = None
+) -> None:
+    """Convert the cubes below ``source``: frames, frame_quality and valid_samples tables.
+
+    Cubes are decoded once; quality is scored on the stored frames, whose mask and
+    probability columns are all that is read again.
+    """
+    files = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.npz")
+        .option("recursiveFileLookup", "true")
+        .load(source)
+    )
+    write_frames(cubes_to_frames(files, split), f"{target}/frames")
+    stored = spark.read.schema(frames_schema(4)).parquet(f"{target}/frames")
+    prob = split in ("train", "val") if with_prob is None else with_prob
+    store_quality(
+        score_frames(stored.where(F.col("split") == split), with_prob=prob),
+        f"{target}/frame_quality",
+    )
+    quality = spark.read.parquet(f"{target}/frame_quality")
+    write_valid_samples(usable_samples(quality), f"{target}/valid_samples")
+
+
+def score_two_sensor(spark: SparkSession, path: str, n_bands: int = 13) -> None:
+    """Score a stored two-sensor frame table strictly, next to its frames."""
+    frames = spark.read.schema(frames_schema(n_bands)).parquet(f"{path}/frames")
+    scored = score_frames(frames, strict=True, prob_as_fraction=True)
+    store_quality(scored, f"{path}/frame_quality")
+    quality = spark.read.parquet(f"{path}/frame_quality")
+    write_valid_samples(usable_samples(quality, two_sensor=True), f"{path}/valid_samples")

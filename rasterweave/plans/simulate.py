@@ -99,11 +99,13 @@ def training_set(
     position: str = "day-of-year",
     append_mask: bool = False,
     radar: Sequence[str] = (),
+    extra: Sequence[str] = (),
 ) -> DataFrame:
     """One row per sample: x, y, masks, cloud_mask, valid_obs, positions and days.
 
     Frames at ``pos`` >= max_len start further rows (``part``), so that a row
     never holds more than ``max_len`` frames; sequences trimmed to max_len have one.
+    ``radar`` columns are added to x, ``extra`` columns (cloud_prob, class_id) kept apart.
     """
     timed = sequences.add_position(masked, position, "position", t="pos")
     timed = sequences.add_position(timed, "day-within-sequence", "days", t="pos")
@@ -121,6 +123,7 @@ def training_set(
         F.col("position"),
         F.col("days"),
         F.date_format("acq_date", "yyyy-MM-dd").alias("date"),
+        *[F.col(c) for c in extra],
     )
     rows = timed.withColumn("part", F.floor(F.col("pos") / max_len).cast("bigint"))
     grouped = rows.groupBy("tile", "sample_id", "part").agg(
@@ -139,6 +142,7 @@ def training_set(
         pick("position").alias("position_days"),
         pick("days").alias("days"),
         pick("date").alias("dates"),
+        *[pick(c).alias(c) for c in extra],
     )
 
 
