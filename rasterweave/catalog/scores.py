@@ -16,6 +16,7 @@ from rasterweave.plans import evaluate
 from rasterweave.plans.simulate import clean_bands
 from rasterweave.schema import IMPUTE_MODES
 from rasterweave.sources.driver_tables import scene_frames, table
+from rasterweave.sources.settle import settle
 
 STRATA = metrics.STRATA
 
@@ -271,14 +272,15 @@ def stitched_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     coverage = frames.select(
         "sample_id", "t", grids.mean(F.col("cloud_mask")).alias("coverage")
     )
-    plan = windows.plan_windows(coverage, 4)
+    plan = settle(windows.plan_windows(coverage, 4))
     scored = windows.score_windows(
         frames.select("sample_id", "t", "b0", "cloud_mask"),
         plan,
         linear_trend,
         "sample_id bigint, k bigint, t bigint, p_b0 array<double>",
     )
-    out = windows.stitch_windows(scored, plan, ["p_b0"])
+    # Settled, so that the predictor runs once.
+    out = windows.stitch_windows(settle(scored), plan, ["p_b0"])
     return out.select("sample_id", "t", "owner", F.posexplode("p_b0").alias("pixel", "v")).select(
         "sample_id", "t", "owner", *_ids("pixel"), _r("v", "p_b0")
     )

@@ -12,6 +12,7 @@ from rasterweave.catalog.frames import KEY, _ids, _r, frame_quality_of
 from rasterweave.catalog.sql import BANDS, clean, digits, hexa, query, uniform
 from rasterweave.functions import grids
 from rasterweave.operators import gaps, geometry, quality
+from rasterweave.operators.scans import SINGLE_TASK_ROWS, largest_group
 from rasterweave.plans.simulate import choose_frames, clean_bands
 from rasterweave.plans.simulate import simulate_gaps as simulate
 from rasterweave.schema import FilterSettings, MaskSettings
@@ -50,7 +51,9 @@ def simulated(
 
 
 def drawn_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gaps.sample_masked_frames(settle(chosen(spark, sf_dir)), SETTINGS)
+    kept = settle(chosen(spark, sf_dir))
+    large = largest_group(kept, ["sample_id"]) > SINGLE_TASK_ROWS
+    return gaps.sample_masked_frames(kept, SETTINGS, large=large)
 
 
 @register(

@@ -18,6 +18,7 @@ from rasterweave.plans.ingest import score_frames
 from rasterweave.plans.simulate import training_set
 from rasterweave.sources.cubes import CUBE_KEY, cubes_to_frames
 from rasterweave.sources.driver_tables import scene_frames
+from rasterweave.sources.settle import settle
 from rasterweave.sources.simulations import not_yet_simulated, target_differences
 
 
@@ -88,7 +89,9 @@ def cube_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cube_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingest of a test split: context and target cubes joined along time, then scored."""
-    frames = cubes_to_frames(cube_files(spark, sf_dir, context=4), split="iid")
+    # Settled: these rows stand for files, which are read more than once.
+    files = settle(cube_files(spark, sf_dir, context=4))
+    frames = cubes_to_frames(files, split="iid")
     return _quality_columns(score_frames(frames, with_prob=False), prob=False).withColumn(
         "t", F.col("t").cast("bigint")
     )

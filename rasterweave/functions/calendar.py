@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rasterweave.functions.grids import bind
+
 # --- fixed values -----------------------------------------------------------
 REFERENCE_DATE = "2015-06-23"
 FRAME_STEP_DAYS = 5
@@ -23,13 +25,12 @@ def days_since_reference(day: Column) -> Column:
 
 def sample_stem(path: Column) -> Column:
     """``<tile>/<stem>`` of a cube file, without the ``context_``/``target_`` marker."""
-    tail = F.regexp_extract(path, r"([^/]+/[^/]+)$", 1)
-    bare = F.regexp_replace(tail, r"(^|/)(context_|target_)", "$1")
+    bare = F.regexp_replace(F.substring_index(path, "/", -2), r"(^|/)(context_|target_)", "$1")
     return F.regexp_replace(bare, r"\.[^./]*$", "")
 
 
 def tile_of(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    return F.substring_index(F.substring_index(path, "/", -2), "/", 1)
 
 
 def frame_dates(stem: Column) -> Column:
@@ -41,7 +42,13 @@ def frame_dates(stem: Column) -> Column:
     parts = F.split(F.element_at(F.split(stem, "/"), -1), "_")
     first = F.date_add(F.to_date(F.get(parts, F.lit(1))), FIRST_FRAME_OFFSET_DAYS)
     last = F.to_date(F.get(parts, F.lit(2)))
-    step = F.make_interval(days=F.lit(FRAME_STEP_DAYS))
-    return F.when(first <= last, F.sequence(first, last, step)).otherwise(
-        F.array().cast("array<date>")
-    )
+
+    def dates(span: Column) -> Column:
+        n = F.floor(F.datediff(span["last"], span["first"]) / FRAME_STEP_DAYS).cast("int")
+        steps = F.sequence(F.lit(0), n)
+        return F.when(
+            span["first"] <= span["last"],
+            F.transform(steps, lambda i: F.date_add(span["first"], i * FRAME_STEP_DAYS)),
+        ).otherwise(F.array().cast("array<date>"))
+
+    return bind(F.struct(first.alias("first"), last.alias("last")), dates)

@@ -25,6 +25,15 @@ def explode_pixels(
     )
 
 
+def bind(value: Column, body: callable) -> Column:
+    """``body(value)`` with ``value`` worked out once per row.
+
+    An expression used inside an array lambda is evaluated again for every
+    element; bound as a lambda variable it is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def at(band: Column, index: Column) -> Column:
     """0-based element, NULL outside the array."""
     return F.get(band, index)
@@ -45,25 +54,28 @@ def _row(i: Column, width: Column) -> Column:
 def rotate90(band: Column, height: Column, width: Column, k: Column) -> Column:
     """Counter-clockwise by k quarter turns. The turned frame is W x H for odd k."""
 
-    def source(i: Column) -> Column:
-        k4 = F.pmod(k, F.lit(4))
+    def source(i: Column, k4: Column) -> Column:
         new_w = F.when(k4 % 2 == 1, height).otherwise(width)
         y, x = _row(i, new_w), (i % new_w).cast("int")
         sy = F.when(k4 == 0, y).when(k4 == 1, x).when(k4 == 2, height - 1 - y).otherwise(height - 1 - x)
         sx = F.when(k4 == 0, x).when(k4 == 1, width - 1 - y).when(k4 == 2, width - 1 - x).otherwise(y)
         return (sy * width + sx).cast("int")
 
-    return remap(band, height * width, source)
+    turned = lambda k4: remap(band, height * width, lambda i: source(i, k4))
+    return bind(F.pmod(k, F.lit(4)), turned)
 
 
 def crop(band: Column, width: Column, y0: Column, x0: Column, shape: tuple[int, int]) -> Column:
     """The ``shape`` window whose corner is (y0, x0)."""
     h, w = shape
-    rows = F.transform(
-        F.sequence(F.lit(0), F.lit(h - 1)),
-        lambda r: F.slice(band, ((y0 + r) * width + x0 + 1).cast("int"), F.lit(w)),
-    )
-    return F.flatten(rows)
+
+    def rows(first: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(h - 1)),
+            lambda r: F.slice(band, (first + r * width).cast("int"), F.lit(w)),
+        )
+
+    return F.flatten(bind(y0 * width + x0 + 1, rows))
 
 
 def dilate_cross(mask: Column, height: Column, width: Column) -> Column:

@@ -12,7 +12,7 @@ from rasterweave.functions.hashing import draw_int, gaussian, hash_bucket, hash_
 from rasterweave.operators.geometry import dilate
 from rasterweave.operators.joins import spread_join
 from rasterweave.operators.quality import band_means_observed, occlude
-from rasterweave.operators.scans import number_rows
+from rasterweave.operators.scans import number_rows, with_length
 from rasterweave.schema import MaskSettings
 
 SAMPLE = ("sample_id",)
@@ -35,14 +35,6 @@ def _ranked(
     ).drop("_h")
 
 
-def with_length(frames: DataFrame, keys: Sequence[str] = SAMPLE) -> DataFrame:
-    """Add ``n_frames``, the length of the sequence, unless it is there."""
-    if "n_frames" in frames.columns:
-        return frames
-    sizes = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_frames"))
-    return frames.join(sizes, list(keys))
-
-
 def _effective_length(settings: MaskSettings, keys: Sequence[str]) -> Column:
     n = F.col("n_frames")
     if settings.fixed_masking_ratio:
@@ -67,7 +59,7 @@ def draw_masked(
     excluded = F.lit(False)
     for p in settings.non_masked_frames:
         excluded = excluded | (F.col(pos) == (F.lit(p) if p >= 0 else F.col("n_frames") + p))
-    rows = with_length(frames, keys).withColumn("_allowed", ~excluded)
+    rows = with_length(frames, keys, large).withColumn("_allowed", ~excluded)
     ranked = _ranked(
         rows, keys, F.col("_allowed"), hash_hex(settings.seed, "mask", *keys, pos), "_rank", large
     )
@@ -88,7 +80,7 @@ def draw_fully_masked(
     keys = list(keys)
     ratio = F.lit(float(settings.ratio_fully_masked_frames))
     ranked = _ranked(
-        with_length(frames, keys),
+        with_length(frames, keys, large),
         keys,
         F.col("masked") == 1,
         hash_hex(settings.seed, "full", *keys, pos),

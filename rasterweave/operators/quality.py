@@ -51,21 +51,19 @@ def frame_statistics_arrays(
 ) -> DataFrame:
     """The same statistics from frame rows: a projection, no shuffle, so it streams."""
     bands = list(bands or band_columns(frames.columns))
-    missing = F.lit(True)
-    for b in bands:
-        missing = missing & F.forall(F.col(b), lambda v: v.isNull() | F.isnan(v))
-    total = F.aggregate(F.col(mask), F.lit(0.0), lambda s, v: s + v.cast("double"))
-    cols = [
-        (F.lit(100.0) * total / F.size(mask)).alias("cloud_pct"),
-        (total / F.size(mask)).alias("coverage"),
-        missing.alias("not_avail"),
-    ]
+    gone = " AND ".join(f"forall(`{b}`, v -> v IS NULL OR isnan(v))" for b in bands)
+    hidden = f"aggregate(`{mask}`, 0D, (s, v) -> s + double(v))"
+    stats = {
+        "cloud_pct": f"100D * {hidden} / size(`{mask}`)",
+        "coverage": f"{hidden} / size(`{mask}`)",
+        "not_avail": gone,
+    }
     if prob:
-        above = F.aggregate(
-            F.col(prob), F.lit(0.0), lambda s, v: s + F.when(v > PROB_ABOVE, 1.0).otherwise(0.0)
-        )
-        cols.append((F.lit(100.0) * above / F.size(prob)).alias("prob_pct"))
-    return frames.select(*keep, *cols)
+        above = f"aggregate(`{prob}`, 0D, (s, v) -> s + IF(v > {PROB_ABOVE}D, 1D, 0D))"
+        stats["prob_pct"] = f"100D * {above} / size(`{prob}`)"
+    return frames.selectExpr(
+        *[f"`{c}`" for c in keep], *[f"{e} AS {name}" for name, e in stats.items()]
+    )
 
 
 def is_impaired(strict: bool = False, with_prob: bool = True) -> Column:

@@ -32,6 +32,11 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return sizes.agg(F.max("_n")).first()[0] or 0
 
 
+def block_size_for(df: DataFrame, keys: Sequence[str], size: int = 65_536) -> int | None:
+    """A block size if some key has too many rows for one task, else None. Runs a job."""
+    return size if largest_group(df, keys) > SINGLE_TASK_ROWS else None
+
+
 def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],
@@ -67,11 +72,11 @@ def with_neighbours(
     if block is None:
         return out.drop("_seen")
 
-    place = F.struct(*[F.col(c) for c in order])
-    summary = rows.where(F.col("_seen").isNotNull()).groupBy(*part).agg(
+    # Rows that are not visible have no place, and max_by / min_by pass them over.
+    place = F.when(F.col("_seen").isNotNull(), F.struct(*[F.col(c) for c in order]))
+    blocks = rows.groupBy(*part).agg(
         F.max_by("_seen", place).alias("_tail"), F.min_by("_seen", place).alias("_head")
     )
-    blocks = rows.select(*part).distinct().join(summary, part, "left")
     across = Window.partitionBy(*keys)
     carry = blocks.select(
         *part,
@@ -120,6 +125,20 @@ def number_rows(
     )
 
 
+def with_length(df: DataFrame, keys: Sequence[str], large: bool = True) -> DataFrame:
+    """Add ``n_frames``, the rows of each key, unless it is there.
+
+    For ``large`` keys the count is combined map-side and joined; otherwise it is a
+    window that shares the exchange of the numbering before it.
+    """
+    if "n_frames" in df.columns:
+        return df
+    if not large:
+        return df.withColumn("n_frames", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_frames"))
+    return df.join(sizes, list(keys))
+
+
 def runs(
     df: DataFrame,
     keys: Sequence[str],
@@ -133,21 +152,26 @@ def runs(
     """Maximal runs of member rows: (keys, run_start, run_end, run_len).
 
     ``linked`` decides from the row and its predecessor among the members (struct
-    ``before``, holding ``t`` and ``payload``) whether the run goes on.
+    ``before``, holding ``t`` and ``payload``) whether the run goes on. The other
+    rows of a key form one more row with NULL bounds and length 0, so that no key
+    is lost and no join is needed to bring it back.
     """
-    members = df.where(member)
+    rows = df.select(*keys, t, *payload, F.coalesce(member, F.lit(False)).alias("_member"))
     lagged = with_neighbours(
-        members, keys, [t], F.lit(True), [t, *payload],
+        rows, keys, [t], F.col("_member"), [t, *payload],
         prev="before", next=None, inclusive=False, block=block,
     )
-    opened = lagged.withColumn("_opens", F.col("before").isNull() | ~linked).select(
-        *keys, t, "_opens"
-    )
+    opens = F.col("_member") & (F.col("before").isNull() | ~linked)
     labelled = with_neighbours(
-        opened, keys, [t], F.col("_opens"), [t], prev="_run", next=None, block=block
+        lagged.withColumn("_opens", opens).drop("before"),
+        keys, [t], F.col("_opens"), [t], prev="_run", next=None, block=block,
     )
+    start = F.when(F.col("_member"), F.col(f"_run.{t}"))
     return (
-        labelled.groupBy(*keys, F.col(f"_run.{t}").alias("run_start"))
-        .agg(F.max(t).alias("run_end"), F.count(F.lit(1)).alias("run_len"))
+        labelled.groupBy(*keys, start.alias("run_start"))
+        .agg(
+            F.max(F.when(F.col("_member"), F.col(t))).alias("run_end"),
+            F.count(F.when(F.col("_member"), 1)).alias("run_len"),
+        )
         .select(*keys, "run_start", "run_end", "run_len")
     )

@@ -9,35 +9,21 @@ from pyspark.sql import functions as F
 
 from rasterweave.functions import calendar
 from rasterweave.functions.hashing import draw_int, hash_hex
-from rasterweave.operators.scans import blocks_of, number_rows, runs
+from rasterweave.operators.scans import blocks_of, number_rows, runs, with_length
 from rasterweave.schema import POSITION_STRATEGIES, FilterSettings
 
 SAMPLE = ("sample_id",)
 
 
-def _longest(
-    df: DataFrame, all_runs: DataFrame, keys: Sequence[str]
-) -> DataFrame:
+def _longest(all_runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The longest run per key (first one on ties); runs of one frame do not count."""
-    best = (
-        all_runs.where(F.col("run_len") > 1)
-        .groupBy(*keys)
-        .agg(
-            F.max(
-                F.struct(F.col("run_len"), (-F.col("run_start")).alias("neg"), F.col("run_end"))
-            ).alias("_b")
-        )
-    )
-    return (
-        df.select(*keys)
-        .distinct()
-        .join(best, list(keys), "left")
-        .select(
-            *keys,
-            F.coalesce(-F.col("_b.neg"), F.lit(0)).cast("bigint").alias("run_start"),
-            F.coalesce(F.col("_b.run_end"), F.lit(0)).cast("bigint").alias("run_end"),
-            F.coalesce(F.col("_b.run_len"), F.lit(0)).cast("bigint").alias("run_len"),
-        )
+    ranked = F.struct(F.col("run_len"), (-F.col("run_start")).alias("neg"), F.col("run_end"))
+    best = all_runs.groupBy(*keys).agg(F.max(F.when(F.col("run_len") > 1, ranked)).alias("_b"))
+    return best.select(
+        *keys,
+        F.coalesce(-F.col("_b.neg"), F.lit(0)).cast("bigint").alias("run_start"),
+        F.coalesce(F.col("_b.run_end"), F.lit(0)).cast("bigint").alias("run_end"),
+        F.coalesce(F.col("_b.run_len"), F.lit(0)).cast("bigint").alias("run_len"),
     )
 
 
@@ -51,7 +37,7 @@ def longest_good_run(
     """Longest run of consecutive good frames: bounds and length, 0/0/0 if none."""
     linked = F.col(t) - F.col(f"before.{t}") == 1
     found = runs(quality, keys, t, F.col(valid) == 1, linked, block=blocks_of(t, block_size))
-    return _longest(quality, found, keys)
+    return _longest(found, keys)
 
 
 def longest_run_within_gap(
@@ -68,7 +54,7 @@ def longest_run_within_gap(
     found = runs(
         quality, keys, t, F.col(valid) == 1, linked, [day], block=blocks_of(t, block_size)
     )
-    return _longest(quality, found, keys)
+    return _longest(found, keys)
 
 
 def max_invalid_run(
@@ -81,13 +67,7 @@ def max_invalid_run(
     """Longest run of invalid frames per key, 0 if every frame is valid."""
     linked = F.col(t) - F.col(f"before.{t}") == 1
     found = runs(quality, keys, t, F.col(valid) == 0, linked, block=blocks_of(t, block_size))
-    worst = found.groupBy(*keys).agg(F.max("run_len").alias("_m"))
-    return (
-        quality.select(*keys)
-        .distinct()
-        .join(worst, list(keys), "left")
-        .select(*keys, F.coalesce(F.col("_m"), F.lit(0)).cast("bigint").alias("max_invalid"))
-    )
+    return found.groupBy(*keys).agg(F.max("run_len").cast("bigint").alias("max_invalid"))
 
 
 def valid_samples(
@@ -193,8 +173,7 @@ def trim_random_window(
     """
     keys = list(keys)
     numbered = number_rows(kept, keys, [t], "pos", block=blocks_of(t, block_size))
-    sizes = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_frames"))
-    rows = numbered.join(sizes, keys)
+    rows = with_length(numbered, keys, large=block_size is not None)
     if max_len is None:
         return rows
     n = F.col("n_frames")

@@ -46,8 +46,8 @@ def simulate_gaps(
     ``chosen`` comes from :func:`choose_frames`; ``coverage`` is any table of (tile,
     sample_id, t, coverage), such as the frame quality. Both are used several
     times and should be stored tables (see ``settle``), as should nothing larger:
-    which frame gets which mask is decided on scalars, settled, and the band
-    arrays are read and shuffled once, in the final join. Masks are lent within the
+    which frame gets which mask is decided on scalars, and the band arrays are
+    read and shuffled once, in the final join. Masks are lent within the
     tile; the size of the largest tile is looked up first, and above the limit
     every ranking and join on tile or sample is split into parts.
     """
@@ -60,11 +60,12 @@ def simulate_gaps(
         return gaps.mask_sequence(own.withColumn("mask", F.col("cloud_mask")), bands, settings)
 
     large = largest_group(coverage, ["tile"]) > SINGLE_TASK_ROWS
-    drawn = settle(gaps.sample_masked_frames(chosen, settings, earlier, large=large))
+    hold = settle if large else _as_it_is
+    drawn = hold(gaps.sample_masked_frames(chosen, settings, earlier, large=large))
     donors = gaps.donor_index(
         coverage, settings.min_donor_coverage, settings.seed, settings.donor_draw, large
     )
-    draws = settle(
+    draws = hold(
         gaps.draw_donors(
             drawn.where(F.col("masked") == 1).select("sample_id", "tile", "t"),
             donors,
@@ -92,6 +93,10 @@ def simulate_gaps(
     return gaps.mask_sequence(out, bands, settings)
 
 
+def _as_it_is(df: DataFrame) -> DataFrame:
+    return df
+
+
 def training_set(
     masked: DataFrame,
     bands: Sequence[str],

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,30 +68,57 @@ def decode_cubes(files: DataFrame, n_bands: int = 4) -> DataFrame:
     """
     schema = _decode_schema(n_bands)
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                with np.load(io.BytesIO(content)) as npz:
+    def rows(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+        flat = pa.array(values.ravel(), from_pandas=True).cast(kind, safe=False)
+        offsets = np.arange(0, values.size + 1, values.shape[1], dtype="int32")
+        return pa.ListArray.from_arrays(offsets, flat)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        real, small = pa.float32(), pa.int8()
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                with np.load(io.BytesIO(content.as_py())) as npz:
                     cube = npz[CUBE_KEY]
                 h, w, c, n = cube.shape
                 flat = cube.transpose(3, 2, 0, 1).reshape(n, c, h * w).astype("float32")
-                full = c > n_bands + 2
-                out = {
-                    "path": path, "t": np.arange(n), "n_frames": n, "height": h, "width": w,
+                same = lambda v: pa.array(np.full(n, v, dtype="int32"))
+                columns = {
+                    "path": pa.array([path.as_py()] * n),
+                    "t": pa.array(np.arange(n, dtype="int32")),
+                    "n_frames": same(n),
+                    "height": same(h),
+                    "width": same(w),
                 }
                 for b in range(n_bands):
-                    out[f"b{b}"] = list(flat[:, b])
-                blank = [None] * n
-                out["cloud_prob"] = list(flat[:, n_bands]) if full else blank
-                out["class_id"] = list(flat[:, n_bands + 1].astype("int8")) if full else blank
-                out["cloud_mask"] = list(flat[:, -1].astype("int8"))
-                yield pd.DataFrame(out)
-
-    frames = files.select("path", "content").mapInPandas(decode, schema)
-    bands = [f"b{i}" for i in range(n_bands)]
-    return frames.withColumns(
-        {b: F.transform(F.col(b), lambda v: F.when(~F.isnan(v), v)) for b in bands}
-    )
+                    columns[f"b{b}"] = rows(flat[:, b], real)
+                if c > n_bands + 2:
+                    columns["cloud_prob"] = rows(flat[:, n_bands], real)
+                    columns["class_id"] = rows(flat[:, n_bands + 1], small)
+                else:
+                    columns["cloud_prob"] = pa.nulls(n, pa.list_(real))
+                    columns["class_id"] = pa.nulls(n, pa.list_(small))
+                columns["cloud_mask"] = rows(flat[:, -1], small)
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return files.select("path", "content").mapInArrow(decode, schema)
+
+
+def cube_lengths(files: DataFrame) -> DataFrame:
+    """(path, n_frames) from the array headers alone; no pixel is decompressed."""
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sizes = []
+            for content in pdf["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)).open(f"{CUBE_KEY}.npy") as f:
+                    version = np.lib.format.read_magic(f)
+                    read = np.lib.format.read_array_header_1_0
+                    if version != (1, 0):
+                        read = np.lib.format.read_array_header_2_0
+                    sizes.append(read(f)[0][3])
+            yield pd.DataFrame({"path": pdf["path"], "n_frames": sizes})
+
+    return files.select("path", "content").mapInPandas(measure, "path string, n_frames int")
 
 
 def cubes_to_frames(
@@ -101,11 +130,10 @@ def cubes_to_frames(
     rows = decoded.withColumns({"sample_id": stem, "tile": F.split(stem, "/")[0]})
     is_target = F.col("path").rlike(r"(^|/)target(_[^/]*|/.*)$")
     if split != "train":
-        # Only (sample, length) of the context files is shuffled, not their bands.
-        lengths = (
-            rows.where(~is_target & (F.col("t") == 0))
-            .select("sample_id", F.col("n_frames").alias("_shift"))
-        )
+        # Context files are opened once more, for their headers; of their content
+        # only (sample, length) is shuffled.
+        context = cube_lengths(files.where(~is_target))
+        lengths = context.select(stem.alias("sample_id"), F.col("n_frames").alias("_shift"))
         shift = F.when(is_target, F.coalesce("_shift", F.lit(0))).otherwise(0)
         rows = rows.join(lengths, "sample_id", "left").withColumn("t", F.col("t") + shift)
     dates = calendar.frame_dates(F.col("sample_id"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterweave.functions.grids import explode_pixels
-from rasterweave.operators.scans import number_rows
+from rasterweave.operators.scans import block_size_for, number_rows
 
 SIDE = 4
 N_PIXELS = SIDE * SIDE
@@ -14,21 +14,31 @@ BANDS = ["b0", "b1", "b2", "b3"]
 FRAME_COLUMNS = ["sample_id", "tile", "t", "acq_date"]
 
 
+# Read with their schema, so that no job is spent on inferring it.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def observations(spark: SparkSession, sf_dir: str, large: bool = False) -> DataFrame:
     """One gappy univariate series per user: (sample_id, t, acq_date, day, mask, v, event_id).
 
-    Rows are numbered in two levels, by day and within the day, so that a user
-    with very many events does not end up in one task.
+    With ``large`` rows are numbered in two levels, by day and within the day, so
+    that a user with very many events does not end up in one task.
     """
     events = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("sample_id"), "ts", "event_id", "event_type", "value"
     )
     day = F.unix_date(F.to_date("ts")).cast("bigint")
-    numbered = number_rows(events, ["sample_id"], ["ts", "event_id"], "t", block=day)
+    numbered = number_rows(events, ["sample_id"], ["ts", "event_id"], "t", block=day if large else None)
     return numbered.select(
         "sample_id",
         "t",
@@ -40,8 +50,15 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _part(start: int, fn) -> Column:
-    return F.transform(F.slice("embedding", start + 1, N_PIXELS), lambda v: fn(v.cast("double")))
+def checked_observations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
+    """The series, and the block size for scans over them: None unless a user is too large."""
+    block = block_size_for(table(spark, sf_dir, "events"), ["user_id"])
+    return observations(spark, sf_dir, large=block is not None), block
+
+
+def _part(start: int, value: str) -> str:
+    """One frame's pixels from the vector, by an expression of ``v``."""
+    return f"transform(transform(slice(embedding, {start + 1}, {N_PIXELS}), f -> double(f)), v -> {value})"
 
 
 def scene_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,29 +68,25 @@ def scene_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frames_of(embeddings: DataFrame) -> DataFrame:
     """The frame view of embedding rows, batch or streaming."""
-    rows = embeddings.withColumns(
-        {
-            "sample_id": F.floor(F.col("vec_id") / 10).cast("bigint"),
-            "t": (F.col("vec_id") % 10).cast("bigint"),
-        }
+    rows = embeddings.selectExpr(
+        "*", "vec_id div 10 AS sample_id", "vec_id % 10 AS t",
+        "CASE WHEN label IN (0, 1, 2) THEN 0.08D ELSE 0.35D END AS limit",
     )
-    late = (F.col("sample_id") % 3 == 0) & (F.col("t") >= 5)
-    days = 5 * F.col("t") + (7 * F.col("vec_id")) % 4 + F.when(late, 45).otherwise(0)
-    limit = F.when(F.col("label").isin(0, 1, 2), 0.08).otherwise(0.35)
-    clip = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v + 0.5))
-    return rows.select(
+    late = "IF(sample_id % 3 = 0 AND t >= 5, 45, 0)"
+    clipped = "greatest(0.0D, least(1.0D, v + 0.5D))"
+    return rows.selectExpr(
         "sample_id",
-        (F.col("sample_id") % 5).alias("tile"),
+        "sample_id % 5 AS tile",
         "t",
-        F.date_add(F.lit("2018-01-01").cast("date"), days.cast("int")).alias("acq_date"),
-        F.lit(SIDE).alias("height"),
-        F.lit(SIDE).alias("width"),
+        f"date_add(DATE '2018-01-01', int(5 * t + (7 * vec_id) % 4 + {late})) AS acq_date",
+        f"{SIDE} AS height",
+        f"{SIDE} AS width",
         *[
-            _part(N_PIXELS * i, lambda v: F.when(F.col("label") != 9, clip(v))).alias(b)
+            f"{_part(N_PIXELS * i, f'IF(label <> 9, {clipped}, NULL)')} AS {b}"
             for i, b in enumerate(BANDS)
         ],
-        _part(48, lambda v: F.least(F.lit(100.0), F.abs(v) * 200)).alias("cloud_prob"),
-        _part(48, lambda v: (F.abs(v) > limit).cast("tinyint")).alias("cloud_mask"),
+        f"{_part(48, 'least(100.0D, abs(v) * 200D)')} AS cloud_prob",
+        f"{_part(48, 'tinyint(abs(v) > limit)')} AS cloud_mask",
     )
 
 
@@ -86,13 +99,9 @@ def scene_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def radar_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second sensor: vv and vh in dB, missing for every fourth sequence."""
-    rows = table(spark, sf_dir, "embeddings").withColumns(
-        {
-            "sample_id": F.floor(F.col("vec_id") / 10).cast("bigint"),
-            "t": (F.col("vec_id") % 10).cast("bigint"),
-        }
-    )
-    decibel = lambda v: F.abs(v) * -50.0
-    return rows.where(F.col("sample_id") % 4 != 0).select(
-        "sample_id", "t", _part(0, decibel).alias("vv"), _part(16, decibel).alias("vh")
+    return table(spark, sf_dir, "embeddings").where("(vec_id div 10) % 4 <> 0").selectExpr(
+        "vec_id div 10 AS sample_id",
+        "vec_id % 10 AS t",
+        f"{_part(0, 'abs(v) * -50D')} AS vv",
+        f"{_part(16, 'abs(v) * -50D')} AS vh",
     )
