@@ -326,8 +326,10 @@ def split_by_tile(
     counts = samples.groupBy(tile).agg(F.count_distinct(sample).cast("bigint").alias("n_samples"))
     key = -F.ln(uniform(hash_hex(seed, "split", tile))) / F.col("n_samples")
     keyed = counts.withColumn("_key", key)
-    # exp(-key) is uniform-like in (0, 1): equal-width classes of it are ordered blocks.
-    block = F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * 1024).cast("bigint")
+    # Keys scaled by the mean count spread over (0, 1) as 1 - exp(-key): its
+    # equal-width classes are ordered blocks of a few tiles each.
+    scale = counts.agg(F.avg("n_samples")).scalar()
+    block = F.floor((F.lit(1.0) - F.exp(-F.col("_key") * scale)) * 1024).cast("bigint")
     return (
         running_total(keyed, "_key", "n_samples", block, "_before")
         .withColumn(
