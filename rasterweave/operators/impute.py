@@ -133,19 +133,21 @@ class SeriesFill:
         self.weight = np.divide(since, span, out=np.zeros(span.shape), where=self.sloped)
         self.take0 = self.has0 & (~self.has1 | (since <= until))
 
-    def __call__(self, mode: str, cube: np.ndarray) -> np.ndarray:
-        v0 = np.take_along_axis(cube, self.i0, 0) if mode != "next" else None
-        v1 = np.take_along_axis(cube, self.i1, 0) if mode != "last" else None
-        if mode == "last":
-            return np.where(self.has0, v0, np.nan)
-        after = np.where(self.has1, v1, np.nan)
-        if mode == "next":
-            return after
-        if mode == "closest":
-            return np.where(self.take0, v0, after)
-        return np.where(
-            self.sloped, v0 + (v1 - v0) * self.weight, np.where(self.has0, v0, after)
-        )
+    def __call__(self, modes: Sequence[str], cube: np.ndarray) -> list[np.ndarray]:
+        """The filled cube for each mode; the two look-ups are shared by all of them."""
+        before = np.where(self.has0, np.take_along_axis(cube, self.i0, 0), np.nan)
+        after = np.where(self.has1, np.take_along_axis(cube, self.i1, 0), np.nan)
+        made = {
+            "last": lambda: before,
+            "next": lambda: after,
+            "closest": lambda: np.where(self.take0, before, after),
+            "linear": lambda: np.where(
+                self.sloped,
+                before + (after - before) * self.weight,
+                np.where(self.has0, before, after),
+            ),
+        }
+        return [made[m]() for m in modes]
 
 
 def split_blocks(
@@ -171,7 +173,7 @@ def impute_frames(
     t: str = "t",
     day: str = "day",
     extra: Sequence[str] = (),
-    block_pixels: int = 1024,
+    block_pixels: int = 2048,
 ) -> DataFrame:
     """Same fills on band arrays: rows (sample, t, block) with arrays of pixels.
 
@@ -190,9 +192,8 @@ def impute_frames(
         table = table.sort_by(t)
         series = SeriesFill(matrix(table, mask) == 1, table[day].to_numpy().astype("float64"))
         for v in values:
-            cube = matrix(table, v)
-            for m in modes:
-                table = table.append_column(f"{v}_{m}", _lists(series(m, cube)))
+            for m, values_of in zip(modes, series(modes, matrix(table, v))):
+                table = table.append_column(f"{v}_{m}", _lists(values_of))
         return table
 
     schema = T.StructType([*blocks.schema.fields, *added])

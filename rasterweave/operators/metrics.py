@@ -118,31 +118,43 @@ def sample_metrics(
 SUMS = ("_ae", "_se", "_n", "_sam", "_nsam", "_gone")
 
 
-def block_sums(
-    pred: Sequence[np.ndarray],
-    target: Sequence[np.ndarray],
-    mask: np.ndarray,
-    use: np.ndarray,
-    sam_unit: str,
-) -> dict[str, float]:
+class BlockSums:
     """The sums behind the metrics of one block of pixels; NaN is a missing value."""
-    diffs = [p - y for p, y in zip(pred, target)]
-    have = [~np.isnan(d) for d in diffs]
-    ae = sum(np.where(h, np.abs(d), 0.0) for d, h in zip(diffs, have))
-    se = sum(np.where(h, d * d, 0.0) for d, h in zip(diffs, have))
-    n = sum(h.astype("float64") for h in have)
-    dot = sum(p * y for p, y in zip(pred, target))
-    norms = np.sqrt(sum(p * p for p in pred)) * np.sqrt(sum(y * y for y in target))
-    seen = norms > 0
-    cosine = np.divide(dot, norms, out=np.ones(norms.shape), where=seen)
-    angle = np.where(seen, np.arccos(np.clip(cosine, -1.0, 1.0)), 0.0)
-    angle = np.degrees(angle) if sam_unit == "deg" else angle
-    parts = dict(zip(SUMS, (ae, se, n, angle, seen.astype("float64"), len(diffs) - n)))
-    out = {}
-    for stratum, test in {"all": use, "occluded": use & (mask == 1), "observed": use & (mask == 0)}.items():
-        for name, values in parts.items():
-            out[f"{name}_{stratum}"] = float(values[test].sum())
-    return out
+
+    def __init__(
+        self, target: Sequence[np.ndarray], mask: np.ndarray, use: np.ndarray, sam_unit: str
+    ) -> None:
+        self.target, self.unit = target, sam_unit
+        self.norm = np.sqrt(sum(y * y for y in target))
+        strata = (use, use & (mask == 1), use & (mask == 0))
+        self.weights = np.stack([s.ravel() for s in strata], axis=1).astype("float64")
+
+    def __call__(self, pred: Sequence[np.ndarray]) -> dict[str, float]:
+        shape = self.norm.shape
+        ae, se, dot, square = (np.zeros(shape) for _ in range(4))
+        n = np.full(shape, float(len(pred)))
+        for p, y in zip(pred, self.target):
+            d = np.abs(p - y)
+            gone = np.isnan(d)
+            if gone.any():
+                n -= gone
+                d[gone] = 0.0
+            ae += d
+            se += d * d
+            dot += p * y
+            square += p * p
+        norms = np.sqrt(square) * self.norm
+        seen = norms > 0
+        cosine = np.divide(dot, norms, out=np.ones(shape), where=seen)
+        angle = np.arccos(np.clip(cosine, -1.0, 1.0))
+        angle = np.degrees(angle) if self.unit == "deg" else angle
+        parts = np.stack([v.ravel() for v in (ae, se, n, angle, seen, len(pred) - n)])
+        sums = parts @ self.weights
+        return {
+            f"{name}_{stratum}": float(sums[i, j])
+            for i, name in enumerate(SUMS)
+            for j, stratum in enumerate(STRATA)
+        }
 
 
 def metrics_of_sums(sums: DataFrame, keys: Sequence[str], missing: str = "skip") -> DataFrame:

@@ -14,7 +14,7 @@ from rasterweave.operators.impute import SeriesFill, impute, matrix, split_block
 from rasterweave.operators.metrics import (
     STRATA,
     SUMS,
-    block_sums,
+    BlockSums,
     mean_over_samples,
     metrics_of_sums,
     sample_metrics,
@@ -73,7 +73,7 @@ def score_modes_arrays(
     modes: Sequence[str] = IMPUTE_MODES,
     masked_metrics: bool = True,
     sam_unit: str = "deg",
-    block_pixels: int = 1024,
+    block_pixels: int = 2048,
 ) -> DataFrame:
     """The same metrics with arrays in the shuffle, for large frames.
 
@@ -94,9 +94,9 @@ def score_modes_arrays(
         use = matrix(table, "cloud_mask") == 0 if masked_metrics else np.ones(mask.shape, bool)
         fill = SeriesFill(mask == 1, table["day"].to_numpy().astype("float64"))
         target = [matrix(table, b) for b in bands]
-        sums = [
-            block_sums([fill(m, y) for y in target], target, mask, use, sam_unit) for m in modes
-        ]
+        reduce = BlockSums(target, mask, use, sam_unit)
+        by_mode = zip(*[fill(modes, y) for y in target])
+        sums = [reduce(pred) for pred in by_mode]
         columns = {
             "method": pa.array(list(modes)),
             "sample_id": table["sample_id"].slice(0, 1).combine_chunks().take(pa.array([0] * len(modes))),

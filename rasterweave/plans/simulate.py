@@ -93,6 +93,20 @@ def simulate_gaps(
     return gaps.mask_sequence(out, bands, settings)
 
 
+def apply_stored_masks(
+    stored: DataFrame, bands: Sequence[str], settings: MaskSettings
+) -> DataFrame:
+    """Gaps of an earlier run on its target frames: union with real clouds, grow, fill.
+
+    ``stored`` comes from ``read_simulation``; no draw is repeated, nothing is shuffled.
+    """
+    out = stored
+    if settings.mask_type == "random_clouds" and settings.union_real_masks:
+        union = gaps.union_masks(F.col("mask"), F.col("cloud_mask"))
+        out = out.withColumn("mask", quality.occlude(union, settings.occlude_above))
+    return gaps.mask_sequence(out, bands, settings)
+
+
 def _as_it_is(df: DataFrame) -> DataFrame:
     return df
 

@@ -2,14 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterweave.schema import MaskSettings
+
 TARGET, MASKS = "target", "masks"
 FRAME = ["sample_id", "pos"]
 MASK_COLUMNS = ["run_key", "sample_id", "pos", "mask", "masked", "fully_masked"]
 
 
+def run_key_ratios(run_key: Column) -> Column:
+    """The ratios in a run key: masked frames, then fully masked ones if there are any."""
+    numbers = F.regexp_extract_all(run_key, F.lit(r"(\d*\.\d+|\d+)"), 1)
+    return F.transform(numbers, lambda n: n.cast("double"))
+
+
+def earlier_draws(masks: DataFrame, settings: MaskSettings) -> DataFrame:
+    """(sample_id, pos, masked, fully_masked) of the best matching earlier run per sample.
+
+    A run with both ratios is reused as it is; failing that, one with the same ratio
+    of masked frames gives these, and fully masked frames are left to be drawn (NULL).
+    """
+    wanted = [float(settings.ratio_masked_frames)]
+    if settings.ratio_fully_masked_frames > 0:
+        wanted.append(float(settings.ratio_fully_masked_frames))
+    ratios = run_key_ratios(F.col("run_key"))
+    same = ratios == F.array(*[F.lit(w) for w in wanted])
+    runs = masks.where(F.get(ratios, F.lit(0)) == wanted[0]).withColumn("_same", same)
+    best = runs.groupBy("sample_id").agg(
+        F.min(F.struct((~F.col("_same")).alias("other"), "run_key")).alias("_b")
+    )
+    keep_full = F.when(~F.col("_b.other"), F.col("fully_masked"))
+    return (
+        runs.join(best.select("sample_id", "_b", F.col("_b.run_key").alias("run_key")), ["sample_id", "run_key"])
+        .select("sample_id", "pos", "masked", keep_full.alias("fully_masked"))
+    )
+
+
 def not_yet_simulated(samples: DataFrame, masks: DataFrame, run_key: str) -> DataFrame:
     """Samples without masks of this run."""
     done = masks.where(F.col("run_key") == run_key).select("sample_id").distinct()

@@ -156,3 +156,58 @@ def test_simulation_store(spark, tmp_path):
     with pytest.raises(RuntimeError):
         simulations.write_simulation(spark, simulation(spark, ["a"], shift=0.1), path, "new", ["b0"])
     assert spark.read.parquet(f"{path}/masks").where("run_key = 'new'").isEmpty()
+
+
+def test_earlier_draws_pick_the_closest_run(spark):
+    key = lambda full: MaskSettings(ratio_masked_frames=0.5, ratio_fully_masked_frames=full).run_key
+    rows = [
+        (key(0.0), "a", 0, 1, 0), (key(0.2), "a", 0, 0, 1), (key(0.0), "b", 0, 1, 0),
+        ("ratio_masked_0.3/masks_random_clouds", "c", 0, 1, 0),
+    ]
+    masks = spark.createDataFrame(rows, "run_key string, sample_id string, pos bigint, masked int, fully_masked int")
+    ratios = {r[0] for r in masks.select(F.array_join(simulations.run_key_ratios(F.col("run_key")).cast("array<string>"), ",")).collect()}
+    assert ratios == {"0.5", "0.5,0.2", "0.3"}
+    got = simulations.earlier_draws(masks, MaskSettings(ratio_fully_masked_frames=0.2))
+    assert {r.sample_id: (r.masked, r.fully_masked) for r in got.collect()} == {"a": (0, 1), "b": (1, None)}
+
+
+def test_workflow_from_cubes_to_scores(spark, tmp_path):
+    """Ingest, choose, simulate, store, read back, score."""
+    from rasterweave.plans import evaluate, simulate
+    from rasterweave.schema import FilterSettings
+    from rasterweave.sources.settle import settle
+
+    rng = np.random.default_rng(5)
+    for i in range(4):
+        c = rng.random((8, 8, 7, 8)).astype("float32")
+        c[:, :, -1, :] = 0
+        c[:3, :, -1, 3] = 1
+        c[:, :, 4, :] = 0.5
+        c[:, :, 4, 3] = 90
+        d = tmp_path / "cubes" / f"tile{i % 2}"
+        d.mkdir(parents=True, exist_ok=True)
+        np.savez(d / f"s{i}_2018-01-01_2018-02-12_x.npz", highresdynamic=c)
+    out = str(tmp_path / "out")
+    ingest.ingest_cubes(spark, str(tmp_path / "cubes"), out, "train")
+    bands = ["b0", "b1", "b2", "b3"]
+    frames = simulate.clean_bands(spark.read.schema(frames_schema(4)).parquet(f"{out}/frames"), bands)
+    quality = spark.read.parquet(f"{out}/frame_quality")
+    assert quality.where("valid_obs = 0").select("t").distinct().collect()[0].t == 3
+    chosen = settle(simulate.choose_frames(quality, FilterSettings("cloud-free", 5), max_len=6))
+    settings = MaskSettings(non_masked_frames=(0,), fixed_masking_ratio=True)
+    gappy = simulate.simulate_gaps(frames, chosen, quality, bands, settings)
+    stored = ["sample_id", "tile", "pos", "t", "acq_date", "height", "width", *bands, "cloud_mask", "valid_obs"]
+    simulations.write_simulation(spark, gappy, f"{out}/sim", settings.run_key, stored)
+    back = simulations.read_simulation(spark, f"{out}/sim", settings.run_key)
+    again = simulate.apply_stored_masks(back, bands, settings)
+    assert again.count() == 24
+    assert again.where("masked = 1").count() == 12
+    one = evaluate.summarize(evaluate.score_modes_arrays(gappy, bands))
+    two = evaluate.summarize(evaluate.score_modes(again, bands))
+    a = {(r.method, r.metric, r.stratum): r["mean"] for r in one.collect()}
+    b = {(r.method, r.metric, r.stratum): r["mean"] for r in two.collect()}
+    assert a.keys() == b.keys() and len(a) == 60
+    assert all(np.isclose(a[k], b[k]) for k in a)
+    assert a[("linear", "masked_mae", "observed")] == 0.0
+    rows = simulate.training_set(again, bands, 6, append_mask=True, extra=["masked"]).collect()
+    assert len(rows) == 4 and {len(r.x) for r in rows} == {6} and {len(r.x[0]) for r in rows} == {5}
