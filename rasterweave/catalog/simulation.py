@@ -46,8 +46,9 @@ def simulated(
     """Chosen frames with masks and filled input bands."""
     scored = settle(frame_quality_of(spark, sf_dir))
     kept = settle(choose_frames(scored, FILTER, 6))
-    frames = clean_bands(scene_frames(spark, sf_dir), BANDS)
-    return simulate(frames, kept, scored, list(BANDS), settings)
+    every = scene_frames(spark, sf_dir)
+    good = clean_bands(quality.good_only(every), BANDS)
+    return simulate(good, kept, scored, list(BANDS), settings, donor_frames=every)
 
 
 def drawn_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

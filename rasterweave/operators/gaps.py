@@ -211,7 +211,7 @@ def compose_masks(
         rows_per_copy=10_000,
         split=large,
     ).select(*keys, "_lent")
-    zeros = F.transform(F.col(donor_mask), lambda v: F.lit(0).cast("tinyint"))
+    zeros = F.array_repeat(F.lit(0).cast("tinyint"), F.size(donor_mask))
     return (
         frames.join(placed, keys, "left")
         .withColumn(out, F.coalesce(F.col("_lent"), zeros))
@@ -238,29 +238,27 @@ def fill_gaps(
     valid: str | None = None,
     suffix: str = "",
 ) -> DataFrame:
-    """Replace masked pixels: a constant, noise added and clipped to [0, 1], or band means."""
+    """Fill masked pixels: a constant, the value plus noise clipped to [0, 1], or band means."""
 
-    def apply(b: str, hidden: callable) -> Column:
-        pairs = F.zip_with(F.col(b), F.col(mask), lambda v, m: F.struct(v.alias("v"), m.alias("m")))
-        return F.transform(
-            pairs, lambda p, i: F.when(p["m"] == 1, hidden(p["v"], i)).otherwise(p["v"])
-        )
+    def replaced(b: str, value: Column) -> Column:
+        return F.zip_with(b, mask, lambda v, m: F.when(m == 1, value).otherwise(v))
 
     if fill_type == "fill_value":
-        filled = {b: apply(b, lambda v, i: F.lit(float(fill_value))) for b in bands}
+        filled = {b: replaced(b, F.lit(float(fill_value))) for b in bands}
     elif fill_type == "white_noise":
 
-        def noisy(b: str) -> callable:
+        def noisy(b: str) -> Column:
             def value(v: Column, i: Column) -> Column:
                 h = hash_hex(seed, f"noise_{b}", *keys, t, i)
-                return v + radiometry.clip(gaussian(h) * F.lit(NOISE_STD), 0.0, 1.0)
+                noise = radiometry.clip(gaussian(h) * F.lit(NOISE_STD), 0.0, 1.0)
+                return F.when(F.get(F.col(mask), i) == 1, v + noise).otherwise(v)
 
-            return value
+            return F.transform(b, value)
 
-        filled = {b: apply(b, noisy(b)) for b in bands}
+        filled = {b: noisy(b) for b in bands}
     elif fill_type == "mean":
         frames = frames.join(band_means_observed(frames, bands, mask, valid, keys), list(keys), "left")
-        filled = {b: apply(b, lambda v, i, b=b: F.col(f"mean_{b}")) for b in bands}
+        filled = {b: replaced(b, F.col(f"mean_{b}")) for b in bands}
     else:
         raise ValueError(f"unknown fill type {fill_type!r}")
     out = frames.withColumns({f"{b}{suffix}": c for b, c in filled.items()})
@@ -303,9 +301,7 @@ def overlay_masks(
     ranked = _ranked(frames, keys, F.lit(True), hash_hex(seed, "overlay", *keys, pos), "_rank", large)
     target = F.when(F.col("_nf") == F.col("_nm"), F.col(pos)).otherwise(F.col("_rank"))
     placed = masks.select(*keys, F.col("mask_no").cast("bigint").alias("_target"), F.col("mask").alias("_m"))
-    zeros = F.transform(
-        F.sequence(F.lit(1), F.col("height") * F.col("width")), lambda v: F.lit(0).cast("tinyint")
-    )
+    zeros = F.array_repeat(F.lit(0).cast("tinyint"), F.col("height") * F.col("width"))
     return (
         ranked.join(sizes, keys)
         .withColumn("_target", target.cast("bigint"))

@@ -90,6 +90,19 @@ def flag_frames(stats: DataFrame, strict: bool = False, with_prob: bool = True)
     )
 
 
+def good_only(
+    frames: DataFrame, strict: bool = False, with_prob: bool = True
+) -> DataFrame:
+    """Frames that are not impaired, judged from their own arrays.
+
+    The same test as :func:`flag_frames`, without a join: it drops the frames no
+    later step will use before their bands are shuffled.
+    """
+    prob = "cloud_prob" if with_prob else None
+    stats = frame_statistics_arrays(frames, frames.columns, prob=prob)
+    return stats.where(~is_impaired(strict, with_prob)).select(*frames.columns)
+
+
 def status_lists(
     quality: DataFrame, keys: Sequence[str] = ("sample_id",), t: str = "t", block: int = 4096
 ) -> DataFrame:
@@ -127,7 +140,7 @@ def occlude(mask: Column, above: float | None) -> Column:
     """Whole frame masked if its coverage exceeds ``above``; None or 0 is off."""
     if not above:
         return mask
-    full = F.transform(mask, lambda v: F.lit(1).cast("tinyint"))
+    full = F.array_repeat(F.lit(1).cast("tinyint"), F.size(mask))
     return F.when(grids.mean(mask) > above, full).otherwise(mask)
 
 

@@ -40,6 +40,7 @@ def simulate_gaps(
     bands: Sequence[str],
     settings: MaskSettings,
     earlier: DataFrame | None = None,
+    donor_frames: DataFrame | None = None,
 ) -> DataFrame:
     """Chosen frames with mask, masked, fully_masked and the filled bands ``<band>_in``.
 
@@ -48,8 +49,12 @@ def simulate_gaps(
     times and should be stored tables (see ``settle``), as should nothing larger:
     which frame gets which mask is decided on scalars, and the band arrays are
     read and shuffled once, in the final join. Masks are lent within the
-    tile; the size of the largest tile is looked up first, and above the limit
-    every ranking and join on tile or sample is split into parts.
+    tile, by ``donor_frames`` (of which only the mask is read) or ``frames``. Where
+    only good frames can be chosen, pass ``frames`` through ``quality.good_only``
+    and all frames as donors, so that unusable bands are never shuffled.
+
+    The size of the largest tile is looked up first, and above the limit every
+    ranking and join on tile or sample is split into parts.
     """
     if settings.mask_type == "real_clouds":
         flags = chosen.drop("tile", "n_frames").withColumns(
@@ -77,7 +82,7 @@ def simulate_gaps(
     out = gaps.compose_masks(
         frames.join(drawn.drop("tile", "n_frames"), ["sample_id", "t"]),
         draws,
-        frames,
+        frames if donor_frames is None else donor_frames,
         occlude_above=settings.occlude_above,
         large=large,
     )
@@ -85,7 +90,7 @@ def simulate_gaps(
         real = quality.occlude(F.col("cloud_mask"), settings.occlude_above)
         out = out.withColumn("cloud_mask", real)
     if settings.apply_full:
-        ones = F.transform("mask", lambda v: F.lit(1).cast("tinyint"))
+        ones = F.array_repeat(F.lit(1).cast("tinyint"), F.size("mask"))
         out = out.withColumn("mask", F.when(F.col("fully_masked") == 1, ones).otherwise(F.col("mask")))
     if settings.union_real_masks:
         union = gaps.union_masks(F.col("mask"), F.col("cloud_mask"))

@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from rasterweave.operators.impute import impute
-from rasterweave.operators.quality import flag_frames, frame_statistics_arrays
+from rasterweave.operators.quality import flag_frames, frame_statistics_arrays, good_only
 from rasterweave.plans.evaluate import impute_pixels, score_modes, score_modes_arrays
 from rasterweave.sources.driver_tables import scene_frames
 from tests.test_impute import raster
@@ -58,3 +58,13 @@ def test_no_cartesian_products(spark, sf_dir):
     for name in ("tile_counts", "valid_sequences", "pad_sequences", "split_by_tile", "window_plan", "ssim"):
         p = plan(entry.queries()[name](spark, sf_dir))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_good_frames_are_told_without_a_join(spark, sf_dir):
+    frames = scene_frames(spark, sf_dir)
+    good = good_only(frames)
+    assert "Exchange" not in plan(good) and good.columns == frames.columns
+    flagged = flag_frames(frame_statistics_arrays(frames))
+    want = flagged.where("valid_obs = 1").select("sample_id", "t")
+    assert good.select("sample_id", "t").exceptAll(want).isEmpty()
+    assert good.count() == want.count()

@@ -211,3 +211,68 @@ def test_workflow_from_cubes_to_scores(spark, tmp_path):
     assert a[("linear", "masked_mae", "observed")] == 0.0
     rows = simulate.training_set(again, bands, 6, append_mask=True, extra=["masked"]).collect()
     assert len(rows) == 4 and {len(r.x) for r in rows} == {6} and {len(r.x[0]) for r in rows} == {5}
+
+
+def test_model_samples(spark, tmp_path):
+    from rasterweave.plans.dataset import model_samples
+    from rasterweave.schema import CropSettings, FilterSettings
+
+    rng = np.random.default_rng(7)
+    for i in range(3):
+        c = rng.random((8, 8, 7, 8)).astype("float32")
+        c[:, :, -1, :] = 0
+        c[:4, :, -1, 5] = 1
+        c[:, :, 4, :] = 0.5
+        d = tmp_path / "cubes" / "tile0"
+        d.mkdir(parents=True, exist_ok=True)
+        np.savez(d / f"s{i}_2018-01-01_2018-02-12_x.npz", highresdynamic=c)
+    out = str(tmp_path / "out")
+    ingest.ingest_cubes(spark, str(tmp_path / "cubes"), out, "train")
+    options = ReadOptions(
+        channels="bgr-mask",
+        max_seq_length=5,
+        filter=FilterSettings("cloud-free", 5),
+        crop=CropSettings("random", (6, 5)),
+        mask=MaskSettings(fixed_masking_ratio=True),
+        augment=True,
+    )
+    rows = model_samples(spark, out, options, row_frames=5).collect()
+    assert len(rows) == 3
+    for r in rows:
+        assert len(r.x) == 5 and len(r.x[0]) == 4 and len(r.x[0][0]) == 30 and len(r.y[0]) == 3
+        assert r.days[0] == 0 and r.masks_valid_obs == [1] * 5
+        for x, y, m in zip(r.x, r.y, r.masks):
+            assert x[3] == [float(v) for v in m]
+            assert all(a == (1.0 if hidden else b) for a, b, hidden in zip(x[0], y[0], m))
+    assert sum(any(m) for r in rows for m in r.masks) == 9
+    plain = ReadOptions(channels="bgr-nir", filter=FilterSettings(None), position_strategy="absolute")
+    rows = model_samples(spark, out, plain, row_frames=4).collect()
+    assert len(rows) == 6 and all(r.x == r.y for r in rows)
+    with pytest.raises(ValueError):
+        model_samples(spark, out, ReadOptions(include_radar=True), 4)
+
+
+def test_two_sensor_samples(spark, tmp_path):
+    from rasterweave.plans.dataset import model_samples
+    from rasterweave.schema import FilterSettings
+
+    row = lambda s, t: (
+        "test", "R1", s, "S2", t, None, 1, 2, *[[5000.0 * b, 20000.0] for b in range(13)],
+        [0.001, 0.0], None, [0, 0],
+    )
+    df = spark.createDataFrame([row(s, t) for s in ("a", "b") for t in range(6)], frames_schema(13))
+    df = df.withColumn("acq_date", F.date_add(F.lit("2018-01-01").cast("date"), F.col("t") * 7))
+    out = str(tmp_path / "s")
+    write_frames(df, f"{out}/frames")
+    ingest.score_two_sensor(spark, out)
+    assert spark.read.parquet(f"{out}/valid_samples").count() == 2
+    radar = df.where("sample_id = 'a'").select(
+        "sample_id", "t", F.array(F.lit(-30.0), F.lit(-5.0)).alias("vv"), F.array(F.lit(0.0), F.lit(-25.0)).alias("vh")
+    )
+    options = ReadOptions(
+        split="test", sensor="thirteen-band", channels="bgr-nir", include_radar=True,
+        filter=FilterSettings("cloud-free", 5, max_t_sampling=42),
+    )
+    rows = model_samples(spark, out, options, 6, radar=radar).collect()
+    assert [r.sample_id for r in rows] == ["a"]
+    assert rows[0].x[0] == [[0.5, 1.0], [1.0, 1.0], [1.0, 1.0], [1.0, 1.0], [0.0, 0.8], [1.0, 0.0]]
