@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; one in the warehouse where it is unset.
+
+    Both are folders that driver and executors share.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_settled"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
