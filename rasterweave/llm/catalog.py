@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterweave.llm import sql
-from rasterweave.llm import decontamination
+from rasterweave.llm import decontamination, language, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +20,17 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op5_quality": op5_quality,
+    "op7_language": op7_language,
 }
 SQL: dict[str, str] = {"op1_decontamination": sql.OP1}
