@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterweave.llm import sql
-from rasterweave.llm import decontamination, jaccard, language, quality
+from rasterweave.llm import decontamination, jaccard, language, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.digest(table(spark, sf_dir, "documents"))
 
@@ -34,11 +38,13 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op2_substrings": op2_substrings,
     "op3_jaccard": op3_jaccard,
     "op5_quality": op5_quality,
     "op7_language": op7_language,
 }
 SQL: dict[str, str] = {
     "op1_decontamination": sql.OP1,
+    "op2_substrings": sql.OP2,
     "op3_jaccard": sql.OP3,
 }
