@@ -1,5 +1,7 @@
 """SQL counterparts, written for any engine with RE2 patterns and list functions."""
 
+from rasterweave.llm import urls
+
 OP1 = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -58,3 +60,34 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(k
   sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM w LEFT JOIN k USING (doc_id)
 """
+
+
+def op4() -> str:
+    """Rules and vocabulary of the query as conditions."""
+    def free(term):
+        return f"regexp_matches(u, '(^|[^a-z0-9]){term}($|[^a-z0-9])')"
+
+    strict = " OR ".join(map(free, urls.STRICT))
+    soft = " + ".join(f"CAST({free(t)} AS INTEGER)" for t in urls.SOFT)
+    fits = "\n    ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'"
+        for h, p, _ in sorted(urls.RULES, key=lambda r: -len(r[0] + r[1]))
+    )
+    says = "\n    ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for h, p, v in urls.RULES)
+    return f"""
+WITH a AS (
+  SELECT page_id, coalesce(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS u,
+    CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, u, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
+c AS (
+  SELECT page_id, u, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b),
+d AS (SELECT *, CASE
+    {fits} END AS rule FROM c)
+SELECT page_id, host, path, rule, CASE
+    {says}
+    WHEN {strict} THEN 'block'
+    WHEN {soft} >= {urls.SOFT_HITS} THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM d
+"""
