@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterweave.llm import sql
-from rasterweave.llm import decontamination, jaccard, language, quality, substrings
+from rasterweave.llm import decontamination, jaccard, language, quality, secrets, substrings, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.digest(table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,15 +40,22 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_substrings": op2_substrings,
     "op3_jaccard": op3_jaccard,
+    "op4_urls": op4_urls,
     "op5_quality": op5_quality,
     "op7_language": op7_language,
+    "op9_secrets": op9_secrets,
 }
 SQL: dict[str, str] = {
     "op1_decontamination": sql.OP1,
     "op2_substrings": sql.OP2,
     "op3_jaccard": sql.OP3,
+    "op4_urls": sql.op4(),
 }
