@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterweave.llm import sql
-from rasterweave.llm import decontamination, jaccard, language, quality, secrets, substrings, urls
+from rasterweave.llm import decontamination, jaccard, language, pieces, quality, secrets, substrings, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Query] = {
     "op3_jaccard": op3_jaccard,
     "op4_urls": op4_urls,
     "op5_quality": op5_quality,
+    "op6_pieces": op6_pieces,
     "op7_language": op7_language,
     "op9_secrets": op9_secrets,
 }
