@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterweave.llm import sql
-from rasterweave.llm import decontamination, jaccard, language, pieces, quality, secrets, substrings, urls
+from rasterweave.llm import decontamination, jaccard, language, neighbours, pieces, quality, secrets, substrings, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality": op5_quality,
     "op6_pieces": op6_pieces,
     "op7_language": op7_language,
+    "op8_neighbours": op8_neighbours,
     "op9_secrets": op9_secrets,
 }
 SQL: dict[str, str] = {
