@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterweave.llm import sql
-from rasterweave.llm import decontamination, jaccard, language, neighbours, pieces, quality, secrets, substrings, urls
+from rasterweave.llm import (
+    decontamination, jaccard, language, licenses, neighbours, pieces, quality, secrets, substrings, urls,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +54,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_substrings": op2_substrings,
@@ -62,10 +68,12 @@ QUERIES: dict[str, Query] = {
     "op7_language": op7_language,
     "op8_neighbours": op8_neighbours,
     "op9_secrets": op9_secrets,
+    "op10_licenses": op10_licenses,
 }
 SQL: dict[str, str] = {
     "op1_decontamination": sql.OP1,
     "op2_substrings": sql.OP2,
     "op3_jaccard": sql.OP3,
     "op4_urls": sql.op4(),
+    "op10_licenses": sql.op10(),
 }

@@ -1,6 +1,6 @@
 """SQL counterparts, written for any engine with RE2 patterns and list functions."""
 
-from rasterweave.llm import urls
+from rasterweave.llm import licenses, urls
 
 OP1 = r"""
 WITH w AS (
@@ -91,3 +91,54 @@ SELECT page_id, host, path, rule, CASE
     ELSE 'allow' END AS verdict
 FROM d
 """
+
+
+def op10() -> str:
+    """The same sums over all passages, without looking for anchors first."""
+    notices = ",\n    ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(licenses.TEMPLATES))
+    return rf"""
+WITH f AS (
+  SELECT doc_id, text, concat_ws('/', source, lang, CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR),
+    CASE WHEN doc_id % 25 = 0 THEN 'LICENSE.' || doc_id ELSE CAST(doc_id AS VARCHAR) END) AS path FROM documents),
+t(template, license, notice) AS (VALUES
+    {notices}),
+tt AS (
+  SELECT template, license, term, count(*) AS n
+  FROM (SELECT template, license, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+')) AS term FROM t) GROUP BY ALL),
+p AS (
+  SELECT doc_id, unnest(l) AS passage, generate_subscripts(l, 1) AS no
+  FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \t]+([A-Z])', '\1' || chr(10) || '\2', 'g'), chr(10)) AS l
+    FROM f WHERE text IS NOT NULL)),
+w AS (
+  SELECT doc_id, no, term, count(*) AS n
+  FROM (SELECT doc_id, no, unnest(regexp_extract_all(lower(passage), '[a-z0-9]+')) AS term FROM p) GROUP BY ALL),
+df AS (SELECT term, count(DISTINCT doc_id) AS df FROM w GROUP BY term),
+v AS (
+  SELECT term, 1 + ln((1.0 + (SELECT count(*) FROM f WHERE text IS NOT NULL)) / (1 + coalesce(df, 0))) AS idf
+  FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term)),
+tn AS (SELECT template, sqrt(sum(n * idf * n * idf)) AS norm FROM tt JOIN v USING (term) GROUP BY template),
+pn AS (
+  SELECT doc_id, no, sqrt(sum(n * coalesce(idf, 1) * n * coalesce(idf, 1))) AS norm
+  FROM w LEFT JOIN v USING (term) GROUP BY doc_id, no),
+dots AS (
+  SELECT w.doc_id, w.no, tt.template, tt.license, sum(w.n * v.idf * tt.n * v.idf) AS dot
+  FROM w JOIN v USING (term) JOIN tt USING (term) GROUP BY ALL),
+s AS (
+  SELECT doc_id, template, license, round(dot / pn.norm / tn.norm, 6) AS score
+  FROM dots JOIN pn USING (doc_id, no) JOIN tn USING (template)),
+own AS (
+  SELECT doc_id, license, score FROM s WHERE score >= {licenses.THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template) = 1),
+o AS (
+  SELECT f.doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, license, score FROM f LEFT JOIN own USING (doc_id)),
+d AS (
+  SELECT dir, license FROM o WHERE license IS NOT NULL AND starts_with(regexp_extract(path, '[^/]*$'), 'LICENSE.')
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY path) = 1),
+near AS (
+  SELECT a.dir, d.license, d.dir AS declared_in FROM (SELECT DISTINCT dir FROM o) a
+  JOIN d ON d.dir = '' OR a.dir = d.dir OR starts_with(a.dir, d.dir || '/')
+  QUALIFY row_number() OVER (PARTITION BY a.dir ORDER BY length(d.dir) DESC) = 1)
+SELECT o.doc_id, o.path, o.license AS own_license, o.score, near.license AS inherited, near.declared_in,
+  coalesce(o.license, near.license) AS license
+FROM o LEFT JOIN near ON o.dir = near.dir
+"""
