@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from rasterweave.llm import sql
 from rasterweave.llm import (
     decontamination, jaccard, language, licenses, neighbours, pieces, quality, secrets, substrings, urls,
@@ -69,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op8_neighbours": op8_neighbours,
     "op9_secrets": op9_secrets,
     "op10_licenses": op10_licenses,
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {
     "op1_decontamination": sql.OP1,
@@ -77,3 +79,5 @@ SQL: dict[str, str] = {
     "op4_urls": sql.op4(),
     "op10_licenses": sql.op10(),
 }
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

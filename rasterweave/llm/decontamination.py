@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterweave.llm import words as W
+from rasterweave.llm.columns import unused
 from rasterweave.sources.settle import settle
 
 #: Words in a window.
@@ -182,14 +183,15 @@ def remove(docs: DataFrame, benchmark: DataFrame, action: str = "documents", n:
     ``documents`` drops each document with a hit, ``spans`` cuts the hit words and what
     stands between them out of the text.
     """
-    found = find(docs, benchmark, n, text, "_found")
+    name = unused(docs, "_found")
+    found = find(docs, benchmark, n, text, name)
     if action == "documents":
-        kept = found.filter(F.col("_found.n_hit") == 0)
+        kept = found.filter(F.col(name)["n_hit"] == 0)
     elif action == "spans":
-        kept = found.withColumn(text, F.coalesce("_found.clean", text))
+        kept = found.withColumn(text, F.coalesce(F.col(name)["clean"], F.col(text)))
     else:
         raise ValueError(f"action is 'documents' or 'spans', not {action!r}")
-    return kept.drop("_found")
+    return kept.drop(name)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -31,6 +31,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterweave.llm.columns import unused
+
 # Short public notices by SPDX name; a parameter.
 TEMPLATES = (
     ("MIT", "Released under the MIT License"),
@@ -152,19 +154,23 @@ def scan(
     path: str = "path", text: str = "text",
 ) -> DataFrame:
     """Add own_license, score, inherited, declared_in and license (own or inherited)."""
+    results = ("own_license", "score", "inherited", "declared_in", "license")
+    key, mine, at, down = (unused(files, x) for x in ("_key", "_own", "_dir", "_down"))
     found = match(files, templates, threshold, text).select(
-        F.col("key").alias("_key"), F.col("license").alias("_own"), F.col("score").alias("_score")
+        F.col("key").alias(key), F.struct("license", "score").alias(mine)
     )
-    own = files.withColumn("_key", F.when(F.col(text).isNotNull(), F.xxhash64(text))).join(found, "_key", "left").drop("_key")
-    down = inherit(own, path, "_own").select(
-        F.col("dir").alias("_dir"), F.col("inherited").alias("_inherited"), F.col("declared_in").alias("_declared")
+    own = files.withColumn(key, F.when(F.col(text).isNotNull(), F.xxhash64(text))).join(found, key, "left").drop(key)
+    known = own.select(F.col(path).alias("path"), F.col(mine)["license"].alias("license"))
+    above = inherit(known, "path", "license").select(
+        F.col("dir").alias(at), F.struct("inherited", "declared_in").alias(down)
     )
-    placed = own.withColumn("_dir", folder(F.col(path))).join(down, "_dir", "left")
-    return (
-        placed.withColumn("own_license", F.col("_own")).withColumn("score", F.col("_score"))
-        .withColumn("inherited", F.col("_inherited")).withColumn("declared_in", F.col("_declared"))
-        .withColumn("license", F.coalesce("_own", "_inherited"))
-        .drop("_own", "_score", "_dir", "_inherited", "_declared")
+    placed = own.withColumn(at, folder(F.col(path))).join(above, at, "left")
+    values = (
+        F.col(mine)["license"], F.col(mine)["score"], F.col(down)["inherited"], F.col(down)["declared_in"],
+        F.coalesce(F.col(mine)["license"], F.col(down)["inherited"]),
+    )
+    return placed.select(
+        *[F.col(c) for c in files.columns if c not in results], *[v.alias(r) for v, r in zip(values, results)]
     )
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterweave.llm import words as W
+from rasterweave.llm.columns import unused
 
 #: Bound on the labelled rows that are fitted and broadcast.
 FIT_ROWS = 4096
@@ -173,4 +174,5 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score reaches THRESHOLD, with their columns."""
     model = fit(docs, labels, fold(5) != 0)
-    return score(docs, model, out="_score").filter(F.col("_score") >= THRESHOLD).drop("_score")
+    name = unused(docs, "_score")
+    return score(docs, model, out=name).filter(F.col(name) >= THRESHOLD).drop(name)

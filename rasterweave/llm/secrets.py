@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterweave.llm import words as W
+from rasterweave.llm.columns import unused
 
 KINDS = ("assign", "access", "hex", "crf")
 #: Windows of words of either class that are learned from.
@@ -323,8 +324,9 @@ def redact(docs: DataFrame, model: dict, text: str = "text", mask: str = MASK) -
             out.append(x)
         return pa.array(out, pa.string())
 
-    found = scan(docs, model, text, "_secrets")
-    return found.withColumn(text, masked.asNondeterministic()(F.col(text).cast("string"), "_secrets")).drop("_secrets")
+    name = unused(docs, "_secrets")
+    found = scan(docs, model, text, name)
+    return found.withColumn(text, masked.asNondeterministic()(F.col(text).cast("string"), F.col(name))).drop(name)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterweave.llm.columns import unused
+
 # Default vocabulary: a parameter, kept short.
 STRICT = ("spam-farm", "casino", "porn", "viagra", "xxx")
 SOFT = ("adult", "bet", "bonus", "cheap", "deal", "farm", "free", "loan", "pills", "sale", "spam", "win")
@@ -102,18 +104,20 @@ def judge(
     soft: Sequence[str] = SOFT, soft_hits: int = SOFT_HITS, url: str = "url", out: str = "judged",
 ) -> DataFrame:
     """Add struct ``out``: host, path, rule, strict and soft hits, verdict (allow or block)."""
-    hits = vocabulary_hits(pages, strict, soft, url, "_hits")
-    named = hits.withColumn("_host", host(F.col(url))).withColumn("_path", path(F.col(url)))
-    text, verdict = rule(F.col("_host"), F.col("_path"), rules)
-    bad = (F.col("_hits.strict") > 0) | (F.col("_hits.soft") >= soft_hits)
+    names = [unused(pages, x) for x in ("_hits", "_host", "_path")]
+    hits, h, p = map(F.col, names)
+    found = vocabulary_hits(pages, strict, soft, url, names[0])
+    named = found.withColumn(names[1], host(F.col(url))).withColumn(names[2], path(F.col(url)))
+    text, verdict = rule(h, p, rules)
+    bad = (hits["strict"] > 0) | (hits["soft"] >= soft_hits)
     return named.withColumn(
         out,
         F.struct(
-            F.col("_host").alias("host"), F.col("_path").alias("path"), text.alias("rule"),
-            F.col("_hits.strict").alias("strict"), F.col("_hits.soft").alias("soft"),
+            h.alias("host"), p.alias("path"), text.alias("rule"),
+            hits["strict"].alias("strict"), hits["soft"].alias("soft"),
             F.coalesce(verdict, F.when(bad, "block").otherwise("allow")).alias("verdict"),
         ),
-    ).drop("_hits", "_host", "_path")
+    ).drop(*names)
 
 
 def digest(pages: DataFrame) -> DataFrame:
