@@ -8,8 +8,8 @@ The field tags the words of a text (runs of anything but ASCII white space) as b
 inside or outside of a secret. Features are the word's shape, the shapes of the words
 next to it, the two words before it, and features of the file (its length, how many
 digits and assignment signs it has). Its weights are learned by maximum likelihood on
-at most FIT_ROWS windows of words around pattern findings and as many elsewhere, with
-the findings as labels. Viterbi decoding is exact: a word whose margin for outside
+at most FIT_ROWS windows of words around pattern findings, as many around other words
+with digits and as many elsewhere, with the findings as labels. Viterbi decoding is exact: a word whose margin for outside
 exceeds whatever its transitions could gain splits the sequence, and the stretches
 between are decoded step by step. Spans of the field that meet no pattern span are added
 as kind ``crf``.
@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 
 from rasterweave.llm import words as W
 from rasterweave.llm.columns import unused
+from rasterweave.sources.settle import settle
 
 KINDS = ("assign", "access", "hex", "crf")
-#: Windows of words of either class that are learned from.
+#: Windows of words of each class that are learned from.
 FIT_ROWS = 1500
 WINDOW = 8
 ROUNDS = 60
@@ -46,8 +47,9 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = W.classes("".join(chr(c) for c in range(128) if chr(c) not in "0123456789abcdef"))
 _HEX[128:] = False
 
-_SHAPES, _WORDS, _FILES = 1 << 13, 1 << 12, 64
-_GROUPS = (_SHAPES, _SHAPES, _SHAPES, _WORDS, _WORDS, _FILES)
+_WORDS = 1 << 12
+#: Places of: size and digits, changes and marks, case; size and digits of the neighbours; words before; file.
+_GROUPS = (32, 32, 32, 32, 32, _WORDS, _WORDS, 64)
 _PLACES = np.cumsum((0, *_GROUPS))
 
 
@@ -91,16 +93,14 @@ def features(data: np.ndarray, offsets: np.ndarray, found: W.Words) -> np.ndarra
     other = size - n["d"] - n["u"] - n["l"]
     share = np.minimum(3, (4 * n["d"]) // np.maximum(size, 1) + (n["d"] > 0))
     length = np.minimum(7, np.searchsorted([4, 8, 12, 16, 20, 32, 48], size, "right"))
-    shape = (
-        length + 8 * share + 32 * (n["u"] > 0) + 64 * (n["l"] > 0)
-        + 128 * np.minimum(3, other) + 512 * np.minimum(3, (4 * t) // np.maximum(size, 1)) + 2048 * (n["s"] > 0)
-        + 4096 * ((n["u"] > 0) & (size == n["u"] + n["d"] + other))
-    ).astype(np.int64)
+    shape = (length + 8 * share).astype(np.int64)
+    marks = (np.minimum(3, other) + 4 * np.minimum(3, (8 * t) // np.maximum(size, 1)) + 16 * (n["s"] > 0)).astype(np.int64)
+    case = ((n["u"] > 0) + 2 * (n["l"] > 0) + 4 * share + 16 * (n["u"] > 1)).astype(np.int64)
     text = found.rows()
     word = (W.sums(W._BYTE[W.LOWER[data]], s, e) >> np.uint64(64 - 12)).astype(np.int64)
 
     def shifted(x, by, none):
-        out = np.full(len(x), none)
+        out = np.full(len(x), none, np.int64)
         if by > 0:
             same = text[by:] == text[:-by]
             out[by:][same] = x[:-by][same]
@@ -112,9 +112,11 @@ def features(data: np.ndarray, offsets: np.ndarray, found: W.Words) -> np.ndarra
     of = offsets
     bytes_ = np.maximum(np.diff(of), 1)
     rate = np.minimum(3, (50 * (digits[of[1:]] - digits[of[:-1]])) // bytes_)
-    marks = np.minimum(3, (200 * (signs[of[1:]] - signs[of[:-1]])) // bytes_)
-    file = np.minimum(3, np.log10(bytes_).astype(np.int64)) + 4 * rate + 16 * marks
-    groups = (shape, shifted(shape, 1, 0), shifted(shape, -1, 0), shifted(word, 1, 0), shifted(word, 2, 0), file[text])
+    equal = np.minimum(3, (200 * (signs[of[1:]] - signs[of[:-1]])) // bytes_)
+    file = np.minimum(3, np.log10(bytes_).astype(np.int64)) + 4 * rate + 16 * equal
+    groups = (
+        shape, marks, case, shifted(shape, 1, 0), shifted(shape, -1, 0), shifted(word, 1, 0), shifted(word, 2, 0), file[text],
+    )
     return np.stack([g + p for g, p in zip(groups, _PLACES)])
 
 
@@ -148,48 +150,58 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
     """Weights of features and transitions, learned from pattern findings."""
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of smallest hash of each class in a partition, equal ones once."""
+        kept: list[dict] = [{}, {}, {}]
+        limit = [np.uint64(0xFFFFFFFFFFFFFFFF)] * 3
         for batch in batches:
-            out = []
             for _, _, data, offsets in W.chunks(batch.column(0)):
                 found = W.Words(data, offsets, W.NON_SPACE)
                 if not len(found):
                     continue
                 tags = np.zeros(len(found), np.int8)
-                for r, _, a, b in patterns(data, offsets):
-                    lo = np.searchsorted(found.end, offsets[r] + a, "right")
-                    hi = np.searchsorted(found.start, offsets[r] + b, "left")
-                    # The words of the value: the last one is where the secret stands.
-                    tags[hi - 1] = BEGIN if tags[hi - 1] == OUT else tags[hi - 1]
-                    del lo
-                places = features(data, offsets, found)
-                centre = [(1, int(i)) for i in np.flatnonzero(tags == BEGIN)]
-                centre += [(0, int(i)) for i in range(WINDOW, len(found), 61)]
-                text = found.rows()
-                for label, i in centre:
-                    a, b = max(i - WINDOW, found.first[text[i]]), min(i + WINDOW + 1, found.first[text[i] + 1])
-                    if label == 0 and tags[a:b].any():
-                        continue
-                    p = places[:, a:b]
-                    rank = int(W.mix(np.array([p.sum()], np.uint64) + np.uint64(b - a))[0] >> np.uint64(1))
-                    out.append((label, rank, p.T.ravel().tolist(), tags[a:b].tolist()))
-            columns = list(zip(*out)) or [[]] * 4
-            types = [pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["label", "rank", "places", "tags"])
-
-    every = docs.select(F.col(text).cast("string")).mapInArrow(
+                for r, _, _, end in patterns(data, offsets):
+                    # The last word of a finding is where the secret stands.
+                    tags[np.searchsorted(found.start, offsets[r] + end, "left") - 1] = BEGIN
+                digits = _count((data >= 48) & (data <= 57))
+                marked, hashes, text = _count(tags > 0), found.hashes(), found.rows()
+                some = (
+                    np.arange(WINDOW, len(found), 61), np.flatnonzero(tags),
+                    np.flatnonzero((digits[found.end] > digits[found.start]) & (tags == OUT)),
+                )
+                places = None
+                for label, at in enumerate(some):
+                    a = np.maximum(at - WINDOW, found.first[text[at]])
+                    b = np.minimum(at + WINDOW + 1, found.first[text[at] + 1])
+                    rank = W.sums(hashes, a, b)
+                    use = rank < limit[label]
+                    if label != 1:
+                        use &= marked[a] == marked[b]
+                    if use.any() and places is None:
+                        places = features(data, offsets, found)
+                    for i in np.flatnonzero(use).tolist():
+                        kept[label][int(rank[i])] = (places[:, a[i] : b[i]].T.ravel().tolist(), tags[a[i] : b[i]].tolist())
+                    if len(kept[label]) > 2 * FIT_ROWS:
+                        kept[label] = dict(sorted(kept[label].items(), key=lambda x: x[0])[:FIT_ROWS])
+                        limit[label] = np.uint64(max(kept[label]))
+        out = [(label, r >> 1, *row) for label in range(3) for r, row in kept[label].items()]
+        columns = list(zip(*out)) or [[]] * 4
+        types = [pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["label", "rank", "places", "tags"])
+
+    every = settle(docs.select(F.col(text).cast("string")).mapInArrow(
         examples, "label int, rank bigint, places array<int>, tags array<int>"
-    )
-    # The windows with the smallest rank of either class; ties beyond are of no account.
-    every = every.filter((F.col("label") == 1) | (F.pmod("rank", F.lit(17)) == 0))
-    rows = every.filter("label = 1").orderBy("rank", "places").limit(FIT_ROWS).collect()
-    rows += every.filter("label = 0").orderBy("rank", "places").limit(FIT_ROWS).collect()
+    ))
+    # The windows with the smallest rank of each class, equal ones once.
+    rows = [
+        r for label in range(3)
+        for r in every.filter(F.col("label") == label).dropDuplicates(["rank"]).orderBy("rank").limit(FIT_ROWS).collect()
+    ]
     return learn([(np.array(r["places"]).reshape(-1, len(_GROUPS)), np.array(r["tags"])) for r in rows])
 
 
 def learn(examples: list[tuple[np.ndarray, np.ndarray]]) -> dict:
     """Maximum likelihood with a small penalty, by adaptive gradient steps."""
     weights, move = np.zeros((_PLACES[-1], 3)), np.zeros((3, 3))
-    weights[_PLACES[0] : _PLACES[1], OUT] = 0.5
     if not any(t.any() for _, t in examples):
         return {"weights": np.zeros((_PLACES[-1], 3), np.float32), "move": move.astype(np.float32), "learned": False}
     n, steps = len(examples), max(len(t) for _, t in examples)
@@ -231,7 +243,6 @@ def decode(emit: np.ndarray, move: np.ndarray, first: np.ndarray) -> np.ndarray:
     begins, ends = np.isin(a, first), np.isin(b, first)
     back = np.zeros((int(size.sum()), 3), np.int8)
     level = emit[a] + np.where(begins[:, None], 0, move[OUT])
-    done = np.zeros(len(a), np.int64)
     starts, active = [], len(a)
     used = 0
     final = np.empty_like(level)
@@ -253,7 +264,6 @@ def decode(emit: np.ndarray, move: np.ndarray, first: np.ndarray) -> np.ndarray:
         active = int((size > t).sum())
         tag[:active] = back[starts[t - 1] + np.arange(active), tag[:active]]
         tags[a[:active] + t - 1] = tag[:active]
-    del done
     return tags
 
 
