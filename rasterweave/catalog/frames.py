@@ -84,18 +84,18 @@ _LISTS = {
     "frame_status_lists",
     query(
         "fr",
-        "SELECT sample_id, "
+        "SELECT sample_id, t // 4096 AS list_no, "
         + ", ".join(
             f"coalesce(string_agg(CAST(t AS VARCHAR), ',' ORDER BY t) FILTER (WHERE {test}), '') AS {n}"
             for n, test in _LISTS.items()
         )
-        + ", string_agg(CAST(valid_obs AS VARCHAR), ',' ORDER BY t) AS valid_obs FROM fr GROUP BY sample_id",
+        + ", string_agg(CAST(valid_obs AS VARCHAR), ',' ORDER BY t) AS valid_obs FROM fr GROUP BY sample_id, t // 4096",
     ),
 )
 def frame_status_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = quality.status_lists(frame_quality_of(spark, sf_dir))
     text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
-    return lists.select("sample_id", *[text(c) for c in (*_LISTS, "valid_obs")])
+    return lists.select("sample_id", "list_no", *[text(c) for c in (*_LISTS, "valid_obs")])
 
 
 @register(

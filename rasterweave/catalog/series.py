@@ -13,7 +13,7 @@ from rasterweave.operators import sequences, windows
 from rasterweave.operators.impute import impute, last_visible
 from rasterweave.schema import POSITION_STRATEGIES
 from rasterweave.sources.cubes import inventory, tile_inventory
-from rasterweave.sources.driver_tables import checked_observations, observations, table
+from rasterweave.sources.driver_tables import observations, table
 
 _BACK = "(PARTITION BY sample_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 _AHEAD = "(PARTITION BY sample_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
@@ -32,8 +32,8 @@ def _seen(col: str) -> str:
     ),
 )
 def visibility_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs, block = checked_observations(spark, sf_dir)
-    return last_visible(obs, keys=["sample_id"], block_size=block).select(
+    obs = observations(spark, sf_dir)
+    return last_visible(obs, keys=["sample_id"]).select(
         "sample_id", "t", "last_visible", "next_visible"
     )
 
@@ -41,7 +41,7 @@ def visibility_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("visibility_index_blocked", SQL["visibility_index"])
 def visibility_index_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through the two-level numbering and scan, as for a very large user."""
-    obs = observations(spark, sf_dir, large=True)
+    obs = observations(spark, sf_dir)
     return last_visible(obs, keys=["sample_id"], block_size=16).select(
         "sample_id", "t", "last_visible", "next_visible"
     )
@@ -75,9 +75,9 @@ def _register_impute(mode: str) -> None:
         query("obs", f"SELECT sample_id, t, round({value}, 6) AS filled{shown} FROM n", n=_NEIGHBOURS),
     )
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        obs, block = checked_observations(spark, sf_dir)
+        obs = observations(spark, sf_dir)
         out = impute(
-            obs, ["v"], [mode], keys=["sample_id"], block_size=block, return_source=mode != "linear"
+            obs, ["v"], [mode], keys=["sample_id"], return_source=mode != "linear"
         )
         cols = ["sample_id", "t", F.round(f"v_{mode}", 6).alias("filled")]
         if mode != "linear":
@@ -100,9 +100,9 @@ for _mode in _CASE:
     ),
 )
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, block = checked_observations(spark, sf_dir)
+    out = observations(spark, sf_dir)
     for s in POSITION_STRATEGIES:
-        out = sequences.add_position(out, s, s.replace("-", "_"), block_size=block)
+        out = sequences.add_position(out, s, s.replace("-", "_"))
     return out.select("sample_id", "t", *[s.replace("-", "_") for s in POSITION_STRATEGIES])
 
 
@@ -177,7 +177,7 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs, _ = checked_observations(spark, sf_dir)
+    obs = observations(spark, sf_dir)
     obs = obs.withColumn("f", positional_features(F.col("day"), 4, repeat=2))
     return obs.select(
         "sample_id", "t", *[F.round(F.get("f", F.lit(i)), 6).alias(f"f{i}") for i in range(8)]
@@ -201,9 +201,9 @@ FROM (SELECT sample_id, t, t - row_number() OVER (PARTITION BY sample_id ORDER B
     ),
 )
 def longest_run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs, block = checked_observations(spark, sf_dir)
+    obs = observations(spark, sf_dir)
     quality = obs.withColumn("valid_obs", 1 - F.col("mask"))
-    return sequences.longest_good_run(quality, block_size=block)
+    return sequences.longest_good_run(quality)
 
 
 @register(
@@ -217,9 +217,9 @@ FROM kept_rows QUALIFY pos >= 0 AND pos < 20""",
     ).replace("QUALIFY", "WHERE"),
 )
 def trim_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs, block = checked_observations(spark, sf_dir)
+    obs = observations(spark, sf_dir)
     kept = obs.where(F.col("mask") == 0)
-    return sequences.trim_random_window(kept, 20, seed=7, block_size=block).select(
+    return sequences.trim_random_window(kept, 20, seed=7).select(
         "sample_id", "t", "pos"
     )
 
@@ -256,6 +256,6 @@ SELECT sample_id, k, t_start, least(t_start + {window}, n) AS t_end FROM plan"""
     ),
 )
 def window_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs, _ = checked_observations(spark, sf_dir)
+    obs = observations(spark, sf_dir)
     coverage = obs.select("sample_id", "t", F.col("mask").cast("double").alias("coverage"))
     return windows.plan_windows(coverage, 10)

@@ -12,7 +12,6 @@ from rasterweave.catalog.frames import KEY, _ids, _r, frame_quality_of
 from rasterweave.catalog.sql import BANDS, clean, digits, hexa, query, uniform
 from rasterweave.functions import grids
 from rasterweave.operators import gaps, geometry, quality
-from rasterweave.operators.scans import SINGLE_TASK_ROWS, largest_group
 from rasterweave.plans.simulate import choose_frames, clean_bands
 from rasterweave.plans.simulate import simulate_gaps as simulate
 from rasterweave.schema import FilterSettings, MaskSettings
@@ -30,8 +29,8 @@ SETTINGS = MaskSettings(
 
 
 def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of usable samples, at most 6 each; scalars only."""
-    return choose_frames(settle(frame_quality_of(spark, sf_dir)), FILTER, 6)
+    """Good frames of usable samples; scalars only."""
+    return settle(choose_frames(settle(frame_quality_of(spark, sf_dir)), FILTER))
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,16 +44,14 @@ def simulated(
 ) -> DataFrame:
     """Chosen frames with masks and filled input bands."""
     scored = settle(frame_quality_of(spark, sf_dir))
-    kept = settle(choose_frames(scored, FILTER, 6))
+    kept = settle(choose_frames(scored, FILTER))
     every = scene_frames(spark, sf_dir)
     good = clean_bands(quality.good_only(every), BANDS)
     return simulate(good, kept, scored, list(BANDS), settings, donor_frames=every)
 
 
 def drawn_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = settle(chosen(spark, sf_dir))
-    large = largest_group(kept, ["sample_id"]) > SINGLE_TASK_ROWS
-    return gaps.sample_masked_frames(kept, SETTINGS, large=large)
+    return gaps.sample_masked_frames(chosen(spark, sf_dir), SETTINGS)
 
 
 @register(
@@ -102,7 +99,7 @@ FROM (SELECT *, CASE WHEN sample_id % 2 = 0 THEN masked ELSE m9 END AS m FROM (
 def reused_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = settle(drawn_frames(spark, sf_dir)).where(F.col("sample_id") % 2 == 0)
     earlier = old.select("sample_id", "pos", "masked", F.lit(None).cast("int").alias("fully_masked"))
-    rows = settle(chosen(spark, sf_dir))
+    rows = chosen(spark, sf_dir)
     out = gaps.sample_masked_frames(rows, replace(SETTINGS, seed=9), earlier)
     return out.select("sample_id", "t", "pos", *_ids("masked", "fully_masked"))
 
@@ -223,11 +220,11 @@ def simulate_full_and_dilated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "simulate_real_clouds",
     query(
-        ("pix", "trimmed"),
+        ("pix", "whole"),
         f"""SELECT sample_id, t, y, x, round(CASE WHEN m = 1 THEN 1.0::DOUBLE ELSE b0 END, 6) AS b0_in, m AS mask FROM (
   SELECT p.sample_id, p.t, y, x, {clean('b0')} AS b0,
     CASE WHEN avg(cloud_mask) OVER (PARTITION BY p.sample_id, p.t) > 0.1 THEN 1 ELSE cloud_mask END AS m
-  FROM pix p JOIN trimmed k ON k.sample_id = p.sample_id AND k.t = p.t)""",
+  FROM pix p JOIN whole k ON k.sample_id = p.sample_id AND k.t = p.t)""",
     ),
 )
 def simulate_real_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,7 +131,7 @@ USING (sample_id)"""
 BLOCKS["chain28"] = (("fr",), chains(28))
 BLOCKS["chain42"] = (("fr",), chains(42))
 
-# Simulation: good frames of usable samples, trimmed to 6, gaps drawn and filled.
+# Simulation: good frames of usable samples, gaps drawn and filled. Only one query trims them.
 _TRIM = digits(hexa(0, "trim", "sample_id"))
 BLOCKS["usable"] = (
     ("fr",),
@@ -144,6 +144,10 @@ BLOCKS["kept"] = (
   count(*) OVER (PARTITION BY sample_id) AS n
 FROM fr WHERE valid_obs = 1 AND sample_id IN (SELECT sample_id FROM usable)""",
 )
+BLOCKS["whole"] = (
+    ("kept",),
+    "SELECT sample_id, tile, t, acq_date, valid_obs, p AS pos FROM kept",
+)
 BLOCKS["trimmed"] = (
     ("kept",),
     f"""SELECT sample_id, tile, t, acq_date, valid_obs, pos FROM (
@@ -151,19 +155,19 @@ BLOCKS["trimmed"] = (
 WHERE pos >= 0 AND pos < 6""",
 )
 BLOCKS["quota"] = (
-    ("trimmed",),
+    ("whole",),
     f"""SELECT sample_id, n, 1 + {digits(hexa(0, 'ratio', 'sample_id'))} % n AS eff
-FROM (SELECT sample_id, count(*) AS n FROM trimmed GROUP BY sample_id)""",
+FROM (SELECT sample_id, count(*) AS n FROM whole GROUP BY sample_id)""",
 )
 BLOCKS["drawn"] = (
-    ("trimmed", "quota"),
+    ("whole", "quota"),
     f"""SELECT *, CASE WHEN masked = 1 AND row_number() OVER (PARTITION BY sample_id
     ORDER BY masked DESC, {hexa(0, 'full', 'sample_id', 'pos')}) <= ceil(0.2::DOUBLE * eff)
     THEN 1 ELSE 0 END AS fully_masked
 FROM (SELECT t.*, q.eff, CASE WHEN pos <> 0 AND row_number() OVER (PARTITION BY sample_id
     ORDER BY CASE WHEN pos <> 0 THEN 0 ELSE 1 END, {hexa(0, 'mask', 'sample_id', 'pos')})
     <= ceil(0.5::DOUBLE * eff) THEN 1 ELSE 0 END AS masked
-  FROM trimmed t JOIN quota q USING (sample_id))""",
+  FROM whole t JOIN quota q USING (sample_id))""",
 )
 BLOCKS["donors"] = (
     ("stats",),

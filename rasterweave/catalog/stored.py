@@ -110,7 +110,7 @@ def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "target_differences",
-    query("trimmed", "SELECT sample_id, pos FROM trimmed WHERE sample_id % 7 = 0 AND pos = 2"),
+    query("whole", "SELECT sample_id, pos FROM whole WHERE sample_id % 7 = 0 AND pos = 2"),
 )
 def changed_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames whose stored target no longer matches: one frame of some samples is altered."""

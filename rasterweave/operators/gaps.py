@@ -16,23 +16,22 @@ from rasterweave.operators.scans import number_rows, with_length
 from rasterweave.schema import MaskSettings
 
 SAMPLE = ("sample_id",)
-_LAST_BUCKET = 256
+#: Leading hash digits that cut a key's ranking into parts, 4096 of them.
+_DIGITS = 3
 NOISE_STD = 0.5
 
 
 def _ranked(
-    df: DataFrame, keys: Sequence[str], wanted: Column, h: Column, name: str, large: bool
+    df: DataFrame, keys: Sequence[str], wanted: Column, h: Column, name: str
 ) -> DataFrame:
     """Rank the wanted rows of a key by hash, from 0; the others come after them.
 
-    With ``large`` the leading hash digits are the block of a two-level numbering,
-    so a key of any length is ranked by many tasks.
+    The leading hash digits are the block of the numbering, for wanted rows and for
+    the others, so a key of any length is ranked by many tasks.
     """
-    bucket = F.when(wanted, hash_bucket(F.col("_h"))).otherwise(_LAST_BUCKET)
+    bucket = hash_bucket(F.col("_h"), _DIGITS) + F.when(wanted, 0).otherwise(16**_DIGITS)
     rows = df.withColumn("_h", h)
-    return number_rows(
-        rows, keys, [bucket, F.col("_h")], name, block=bucket.cast("bigint") if large else None
-    ).drop("_h")
+    return number_rows(rows, keys, [bucket, F.col("_h")], name, block=bucket.cast("bigint")).drop("_h")
 
 
 def _effective_length(settings: MaskSettings, keys: Sequence[str]) -> Column:
@@ -47,7 +46,6 @@ def draw_masked(
     settings: MaskSettings,
     keys: Sequence[str] = SAMPLE,
     pos: str = "pos",
-    large: bool = True,
 ) -> DataFrame:
     """Add ``masked`` (0/1): ceil(ratio * N) of the allowed frames, without replacement.
 
@@ -59,9 +57,9 @@ def draw_masked(
     excluded = F.lit(False)
     for p in settings.non_masked_frames:
         excluded = excluded | (F.col(pos) == (F.lit(p) if p >= 0 else F.col("n_frames") + p))
-    rows = with_length(frames, keys, large).withColumn("_allowed", ~excluded)
+    rows = with_length(frames, keys).withColumn("_allowed", ~excluded)
     ranked = _ranked(
-        rows, keys, F.col("_allowed"), hash_hex(settings.seed, "mask", *keys, pos), "_rank", large
+        rows, keys, F.col("_allowed"), hash_hex(settings.seed, "mask", *keys, pos), "_rank"
     )
     hit = F.col("_allowed") & (F.col("_rank") < F.ceil(ratio * _effective_length(settings, keys)))
     return ranked.withColumn("masked", hit.cast("int")).drop("_allowed", "_rank")
@@ -72,7 +70,6 @@ def draw_fully_masked(
     settings: MaskSettings,
     keys: Sequence[str] = SAMPLE,
     pos: str = "pos",
-    large: bool = True,
 ) -> DataFrame:
     """Add ``fully_masked`` (0/1): ceil(full ratio * N) of the masked frames."""
     if settings.ratio_fully_masked_frames <= 0:
@@ -80,12 +77,11 @@ def draw_fully_masked(
     keys = list(keys)
     ratio = F.lit(float(settings.ratio_fully_masked_frames))
     ranked = _ranked(
-        with_length(frames, keys, large),
+        with_length(frames, keys),
         keys,
         F.col("masked") == 1,
         hash_hex(settings.seed, "full", *keys, pos),
         "_rank",
-        large,
     )
     quota = F.ceil(ratio * _effective_length(settings, keys))
     hit = (F.col("masked") == 1) & (F.col("_rank") < quota)
@@ -98,18 +94,16 @@ def sample_masked_frames(
     earlier: DataFrame | None = None,
     keys: Sequence[str] = SAMPLE,
     pos: str = "pos",
-    large: bool = True,
 ) -> DataFrame:
     """Masked and fully masked frames.
 
     ``earlier`` holds (keys, pos, masked, fully_masked) of a run with the same ratio
     of masked frames: its samples keep their masked frames, and also their fully
     masked ones unless those are NULL there, in which case they are drawn.
-    Turn ``large`` off only where every sequence is known to fit one task.
     """
-    drawn = draw_masked(frames, settings, keys, pos, large)
+    drawn = draw_masked(frames, settings, keys, pos)
     if earlier is None:
-        return draw_fully_masked(drawn, settings, keys, pos, large)
+        return draw_fully_masked(drawn, settings, keys, pos)
     at = [*keys, pos]
     old = earlier.select(
         *at, F.col("masked").alias("_masked"), F.col("fully_masked").alias("_full")
@@ -117,7 +111,7 @@ def sample_masked_frames(
     reused = drawn.join(old, at, "left").withColumn(
         "masked", F.coalesce(F.col("_masked"), F.col("masked"))
     )
-    full = draw_fully_masked(reused, settings, keys, pos, large)
+    full = draw_fully_masked(reused, settings, keys, pos)
     return full.withColumn(
         "fully_masked", F.coalesce(F.col("_full"), F.col("fully_masked"))
     ).drop("_masked", "_full")
@@ -128,7 +122,6 @@ def donor_index(
     min_coverage: float = 0.1,
     seed: int = 0,
     draw: str = "frame",
-    large: bool = True,
 ) -> DataFrame:
     """Frames that may lend their mask, numbered for drawing.
 
@@ -142,11 +135,11 @@ def donor_index(
     frame_hash = hash_hex(seed, "donor_order", "donor_sample", "donor_t")
     yes = F.lit(True)
     if draw == "frame":
-        return _ranked(donors, ["tile"], yes, frame_hash, "donor_no", large)
+        return _ranked(donors, ["tile"], yes, frame_hash, "donor_no")
     samples = donors.select("tile", "donor_sample").distinct()
     sample_hash = hash_hex(seed, "donor_sample_order", "donor_sample")
-    numbered = _ranked(samples, ["tile"], yes, sample_hash, "donor_sample_no", large)
-    frames = _ranked(donors, ["tile", "donor_sample"], yes, frame_hash, "donor_no", large)
+    numbered = _ranked(samples, ["tile"], yes, sample_hash, "donor_sample_no")
+    frames = _ranked(donors, ["tile", "donor_sample"], yes, frame_hash, "donor_no")
     return frames.join(numbered, ["tile", "donor_sample"])
 
 
@@ -156,7 +149,6 @@ def draw_donors(
     seed: int = 0,
     draw: str = "frame",
     keys: Sequence[str] = ("sample_id", "t"),
-    large: bool = True,
 ) -> DataFrame:
     """Give every masked frame a donor of its tile, with replacement.
 
@@ -167,18 +159,18 @@ def draw_donors(
         sizes = donors.groupBy("tile").agg((F.max("donor_no") + 1).alias("_n"))
         pick = draw_int(hash_hex(seed, "donor", *keys), F.col("_n"))
         rows = masked.join(sizes, "tile", "left").withColumn("donor_no", pick).drop("_n")
-        return spread_join(rows, donors, ["tile", "donor_no"], keys, split=large).drop("donor_no")
+        return spread_join(rows, donors, ["tile", "donor_no"], keys).drop("donor_no")
     per_sample = donors.groupBy("tile", "donor_sample", "donor_sample_no").agg(
         (F.max("donor_no") + 1).alias("_n")
     )
     sizes = per_sample.groupBy("tile").agg((F.max("donor_sample_no") + 1).alias("_m"))
     pick_sample = draw_int(hash_hex(seed, "donor_sample", *keys), F.col("_m"))
     rows = masked.join(sizes, "tile", "left").withColumn("donor_sample_no", pick_sample).drop("_m")
-    rows = spread_join(rows, per_sample, ["tile", "donor_sample_no"], keys, split=large)
+    rows = spread_join(rows, per_sample, ["tile", "donor_sample_no"], keys)
     pick = draw_int(hash_hex(seed, "donor", *keys), F.col("_n"))
     rows = rows.withColumn("donor_no", pick).drop("_n", "donor_sample_no")
     frames = donors.drop("donor_sample_no")
-    return spread_join(rows, frames, ["tile", "donor_sample", "donor_no"], keys, split=large).drop("donor_no")
+    return spread_join(rows, frames, ["tile", "donor_sample", "donor_no"], keys).drop("donor_no")
 
 
 def tiles_without_donor(masked: DataFrame, donors: DataFrame) -> DataFrame:
@@ -194,7 +186,6 @@ def compose_masks(
     out: str = "mask",
     keys: Sequence[str] = ("sample_id", "t"),
     occlude_above: float | None = None,
-    large: bool = True,
 ) -> DataFrame:
     """Put each drawn donor mask on its frame; all other frames get a zero mask."""
     keys = list(keys)
@@ -209,7 +200,6 @@ def compose_masks(
         ["donor_sample", "donor_t"],
         keys,
         rows_per_copy=10_000,
-        split=large,
     ).select(*keys, "_lent")
     zeros = F.array_repeat(F.lit(0).cast("tinyint"), F.size(donor_mask))
     return (
@@ -288,7 +278,6 @@ def overlay_masks(
     keys: Sequence[str] = SAMPLE,
     pos: str = "pos",
     out: str = "mask",
-    large: bool = True,
 ) -> DataFrame:
     """Place ``masks`` (keys, mask_no from 0, mask) on random distinct frames.
 
@@ -298,7 +287,7 @@ def overlay_masks(
     n_frames = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nf"))
     n_masks = masks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nm"))
     sizes = n_frames.join(n_masks, keys, "left")
-    ranked = _ranked(frames, keys, F.lit(True), hash_hex(seed, "overlay", *keys, pos), "_rank", large)
+    ranked = _ranked(frames, keys, F.lit(True), hash_hex(seed, "overlay", *keys, pos), "_rank")
     target = F.when(F.col("_nf") == F.col("_nm"), F.col(pos)).otherwise(F.col("_rank"))
     placed = masks.select(*keys, F.col("mask_no").cast("bigint").alias("_target"), F.col("mask").alias("_m"))
     zeros = F.array_repeat(F.lit(0).cast("tinyint"), F.col("height") * F.col("width"))

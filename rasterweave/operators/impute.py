@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterweave.operators.scans import blocks_of, with_neighbours
+from rasterweave.operators.scans import BLOCK_ROWS, blocks_of, with_neighbours
 from rasterweave.schema import IMPUTE_MODES
 
 PIXEL_KEYS = ("sample_id", "y", "x")
@@ -22,12 +22,11 @@ def visibility(
     keys: Sequence[str] = PIXEL_KEYS,
     t: str = "t",
     payload: Sequence[str] = (),
-    block_size: int | None = None,
+    block_size: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``prev`` and ``next``: the nearest unmasked rows at or around each row."""
-    return with_neighbours(
-        df, keys, [t], F.col(mask) == 0, [t, *payload], block=blocks_of(t, block_size)
-    )
+    block = None if block_size is None else blocks_of(t, block_size)
+    return with_neighbours(df, keys, [t], F.col(mask) == 0, [t, *payload], block=block)
 
 
 def last_visible(df: DataFrame, t: str = "t", **kw) -> DataFrame:
@@ -78,7 +77,7 @@ def impute(
     keys: Sequence[str] = PIXEL_KEYS,
     t: str = "t",
     day: str | None = "day",
-    block_size: int | None = None,
+    block_size: int | None = BLOCK_ROWS,
     return_source: bool = False,
 ) -> DataFrame:
     """Add ``<value>_<mode>`` for every value and mode; all modes share one shuffle.
@@ -86,7 +85,7 @@ def impute(
     ``day`` (whole days) is needed for 'closest' and 'linear'. With
     ``return_source`` the index of the row a value was taken from is added as
     ``source_<mode>`` (for 'linear': ``source_linear_prev`` / ``_next``).
-    Give ``block_size`` where a single key may hold very many rows.
+    A task scans ``block_size`` steps of a key, or whole keys if it is None.
     """
     unknown = [m for m in modes if m not in IMPUTE_MODES]
     if unknown:
@@ -114,7 +113,7 @@ def matrix(table: pa.Table, name: str) -> np.ndarray:
 
 def _lists(values: np.ndarray) -> pa.ListArray:
     offsets = np.arange(0, values.size + 1, values.shape[1], dtype="int32")
-    return pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))
+    return pa.ListArray.from_arrays(offsets, pa.array(values.ravel(), from_pandas=True))
 
 
 class SeriesFill:
@@ -179,7 +178,7 @@ def impute_frames(
 
     The shuffle key is (sample, pixel block) and rows stay arrays, so the bytes
     moved are those of the bands and a large sample is spread over many tasks.
-    A task holds T x block_pixels values. A value never seen, and a NULL pixel, is NaN.
+    A task holds T x block_pixels values. A value never seen, and a NULL pixel, is NULL.
     ``extra`` array columns (the target, say) travel along unchanged.
     """
     arrays = [*values, mask, *extra]

@@ -108,8 +108,8 @@ def status_lists(
 ) -> DataFrame:
     """Sorted frame lists per sample, cut into ``block`` frames per row.
 
-    Sequences up to ``block`` frames give one row; longer ones continue in
-    further rows, so that no row grows with the data.
+    ``list_no`` numbers the rows of a sample: a sequence of up to ``block`` frames has
+    one, a longer one goes on in further rows, so that no row grows with the data.
     """
     def frames_where(test: Column) -> Column:
         return F.sort_array(F.collect_list(F.when(test, F.col(t))))

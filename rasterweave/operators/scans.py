@@ -1,10 +1,11 @@
 """Ordered scans along a key that stay balanced when one key is very long.
 
-A plain window puts all rows of a key into one task. Given ``block`` - an
-integer expression that never decreases along the order - the same scan runs in
-two levels: rows are shuffled and sorted by (key, block), one small summary row
-per block is scanned along the key, and its result is joined back. The
-summary is aggregated before it is shuffled, so the rows move once either way.
+A plain window puts all rows of a key into one task. Here ``block`` - an integer
+expression that never decreases along the order - cuts a key into parts: rows are
+shuffled and sorted by (key, block), one small summary row per block is scanned
+along the key, and its result is joined back. The summary is aggregated before it
+is shuffled, so the rows move once. Without ``block``, for keys whose rows are known to
+fit a task - the frames of one pixel - neighbours are found by one plain scan.
 """
 
 from __future__ import annotations
@@ -17,24 +18,13 @@ from pyspark.sql import functions as F
 _ALL_BEFORE = Window.unboundedPreceding
 
 
-def blocks_of(column: str, size: int | None) -> Column | None:
-    """Block number of a dense index, or None for the single-level scan."""
-    return None if size is None else F.floor(F.col(column) / F.lit(size)).cast("bigint")
+#: Rows of a key that one task scans, unless the caller says otherwise.
+BLOCK_ROWS = 65_536
 
 
-# Above this many rows a key is scanned in blocks by the plans that check.
-SINGLE_TASK_ROWS = 200_000
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the most frequent key. Runs a job: a map-side combined count."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.agg(F.max("_n")).first()[0] or 0
-
-
-def block_size_for(df: DataFrame, keys: Sequence[str], size: int = 65_536) -> int | None:
-    """A block size if some key has too many rows for one task, else None. Runs a job."""
-    return size if largest_group(df, keys) > SINGLE_TASK_ROWS else None
+def blocks_of(column: str, size: int = BLOCK_ROWS) -> Column:
+    """Block number of a dense index."""
+    return F.floor(F.col(column) / F.lit(size)).cast("bigint")
 
 
 def with_neighbours(
@@ -101,13 +91,10 @@ def number_rows(
     order: Sequence[str | Column],
     name: str,
     *,
-    block: Column | None = None,
+    block: Column,
 ) -> DataFrame:
     """Add a 0-based row number per key, as BIGINT."""
     keys = list(keys)
-    if block is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
     part = [*keys, "_block"]
     rows = df.withColumn("_block", block)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(_ALL_BEFORE, -1)
@@ -125,16 +112,10 @@ def number_rows(
     )
 
 
-def with_length(df: DataFrame, keys: Sequence[str], large: bool = True) -> DataFrame:
-    """Add ``n_frames``, the rows of each key, unless it is there.
-
-    For ``large`` keys the count is combined map-side and joined; otherwise it is a
-    window that shares the exchange of the numbering before it.
-    """
+def with_length(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``n_frames``, the rows of each key, unless it is there: a map-side combined count, joined."""
     if "n_frames" in df.columns:
         return df
-    if not large:
-        return df.withColumn("n_frames", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_frames"))
     return df.join(sizes, list(keys))
 
@@ -147,7 +128,7 @@ def runs(
     linked: Column,
     payload: Sequence[str] = (),
     *,
-    block: Column | None = None,
+    block: Column,
 ) -> DataFrame:
     """Maximal runs of member rows: (keys, run_start, run_end, run_len).
 

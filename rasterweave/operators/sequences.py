@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterweave.functions import calendar
 from rasterweave.functions.hashing import draw_int, hash_hex
-from rasterweave.operators.scans import blocks_of, number_rows, runs, with_length
+from rasterweave.operators.scans import BLOCK_ROWS, blocks_of, number_rows, runs, with_length
 from rasterweave.schema import POSITION_STRATEGIES, FilterSettings
 
 SAMPLE = ("sample_id",)
@@ -32,7 +32,7 @@ def longest_good_run(
     keys: Sequence[str] = SAMPLE,
     t: str = "t",
     valid: str = "valid_obs",
-    block_size: int | None = None,
+    block_size: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Longest run of consecutive good frames: bounds and length, 0/0/0 if none."""
     linked = F.col(t) - F.col(f"before.{t}") == 1
@@ -47,7 +47,7 @@ def longest_run_within_gap(
     t: str = "t",
     day: str = "acq_date",
     valid: str = "valid_obs",
-    block_size: int | None = None,
+    block_size: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Longest chain of good frames whose neighbours are at most ``max_days`` apart."""
     linked = F.datediff(F.col(day), F.col(f"before.{day}")) <= max_days
@@ -62,7 +62,7 @@ def max_invalid_run(
     keys: Sequence[str] = SAMPLE,
     t: str = "t",
     valid: str = "valid_obs",
-    block_size: int | None = None,
+    block_size: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Longest run of invalid frames per key, 0 if every frame is valid."""
     linked = F.col(t) - F.col(f"before.{t}") == 1
@@ -75,7 +75,7 @@ def valid_samples(
     settings: FilterSettings,
     keys: Sequence[str] = SAMPLE,
     required: DataFrame | None = None,
-    block_size: int | None = None,
+    block_size: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Keys of the samples that pass the filter.
 
@@ -105,7 +105,7 @@ def valid_samples(
 
 
 def _long_chains(
-    quality: DataFrame, settings: FilterSettings, keys: Sequence[str], block_size: int | None
+    quality: DataFrame, settings: FilterSettings, keys: Sequence[str], block_size: int
 ) -> DataFrame:
     chain = longest_run_within_gap(
         quality, settings.max_t_sampling, keys, block_size=block_size
@@ -130,7 +130,7 @@ def select_frames(
     quality: DataFrame,
     settings: FilterSettings,
     keys: Sequence[str] = SAMPLE,
-    block_size: int | None = None,
+    block_size: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Frames to use, with ``valid_obs`` renewed for the filter type.
 
@@ -164,7 +164,7 @@ def trim_random_window(
     seed: int = 0,
     keys: Sequence[str] = SAMPLE,
     t: str = "t",
-    block_size: int | None = None,
+    block_size: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Number the kept frames (``pos`` from 0) and keep a random run of ``max_len``.
 
@@ -173,7 +173,7 @@ def trim_random_window(
     """
     keys = list(keys)
     numbered = number_rows(kept, keys, [t], "pos", block=blocks_of(t, block_size))
-    rows = with_length(numbered, keys, large=block_size is not None)
+    rows = with_length(numbered, keys)
     if max_len is None:
         return rows
     n = F.col("n_frames")
@@ -192,7 +192,7 @@ def add_position(
     keys: Sequence[str] = SAMPLE,
     t: str = "t",
     day: str = "acq_date",
-    block_size: int | None = None,
+    block_size: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Whole-number position in time of each frame, by strategy."""
     if strategy not in POSITION_STRATEGIES:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +74,10 @@ def model_samples(
                 "tile", "sample_id", "t", grids.mean(F.col("cloud_mask")).alias("coverage")
             )
         )
-        gappy = simulate_gaps(frames, chosen, coverage, bands, options.mask)
+        masking = options.mask
+        if options.render_occluded_above is not None:
+            masking = replace(masking, occlude_above=options.render_occluded_above)
+        gappy = simulate_gaps(frames, chosen, coverage, bands, masking)
     else:
         real = quality.occlude(F.col("cloud_mask"), options.render_occluded_above)
         zeros = F.array_repeat(F.lit(0).cast("tinyint"), F.size("cloud_mask"))

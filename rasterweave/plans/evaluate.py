@@ -43,7 +43,7 @@ def impute_pixels(
     keep = ["sample_id", "t", "acq_date"]
     pixels = explode_pixels(masked, [*bands, "mask", "cloud_mask"], keep)
     dated = pixels.withColumn("day", F.unix_date("acq_date")).drop("acq_date")
-    return impute(dated, bands, modes)
+    return impute(dated, bands, modes, block_size=None)
 
 
 def score_modes(

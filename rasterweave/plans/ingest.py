@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,17 @@ def store_quality(quality: DataFrame, path: str) -> None:
     quality.write.mode("append").option("compression", "zstd").parquet(path)
 
 
+def unscored(spark: SparkSession, frames: DataFrame, path: str) -> DataFrame:
+    """Stored frames without a row in the frame-quality table at ``path``, if there is one."""
+    try:
+        known = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return frames
+    return frames.join(known.select("tile", "sample_id", "t"), ["tile", "sample_id", "t"], "left_anti")
+
+
 def ingest_cubes(
     spark: SparkSession, source: str, target: str, split: str, with_prob: bool | None = None
 ) -> None:
@@ -69,10 +81,8 @@ def ingest_cubes(
     write_frames(cubes_to_frames(files, split), f"{target}/frames")
     stored = spark.read.schema(frames_schema(4)).parquet(f"{target}/frames")
     prob = split in ("train", "val") if with_prob is None else with_prob
-    store_quality(
-        score_frames(stored.where(F.col("split") == split), with_prob=prob),
-        f"{target}/frame_quality",
-    )
+    fresh = unscored(spark, stored.where(F.col("split") == split), f"{target}/frame_quality")
+    store_quality(score_frames(fresh, with_prob=prob), f"{target}/frame_quality")
     quality = spark.read.parquet(f"{target}/frame_quality")
     write_valid_samples(usable_samples(quality), f"{target}/valid_samples")
 
@@ -80,7 +90,8 @@ def ingest_cubes(
 def score_two_sensor(spark: SparkSession, path: str, n_bands: int = 13) -> None:
     """Score a stored two-sensor frame table strictly, next to its frames."""
     frames = spark.read.schema(frames_schema(n_bands)).parquet(f"{path}/frames")
-    scored = score_frames(frames, strict=True, prob_as_fraction=True)
+    fresh = unscored(spark, frames, f"{path}/frame_quality")
+    scored = score_frames(fresh, strict=True, prob_as_fraction=True)
     store_quality(scored, f"{path}/frame_quality")
     quality = spark.read.parquet(f"{path}/frame_quality")
     write_valid_samples(usable_samples(quality, two_sensor=True), f"{path}/valid_samples")

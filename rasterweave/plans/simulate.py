@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterweave.functions import radiometry
 from rasterweave.operators import gaps, quality, sequences
-from rasterweave.operators.scans import SINGLE_TASK_ROWS, largest_group
+from rasterweave.operators.scans import BLOCK_ROWS
 from rasterweave.schema import FilterSettings, MaskSettings
 from rasterweave.sources.settle import settle
 
@@ -19,12 +19,9 @@ def choose_frames(
     settings: FilterSettings,
     max_len: int | None = None,
     seed: int = 0,
-    block_size: int | None = None,
+    block_size: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Usable frames of usable samples, numbered by ``pos``; scalars only, no bands.
-
-    Give ``block_size`` where one sample may have more frames than fit a task.
-    """
+    """Usable frames of usable samples, numbered by ``pos``; scalars only, no bands."""
     ok = sequences.valid_samples(frame_quality, settings, block_size=block_size)
     chosen = sequences.select_frames(
         frame_quality.join(ok, "sample_id", "left_semi"), settings, block_size=block_size
@@ -53,8 +50,8 @@ def simulate_gaps(
     only good frames can be chosen, pass ``frames`` through ``quality.good_only``
     and all frames as donors, so that unusable bands are never shuffled.
 
-    The size of the largest tile is looked up first, and above the limit every
-    ranking and join on tile or sample is split into parts.
+    Every ranking and join on tile or sample is split into parts. What they decide is
+    stored at two points, since each split reads its input twice.
     """
     if settings.mask_type == "real_clouds":
         flags = chosen.drop("tile", "n_frames").withColumns(
@@ -64,19 +61,16 @@ def simulate_gaps(
         own = own.withColumn("cloud_mask", quality.occlude(F.col("cloud_mask"), settings.occlude_above))
         return gaps.mask_sequence(own.withColumn("mask", F.col("cloud_mask")), bands, settings)
 
-    large = largest_group(coverage, ["tile"]) > SINGLE_TASK_ROWS
-    hold = settle if large else _as_it_is
-    drawn = hold(gaps.sample_masked_frames(chosen, settings, earlier, large=large))
+    drawn = settle(gaps.sample_masked_frames(chosen, settings, earlier))
     donors = gaps.donor_index(
-        coverage, settings.min_donor_coverage, settings.seed, settings.donor_draw, large
+        coverage, settings.min_donor_coverage, settings.seed, settings.donor_draw
     )
-    draws = hold(
+    draws = settle(
         gaps.draw_donors(
             drawn.where(F.col("masked") == 1).select("sample_id", "tile", "t"),
             donors,
             settings.seed,
             settings.donor_draw,
-            large=large,
         )
     )
     out = gaps.compose_masks(
@@ -84,7 +78,6 @@ def simulate_gaps(
         draws,
         frames if donor_frames is None else donor_frames,
         occlude_above=settings.occlude_above,
-        large=large,
     )
     if settings.occlude_above:
         real = quality.occlude(F.col("cloud_mask"), settings.occlude_above)
@@ -112,10 +105,6 @@ def apply_stored_masks(
     return gaps.mask_sequence(out, bands, settings)
 
 
-def _as_it_is(df: DataFrame) -> DataFrame:
-    return df
-
-
 def training_set(
     masked: DataFrame,
     bands: Sequence[str],

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterweave.functions.grids import explode_pixels
-from rasterweave.operators.scans import block_size_for, number_rows
+from rasterweave.operators.scans import number_rows
 
 SIDE = 4
 N_PIXELS = SIDE * SIDE
@@ -28,17 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def observations(spark: SparkSession, sf_dir: str, large: bool = False) -> DataFrame:
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One gappy univariate series per user: (sample_id, t, acq_date, day, mask, v, event_id).
 
-    With ``large`` rows are numbered in two levels, by day and within the day, so
-    that a user with very many events does not end up in one task.
+    Rows are numbered in two levels, by day and within the day, so that a user with
+    very many events does not end up in one task.
     """
     events = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("sample_id"), "ts", "event_id", "event_type", "value"
     )
     day = F.unix_date(F.to_date("ts")).cast("bigint")
-    numbered = number_rows(events, ["sample_id"], ["ts", "event_id"], "t", block=day if large else None)
+    numbered = number_rows(events, ["sample_id"], ["ts", "event_id"], "t", block=day)
     return numbered.select(
         "sample_id",
         "t",
@@ -50,12 +50,6 @@ def observations(spark: SparkSession, sf_dir: str, large: bool = False) -> DataF
     )
 
 
-def checked_observations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
-    """The series, and the block size for scans over them: None unless a user is too large."""
-    block = block_size_for(table(spark, sf_dir, "events"), ["user_id"])
-    return observations(spark, sf_dir, large=block is not None), block
-
-
 def _part(start: int, value: str) -> str:
     """One frame's pixels from the vector, by an expression of ``v``."""
     return f"transform(transform(slice(embedding, {start + 1}, {N_PIXELS}), f -> double(f)), v -> {value})"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +55,9 @@ def target_differences(stored: DataFrame, renewed: DataFrame, columns: list[str]
     both = stored.select("sample_id").distinct().join(
         renewed.select("sample_id").distinct(), "sample_id", "left_semi"
     )
-    a = stored.join(both, "sample_id", "left_semi").select(*FRAME, F.xxhash64(*columns).alias("_a"))
-    b = renewed.join(both, "sample_id", "left_semi").select(*FRAME, F.xxhash64(*columns).alias("_b"))
+    a = stored.join(both, "sample_id", "left_semi").select(*FRAME, F.struct(*columns).alias("_a"))
+    b = renewed.join(both, "sample_id", "left_semi").select(*FRAME, F.struct(*columns).alias("_b"))
+    # Compared as they are: a hash would pass over NULL pixels.
     return a.join(b, FRAME, "full").where(~F.col("_a").eqNullSafe(F.col("_b"))).select(*FRAME)
 
 
@@ -71,8 +73,8 @@ def write_simulation(
     try:
         stored = spark.read.parquet(f"{path}/{TARGET}")
         masks = spark.read.parquet(f"{path}/{MASKS}")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         stored = masks = None
     new_target, new_masks = labelled, labelled

@@ -6,8 +6,10 @@ import math
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rasterweave.functions.hashing import hash_hex
 from rasterweave.operators import gaps
 from rasterweave.operators.geometry import dilate
 from rasterweave.operators.joins import spread_join
@@ -31,10 +33,9 @@ def drawn(df, col="masked"):
     return out
 
 
-@pytest.mark.parametrize("large", [True, False])
-def test_quota_is_rounded_up(spark, large):
+def test_quota_is_rounded_up(spark):
     lengths = {"a": 1, "b": 5, "c": 10, "d": 13}
-    got = drawn(gaps.sample_masked_frames(frames(spark, lengths), FIXED, large=large))
+    got = drawn(gaps.sample_masked_frames(frames(spark, lengths), FIXED))
     assert {s: len(p) for s, p in got.items()} == {s: math.ceil(0.5 * n) for s, n in lengths.items()}
 
 
@@ -59,11 +60,12 @@ def test_fully_masked_is_a_subset(spark):
     assert all(full[s] <= masked[s] for s in full)
 
 
-def test_ranking_is_the_same_in_one_or_two_levels(spark):
+def test_ranking_is_that_of_the_plain_window(spark):
     df = frames(spark, {"hot": 300, "a": 4})
-    one = gaps.sample_masked_frames(df, replace(FIXED, ratio_fully_masked_frames=0.2), large=False)
-    two = gaps.sample_masked_frames(df, replace(FIXED, ratio_fully_masked_frames=0.2), large=True)
-    assert spark_rows(one.select(sorted(one.columns))) == spark_rows(two.select(sorted(two.columns)))
+    h = hash_hex(0, "mask", "sample_id", "pos")
+    want = df.select("sample_id", "pos", (F.row_number().over(Window.partitionBy("sample_id").orderBy(h)) - 1).alias("rank"))
+    got = gaps._ranked(df, ["sample_id"], F.lit(True), h, "rank").select("sample_id", "pos", F.col("rank").cast("int"))
+    assert spark_rows(want) == spark_rows(got)
 
 
 def test_earlier_run_is_reused(spark):
@@ -94,11 +96,10 @@ def coverage(spark):
 
 
 @pytest.mark.parametrize("draw", ["frame", "sample"])
-@pytest.mark.parametrize("large", [True, False])
-def test_donors_come_from_the_tile(spark, draw, large):
-    donors = gaps.donor_index(coverage(spark), 0.1, draw=draw, large=large)
+def test_donors_come_from_the_tile(spark, draw):
+    donors = gaps.donor_index(coverage(spark), 0.1, draw=draw)
     masked = frames(spark, {f"s{i}": 6 for i in range(10)}).unionByName(frames(spark, {"u": 2}, "U"))
-    out = gaps.draw_donors(masked, donors, draw=draw, large=large)
+    out = gaps.draw_donors(masked, donors, draw=draw)
     assert out.count() == 62
     got = {(r.tile, r.donor_sample, r.donor_t) for r in out.collect()}
     assert got == {("T", "a", 1), ("T", "b", 0), ("U", None, None)}
@@ -156,8 +157,7 @@ def test_overlay_in_order_when_complete(spark):
     assert sorted(r.mask[0] for r in some) == [0, 1, 2]
 
 
-def test_simulation_is_repeatable_and_large_path_agrees(spark, monkeypatch):
-    from rasterweave.plans import simulate as plan
+def test_simulation_is_repeatable(spark):
     from tests.test_impute import raster
 
     df = raster(spark, samples=4, frames=6).withColumn("tile", F.col("sample_id") % 2).drop("mask")
@@ -169,5 +169,3 @@ def test_simulation_is_repeatable_and_large_path_agrees(spark, monkeypatch):
     run = lambda: spark_rows(simulate_gaps(df, chosen, cover, ["b0"], settings).select("sample_id", "t", "masked", "fully_masked", F.col("mask").cast("string"), F.col("b0_in").cast("string")))
     first = run()
     assert first == run()
-    monkeypatch.setattr(plan, "SINGLE_TASK_ROWS", 1)
-    assert first == run()

@@ -96,6 +96,25 @@ def test_ingest_end_to_end(spark, npz_root, tmp_path):
     assert sorted(r.split for r in files.collect()) == ["train", "val"]
 
 
+def test_repeated_ingest_scores_new_frames_only(spark, npz_root, tmp_path):
+    root, _ = npz_root
+    out = str(tmp_path / "out")
+    ingest.ingest_cubes(spark, str(root / "train"), out, "train")
+    more = tmp_path / "more" / "tileZ"
+    more.mkdir(parents=True)
+    np.savez(more / "z_2018-01-01_2018-01-31_x.npz", highresdynamic=np.zeros((8, 8, 7, 6), "float32"))
+    ingest.ingest_cubes(spark, str(more.parent), out, "train")
+    quality = spark.read.parquet(f"{out}/frame_quality")
+    assert quality.count() == 18 == quality.select("tile", "sample_id", "t").distinct().count()
+
+
+def test_differences_see_missing_pixels(spark):
+    side = lambda v: spark.createDataFrame([("a", 0, v)], "sample_id string, pos int, b0 array<double>")
+    one, two = side([1.0, None, 2.0]), side([None, 1.0, 2.0])
+    assert simulations.target_differences(one, two, ["b0"]).count() == 1
+    assert simulations.target_differences(one, one, ["b0"]).isEmpty()
+
+
 def small_frames(spark):
     row = lambda split, tile, s, t: (
         split, tile, s, "S2", t, None, 1, 2, [0.1, 0.2], [0.3, 0.4], [1.0, 2.0], [1, 1], [0, 1],
