@@ -60,11 +60,10 @@ def frame_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("frame_quality_strict", query("fr_strict", _QUALITY_OUT.format(block="fr_strict", prob=_PROB)))
 def frame_quality_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Second sensor layout: probabilities stored as fractions, pixel rows.
-    pixels = scene_pixels(spark, sf_dir).withColumn(
-        "cloud_prob", radiometry.fraction_to_percent(radiometry.percent_to_fraction(F.col("cloud_prob")))
-    )
-    return _quality_columns(quality.flag_frames(quality.frame_statistics(pixels), strict=True))
+    # Second sensor layout: probabilities stored as fractions.
+    there_and_back = lambda v: radiometry.fraction_to_percent(radiometry.percent_to_fraction(v))
+    frames = scene_frames(spark, sf_dir).withColumn("cloud_prob", F.transform("cloud_prob", there_and_back))
+    return _quality_columns(quality.flag_frames(quality.frame_statistics_arrays(frames), strict=True))
 
 
 @register("frame_quality_noprob", query("fr_noprob", _QUALITY_OUT.format(block="fr_noprob", prob="")))
@@ -103,7 +102,7 @@ def frame_status_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     query("stats", "SELECT sample_id, t, round(coverage, 6) AS coverage FROM stats"),
 )
 def frame_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.frame_coverage(scene_pixels(spark, sf_dir), mask="cloud_mask")
+    out = quality.frame_coverage(scene_frames(spark, sf_dir), mask="cloud_mask")
     return out.select("sample_id", "t", _r("coverage", "coverage"))
 
 
@@ -306,10 +305,13 @@ def false_color(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "brightness",
-    query("pix", "SELECT sample_id, t, y, x, round(least(1.0::DOUBLE, b0 * 1.7::DOUBLE), 6) AS bright FROM pix WHERE b0 IS NOT NULL"),
+    query(
+        "pix",
+        "SELECT sample_id, t, y, x, CASE WHEN b0 IS NOT NULL THEN round(least(1.0::DOUBLE, b0 * 1.7::DOUBLE), 6) END AS bright FROM pix",
+    ),
 )
 def brightness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = scene_pixels(spark, sf_dir).where(F.col("b0").isNotNull())
+    p = scene_pixels(spark, sf_dir)
     return p.select(*_ids(*KEY), _r(radiometry.apply_brightness(F.col("b0"), 1.7), "bright"))
 
 
@@ -406,14 +408,13 @@ def _axis(out: str, n_in: int, n_out: int, name: str) -> str:
         """SELECT p.sample_id, p.t, g.y, g.x, round(sum(p.b0 * (
     CASE WHEN p.y = g.y0 THEN 1 - g.fy ELSE 0 END + CASE WHEN p.y = g.y1 THEN g.fy ELSE 0 END) * (
     CASE WHEN p.x = g.x0 THEN 1 - g.fx ELSE 0 END + CASE WHEN p.x = g.x1 THEN g.fx ELSE 0 END)), 6) AS b0
-FROM pix p JOIN g ON p.y IN (g.y0, g.y1) AND p.x IN (g.x0, g.x1) WHERE p.b0 IS NOT NULL
+FROM pix p JOIN g ON p.y IN (g.y0, g.y1) AND p.x IN (g.x0, g.x1)
 GROUP BY p.sample_id, p.t, g.y, g.x""",
         g=f"SELECT y, x, {_axis('y', 4, 6, 'y')}, {_axis('x', 4, 5, 'x')} FROM range(6) a(y), range(5) b(x)",
     ),
 )
 def resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = scene_frames(spark, sf_dir).where(~F.forall("b0", lambda v: v.isNull()))
-    out = geometry.resample(frames, ["b0"], (6, 5))
+    out = geometry.resample(scene_frames(spark, sf_dir), ["b0"], (6, 5))
     p = grids.explode_pixels(out, ["b0"], ["sample_id", "t"])
     return p.select(*_ids(*KEY), _r("b0", "b0"))
 
@@ -441,14 +442,14 @@ _HEADS = 2
 
 
 def _qkv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per frame: the bands' first halves as queries, second halves as keys, mean as value."""
+    """Per frame: one band each as query, key and two kinds of value."""
     f = scene_frames(spark, sf_dir)
     filled = {b: F.transform(b, lambda v: F.coalesce(v, F.lit(0.0))) for b in BANDS}
     f = f.withColumns(filled)
     return f.select(
         "sample_id", "t",
-        F.slice("b0", 1, 8).alias("q"), F.slice("b1", 1, 8).alias("k"), F.slice("b2", 1, 4).alias("v"),
-        F.slice("b3", 1, 4).alias("v2"), (F.col("t") != 9).alias("ok"),
+        F.col("b0").alias("q"), F.col("b1").alias("k"), F.col("b2").alias("v"), F.col("b3").alias("v2"),
+        (F.col("t") != 9).alias("ok"),
     )
 
 
@@ -460,34 +461,40 @@ _QKV = (
     "SELECT vec_id // 10 AS sample_id, vec_id % 10 AS t, h, "
     + ", ".join(
         [f"CASE WHEN label = 9 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END * greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + CAST(embedding[{base} + {width} * h + {i} + 1] AS DOUBLE))) AS {n}{i}"
-         for n, base, width in (("q", 0, 4), ("k", 16, 4), ("v", 32, 2), ("u", 48, 2))
+         for n, base, width in (("q", 0, 8), ("k", 16, 8), ("v", 32, 8), ("u", 48, 8))
          for i in range(width)]
     )
     + " FROM embeddings, range(2) r(h)"
 )
 _SCORES = (
-    "SELECT a.sample_id, a.h, a.t AS t_out, b.t AS t_in, b.v0, b.v1, b.u0, b.u1, "
+    "SELECT a.sample_id, a.h, a.t AS t_out, b.t AS t_in, "
+    + ", ".join(f"b.{n}{i}" for n in "vu" for i in range(8)) + ", "
     "CASE WHEN b.t = 9 THEN -1000.0::DOUBLE ELSE ("
-    + " + ".join(f"a.q{i} * b.k{i}" for i in range(4))
-    + ") / 2 END AS s FROM qkv a JOIN qkv b ON a.sample_id = b.sample_id AND a.h = b.h"
+    + " + ".join(f"a.q{i} * b.k{i}" for i in range(8))
+    + ") / sqrt(8.0::DOUBLE) END AS s FROM qkv a JOIN qkv b ON a.sample_id = b.sample_id AND a.h = b.h"
 )
 _WEIGHTS = """SELECT *, e / sum(e) OVER (PARTITION BY sample_id, h, t_out) AS w FROM (
   SELECT *, exp(s - max(s) OVER (PARTITION BY sample_id, h, t_out)) AS e FROM scores)"""
 
 
+def _attended(value: str) -> str:
+    """Weighted sums of both heads' values, head after head."""
+    return ", ".join(
+        f"round(sum(CASE WHEN h = {i // 8} THEN w * {value}{i % 8} END), 6) AS a{i}" for i in range(16)
+    )
+
+
 @register(
     "temporal_attention",
     "WITH qkv AS (" + _QKV + "), scores AS (" + _SCORES + "), weights AS (" + _WEIGHTS + """)
-SELECT sample_id, t_out AS t, round(sum(CASE WHEN h = 0 THEN w * v0 END), 6) AS a0, round(sum(CASE WHEN h = 0 THEN w * v1 END), 6) AS a1,
-  round(sum(CASE WHEN h = 1 THEN w * v0 END), 6) AS a2, round(sum(CASE WHEN h = 1 THEN w * v1 END), 6) AS a3
-FROM weights GROUP BY sample_id, t_out""",
+SELECT sample_id, t_out AS t, """ + _attended("v") + " FROM weights GROUP BY sample_id, t_out",
 )
 def temporal_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = attention.temporal_attention(
         _qkv(spark, sf_dir), n_head=_HEADS, keys=["sample_id"], valid="ok"
     )
     return out.select(
-        "sample_id", "t", *[_r(F.get("attended", F.lit(i)), f"a{i}") for i in range(4)]
+        "sample_id", "t", *[_r(F.get("attended", F.lit(i)), f"a{i}") for i in range(16)]
     )
 
 
@@ -495,13 +502,13 @@ def temporal_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     "apply_attention",
     "WITH qkv AS (" + _QKV + "), scores AS (" + _SCORES + "), weights AS (" + _WEIGHTS + """),
 mean_w AS (SELECT sample_id, t_out, t_in, avg(w) AS w FROM weights GROUP BY ALL),
-val AS (SELECT sample_id, t, max(CASE WHEN h = 0 THEN u0 END) AS c0, max(CASE WHEN h = 0 THEN u1 END) AS c1,
-  max(CASE WHEN h = 1 THEN u0 END) AS c2, max(CASE WHEN h = 1 THEN u1 END) AS c3 FROM qkv GROUP BY ALL)
-SELECT 'group' AS kind, sample_id, t_out AS t, round(sum(CASE WHEN h = 0 THEN w * u0 END), 6) AS a0, round(sum(CASE WHEN h = 0 THEN w * u1 END), 6) AS a1,
-  round(sum(CASE WHEN h = 1 THEN w * u0 END), 6) AS a2, round(sum(CASE WHEN h = 1 THEN w * u1 END), 6) AS a3
+val AS (SELECT sample_id, t, """
+    + ", ".join(f"max(CASE WHEN h = {i // 8} THEN u{i % 8} END) AS c{i}" for i in range(16))
+    + """ FROM qkv GROUP BY ALL)
+SELECT 'group' AS kind, sample_id, t_out AS t, """ + _attended("u") + """
 FROM weights WHERE t_in <> 9 GROUP BY sample_id, t_out
 UNION ALL
-SELECT 'mean', m.sample_id, t_out, round(sum(w * c0), 6), round(sum(w * c1), 6), round(sum(w * c2), 6), round(sum(w * c3), 6)
+SELECT 'mean', m.sample_id, t_out, """ + ", ".join(f"round(sum(w * c{i}), 6)" for i in range(16)) + """
 FROM mean_w m JOIN val ON val.sample_id = m.sample_id AND val.t = m.t_in WHERE t_in <> 9 GROUP BY m.sample_id, t_out""",
 )
 def apply_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -512,7 +519,7 @@ def apply_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = attention.apply_attention(
             weights, rows, "v2", _HEADS, mode, keys=["sample_id"], valid="ok"
         )
-        cols = [_r(F.get("attended", F.lit(i)), f"a{i}") for i in range(4)]
+        cols = [_r(F.get("attended", F.lit(i)), f"a{i}") for i in range(16)]
         parts.append(out.select(F.lit(mode).alias("kind"), "sample_id", "t", *cols))
     return parts[0].unionByName(parts[1])
 

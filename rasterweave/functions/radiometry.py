@@ -54,7 +54,8 @@ def fraction_to_percent(v: Column) -> Column:
 
 
 def apply_brightness(v: Column, factor: float = 3.0) -> Column:
-    return F.least(F.lit(1.0), v * F.lit(factor))
+    """Brighter, up to 1; a missing value stays missing."""
+    return F.when(v.isNotNull(), F.least(F.lit(1.0), v * F.lit(factor)))
 
 
 def band_vector(columns: list[str]) -> Column:

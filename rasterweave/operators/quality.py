@@ -130,10 +130,10 @@ def status_lists(
 
 
 def frame_coverage(
-    pixels: DataFrame, keys: Sequence[str] = ("sample_id", "t"), mask: str = "mask"
+    frames: DataFrame, keys: Sequence[str] = ("sample_id", "t"), mask: str = "mask"
 ) -> DataFrame:
-    """Mean mask per frame."""
-    return pixels.groupBy(*keys).agg(F.avg(F.col(mask).cast("double")).alias("coverage"))
+    """Mean mask of each frame, from its own array."""
+    return frames.select(*keys, grids.mean(F.col(mask)).alias("coverage"))
 
 
 def occlude(mask: Column, above: float | None) -> Column:

@@ -185,8 +185,11 @@ def stitch_windows(
                 owner = next((j for j, start in reversed(switches) if start <= t), min(by_owner))
                 if best is None or by_owner[owner] < best:
                     best_t, best = t, by_owner[owner]
+            # Owners that end before this window begins are not asked for again.
+            low = min(candidates)
+            owning = max((i for i, (_, start) in enumerate(switches) if start <= low), default=0)
+            del switches[:owning]
             switches.append((k, best_t))
-            del switches[:-8]
             return s, k, best_t
 
         for pdf in batches:
