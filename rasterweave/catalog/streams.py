@@ -15,10 +15,15 @@ from rasterweave.sources.settle import shared_folder
 from rasterweave.streaming.feed import fill_arriving, flag_arriving, metric_means
 
 
+#: Files of one micro-batch at most.
+FILES_PER_BATCH = 16
+
+
 def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table as a stream of its files."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
+    return reader.parquet(f"{sf_dir}/{name}*.parquet")
 
 
 def drain(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:

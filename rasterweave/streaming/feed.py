@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,42 +31,58 @@ def fill_arriving(
 ) -> DataFrame:
     """Last visible value per key, carried across micro-batches.
 
-    State is one (time, order, value) triple per key. A row older than what the
-    key has already seen is filled from nothing but itself (``late`` = 1), since its
-    predecessors are gone; rows behind the watermark by ``delay`` are dropped by it.
-    With ``idle_ms`` the state of a silent key expires.
+    State is the rows of a key that are newer than the watermark, and the value carried
+    up to them; the watermark's ``delay`` bounds it. A late row is filled from what came
+    before it in time, and hidden rows that it changes are emitted again, both with
+    ``late`` = 1; rows behind the watermark are dropped by it. With ``idle_ms`` the
+    state of a silent key expires.
     """
     schema_of = {f.name: f.dataType.simpleString() for f in stream.schema}
     head = ", ".join(f"{c} {schema_of[c]}" for c in keys)
     out_schema = f"{head}, {order} {schema_of[order]}, filled double, late int"
-    state_schema = "seen_us bigint, seen_order bigint, value double"
+    state_schema = "at array<bigint>, no array<bigint>, value array<double>, base double"
     timeout = GroupStateTimeout.EventTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
 
+    def carried(value: np.ndarray, base: float | None) -> np.ndarray:
+        out = pd.Series(value, dtype="float64").ffill()
+        return (out if base is None else out.fillna(base)).to_numpy()
+
     def carry(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pd.concat(list(chunks)).sort_values([event_time, order])
-        at = pdf[event_time].astype("datetime64[us]").astype("int64").to_numpy()
-        no = pdf[order].to_numpy()
-        seen = state.get if state.exists else (-(2**62), -1, None)
-        late = [(a, o) <= (seen[0], seen[1]) for a, o in zip(at, no)]
-        visible = pdf[value].where(pdf[mask] == 0)
-        fresh = ~pd.Series(late, index=pdf.index)
-        carried = visible.where(fresh).ffill()
-        if seen[2] is not None:
-            carried = carried.fillna(seen[2])
-        filled = carried.where(fresh, visible)
-        if fresh.any():
-            last = carried[fresh].iloc[-1]
-            state.update((int(at[-1]), int(no[-1]), None if pd.isna(last) else float(last)))
-        if idle_ms and state.exists:
+        old_at, old_no, old_value, base = state.get if state.exists else ([], [], [], None)
+        old_value = np.array([np.nan if v is None else v for v in old_value], "float64")
+        before = carried(old_value, base)
+        pdf = pd.concat(list(chunks))
+        new_at = pdf[event_time].astype("datetime64[us]").astype("int64").to_numpy()
+        at = np.concatenate((np.array(old_at, "int64"), new_at))
+        no = np.concatenate((np.array(old_no, "int64"), pdf[order].to_numpy()))
+        value = np.concatenate((old_value, pdf[value_name].where(pdf[mask] == 0).to_numpy("float64")))
+        n = len(before)
+        seen = max(zip(old_at, old_no), default=(-(2**62), -1))
+        late = np.array([True] * n + [(a, o) <= seen for a, o in zip(new_at, no[n:])], bool)
+        line = np.lexsort((no, at))
+        filled = np.empty(len(at))
+        filled[line] = carried(value[line], base)
+        changed = np.ones(len(at), bool)
+        changed[:n] = ~((filled[:n] == before) | (np.isnan(filled[:n]) & np.isnan(before)))
+        # What the watermark has passed cannot get an earlier row any more.
+        passed = at[line] < state.getCurrentWatermarkMs() * 1000
+        if passed.any():
+            last = filled[line][passed][-1]
+            base = base if np.isnan(last) else float(last)
+        kept = line[~passed]
+        state.update((
+            at[kept].tolist(), no[kept].tolist(), [None if np.isnan(v) else float(v) for v in value[kept]], base,
+        ))
+        if idle_ms:
             state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(at.max()) // 1000) + idle_ms)
         out = {c: key[i] for i, c in enumerate(keys)}
-        yield pd.DataFrame({**out, order: no, "filled": filled.to_numpy(), "late": late}).astype(
-            {"late": "int32"}
-        )
+        some = line[changed[line]]
+        yield pd.DataFrame({**out, order: no[some], "filled": filled[some], "late": late[some]}).astype({"late": "int32"})
 
+    value_name = value
     return (
         stream.select(*keys, event_time, order, value, mask)
         .withWatermark(event_time, delay)

@@ -51,14 +51,24 @@ def test_fill_is_carried_across_batches_and_restarts(spark, tmp_path):
     assert a == b and len(a) == 16
 
 
-def test_late_row_is_filled_from_itself_only(spark, tmp_path):
+def test_late_rows_are_filled_from_what_came_before(spark, tmp_path):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     write(spark, folder, "p0", rows([5, 6]))
     drain(spark, fill_arriving(source(spark, folder), "seen_at", ["sample_id"]), out)
     write(spark, folder, "p1", rows([3, 4, 7], hidden={4, 7}))
     got = drain(spark, fill_arriving(source(spark, folder), "seen_at", ["sample_id"]), out)
     table = {r.event_id: (r.filled, r.late) for r in got.collect()}
-    assert table == {5: (5.0, 0), 6: (6.0, 0), 3: (3.0, 1), 4: (None, 1), 7: (6.0, 0)}
+    assert table == {5: (5.0, 0), 6: (6.0, 0), 3: (3.0, 1), 4: (3.0, 1), 7: (6.0, 0)}
+
+
+def test_hidden_rows_after_a_late_one_are_emitted_again(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write(spark, folder, "p0", rows([4, 8, 9], hidden={8}))
+    drain(spark, fill_arriving(source(spark, folder), "seen_at", ["sample_id"]), out)
+    write(spark, folder, "p1", rows([6]))
+    got = drain(spark, fill_arriving(source(spark, folder), "seen_at", ["sample_id"]), out)
+    table = sorted((r.event_id, r.filled, r.late) for r in got.collect())
+    assert table == [(4, 4.0, 0), (6, 6.0, 1), (8, 4.0, 0), (8, 6.0, 1), (9, 9.0, 0)]
 
 
 def test_window_means_wait_for_the_watermark(spark, tmp_path):
