@@ -14,14 +14,14 @@ frequent in the corpus last: their frequency is counted over all documents in a
 table of fixed size. Sets near a band's lower end also join the band below.
 
 Equal sets are one node. In each group of nodes with a common block all are held
-against the smallest node and verified on their whole sets; then pairs whose
-components still differ, whose sizes fit and whose 256-bit parity sketches are near
-enough are verified too. No link between different sets is lost, and a group of
-thousands of copies gives as many pairs as it has members.
+against the smallest and the largest node; pairs whose sizes fit and whose parity sketches, with a bit
+for each element, are near enough are verified on their whole sets. Then pairs whose
+components still differ go the same way, if 256 bits of their sketches let them. No link between different sets is lost, and a group of
+thousands of copies gives twice as many pairs as it has members.
 
 NULL and empty texts have empty sets and stand alone. Rows that repeat an id are
-separate documents. Rows with a NULL id take part, but cannot name a component; alone
-they have NULL.
+separate documents. Rows with a NULL id take part, but cannot name a component; linked
+only with each other, or alone, they have NULL.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ PERCENT = 80
 PLACES = 1 << 16
 FREQUENT = 8
 _GROWTH = 5 / 3
+#: Ids of texts to verify that are broadcast; more are joined by a shuffle.
+SENT_IDS = 500_000
 
 
 def shingles(text: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -80,6 +82,21 @@ def _signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return W.mix(_summed(W.mix(h + np.uint64(0x632BE59BD9B4E019)), bounds) + size).view(np.int64)
 
 
+def _parity(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words of the parity sketches, words of each): at least as many bits as elements, 256 at least."""
+    n = np.diff(bounds)
+    length = np.int64(1) << np.maximum(2, np.ceil(np.log2(np.maximum(n, 1) / 64)).astype(np.int64))
+    first = np.cumsum(length) - length
+    place = np.repeat(first, n) + ((h >> np.uint64(6)) & np.repeat(length - 1, n).astype(np.uint64)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    place, bit = place[order], np.left_shift(np.uint64(1), h[order] & np.uint64(63))
+    words = np.zeros(int(length.sum()), np.uint64)
+    if len(place):
+        opens = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        words[place[opens]] = np.bitwise_xor.reduceat(bit, opens)
+    return words, length
+
+
 class Bands:
     """Sizes of bands, the sketch blocks of each, and how far linked sets can differ."""
 
@@ -178,17 +195,68 @@ def _keys(docs: DataFrame, text: str, size: int, bands: Bands, frequent: np.ndar
     return docs.select(F.col(text).cast("string")).mapInArrow(emit, "key bigint, node bigint")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets link."""
-    a = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    b = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return (
-        pairs.select("a", "b").join(a, "a").join(b, "b")
-        .withColumn("_i", both)
-        .filter(100 * F.col("_i") >= percent * (F.size("x") + F.size("y") - F.col("_i")))
-        .select("a", "b")
+def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets link.
+
+    Texts are brought together, not sets: they are smaller once compressed.
+    """
+
+    @F.arrow_udf("boolean")
+    def link(x: pa.Array, y: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        a, b = a.to_numpy(), b.to_numpy()
+        for at in range(0, len(x), 128):
+            sides = []
+            for text, sign in ((x, a), (y, b)):
+                sets = []
+                for h, bounds in shingles(text.slice(at, 128), size):
+                    # A repeated id may stand for another text: then this is no pair.
+                    right = _signatures(h, bounds) == sign[at + len(sets) : at + len(sets) + len(bounds) - 1]
+                    sets += [h[i:j] if ok else None for i, j, ok in zip(bounds[:-1], bounds[1:], right)]
+                sides.append(sets)
+            for g, h in zip(*sides):
+                if g is None or h is None:
+                    out.append(False)
+                    continue
+                both = int((h[np.minimum(np.searchsorted(h, g), len(h) - 1)] == g).sum())
+                out.append(100 * both >= percent * (len(g) + len(h) - both))
+        return pa.array(out, pa.bool_())
+
+    @F.arrow_udf("boolean")
+    def near(n: pa.Array, o: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+        """Whether parity sketches leave a link possible. The longer one is folded."""
+        out = []
+        for n, o, x, y in zip(n.to_pylist(), o.to_pylist(), x, y):
+            x, y = x.values.to_numpy(), y.values.to_numpy()
+            while len(x) > len(y):
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            while len(y) > len(x):
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            apart = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+            out.append((100 + percent) * apart <= (100 - percent) * (n + o))
+        return pa.array(out, pa.bool_())
+
+    def side(name):
+        return nodes.select(
+            F.col("node").alias(name), F.col("doc_id").alias(f"d{name}"), F.col("n").alias(f"n{name}"), F.col("sketch").alias(f"s{name}")
+        )
+
+    named = settle(
+        pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+        .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        .withColumn("ok", near.asNondeterministic()("na", "nb", "sa", "sb")).filter("ok").select("a", "b", "da", "db")
+    )
+    # Few texts are asked for. Their ids are sent to all while they are few enough; beyond, both sides are shuffled.
+    ids = settle(named.select(F.col("da").alias("_id")).union(named.select("db")).distinct())
+    small = ids.count() <= SENT_IDS
+    docs = settle(docs.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"))
+    x = docs.select(F.col("doc_id").alias("da_"), F.col("text").alias("x"))
+    y = docs.select(F.col("doc_id").alias("db_"), F.col("text").alias("y"))
+    both = (
+        named.join(x, F.col("da").eqNullSafe(F.col("da_"))).select("a", "b", "db", "x")
+        .join(y, F.col("db").eqNullSafe(F.col("db_"))).select("a", "b", link.asNondeterministic()("x", "y", "a", "b").alias("ok"))
     )
+    return both.filter("ok").select("a", "b").distinct()
 
 
 def _fits(x: str, y: str, percent: int) -> Column:
@@ -206,63 +274,49 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, doc_id
     bands = Bands(percent)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
-    @F.arrow_udf("struct<n:bigint,node:bigint>")
+    @F.arrow_udf("struct<node:bigint,n:bigint,s0:bigint,s1:bigint,s2:bigint,s3:bigint,sketch:array<bigint>>")
     def signed(text: pa.Array) -> pa.Array:
-        n, node = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for h, bounds in shingles(text, size):
-            n.append(np.diff(bounds))
-            node.append(_signatures(h, bounds))
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(n)), pa.array(np.concatenate(node))], ["n", "node"])
-
-    @F.arrow_udf("struct<node:bigint,n:bigint,s0:bigint,s1:bigint,s2:bigint,s3:bigint,items:array<bigint>>")
-    def whole(text: pa.Array) -> pa.Array:
         parts = [[np.zeros(0, np.int64)] for _ in range(7)]
+        counts = [np.zeros(0, np.int64)]
         for h, bounds in shingles(text, size):
-            parts[0].append(_signatures(h, bounds))
-            parts[1].append(np.diff(bounds))
-            places, bit = (h >> np.uint64(6)) & np.uint64(3), np.left_shift(np.uint64(1), h & np.uint64(63))
-            for i in range(4):
-                # Exclusive or of each text's part, by differences of its running value.
-                run = np.concatenate((np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.where(places == i, bit, np.uint64(0)))))
-                parts[2 + i].append((run[bounds[1:]] ^ run[bounds[:-1]]).view(np.int64))
-            parts[6].append(h.view(np.int64))
-        flat = [np.concatenate(p) for p in parts]
+            words, length = _parity(h, bounds)
+            first = (np.cumsum(length) - length) // 4
+            folded = np.bitwise_xor.reduceat(words.reshape(-1, 4), first, axis=0)
+            columns = (_signatures(h, bounds), np.diff(bounds), *(folded[:, i].view(np.int64) for i in range(4)), words.view(np.int64))
+            for part, column in zip(parts, columns):
+                part.append(np.ascontiguousarray(column))
+            counts.append(length)
+        flat = [pa.array(np.concatenate(p)) for p in parts]
         return pa.StructArray.from_arrays(
-            [*map(pa.array, flat[:6]), W.list_array(flat[1], pa.array(flat[6]))], ["node", "n", "s0", "s1", "s2", "s3", "items"]
+            [*flat[:6], W.list_array(np.concatenate(counts), flat[6])], ["node", "n", "s0", "s1", "s2", "s3", "sketch"]
         )
 
-    signed, whole = signed.asNondeterministic(), whole.asNondeterministic()
-    known = settle(docs.select("doc_id", signed("text").alias("s")).select("doc_id", "s.n", "s.node"))
-    nodes = known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    known = settle(docs.select("doc_id", signed.asNondeterministic()("text").alias("s")).select("doc_id", "s.*"))
+    light = settle(known.filter("n > 0").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3", "sketch")]
+    ))
 
     keys = _keys(docs, "text", size, bands, _frequent(docs, "text", size, bands))
     centres = keys.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre <> last")
-    groups = settle(keys.join(centres.select("key", "centre"), "key").distinct())
+    groups = settle(keys.join(centres, "key").distinct())
 
-    needed = groups.select("node").distinct().join(nodes, "node")
-    sets = settle(
-        docs.join(needed.select("doc_id", F.col("node").alias("_node")), "doc_id")
-        .select("_node", whole("text").alias("s")).filter("s.node = _node").select("s.*").dropDuplicates(["node"])
-    )
-    light = sets.drop("items")
-
-    stars = groups.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     stars = (
-        stars.join(light.alias("x"), F.col("a") == F.col("x.node")).join(light.alias("y"), F.col("b") == F.col("y.node"))
-        .filter(_fits("x", "y", percent)).select("a", "b")
+        groups.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+        .union(groups.filter("node not in (centre, last)").select(F.col("node").alias("a"), F.col("last").alias("b")))
+        .distinct()
     )
-    links = settle(_linked(stars, sets, percent))
+    links = settle(_linked(stars, docs, light, size, percent))
     first = settle(components(links))
 
     placed = groups.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = (
-        placed.filter("node <> centre").groupBy("key")
+        placed.filter("node not in (centre, last)").groupBy("key")
         .agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("key")
     )
     # Many keys name the same two nodes, so pairs are made once per pair of nodes.
     others = (
-        placed.filter("node <> centre").join(split, "key").select("key", "node", "component").distinct()
-        .join(light, "node")
+        placed.filter("node not in (centre, last)").join(split, "key").select("key", "node", "component").distinct()
+        .join(light.drop("doc_id", "sketch"), "node")
     )
     x, y = others.alias("x"), others.alias("y")
     crossing = (
@@ -272,14 +326,19 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, doc_id
                 F.col("x.component").alias("ca"), F.col("y.component").alias("cb")).distinct()
     )
     crossing = settle(crossing)
-    more = _linked(crossing, sets, percent).join(crossing, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    second = components(more).select(F.col("node").alias("component"), F.col("component").alias("_joined"))
-    final = (
-        first.join(second, "component", "left").select("node", F.coalesce("_joined", "component").alias("component"))
-        .union(second.join(first.select("component").distinct(), "component", "left_anti").select("component", "_joined"))
-    )
+    final = first
+    if not crossing.isEmpty():
+        more = _linked(crossing.select("a", "b"), docs, light, size, percent).join(crossing, ["a", "b"])
+        second = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        second = settle(second.select(F.col("node").alias("component"), F.col("component").alias("_joined")))
+        alone = second.join(first.select("component").distinct(), "component", "left_anti")
+        final = (
+            first.join(second, "component", "left").select("node", F.coalesce("_joined", "component").alias("component"))
+            .union(alone.select("component", "_joined"))
+        )
     named = (
-        nodes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        light.select("node", "doc_id").join(final, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
     )
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(names, "component").select("node", "component_id")
