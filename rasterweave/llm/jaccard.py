@@ -5,11 +5,11 @@ lower-cased; with fewer words the whole sequence, without words the empty set),
 64-bit hashes. Two sets link when 100 * intersection >= percent * union.
 
 Sets of similar size share a band, and each band has a number of sketch blocks of 64
-bits. Each shingle toggles one bit of one block, so the blocks in which two sketches
-differ are at most as many as the elements in which the sets differ. Linked sets of
+bits. Each shingle is XORed into one block, so the blocks in which two sketches differ
+are at most as many as the elements in which the sets differ. Linked sets of
 sizes a and b differ in at most d = (100 - percent) * (a + b) / (100 + percent)
 elements; so under any common order of (block, value) the first d + 1 blocks of both
-share one (pigeonhole). Blocks with many set bits come first, those that are
+share one (pigeonhole). Blocks with many shingles come first, those that are
 frequent in the corpus last: their frequency is counted over all documents in a
 table of fixed size. Sets near a band's lower end also join the band below.
 
@@ -127,7 +127,7 @@ class Bands:
 
 
 def sketches(h: np.ndarray, bounds: np.ndarray, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each band in the chunk: (texts, keys of their blocks, bits set in these), a row per text.
+    """For each band in the chunk: (texts, keys of their blocks, shingles in these), a row per text.
 
     Sets that can only link with equal ones are left out.
     """
@@ -146,13 +146,14 @@ def sketches(h: np.ndarray, bounds: np.ndarray, bands: Bands) -> Iterator[tuple[
         x = h[at]
         place = np.repeat(np.arange(len(some)) * m, size) + (((x >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(place, kind="stable")
-        place, bit = place[order], np.left_shift(np.uint64(1), x[order] & np.uint64(63))
+        place, tokens = place[order], W.mix(x[order])
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         value = np.zeros(len(some) * m, np.uint64)
-        value[place[first]] = np.bitwise_xor.reduceat(bit, first)
+        value[place[first]] = np.bitwise_xor.reduceat(tokens, first)
         value = value.reshape(len(some), m)
+        count = np.bincount(place, minlength=value.size).reshape(value.shape)
         salt = W.mix(np.arange(m, dtype=np.uint64) + np.uint64((int(band) + 1) << 32))
-        yield some, W.mix(value + salt), np.bitwise_count(value)
+        yield some, W.mix(value + salt), count
 
 
 def _frequent(docs: DataFrame, text: str, size: int, bands: Bands) -> np.ndarray:
@@ -162,8 +163,8 @@ def _frequent(docs: DataFrame, text: str, size: int, bands: Bands) -> np.ndarray
         total = np.zeros(PLACES, np.int64)
         for batch in batches:
             for h, bounds in shingles(batch.column(0), size):
-                for _, keys, bits in sketches(h, bounds, bands):
-                    total += np.bincount((keys[bits > 0] >> np.uint64(48)).astype(np.int64), minlength=PLACES)
+                for _, keys, filled in sketches(h, bounds, bands):
+                    total += np.bincount((keys[filled > 0] >> np.uint64(48)).astype(np.int64), minlength=PLACES)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["place", "n"])
 
@@ -182,9 +183,9 @@ def _keys(docs: DataFrame, text: str, size: int, bands: Bands, frequent: np.ndar
         for batch in batches:
             for h, bounds in shingles(batch.column(0), size):
                 signs, need = _signatures(h, bounds), bands.differ(np.diff(bounds)) + 1
-                for some, keys, bits in sketches(h, bounds, bands):
+                for some, keys, filled in sketches(h, bounds, bands):
                     late = frequent[(keys >> np.uint64(48)).astype(np.int64)].astype(np.uint64)
-                    rank = (late << np.uint64(63)) | ((np.uint64(64) - bits) << np.uint64(56)) | (keys >> np.uint64(8))
+                    rank = (late << np.uint64(63)) | ((np.uint64(64) - np.minimum(filled, 64).astype(np.uint64)) << np.uint64(56)) | (keys >> np.uint64(8))
                     order = np.argsort(rank, axis=1, kind="stable")
                     use = np.arange(keys.shape[1]) < need[some][:, None]
                     chosen = np.take_along_axis(keys, order, 1)[use].view(np.int64)
