@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterweave.llm import words as W
+from rasterweave.llm.columns import unused
 from rasterweave.sources.settle import settle
 
 LENGTH = 35
@@ -199,7 +200,8 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
         .filter("n > 1").select("anchor", (F.col("a") == F.col("b")).alias("equal"))
     )
-    hits = settle(every.join(anchors, "anchor"))
+    # Stored first, so that the join below starts from exchanges and hot anchors can be split.
+    hits = settle(every.join(settle(anchors), "anchor"))
     place = ["rid", "start", "windows"]
     equal, mixed = hits.filter("equal").select(place), hits.filter("not equal")
     kinds = settle(
@@ -260,9 +262,10 @@ def remove(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
 
     A column named like ``out`` is replaced; the others stay as they are.
     """
+    key, found = unused(docs, "_rid"), unused(docs, "_spans")
     spans = (
         repeated(_keyed(docs, doc_id, text), length)
-        .groupBy(F.col("rid").alias("_rid")).agg(F.collect_set(F.struct("start", "windows")).alias("_spans"))
+        .groupBy(F.col("rid").alias(key)).agg(F.collect_set(F.struct("start", "windows")).alias(found))
     )
 
     @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,text:string>")
@@ -285,8 +288,8 @@ def remove(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
             [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["n_words", "n_removed", "text"]
         )
 
-    keyed = docs.withColumn("_rid", F.xxhash64(doc_id, text)).join(spans, "_rid", "left")
-    return keyed.withColumn(out, cut.asNondeterministic()(F.col(text).cast("string"), "_spans")).drop("_rid", "_spans")
+    keyed = docs.withColumn(key, F.xxhash64(doc_id, text)).join(spans, key, "left")
+    return keyed.withColumn(out, cut.asNondeterministic()(F.col(text).cast("string"), F.col(found))).drop(key, found)
 
 
 def digest(docs: DataFrame) -> DataFrame:
