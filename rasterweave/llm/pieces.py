@@ -31,9 +31,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARPNESS = 2.0
 #: Pieces that are broadcast at most.
 MAX_PIECES = 1 << 20
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _BUCKETS = (4, 8, 12, 16, 24, 32, 48, 64)
-_BITS = 20
+_BITS = 18
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,7 +153,7 @@ def sample(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, v: dict, see
     bounds = [0, *[b for b in _BUCKETS if b < size.max()], int(size.max())]
     for low, high in zip(bounds[:-1], bounds[1:]):
         kinds = np.flatnonzero((size[first] > low) & (size[first] <= high))
-        limit = max(1, (1 << 22) // (high * min(high, max(v["tables"])) + 1))
+        limit = max(1, (1 << 21) // (high * min(high, max(v["tables"])) + 1))
         for a in range(0, len(kinds), limit):
             part = kinds[a : a + limit]
             own = np.full(len(first), -1)
@@ -223,7 +223,7 @@ def encode(docs: DataFrame, v: dict, key: Column, text: str = "text", out: str =
 
 def decode(docs: DataFrame, v: dict, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``: the text that the ids spell. A column of that name is replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(v)
+    shared = docs.sparkSession.sparkContext.broadcast({k: v[k] for k in ("bytes", "ends")})
 
     @F.arrow_udf("string")
     def decoded(ids: pa.Array) -> pa.Array:
