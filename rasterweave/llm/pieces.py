@@ -8,7 +8,7 @@ are hashes of the row's key, the place in the text and a seed: the same row alwa
 the same pieces, on any machine.
 
 Spaces are pieces' word marks, nothing is normalised and no prefix is added. Characters
-that no single piece stands for become byte pieces, so decoding gives back every text
+that no single piece stands for become byte pieces, as do bytes where no piece can end, so decoding gives back every text
 exactly; each text is decoded and compared, and would be encoded as bytes if it
 differed. No piece spans the cut before a space or next to a byte that no piece has, so
 lattices are built once for the different stretches between cuts, a batch at a time.
@@ -112,6 +112,10 @@ def lattices(data: np.ndarray, size: np.ndarray, v: dict) -> tuple[np.ndarray, n
         for k in range(c):
             score[row[bare], at[bare] + k + 1, 0] = 0
             ids[row[bare], at[bare] + k + 1, 0] = v["of_byte"][data[row[bare], at[bare] + k]]
+    # Bytes where no edge ends, such as a part of a character in a stretch of its own: an edge for each.
+    row, at = np.nonzero((ids < 0).all(2)[:, 1:] & (np.arange(n) < size[:, None]))
+    score[row, at + 1, 0] = 0
+    ids[row, at + 1, 0] = v["of_byte"][data[row, at]]
     ahead = np.full((n_rows, n + 1), -np.inf, np.float32)
     ahead[:, 0] = 0
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -195,12 +199,16 @@ def _encoded(text: pa.Array, keys: np.ndarray, v: dict, seed: int) -> pa.Array:
     counts, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for row, to, data, offsets in W.chunks(text, _CHUNK):
         ids, n = sample(data, offsets, keys[row:to], v, seed)
-        back, size = spell(ids, v)
-        if len(back) != len(data) or (back != data).any():
+        whole = not (ids < 0).any()
+        if whole:
+            back, _ = spell(ids, v)
+            whole = len(back) == len(data) and not (back != data).any()
+        if not whole:
             parts, bounds = [], np.concatenate(([0], np.cumsum(n)))
             for r in range(to - row):
                 own, raw = ids[bounds[r] : bounds[r + 1]], data[offsets[r] : offsets[r + 1]]
-                parts.append(own if spell(own, v)[0].tobytes() == raw.tobytes() else v["of_byte"][raw])
+                right = not (own < 0).any() and spell(own, v)[0].tobytes() == raw.tobytes()
+                parts.append(own if right else v["of_byte"][raw])
             ids, n = np.concatenate(parts), np.array([len(p) for p in parts])
         counts.append(n)
         flat.append(ids)

@@ -6,6 +6,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,23 @@ def test_pieces_round_trip(spark, docs):
     assert one == pieces.encode(docs.repartition(3).orderBy("doc_id"), v, F.col("doc_id")).select("ids").collect()
 
 
+def test_pieces_of_characters_whose_bytes_no_piece_has(spark):
+    flag = "\U0001F3F4\U000E0067\U000E0062\U000E0065\U000E006E\U000E0067\U000E007F"
+    texts = ["\u0780", flag, f"so {flag}{flag} it\u0780\u0780 \u0710x", "\u0780", "a\U000F0000", "\U0010FFFFb there"]
+    got = pieces.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert len(got) == len(texts) and all(r["lossless"] for r in got)
+    v = pieces.vocabulary()
+    raw = np.frombuffer("\u0780".encode(), np.uint8)
+    assert {r["doc_id"]: r["ids"] for r in got}[0] == v["of_byte"][raw].tolist()
+
+
+def test_pieces_without_a_way_become_bytes(monkeypatch):
+    v = pieces.vocabulary()
+    monkeypatch.setattr(pieces, "sample", lambda *_: (np.array([-1, 5], np.int32), np.array([1, 1])))
+    got = pieces._encoded(pa.array(["ab", "c"]), np.array([1, 2]), v, 0).to_pylist()
+    assert got == [v["of_byte"][list(t)].tolist() for t in (b"ab", b"c")]
+
+
 def test_pieces_are_drawn_in_proportion():
     v = pieces.vocabulary()
     text = b"there"
