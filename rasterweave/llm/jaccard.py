@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterweave.llm import words as W
+from rasterweave.llm.columns import unused
 from rasterweave.llm.graphs import components
 from rasterweave.sources.settle import settle
 
@@ -270,8 +271,8 @@ def _fits(x: str, y: str, percent: int) -> Column:
     )
 
 
-def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each document."""
+def _placed(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text_hash, n, component, component_id) of each document; component is a node, NULL for empty sets."""
     bands = Bands(percent)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
@@ -292,7 +293,10 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, doc_id
             [*flat[:6], W.list_array(np.concatenate(counts), flat[6])], ["node", "n", "s0", "s1", "s2", "s3", "sketch"]
         )
 
-    known = settle(docs.select("doc_id", signed.asNondeterministic()("text").alias("s")).select("doc_id", "s.*"))
+    known = settle(
+        docs.select("doc_id", F.xxhash64("text").alias("text_hash"), signed.asNondeterministic()("text").alias("s"))
+        .select("doc_id", "text_hash", "s.*")
+    )
     light = settle(known.filter("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3", "sketch")]
     ))
@@ -342,16 +346,37 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, doc_id
         .withColumn("component", F.coalesce("component", "node"))
     )
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(names, "component").select("node", "component_id")
+    named = named.join(names, "component").select("node", "component", "component_id")
     return known.join(named, (known["node"] == named["node"]) & (known["n"] > 0), "left").select(
-        known["doc_id"], known["n"].alias("n_shingles"), F.coalesce("component_id", known["doc_id"]).alias("component_id")
+        known["doc_id"], "text_hash", known["n"], "component", F.coalesce("component_id", known["doc_id"]).alias("component_id")
     )
 
 
+def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each document."""
+    return _placed(docs, size, percent, doc_id, text).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def keep_first(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The document with the smallest id of each class, with its columns."""
-    kept = classes(docs, size, percent).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One row of each class, with its columns: that of the smallest id, NULL last (ties: smallest text hash).
+
+    Of rows with equal ids and texts one stays, whichever comes first. Rows without words stand alone and all stay.
+    """
+    hash_, rows_ = unused(docs, "_hash"), unused(docs, "_rows")
+    placed = _placed(docs, size, percent, "doc_id", "text")
+    each = placed.filter("n > 0").groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    heads = each.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n")).alias("h"))
+    alone = placed.filter("n = 0").select("doc_id", "text_hash", F.lit(1).cast("bigint").alias("n")).distinct()
+    kept = settle(heads.select("h.doc_id", "h.text_hash", "h.n").union(alone)).withColumnsRenamed({"text_hash": hash_, "n": rows_})
+
+    def having(kept):
+        named = docs.withColumn(hash_, F.xxhash64(F.col("text").cast("string")))
+        return named.join(kept, named["doc_id"].eqNullSafe(kept["doc_id"]) & (named[hash_] == kept[hash_]), "left_semi")
+
+    repeated = kept.filter(F.col(rows_) > 1)
+    if repeated.isEmpty():
+        return having(kept).drop(hash_)
+    return having(kept.filter(F.col(rows_) == 1)).union(having(repeated).dropDuplicates(["doc_id", hash_])).drop(hash_)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -124,6 +124,21 @@ def test_jaccard_edges(spark):
     assert rows(jaccard.digest(docs.limit(0))) == []
 
 
+def test_jaccard_keeps_one_row_of_each_class(spark):
+    rng = random.Random(8)
+    long, other = prose(rng, 60, 400), prose(rng, 60, 400)
+    texts = [
+        (1, long), (1, long), (2, long + " end"), (2, other), (4, other + " end"), (5, "a b c"), (5, "d e f"),
+        (None, long), (None, "x y z"), (None, "x y z"), (None, "u v w"), (6, None), (7, ""), (7, ""),
+    ]
+    docs = spark.createDataFrame([(*t, i) for i, t in enumerate(texts)], DOCS + ", _hash int")
+    got = rows(jaccard.keep_first(docs).select("doc_id", "text"))
+    wanted = [(1, long), (2, other), (5, "a b c"), (5, "d e f"), (None, "x y z"), (None, "u v w"), (6, None), (7, ""), (7, "")]
+    assert got == sorted(wanted, key=str)
+    twice = docs.union(docs).filter("text <> ''")
+    assert rows(jaccard.keep_first(twice).select("doc_id", "text")) == sorted([w for w in wanted if w[1]], key=str)
+
+
 def test_bands_cover_all_linked_sizes():
     for percent in (60, 80, 85):
         bands = jaccard.Bands(percent)
