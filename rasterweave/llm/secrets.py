@@ -9,7 +9,9 @@ inside or outside of a secret. Features are the word's shape, the shapes of the
 next to it, the two words before it, and features of the file (its length, how many
 digits and assignment signs it has). Its weights are learned by maximum likelihood on
 at most FIT_ROWS windows of words around pattern findings, as many around other words
-with digits and as many elsewhere, with the findings as labels. Viterbi decoding is exact: a word whose margin for outside
+with digits and as many elsewhere, with the findings as labels, and as many around
+findings whose value is broken into words of PIECE bytes: the first of a value is begin,
+the others inside. A keyword and sign before a value are outside. Viterbi decoding is exact: a word whose margin for outside
 exceeds whatever its transitions could gain splits the sequence, and the stretches
 between are decoded step by step. Spans of the field that meet no pattern span are added
 as kind ``crf``.
@@ -37,6 +39,8 @@ KINDS = ("assign", "access", "hex", "crf")
 FIT_ROWS = 1500
 WINDOW = 8
 ROUNDS = 60
+#: Bytes of the words into which values are broken to learn from.
+PIECE = 8
 OUT, BEGIN, INSIDE = range(3)
 MASK = "[secret]"
 
@@ -146,13 +150,34 @@ def likelihood(emit: np.ndarray, move: np.ndarray, tags: np.ndarray, size: np.nd
     return by_emit, pairs
 
 
+def broken(data: np.ndarray, offsets: np.ndarray, found: W.Words, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, tags) of the windows around some words, with each of these broken into words of PIECE bytes."""
+    text = found.rows()[at]
+    a = np.maximum(at - WINDOW, found.first[text])
+    b = np.minimum(at + WINDOW + 1, found.first[text + 1])
+    parts, tags = [], []
+    for i, x, y in zip(at.tolist(), a.tolist(), b.tolist()):
+        s, e = int(found.start[i]), int(found.end[i])
+        raw = data[s:e].tobytes()
+        pieces = [raw[k : k + PIECE] for k in range(0, len(raw), PIECE)]
+        parts.append(data[found.start[x] : s].tobytes() + b" ".join(pieces) + data[e : found.end[y - 1]].tobytes())
+        tags.append(np.array([OUT] * (i - x) + [BEGIN] + [INSIDE] * (len(pieces) - 1) + [OUT] * (y - 1 - i), np.int8))
+    own = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+    every = np.frombuffer(b"".join(parts), np.uint8)
+    words = W.Words(every, own, W.NON_SPACE)
+    places = features(every, own, words)
+    # The file is the one that the window is from.
+    places[-1] = features(data, offsets, found)[-1][at][words.rows()]
+    return [(places[:, i:j], t) for i, j, t in zip(words.first[:-1].tolist(), words.first[1:].tolist(), tags)]
+
+
 def fit(docs: DataFrame, text: str = "text") -> dict:
     """Weights of features and transitions, learned from pattern findings."""
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The windows of smallest hash of each class in a partition, equal ones once."""
-        kept: list[dict] = [{}, {}, {}]
-        limit = [np.uint64(0xFFFFFFFFFFFFFFFF)] * 3
+        kept: list[dict] = [{}, {}, {}, {}]
+        limit = [np.uint64(0xFFFFFFFFFFFFFFFF)] * 4
         for batch in batches:
             for _, _, data, offsets in W.chunks(batch.column(0)):
                 found = W.Words(data, offsets, W.NON_SPACE)
@@ -180,10 +205,19 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
                         places = features(data, offsets, found)
                     for i in np.flatnonzero(use).tolist():
                         kept[label][int(rank[i])] = (places[:, a[i] : b[i]].T.ravel().tolist(), tags[a[i] : b[i]].tolist())
+                    if label == 1:
+                        use = rank < limit[3]
+                        use &= (found.end - found.start)[at] > PIECE
+                        # No other finding in the window, for that would have to be broken as well.
+                        use &= marked[b] - marked[a] == 1
+                        if use.any():
+                            for r, (p, t) in zip(rank[use].tolist(), broken(data, offsets, found, at[use])):
+                                kept[3][r] = (p.T.ravel().tolist(), t.tolist())
+                for label in range(4):
                     if len(kept[label]) > 2 * FIT_ROWS:
                         kept[label] = dict(sorted(kept[label].items(), key=lambda x: x[0])[:FIT_ROWS])
                         limit[label] = np.uint64(max(kept[label]))
-        out = [(label, r >> 1, *row) for label in range(3) for r, row in kept[label].items()]
+        out = [(label, r >> 1, *row) for label in range(4) for r, row in kept[label].items()]
         columns = list(zip(*out)) or [[]] * 4
         types = [pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["label", "rank", "places", "tags"])
@@ -193,7 +227,7 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
     ))
     # The windows with the smallest rank of each class, equal ones once.
     rows = [
-        r for label in range(3)
+        r for label in range(4)
         for r in every.filter(F.col("label") == label).dropDuplicates(["rank"]).orderBy("rank").limit(FIT_ROWS).collect()
     ]
     return learn([(np.array(r["places"]).reshape(-1, len(_GROUPS)), np.array(r["tags"])) for r in rows])

@@ -206,6 +206,14 @@ def test_secrets_field_adds_what_patterns_miss(spark, docs):
     assert secrets.scan(clean, model).filter(F.size("secrets") > 0).count() <= 0.01 * clean.count()
 
 
+def test_secrets_of_several_words_are_one_span(spark, docs):
+    model = secrets.fit(docs)
+    text = 'and the thing of it token = "24be6443 9e3e49cf 46b2d7c9 0f3602a3 d0b907ff" over the thing and more'
+    value = text[text.index('"') : text.rindex('"') + 1]
+    spans = secrets.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), model).first()["secrets"]
+    assert [text[s["start"] : s["end"]] for s in spans] == [value]
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(2)
     for _ in range(200):
