@@ -1,12 +1,15 @@
 """License scans: TF-IDF cosine of passages to templates, then inheritance by directory.
 
-DataFrame functions only. A passage is a line, or a sentence of it (a stop, blanks and a
-capital part two), of the whole text; its terms are runs of a-z and 0-9 of the lower-cased
-passage.
+DataFrame functions only. The parts of a text are its lines, or sentences of these (a stop,
+blanks and a capital part two), that have terms: runs of a-z and 0-9 of the lower-cased part,
+so comment marks drop out. A passage is any run of consecutive parts up to the first that
+makes it REACH times as long as the longest template, so wrapped notices are compared as one;
+the header, which is the leading comment of a text, is a passage of any length. The text as a
+whole is compared with whole licences, weighed by their own terms.
 A term that templates have weighs its count times 1 + ln((1 + texts) / (1 + texts with
 it)) over all texts, any other term its count. A file's licence is that of the template
-with the largest cosine to any of its passages, if that reaches THRESHOLD (ties: first
-template).
+with the largest cosine to any of its passages, or to the whole, if that reaches THRESHOLD
+(ties: first template, whole licences last).
 
 Passages with none of a template's anchors are not looked at: the anchors are its
 heaviest terms, as many as it takes for the others to stay below the threshold however
@@ -46,13 +49,39 @@ TEMPLATES = (
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
+#: Texts of whole licences; a parameter. Others are found by the notices that they contain.
+WHOLE = (
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use,
+copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software
+is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included
+in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
+EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright
+holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior
+written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+)
 THRESHOLD = 0.8
+#: Passages of several parts end with the part that makes them so many times as long as the longest template.
+REACH = 2
 #: File names that declare a licence for their directory.
 FILES = r"(?i)^(licen[cs]e|copying|unlicense)([.-].*)?$"
 #: Templates are literals of the plan.
 MAX_TEMPLATES = 1000
 
 _SENTENCE = r"([.!?])[ \t]+([A-Z])"
+_COMMENT = r"(?i)^\s*($|#|//|/\*|\*|--|;|%|<!--|\"\"\"|'''|(rem|dnl)\s)"
+_BLOCK = r"(?s)^\s*(?:/\*|<!--|\"\"\")(.*?)(?:\*/|-->|\"\"\")"
 
 
 def terms(text: Column) -> Column:
@@ -89,41 +118,90 @@ def anchors(templates: Sequence[tuple[str, str]], weight: dict[str, float], thre
     return sorted(out)
 
 
-def match(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """(key, license, score) of texts that match a template; key is ``text_key`` of the text."""
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
-    spark = docs.sparkSession
-    weight = weights(docs, templates, text)
-    if not weight:
-        return spark.createDataFrame([], "key bigint, license string, score double")
+def header(text: Column) -> Column:
+    """The leading comment: a block comment, or the comment and blank lines before any other; else empty or NULL."""
+    lines = F.split(text, "\n")
+    other = F.array_position(F.transform(lines, lambda x: ~x.rlike(_COMMENT)), True)
+    leading = F.array_join(F.when(other > 0, F.slice(lines, 1, other.cast("int") - 1)).otherwise(lines), "\n")
+    block = F.regexp_extract(text, _BLOCK, 1)
+    return F.when(block != "", block).otherwise(leading)
+
+
+def runs(docs: DataFrame, limit: int, marked: Column, text: str) -> DataFrame:
+    """(key, no, size, words) of the passages with a marked term; a header has size 0."""
+    parts = docs.select(
+        F.xxhash64(text).alias("key"), terms(header(F.col(text))).alias("header"),
+        F.filter(F.transform(passages(F.col(text)), terms), lambda x: F.size(x) > 0).alias("parts"),
+    )
+
+    def reach(i):
+        """Parts from the i-th on until there are ``limit`` terms. Each has one at least."""
+        none = F.struct(F.lit(0).alias("terms"), F.lit(0).alias("parts"))
+        return F.aggregate(
+            F.slice("parts", i, limit), none,
+            lambda a, x: F.when(a["terms"] < limit, F.struct((a["terms"] + F.size(x)).alias("terms"), (a["parts"] + 1).alias("parts"))).otherwise(a),
+            lambda a: a["parts"],
+        )
+
+    ahead = F.transform(
+        F.when(F.size("parts") > 0, F.sequence(F.lit(1), F.size("parts"))),
+        lambda i: F.struct(i.alias("no"), F.slice("parts", i, reach(i)).alias("ahead")),
+    )
+    starts = parts.select("key", F.inline(F.filter(ahead, lambda x: F.arrays_overlap(F.flatten(x["ahead"]), marked))))
+    several = starts.select("key", "no", "ahead", F.explode(F.sequence(F.lit(1), F.size("ahead"))).alias("size")).select(
+        "key", "no", "size", F.flatten(F.slice("ahead", 1, F.col("size"))).alias("words")
+    )
+    headers = parts.select("key", F.lit(0).alias("no"), F.lit(0).alias("size"), F.col("header").alias("words"))
+    return several.union(headers).filter(F.arrays_overlap("words", marked))
+
+
+def _cosines(
+    docs: DataFrame, templates: Sequence[tuple[str, str]], weight: dict[str, float], threshold: float, text: str, whole: bool
+) -> DataFrame:
+    """(key, license, template, score) of passages, or whole texts, that reach the threshold."""
     rows = []
     for i, (name, notice) in enumerate(templates):
         counts = Counter(re.findall("[a-z0-9]+", notice.lower()))
         norm = math.sqrt(sum((n * weight[w]) ** 2 for w, n in counts.items()))
-        rows += [(w, i, name, n * weight[w] / norm) for w, n in counts.items()]
-    table = spark.createDataFrame(rows, "term string, template int, license string, share double")
+        rows += [(w, i + MAX_TEMPLATES * whole, name, n * weight[w] / norm) for w, n in counts.items()]
+    table = docs.sparkSession.createDataFrame(rows, "term string, template int, license string, share double")
     values = F.create_map(*[F.lit(x) for w in weight.items() for x in w])
-    needed = "|".join(anchors(templates, weight, threshold))
-    some = rf"(?i)(^|[^a-z0-9])({needed})($|[^a-z0-9])"
+    needed = anchors(templates, weight, threshold)
+    some = docs.filter(F.col(text).rlike(rf"(?i)(^|[^a-z0-9])({'|'.join(needed)})($|[^a-z0-9])"))
+    if whole:
+        read = some.select(F.xxhash64(text).alias("key"), F.lit(0).alias("no"), F.lit(0).alias("size"), terms(F.col(text)).alias("words"))
+    else:
+        longest = max(len(re.findall("[a-z0-9]+", t.lower())) for _, t in templates)
+        read = runs(some, REACH * longest, F.array(*map(F.lit, needed)), text)
     found = (
-        docs.filter(F.col(text).rlike(some)).select(F.xxhash64(text).alias("key"), F.posexplode(passages(F.col(text))).alias("no", "passage"))
-        .filter(F.col("passage").rlike(some))
-        .select("key", "no", F.explode(terms(F.col("passage"))).alias("term"))
-        .groupBy("key", "no", "term").agg(F.count(F.lit(1)).alias("n"))
+        read.select("key", "no", "size", F.explode("words").alias("term"))
+        .groupBy("key", "no", "size", "term").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("w", F.col("n") * F.coalesce(values[F.col("term")], F.lit(1.0)))
     )
-    norms = found.groupBy("key", "no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = found.join(F.broadcast(table), "term").groupBy("key", "no", "template", "license").agg(
+    norms = found.groupBy("key", "no", "size").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = found.join(F.broadcast(table), "term").groupBy("key", "no", "size", "template", "license").agg(
         F.sum(F.col("w") * F.col("share")).alias("dot")
     )
     # Equal texts were counted together, which scales a passage but not its angle.
-    scored = dots.join(norms, ["key", "no"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
+    scored = dots.join(norms, ["key", "no", "size"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
+    return scored.filter(F.col("score") >= threshold).select("key", "license", "template", "score")
+
+
+def match(
+    docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text",
+    whole: Sequence[tuple[str, str]] = WHOLE,
+) -> DataFrame:
+    """(key, license, score) of texts that match a template; key is ``text_key`` of the text."""
+    if max(len(templates), len(whole)) > MAX_TEMPLATES:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates")
+    weight = weights(docs, [*templates, *whole], text)
+    scored = docs.sparkSession.createDataFrame([], "key bigint, license string, template int, score double")
+    for group in (templates, whole):
+        own = {w: weight[w] for w in sorted({w for _, t in group for w in re.findall("[a-z0-9]+", t.lower())})}
+        if own:
+            scored = scored.union(_cosines(docs, group, own, threshold, text, group is whole))
     best = F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("template")))
-    return (
-        scored.filter(F.col("score") >= threshold).groupBy("key").agg(best.alias("b"))
-        .select("key", "b.license", "b.score")
-    )
+    return scored.groupBy("key").agg(best.alias("b")).select("key", "b.license", "b.score")
 
 
 def folder(path: Column) -> Column:
@@ -151,12 +229,12 @@ def inherit(files: DataFrame, path: str, license: str) -> DataFrame:
 
 def scan(
     files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
-    path: str = "path", text: str = "text",
+    path: str = "path", text: str = "text", whole: Sequence[tuple[str, str]] = WHOLE,
 ) -> DataFrame:
     """Add own_license, score, inherited, declared_in and license (own or inherited)."""
     results = ("own_license", "score", "inherited", "declared_in", "license")
     key, mine, at, down = (unused(files, x) for x in ("_key", "_own", "_dir", "_down"))
-    found = match(files, templates, threshold, text).select(
+    found = match(files, templates, threshold, text, whole).select(
         F.col("key").alias(key), F.struct("license", "score").alias(mine)
     )
     own = files.withColumn(key, F.when(F.col(text).isNotNull(), F.xxhash64(text))).join(found, key, "left").drop(key)

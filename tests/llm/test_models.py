@@ -291,6 +291,49 @@ def test_licenses(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+def test_licenses_of_wrapped_notices_and_whole_files(spark):
+    gpl = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+"""
+    mit = """MIT
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction
+"""
+    bsd = """# Copyright 2020 Somebody
+#
+# Redistribution and use in source and binary
+# forms, with or without
+# modification, are
+# permitted provided that
+"""
+    prose = "the thing of it and more\nof the same over and over\n"
+    rows = [
+        ("g/COPYING", prose * 3 + gpl + prose * 3), ("g/a/x.c", "/*\n * x.c\n *\n" + gpl + " */\nint x;\n"), ("g/y.c", "int y;"),
+        ("m/LICENSE", mit), ("m/z.py", ""), ("b/q.py", bsd + "\nimport os\n"), ("p.txt", prose),
+        # The notice itself is gone: only the whole text is near.
+        ("w/LICENSE", licenses.WHOLE[0][1].split("documentation\nfiles", 1)[-1].split("(the", 1)[-1]),
+    ]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = {r["path"]: (r["own_license"], r["license"]) for r in licenses.scan(files).collect()}
+    assert got == {
+        "g/COPYING": ("GPL-3.0", "GPL-3.0"), "g/a/x.c": ("GPL-3.0", "GPL-3.0"), "g/y.c": (None, "GPL-3.0"),
+        "m/LICENSE": ("MIT", "MIT"), "m/z.py": (None, "MIT"), "b/q.py": ("BSD-3-Clause", "BSD-3-Clause"), "p.txt": (None, None),
+        "w/LICENSE": ("MIT", "MIT"),
+    }
+
+
+def test_licenses_header(spark):
+    texts = ["# a\n\n# b\ncode", "/* a\n b\n*/ code", "code\n# a", "// a\n// b", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", licenses.terms(licenses.header(F.col("text"))).alias("h"))
+    assert [r["h"] for r in df.orderBy("i").collect()] == [["a", "b"], ["a", "b"], [], ["a", "b"], []]
+
+
 def test_licenses_plan_has_no_python(spark, docs):
     plan = licenses.digest(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
