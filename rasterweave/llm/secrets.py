@@ -39,6 +39,8 @@ KINDS = ("assign", "access", "hex", "crf")
 FIT_ROWS = 1500
 WINDOW = 8
 ROUNDS = 60
+#: One of so many windows without findings is looked at.
+EVERY = 61
 #: Bytes of the words into which values are broken to learn from.
 PIECE = 8
 OUT, BEGIN, INSIDE = range(3)
@@ -175,9 +177,11 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
     """Weights of features and transitions, learned from pattern findings."""
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The windows of smallest hash of each class in a partition, equal ones once."""
+        """The windows of smallest hash of each class in a partition, equal ones once (smallest features)."""
         kept: list[dict] = [{}, {}, {}, {}]
         limit = [np.uint64(0xFFFFFFFFFFFFFFFF)] * 4
+        # Of the windows elsewhere only some are looked at, by their own hash.
+        limit[0] //= np.uint64(EVERY)
         for batch in batches:
             for _, _, data, offsets in W.chunks(batch.column(0)):
                 found = W.Words(data, offsets, W.NON_SPACE)
@@ -190,7 +194,7 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
                 digits = _count((data >= 48) & (data <= 57))
                 marked, hashes, text = _count(tags > 0), found.hashes(), found.rows()
                 some = (
-                    np.arange(WINDOW, len(found), 61), np.flatnonzero(tags),
+                    np.arange(len(found)), np.flatnonzero(tags),
                     np.flatnonzero((digits[found.end] > digits[found.start]) & (tags == OUT)),
                 )
                 places = None
@@ -198,21 +202,23 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
                     a = np.maximum(at - WINDOW, found.first[text[at]])
                     b = np.minimum(at + WINDOW + 1, found.first[text[at] + 1])
                     rank = W.sums(hashes, a, b)
-                    use = rank < limit[label]
+                    use = rank <= limit[label]
                     if label != 1:
                         use &= marked[a] == marked[b]
                     if use.any() and places is None:
                         places = features(data, offsets, found)
                     for i in np.flatnonzero(use).tolist():
-                        kept[label][int(rank[i])] = (places[:, a[i] : b[i]].T.ravel().tolist(), tags[a[i] : b[i]].tolist())
+                        new = (places[:, a[i] : b[i]].T.ravel().tolist(), tags[a[i] : b[i]].tolist())
+                        kept[label][int(rank[i])] = min(new, kept[label].get(int(rank[i]), new))
                     if label == 1:
-                        use = rank < limit[3]
+                        use = rank <= limit[3]
                         use &= (found.end - found.start)[at] > PIECE
                         # No other finding in the window, for that would have to be broken as well.
                         use &= marked[b] - marked[a] == 1
                         if use.any():
                             for r, (p, t) in zip(rank[use].tolist(), broken(data, offsets, found, at[use])):
-                                kept[3][r] = (p.T.ravel().tolist(), t.tolist())
+                                new = (p.T.ravel().tolist(), t.tolist())
+                                kept[3][r] = min(new, kept[3].get(r, new))
                 for label in range(4):
                     if len(kept[label]) > 2 * FIT_ROWS:
                         kept[label] = dict(sorted(kept[label].items(), key=lambda x: x[0])[:FIT_ROWS])
@@ -228,7 +234,8 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
     # The windows with the smallest rank of each class, equal ones once.
     rows = [
         r for label in range(4)
-        for r in every.filter(F.col("label") == label).dropDuplicates(["rank"]).orderBy("rank").limit(FIT_ROWS).collect()
+        for r in every.filter(F.col("label") == label).groupBy("rank")
+        .agg(F.min(F.struct("places", "tags")).alias("w")).select("rank", "w.*").orderBy("rank").limit(FIT_ROWS).collect()
     ]
     return learn([(np.array(r["places"]).reshape(-1, len(_GROUPS)), np.array(r["tags"])) for r in rows])
 

@@ -214,6 +214,12 @@ def test_secrets_of_several_words_are_one_span(spark, docs):
     assert [text[s["start"] : s["end"]] for s in spans] == [value]
 
 
+def test_secrets_fit_is_independent_of_order(spark, docs):
+    some = docs.filter("doc_id % 10 < 3").select("doc_id", "text")
+    models = [secrets.fit(d) for d in (some.coalesce(1).sortWithinPartitions("doc_id"), some.repartition(3).sortWithinPartitions(F.desc("doc_id")))]
+    assert models[0]["learned"] and np.allclose(models[0]["weights"], models[1]["weights"], rtol=0, atol=1e-5)
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(2)
     for _ in range(200):
