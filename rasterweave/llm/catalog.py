@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from rasterweave.llm import sql
 from rasterweave.llm import (
-    decontamination, jaccard, language, licenses, neighbours, pieces, quality, secrets, substrings, urls,
+    decontamination, jaccard, language, licenses, merkle, neighbours, pieces, quality, secrets, substrings, urls,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_substrings": op2_substrings,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op8_neighbours": op8_neighbours,
     "op9_secrets": op9_secrets,
     "op10_licenses": op10_licenses,
+    "op12_manifest": op12_manifest,
     "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {
@@ -78,6 +83,7 @@ SQL: dict[str, str] = {
     "op3_jaccard": sql.OP3,
     "op4_urls": sql.op4(),
     "op10_licenses": sql.op10(),
+    "op12_manifest": sql.OP12,
 }
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -1,6 +1,6 @@
 """SQL counterparts, written for any engine with RE2 patterns and list functions."""
 
-from rasterweave.llm import licenses, urls
+from rasterweave.llm import crc, licenses, urls
 
 OP1 = r"""
 WITH w AS (
@@ -61,6 +61,53 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(k
 FROM w LEFT JOIN k USING (doc_id)
 """
 
+OP12 = rf"""
+WITH RECURSIVE crc_of AS (SELECT DISTINCT doc_id AS v FROM documents WHERE doc_id IS NOT NULL),{crc.TABLES},
+f AS (
+  SELECT doc_id, lang, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') AS f1,
+    coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS f2,
+    n_chars, coalesce(strlen(text) || ':' || text, '-') AS f4 FROM documents),
+l AS (
+  SELECT doc_id, lang, crc % 7 = 0 AS changed,
+    sha256(f1 || f2 || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || f4) AS leaf,
+    sha256(f1 || f2 || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || f4) AS told
+  FROM f LEFT JOIN crcs ON doc_id = v),
+p AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS g, count(*) OVER (PARTITION BY lang) AS n,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+t(g, k, i, n, h) AS (
+  SELECT g, 0, i, n, leaf FROM p
+  UNION ALL
+  SELECT g, k + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY g, k, i // 2, n),
+s AS (SELECT g, h, (SELECT count(DISTINCT g) FROM p) AS n FROM t WHERE n = 1),
+u(k, i, n, h) AS (
+  SELECT 0, g - 1, n, h FROM s
+  UNION ALL
+  SELECT k + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY k, i // 2, n),
+way AS (
+  SELECT p.doc_id, p.i AS place, p.g, 0 AS part, t.k, t.i, t.h FROM p JOIN t ON t.g = p.g AND t.i = xor(p.i >> t.k, 1)
+  UNION ALL
+  SELECT p.doc_id, p.i, p.g, 1, u.k, u.i, u.h FROM p JOIN u ON u.i = xor((p.g - 1) >> u.k, 1)),
+proofs AS (SELECT g, place, sha256(string_agg(h, '' ORDER BY part, k)) AS proof FROM way GROUP BY g, place),
+tops AS (SELECT g, max(k) AS height FROM t GROUP BY g),
+fold(g, place, k, top, h) AS (
+  SELECT p.g, p.i, 0, height, CASE WHEN changed THEN told ELSE leaf END FROM p JOIN tops USING (g)
+  UNION ALL
+  SELECT f.g, f.place, f.k + 1, f.top, sha256(CASE WHEN t.h IS NULL THEN f.h
+    WHEN (f.place >> f.k) % 2 = 0 THEN f.h || t.h ELSE t.h || f.h END)
+  FROM fold f LEFT JOIN t ON t.g = f.g AND t.k = f.k AND t.i = xor(f.place >> f.k, 1) WHERE f.k < f.top),
+fold2(g, place, k, h) AS (
+  SELECT g, place, 0, h FROM fold WHERE k = top
+  UNION ALL
+  SELECT f.g, f.place, f.k + 1, sha256(CASE WHEN u.h IS NULL THEN f.h
+    WHEN ((f.g - 1) >> f.k) % 2 = 0 THEN f.h || u.h ELSE u.h || f.h END)
+  FROM fold2 f LEFT JOIN u ON u.k = f.k AND u.i = xor((f.g - 1) >> f.k, 1) WHERE f.k < (SELECT max(k) FROM u))
+SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, coalesce(proof, sha256('')) AS proof_sha256,
+  f.h AS folded_root, f.h = r.h AS verified
+FROM p JOIN s USING (g) JOIN fold2 f ON f.g = p.g AND f.place = p.i AND f.k = (SELECT max(k) FROM u)
+CROSS JOIN (SELECT h FROM u WHERE n = 1) r LEFT JOIN proofs ON proofs.g = p.g AND proofs.place = p.i
+"""
+
 
 def op4() -> str:
     """Rules and vocabulary of the query as conditions."""
