@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from rasterweave.llm import sql
 from rasterweave.llm import (
-    decontamination, jaccard, language, licenses, merkle, neighbours, pieces, quality, secrets, substrings, urls,
+    archives, decontamination, jaccard, language, licenses, merkle, neighbours, pieces, quality, secrets, substrings, tries, urls,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,10 +59,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.digest(table(spark, sf_dir, "conversations"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.digest(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_substrings": op2_substrings,
@@ -74,7 +82,9 @@ QUERIES: dict[str, Query] = {
     "op8_neighbours": op8_neighbours,
     "op9_secrets": op9_secrets,
     "op10_licenses": op10_licenses,
+    "op11_trie": op11_trie,
     "op12_manifest": op12_manifest,
+    "op13_warc": op13_warc,
     "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {
@@ -83,7 +93,9 @@ SQL: dict[str, str] = {
     "op3_jaccard": sql.OP3,
     "op4_urls": sql.op4(),
     "op10_licenses": sql.op10(),
+    "op11_trie": sql.OP11,
     "op12_manifest": sql.OP12,
+    "op13_warc": sql.OP13,
 }
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -108,6 +108,52 @@ FROM p JOIN s USING (g) JOIN fold2 f ON f.g = p.g AND f.place = p.i AND f.k = (S
 CROSS JOIN (SELECT h FROM u WHERE n = 1) r LEFT JOIN proofs ON proofs.g = p.g AND proofs.place = p.i
 """
 
+OP13 = r"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first,
+    row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS no FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND no > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN no > 1 THEN first END AS refers_to
+FROM q
+"""
+
+OP11 = rf"""
+WITH RECURSIVE crc_of AS (SELECT DISTINCT conv_id AS v FROM conversations WHERE conv_id IS NOT NULL),{crc.TABLES},
+t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos,
+    {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT v AS conv_id, v - v % 5 AS base, crc % 9 AS h FROM crcs),
+r AS (
+  SELECT c.conv_id, pos, said FROM c JOIN t ON t.conv_id = c.base AND pos < h
+  UNION ALL SELECT c.conv_id, pos, said FROM c JOIN t ON t.conv_id = c.conv_id AND pos >= h),
+s AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth, said,
+    list(said) OVER (PARTITION BY conv_id ORDER BY pos) AS path FROM r),
+n AS (SELECT conv_id, count(*) AS turns FROM s GROUP BY conv_id),
+m AS (
+  SELECT conv_id, depth, strlen(said.text) AS bytes, min(conv_id) OVER (PARTITION BY path) AS node FROM s
+  UNION ALL SELECT conv_id, 0, 0, (SELECT min(conv_id) FROM c) FROM c),
+nodes AS (
+  SELECT m.node, m.depth, any_value(bytes) AS bytes, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CASE WHEN coalesce(turns, 0) = m.depth THEN CAST(m.conv_id AS VARCHAR) END, ',' ORDER BY m.conv_id), '')) AS ends
+  FROM m LEFT JOIN n USING (conv_id) GROUP BY m.node, m.depth),
+kids AS (
+  SELECT up.node, up.depth, count(*) AS n_children
+  FROM nodes x JOIN m up ON up.conv_id = x.node AND up.depth = x.depth - 1 GROUP BY up.node, up.depth),
+sub AS (
+  SELECT up.node, up.depth, CAST(sum(CASE WHEN kids.node IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves,
+    CAST(sum((x.n_convs - 1) * x.bytes) AS BIGINT) AS saved_tokens
+  FROM nodes x LEFT JOIN kids ON kids.node = x.node AND kids.depth = x.depth
+  JOIN m up ON up.conv_id = x.node AND up.depth <= x.depth GROUP BY up.node, up.depth)
+SELECT x.node AS conv_id, x.depth, up.node AS parent_conv_id, x.n_convs, coalesce(n_children, 0) AS n_children,
+  n_leaves, saved_tokens, ends AS ends_sha256
+FROM nodes x JOIN sub ON sub.node = x.node AND sub.depth = x.depth
+LEFT JOIN kids ON kids.node = x.node AND kids.depth = x.depth
+LEFT JOIN m up ON up.conv_id = x.node AND up.depth = x.depth - 1
+"""
+
 
 def op4() -> str:
     """Rules and vocabulary of the query as conditions."""
