@@ -276,16 +276,16 @@ GROUP BY {keys}"""
 BLOCKS["method_sums"] = (
     ("filled",), _metric_sums("filled", "method, sample_id", "cloud_mask = 0")
 )
-BLOCKS["method_metrics"] = (
-    ("method_sums",),
-    "SELECT method, sample_id, "
-    + ", ".join(
+def metrics_sql(sums: str, keys: str) -> str:
+    """All metrics by stratum from a table of ``_metric_sums``."""
+    return f"SELECT {keys}, " + ", ".join(
         f"mae_{s}, mse_{s}, sqrt(mse_{s}) AS rmse_{s}, "
         f"CASE WHEN mse_{s} = 0 THEN 'inf'::DOUBLE ELSE 20 * log10(1 / sqrt(nullif(mse_{s}, 0))) END AS psnr_{s}, sam_{s}"
         for s in ("all", "occluded", "observed")
-    )
-    + " FROM method_sums",
-)
+    ) + f" FROM {sums}"
+
+
+BLOCKS["method_metrics"] = (("method_sums",), metrics_sql("method_sums", "method, sample_id"))
 
 
 def query(needs: tuple[str, ...] | str, body: str, **extra: str) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterweave.functions import calendar
 from rasterweave.functions.hashing import draw_int, hash_hex
+from rasterweave.operators.metrics import LARGER_IS_BETTER
 from rasterweave.operators.scans import BLOCK_ROWS, blocks_of, number_rows, runs, with_length
 from rasterweave.schema import POSITION_STRATEGIES, FilterSettings
 
@@ -249,17 +250,20 @@ def pad_sequences(
 
 
 def best_by_objective(
-    run_metrics: DataFrame, objectives: dict[str, str], keys: Sequence[str] = ("metric",)
+    run_metrics: DataFrame, keys: Sequence[str] = ("metric",), larger: Column | None = None
 ) -> DataFrame:
-    """Best run per metric by its direction ('min' or 'max'); first name on ties."""
-    sign = F.create_map(
-        *[F.lit(x) for m, d in objectives.items() for x in (m, 1 if d == "min" else -1)]
-    )
-    scored = run_metrics.withColumn("_s", F.try_element_at(sign, F.col("metric"))).where(
-        F.col("_s").isNotNull() & F.col("value").isNotNull()
-    )
+    """Best run per metric, by what the metric measures; first name on ties.
+
+    ``larger`` tells otherwise which rows are better the larger they are.
+    """
+    if larger is None:
+        name = F.regexp_replace("metric", "^masked_", "")
+        larger = name.isin(*sorted(LARGER_IS_BETTER))
+    signed = F.when(larger, -F.col("value")).otherwise(F.col("value"))
+    usable = F.col("value").isNotNull() & ~F.isnan("value")
     return (
-        scored.groupBy(*keys)
-        .agg(F.min(F.struct((F.col("value") * F.col("_s")).alias("s"), "run", "value")).alias("_b"))
+        run_metrics.where(usable)
+        .groupBy(*keys)
+        .agg(F.min(F.struct(signed.alias("s"), "run", "value")).alias("_b"))
         .select(*keys, F.col("_b.run").alias("run"), F.col("_b.value").alias("value"))
     )

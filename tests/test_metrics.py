@@ -9,6 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterweave.operators import metrics as M
+from rasterweave.operators.impute import SeriesFill
+from rasterweave.operators.tiles import split_tiles
+from rasterweave.plans import evaluate as E
 
 
 def scored(spark, rows):
@@ -130,3 +133,69 @@ def test_total_loss(spark):
     r = M.total_loss(terms, {"l1_loss": 1.0, "masked_l1_loss": 2.0}).first()
     assert math.isclose(r.total_loss, r.l1_loss + 2 * r.masked_l1_loss)
     assert math.isclose(r.masked_l1_loss, 0.2) and math.isclose(r.l1_loss_occluded_input_pixels, 0.25)
+
+
+@pytest.fixture(scope="module")
+def gappy(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for sample in ("a", "b"):
+        for t in range(6):
+            y = rng.random((2, 11 * 13))
+            mask = (rng.random(11 * 13) < (0.4 if t % 2 else 0.0)).astype(int)
+            cloud = (rng.random(11 * 13) < 0.2).astype(int)
+            rows.append((sample, t, f"2018-01-{5 * t + 1:02d}", 11, 13, *y.tolist(), mask.tolist(), cloud.tolist()))
+    df = spark.createDataFrame(
+        rows, "sample_id string, t int, acq_date string, height int, width int, b0 array<double>, b1 array<double>, mask array<int>, cloud_mask array<int>"
+    )
+    return df.withColumn("acq_date", F.to_date("acq_date"))
+
+
+def by_key(df):
+    return {(r["method"], r["sample_id"]): r.asDict() for r in df.collect()}
+
+
+@pytest.mark.parametrize("side", [3, 5, 64])
+def test_tiles_score_like_whole_frames(spark, gappy, side):
+    """No tile edge shows: sums equal those of blocks, SSIM equals that of whole filled frames."""
+    got = by_key(E.score_modes_tiles(gappy, ["b0", "b1"], side=side))
+    plain = by_key(E.score_modes_arrays(gappy, ["b0", "b1"]))
+    assert got.keys() == plain.keys() and len(got) == 8
+    for key, row in plain.items():
+        for name, value in row.items():
+            if isinstance(value, float):
+                assert math.isclose(got[key][name], value, rel_tol=1e-9, abs_tol=1e-7), name
+    sample = [r for r in gappy.orderBy("sample_id", "t").collect() if r.sample_id == "a"]
+    mask = np.array([r["mask"] for r in sample])
+    fill = SeriesFill(mask == 1, np.array([5.0 * r["t"] for r in sample]))
+    made = zip(*[fill(["last", "next"], np.array([r[b] for r in sample])) for b in ("b0", "b1")])
+    for mode, preds in zip(("last", "next"), made):
+        d = np.stack([
+            M.dissimilarity(p.reshape(-1, 11, 13), np.array([r[b] for r in sample]).reshape(-1, 11, 13)) for p, b in zip(preds, ("b0", "b1"))
+        ])
+        frames = np.array([np.nanmean(d[:, t]) if not np.isnan(d[:, t]).all() else np.nan for t in range(6)])
+        assert math.isclose(got[mode, "a"]["ssim_all"], 1 - 2 * np.nanmean(frames), rel_tol=1e-9)
+        assert math.isclose(got[mode, "a"]["ssim_occluded"], 1 - 2 * np.nanmean(frames[mask.any(1)]), rel_tol=1e-9)
+
+
+def test_tiles_cover_each_pixel_once(spark, gappy):
+    numbered = gappy.limit(1).withColumn("b0", F.transform("b0", lambda v, i: i.cast("double")))
+    for side, halo in ((4, 2), (13, 1), (1, 0), (50, 3)):
+        seen = []
+        for r in split_tiles(numbered, ["b0"], ["t"], side, halo).collect():
+            cells = np.array(r.b0).reshape(-1, r.full_w)
+            seen += cells[r.top : r.top + r.own_h, r.left : r.left + r.own_w].ravel().tolist()
+        assert sorted(seen) == list(range(11 * 13))
+    with pytest.raises(ValueError):
+        split_tiles(gappy, ["b0"], ["t"], 0)
+
+
+def test_predictor_that_is_right_scores_perfectly(spark, gappy):
+    frames = gappy.withColumns({"pos": F.col("t"), "b0_in": F.col("b0"), "b1_in": F.col("b1")})
+    copied = lambda pdf: pdf[["sample_id", "k", "t"]].assign(p_b0=pdf["b0_in"], p_b1=pdf["b1_in"])
+    rows = E.score_predictor(frames, ["b0", "b1"], copied, 4).collect()
+    assert {r.sample_id for r in rows} == {"a", "b"}
+    for r in rows:
+        assert r.mae_all == 0 and r.psnr_occluded == math.inf and math.isclose(r.ssim_all, 1.0)
+    shifted = lambda pdf: copied(pdf).assign(p_b0=pdf["b0_in"].map(lambda v: v + 0.1))
+    assert all(math.isclose(r.mae_all, 0.05) for r in E.score_predictor(frames, ["b0", "b1"], shifted, 4).collect())

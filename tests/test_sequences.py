@@ -150,12 +150,14 @@ def test_missing_frame_is_impaired_not_cloudy(spark):
 
 
 def test_best_by_objective(spark):
-    df = spark.createDataFrame(
-        [("mae", "a", 0.2), ("mae", "b", 0.1), ("psnr", "a", 30.0), ("psnr", "b", 20.0), ("new", "a", 1.0)],
-        "metric string, run string, value double",
-    )
-    out = S.best_by_objective(df, {"mae": "min", "psnr": "max"})
-    assert {r.metric: (r.run, r.value) for r in out.collect()} == {"mae": ("b", 0.1), "psnr": ("a", 30.0)}
+    rows = [("masked_mae", "a", 0.2), ("masked_mae", "b", 0.1), ("psnr", "a", 30.0), ("psnr", "b", 20.0), ("masked_psnr", "a", 1.0),
+            ("masked_psnr", "b", float("inf")), ("ssim", "b", 0.5), ("ssim", "a", 0.5), ("total_loss", "a", None), ("total_loss", "b", 3.0),
+            ("sam", "a", float("nan"))]
+    df = spark.createDataFrame(rows, "metric string, run string, value double")
+    out = {r.metric: (r.run, r.value) for r in S.best_by_objective(df).collect()}
+    assert out == {"masked_mae": ("b", 0.1), "psnr": ("a", 30.0), "masked_psnr": ("b", float("inf")), "ssim": ("a", 0.5), "total_loss": ("b", 3.0)}
+    turned = S.best_by_objective(df.where("metric = 'psnr'"), larger=F.lit(False)).first()
+    assert turned.run == "b"
 
 
 @pytest.mark.parametrize(
