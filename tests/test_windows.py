@@ -45,11 +45,11 @@ def coverage_table(spark, data):
     return spark.createDataFrame(rows, "sample_id string, t int, coverage double")
 
 
-@pytest.mark.parametrize("window", [4, 5, 10])
-def test_plan(spark, window):
+@pytest.mark.parametrize("window,block", [(4, 4096), (5, 3), (10, 8), (10, 1), (4, 7)])
+def test_plan(spark, window, block):
     data = covers()
     got = {}
-    for r in windows.plan_windows(coverage_table(spark, data), window).collect():
+    for r in windows.plan_windows(coverage_table(spark, data), window, block=block).collect():
         got.setdefault(r.sample_id, []).append((r.k, r.t_start, r.t_end))
     want = {s: [(k, *w) for k, w in enumerate(expected_plan(c, window))] for s, c in data.items()}
     assert {s: sorted(v) for s, v in got.items()} == want
@@ -60,6 +60,18 @@ def test_small_window_is_refused(spark):
         windows.plan_windows(coverage_table(spark, {"a": [0.0]}), 3)
 
 
+def test_plan_of_one_very_long_sequence(spark):
+    """A million frames of one sample: no task sees more than a block of them."""
+    n = 1_000_000
+    noise = F.pmod(F.xxhash64("id"), F.lit(7)).cast("int")
+    frames = spark.range(n).select(F.lit("a").alias("sample_id"), F.col("id").alias("t"), (noise / 10.0).alias("coverage"))
+    cover = [r.coverage for r in frames.select("t", "coverage").orderBy("t").toLocalIterator()]
+    plan = windows.plan_windows(frames, 12, block=20_000)
+    assert "Window" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    got = [tuple(r) for r in plan.orderBy("k").select("k", "t_start", "t_end").collect()]
+    assert got == [(k, *w) for k, w in enumerate(expected_plan(cover, 12))]
+
+
 def expected_stitch(plan, preds, n):
     """preds[k]: array (frames of window k, pixels)."""
     out = np.zeros((n, preds[0].shape[1]))
@@ -74,8 +86,8 @@ def expected_stitch(plan, preds, n):
     return out
 
 
-@pytest.mark.parametrize("window", [4, 7])
-def test_stitch(spark, window):
+@pytest.mark.parametrize("window,chunk", [(4, 256), (7, 1), (7, 2), (13, 3)])
+def test_stitch(spark, window, chunk):
     data = covers(3, 12)
     rng = np.random.default_rng(1)
     rows, want = [], {}
@@ -87,7 +99,7 @@ def test_stitch(spark, window):
             rows += [(s, k, t, preds[k][t - a].tolist()) for t in range(a, b)]
     scored = spark.createDataFrame(rows, "sample_id string, k bigint, t bigint, p array<double>")
     plan = windows.plan_windows(coverage_table(spark, data), window)
-    got = windows.stitch_windows(scored, plan, ["p"]).collect()
+    got = windows.stitch_windows(scored, plan, ["p"], chunk=chunk).collect()
     assert len(got) == sum(len(c) for c in data.values())
     for r in got:
         assert np.allclose(r.p, want[r.sample_id][r.t]), (r.sample_id, r.t)
