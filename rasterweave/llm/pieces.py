@@ -25,13 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterweave.llm import words as W
+from rasterweave.llm.columns import unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: How strongly frequent pieces are preferred; 0 draws any segmentation alike.
 SHARPNESS = 2.0
 #: Pieces that are broadcast at most.
 MAX_PIECES = 1 << 20
-_CHUNK = 1 << 19
+_CHUNK = 1 << 17
+#: Rows of texts that are encoded together.
+_ROWS = 512
 _BUCKETS = (4, 8, 12, 16, 24, 32, 48, 64)
 _BITS = 18
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -157,7 +160,7 @@ def sample(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, v: dict, see
     bounds = [0, *[b for b in _BUCKETS if b < size.max()], int(size.max())]
     for low, high in zip(bounds[:-1], bounds[1:]):
         kinds = np.flatnonzero((size[first] > low) & (size[first] <= high))
-        limit = max(1, (1 << 21) // (high * min(high, max(v["tables"])) + 1))
+        limit = max(1, (1 << 20) // (high * min(high, max(v["tables"])) + 1))
         for a in range(0, len(kinds), limit):
             part = kinds[a : a + limit]
             own = np.full(len(first), -1)
@@ -195,10 +198,12 @@ def spell(ids: np.ndarray, v: dict) -> tuple[np.ndarray, np.ndarray]:
     return v["bytes"][np.arange(size.sum()) + np.repeat(v["ends"][ids] - first, size)], size
 
 
-def _encoded(text: pa.Array, keys: np.ndarray, v: dict, seed: int) -> pa.Array:
-    counts, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+def _encoded(text: pa.Array, keys: np.ndarray, v: dict, seed: int) -> tuple[pa.Array, pa.Array]:
+    """(ids of each text, whether they spell it); both NULL for NULL."""
+    counts, flat, same = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
     for row, to, data, offsets in W.chunks(text, _CHUNK):
         ids, n = sample(data, offsets, keys[row:to], v, seed)
+        right = np.ones(to - row, bool)
         whole = not (ids < 0).any()
         if whole:
             back, _ = spell(ids, v)
@@ -207,26 +212,45 @@ def _encoded(text: pa.Array, keys: np.ndarray, v: dict, seed: int) -> pa.Array:
             parts, bounds = [], np.concatenate(([0], np.cumsum(n)))
             for r in range(to - row):
                 own, raw = ids[bounds[r] : bounds[r + 1]], data[offsets[r] : offsets[r + 1]]
-                right = not (own < 0).any() and spell(own, v)[0].tobytes() == raw.tobytes()
-                parts.append(own if right else v["of_byte"][raw])
+                if (own < 0).any() or spell(own, v)[0].tobytes() != raw.tobytes():
+                    own = v["of_byte"][raw]
+                right[r] = spell(own, v)[0].tobytes() == raw.tobytes()
+                parts.append(own)
             ids, n = np.concatenate(parts), np.array([len(p) for p in parts])
         counts.append(n)
         flat.append(ids)
+        same.append(right)
     n = np.concatenate(counts)
     ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
     missing = text.is_null().to_numpy(zero_copy_only=False)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)), mask=pa.array(missing) if missing.any() else None)
+    mask = pa.array(missing) if missing.any() else None
+    return (
+        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)), mask=mask),
+        pa.array(np.concatenate(same), pa.bool_(), mask=missing if missing.any() else None),
+    )
 
 
-def encode(docs: DataFrame, v: dict, key: Column, text: str = "text", out: str = "ids", seed: int = 0) -> DataFrame:
-    """Add ``out``: ids of a sampled segmentation of each text. A column of that name is replaced."""
+def encode(
+    docs: DataFrame, v: dict, key: Column, text: str = "text", out: str = "ids", seed: int = 0, checked: str | None = None
+) -> DataFrame:
+    """Add ``out``: ids of a sampled segmentation of each text. A column of that name is replaced.
+
+    ``checked`` names one more column: whether the ids, decoded, gave the text back (NULL for NULL).
+    """
     shared = docs.sparkSession.sparkContext.broadcast(v)
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<ids:array<int>,same:boolean>")
     def encoded(text: pa.Array, keys: pa.Array) -> pa.Array:
-        return _encoded(text, keys.to_numpy(zero_copy_only=False), shared.value, seed)
+        done = [
+            _encoded(text.slice(at, _ROWS), keys.slice(at, _ROWS).to_numpy(zero_copy_only=False), shared.value, seed)
+            for at in range(0, max(1, len(text)), _ROWS)
+        ]
+        return pa.StructArray.from_arrays([pa.concat_arrays([d[i] for d in done]) for i in (0, 1)], ["ids", "same"])
 
-    return docs.withColumn(out, encoded.asNondeterministic()(F.col(text).cast("string"), F.xxhash64(key)))
+    both = unused(docs, "_both")
+    done = docs.withColumn(both, encoded.asNondeterministic()(F.col(text).cast("string"), F.xxhash64(key)))
+    done = done.withColumn(out, F.col(f"{both}.ids"))
+    return (done.withColumn(checked, F.col(f"{both}.same")) if checked else done).drop(both)
 
 
 def decode(docs: DataFrame, v: dict, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -245,6 +269,5 @@ def decode(docs: DataFrame, v: dict, ids: str = "ids", out: str = "decoded") ->
 
 def digest(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
     """doc_id, ids, n_pieces and whether decoding gives the text back, of each document."""
-    v = vocabulary(model_file)
-    done = decode(encode(docs.select("doc_id", "text"), v, F.col("doc_id")), v)
-    return done.select("doc_id", "ids", F.size("ids").alias("n_pieces"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
+    done = encode(docs.select("doc_id", "text"), vocabulary(model_file), F.col("doc_id"), checked="same")
+    return done.select("doc_id", "ids", F.size("ids").alias("n_pieces"), F.coalesce("same", F.lit(True)).alias("lossless"))

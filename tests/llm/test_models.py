@@ -110,7 +110,7 @@ def test_pieces_of_characters_whose_bytes_no_piece_has(spark):
 def test_pieces_without_a_way_become_bytes(monkeypatch):
     v = pieces.vocabulary()
     monkeypatch.setattr(pieces, "sample", lambda *_: (np.array([-1, 5], np.int32), np.array([1, 1])))
-    got = pieces._encoded(pa.array(["ab", "c"]), np.array([1, 2]), v, 0).to_pylist()
+    got = pieces._encoded(pa.array(["ab", "c"]), np.array([1, 2]), v, 0)[0].to_pylist()
     assert got == [v["of_byte"][list(t)].tolist() for t in (b"ab", b"c")]
 
 
