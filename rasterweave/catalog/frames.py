@@ -539,11 +539,12 @@ up AS (SELECT sample_id, head, t_out, t_in, a.i AS y, b.i AS x, sum(w
     "attention_maps",
     query(
         "pix",
-        f"""SELECT 'group' AS kind, u.sample_id, t_out AS t, u.y, u.x, round(sum(CASE WHEN head = 0 THEN w * {clean('b0')} END), 6) AS b0,
-  round(sum(CASE WHEN head = 1 THEN w * {clean('b3')} END), 6) AS b3
-FROM up u JOIN pix p ON p.sample_id = u.sample_id AND p.t = u.t_in AND p.y = u.y AND p.x = u.x WHERE t_in <> 9 GROUP BY ALL
-UNION ALL SELECT 'mean', u.sample_id, t_out, u.y, u.x, round(sum(w * {clean('b0')}) / 2, 6), round(sum(w * {clean('b3')}) / 2, 6)
-FROM up u JOIN pix p ON p.sample_id = u.sample_id AND p.t = u.t_in AND p.y = u.y AND p.x = u.x WHERE t_in <> 9 GROUP BY ALL""",
+        "SELECT 'group' AS kind, u.sample_id, t_out AS t, u.y, u.x, "
+        + ", ".join(f"round(sum(CASE WHEN head = {i // 2} THEN w * {clean(b)} END), 6) AS {b}" for i, b in enumerate(BANDS))
+        + " FROM up u JOIN pix p ON p.sample_id = u.sample_id AND p.t = u.t_in AND p.y = u.y AND p.x = u.x WHERE t_in <> 9 GROUP BY ALL"
+        + " UNION ALL SELECT 'mean', u.sample_id, t_out, u.y, u.x, "
+        + ", ".join(f"round(sum(w * {clean(b)}) / 2, 6)" for b in BANDS)
+        + " FROM up u JOIN pix p ON p.sample_id = u.sample_id AND p.t = u.t_in AND p.y = u.y AND p.x = u.x WHERE t_in <> 9 GROUP BY ALL",
     ).replace("\nSELECT 'group'", ",\n" + _MAPS + "\nSELECT 'group'"),
 )
 def attention_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -565,6 +566,6 @@ def attention_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for mode in ("group", "mean"):
         out = attention.apply_maps(weights, rows, list(BANDS), (4, 4), _HEADS, mode, "ok")
-        cols = [*_ids(*KEY), _r("b0", "b0"), _r("b3", "b3")]
+        cols = [*_ids(*KEY), *[_r(b, b) for b in BANDS]]
         parts.append(out.select(F.lit(mode).alias("kind"), *cols))
     return parts[0].unionByName(parts[1])

@@ -1,122 +1,186 @@
-"""Attention over the frames of one pixel, with given queries, keys and values.
+"""Attention over the frames of one key, with given queries, keys and values.
 
-A pixel's frames - one window's worth - travel as flat arrays in one row, so no
-row is made per pair of frames; the products run on batches of such rows.
+Frames travel in blocks of at most BLOCK, as flat arrays in one row. Each block of queries
+meets each block of sources and leaves a partial softmax: the largest score, the sum of
+exponentials below it and the sum of weighted values, for each frame. Partial results are merged FAN at
+a time, so no row and no task grows with the length of the sequence.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rasterweave.functions import grids
+from rasterweave.sources.settle import settle
 
 PIXEL_KEYS = ("sample_id", "y", "x")
 PADDED_SCORE = -1000.0
+BLOCK = 256
+FAN = 64
 
 
 def _flat(field: str) -> Column:
-    return F.flatten(F.transform(F.col("_s"), lambda s: s[field].cast("array<double>")))
+    return F.flatten(F.transform("_s", lambda s: s[field]))
 
 
-def gather_series(
-    df: DataFrame, columns: Sequence[str], keys: Sequence[str], t: str, valid: str | None
+def gather_blocks(
+    df: DataFrame, columns: Sequence[str], keys: Sequence[str], t: str, valid: str | None, block: int = BLOCK
 ) -> DataFrame:
-    """One row per key: frames in time order, each array column flattened.
-
-    Apply it to trimmed or windowed sequences; their length bounds the row.
-    """
+    """One row per key and block of time steps: frames in time order, each array column flattened."""
     flag = F.col(valid).cast("int") if valid else F.lit(1)
-    entry = F.struct(F.col(t).alias("_t"), flag.alias("_ok"), *[F.col(c) for c in columns])
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_s"))
+    entry = F.struct(F.col(t).alias("_t"), flag.alias("_ok"), *[F.col(c).cast("array<double>").alias(c) for c in columns])
+    number = F.floor(F.col(t) / block).cast("bigint").alias("block")
+    rows = df.groupBy(*keys, number).agg(F.array_sort(F.collect_list(entry)).alias("_s"))
     return rows.select(
         *keys,
+        "block",
         F.transform("_s", lambda s: s["_t"]).alias("frames"),
         F.transform("_s", lambda s: s["_ok"]).alias("ok"),
         *[_flat(c).alias(c) for c in columns],
     )
 
 
-def _by_length(frames: pd.Series) -> list[tuple[int, np.ndarray]]:
-    sizes = frames.map(len).to_numpy()
-    return [(int(n), np.flatnonzero(sizes == n)) for n in np.unique(sizes)]
+def _meetings(queries: DataFrame, sources: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each block of queries beside each block of sources of its key.
 
+    A query block is sent once to every source block, by (key, source block), so that a long
+    sequence is spread over tasks.
+    """
+    listed = sources.groupBy(*keys).agg(F.collect_set("block").alias("_all"))
+    sent = queries.withColumnRenamed("block", "to_block").join(listed, list(keys)).withColumn("block", F.explode("_all")).drop("_all")
+    return sent.join(sources, [*keys, "block"])
 
-def _stack(column: pd.Series, rows: np.ndarray, shape: tuple) -> np.ndarray:
-    return np.stack([column.iloc[i] for i in rows]).astype("float64").reshape(len(rows), *shape)
 
+def _scores(q: np.ndarray, k: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """(head, frame out, frame in) from (frame, head, part)."""
+    score = np.einsum("ihd,jhd->hij", q, k) / np.sqrt(q.shape[-1])
+    return np.where(ok[None, None, :] == 0, PADDED_SCORE, score)
 
-def _weights_udf(n_head: int):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def weights(frames: pd.Series, ok: pd.Series, q: pd.Series, k: pd.Series) -> pd.Series:
-        out = np.empty(len(frames), dtype=object)
-        for n, rows in _by_length(frames):
-            qs = _stack(q, rows, (n, n_head, -1))
-            ks = _stack(k, rows, (n, n_head, -1))
-            score = np.einsum("rihd,rjhd->rhij", qs, ks) / np.sqrt(qs.shape[-1])
-            padded = _stack(ok, rows, (n,)) == 0
-            score = np.where(padded[:, None, None, :], PADDED_SCORE, score)
-            e = np.exp(score - score.max(-1, keepdims=True))
-            for i, w in zip(rows, e / e.sum(-1, keepdims=True)):
-                out[i] = w.ravel()
-        return pd.Series(out)
 
-    return weights
+def _heads(flat: np.ndarray, frames: int, n_head: int) -> np.ndarray:
+    return flat.reshape(frames, n_head, -1)
 
 
-def _apply_udf(n_head: int, mode: str, zero_padded: bool):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def apply(frames: pd.Series, ok: pd.Series, w: pd.Series, v: pd.Series) -> pd.Series:
-        out = np.empty(len(frames), dtype=object)
-        for n, rows in _by_length(frames):
-            ws = _stack(w, rows, (n_head, n, n))
-            if zero_padded:
-                ws = ws * (_stack(ok, rows, (n,)) != 0)[:, None, None, :]
-            if mode == "mean":
-                vs = _stack(v, rows, (n, -1))
-                res = np.einsum("rij,rjc->ric", ws.mean(axis=1), vs)
-            else:
-                vs = _stack(v, rows, (n, n_head, -1))
-                res = np.einsum("rhij,rjhc->rihc", ws, vs)
-            for i, r in zip(rows, res):
-                out[i] = r.ravel()
-        return pd.Series(out)
+_STATE = "struct<top:array<double>,total:array<double>,sum:array<double>>"
+_STATE_TYPE = pa.struct([(n, pa.list_(pa.float64())) for n in ("top", "total", "sum")])
 
-    return apply
 
+def _numbers(scalar: pa.Scalar) -> np.ndarray:
+    return scalar.values.to_numpy(zero_copy_only=False)
 
-def _per_frame(series: DataFrame, flat: str, out: str, keys: Sequence[str], t: str) -> DataFrame:
-    n = F.size("frames")
-    per = (F.size(flat) / n).cast("int")
-    rows = series.select(*keys, "frames", F.col(flat).alias("_f"), per.alias("_per"))
-    rows = rows.select(*keys, "_f", "_per", F.posexplode("frames").alias("_i", t))
-    return rows.select(
-        *keys, t, F.slice("_f", F.col("_i") * F.col("_per") + 1, F.col("_per")).alias(out)
-    )
+
+def _partial(n_head: int) -> Callable:
+    """The state of a block of queries after one block of sources; without values, of the weights alone."""
+
+    @F.arrow_udf(_STATE)
+    def state(outs: pa.Array, q: pa.Array, ok: pa.Array, k: pa.Array, v: pa.Array) -> pa.Array:
+        made = []
+        for o, qs, good, ks, vs in zip(outs, q, ok, k, v):
+            n, m = len(o.values), len(good.values)
+            score = _scores(_heads(_numbers(qs), n, n_head), _heads(_numbers(ks), m, n_head), _numbers(good))
+            top = score.max(axis=2)
+            weight = np.exp(score - top[:, :, None])
+            summed = np.einsum("hij,jhc->ihc", weight, _heads(_numbers(vs), m, n_head)) if vs.is_valid else np.zeros(0)
+            made.append({"top": top.ravel(), "total": weight.sum(axis=2).ravel(), "sum": summed.ravel()})
+        return pa.array(made, _STATE_TYPE)
+
+    return state.asNondeterministic()
+
+
+def _merge(n_head: int) -> Callable:
+    @F.arrow_udf(_STATE)
+    def merge(states: pa.Array) -> pa.Array:
+        made = []
+        for some in states:
+            parts = some.values
+            top, total = (np.stack([_numbers(x) for x in parts.field(i)]) for i in (0, 1))
+            summed = np.stack([_numbers(x) for x in parts.field(2)])
+            most = top.max(axis=0)
+            share = np.exp(top - most)
+            frames = most.size // n_head
+            # (state, head, frame) to (state, frame, head, 1), as the sums are laid out.
+            by_frame = share.reshape(len(share), n_head, frames).transpose(0, 2, 1)[..., None]
+            together = (summed.reshape(len(share), frames, n_head, -1) * by_frame).sum(axis=0) if summed.size else np.zeros(0)
+            made.append({"top": most, "total": (total * share).sum(axis=0), "sum": together.ravel()})
+        return pa.array(made, _STATE_TYPE)
+
+    return merge.asNondeterministic()
+
+
+def _summed() -> Callable:
+    @F.arrow_udf("array<double>")
+    def add(parts: pa.Array) -> pa.Array:
+        return pa.array([np.sum([_numbers(x) for x in p.values], axis=0) for p in parts], pa.list_(pa.float64()))
+
+    return add.asNondeterministic()
+
+
+def _merged(parts: DataFrame, keys: Sequence[str], number: str, most: int, state: str, merge: Callable) -> DataFrame:
+    """One state per key from those of parts numbered up to ``most``, FAN at a time."""
+    rows = parts.withColumn("_up", F.floor(F.col(number) / FAN).cast("bigint"))
+    while True:
+        rows = rows.groupBy(*keys, "_up").agg(F.collect_list(state).alias("_l")).withColumn(state, merge("_l")).drop("_l")
+        most //= FAN
+        if most == 0:
+            return rows.drop("_up")
+        rows = settle(rows.withColumn("_up", F.floor(F.col("_up") / FAN).cast("bigint")))
+
+
+def _last(df: DataFrame, number: Column) -> int:
+    return int(df.agg(F.max(number)).first()[0] or 0)
+
+
+def _per_frame(done: DataFrame, flat: str, out: str, keys: Sequence[str], t: str) -> DataFrame:
+    per = (F.size(flat) / F.size("to_frames")).cast("int")
+    rows = done.select(*keys, F.col(flat).alias("_f"), per.alias("_per"), F.posexplode("to_frames").alias("_i", t))
+    return rows.select(*keys, t, F.slice("_f", F.col("_i") * F.col("_per") + 1, F.col("_per")).alias(out))
+
+
+def _beside(df: DataFrame, q: str, k: str, values: Sequence[str], keys: Sequence[str], t: str, valid: str | None, block: int) -> tuple[DataFrame, int]:
+    """The meetings of the table's own blocks, and the number of the last block."""
+    blocks = settle(gather_blocks(df, [q, k, *values], keys, t, valid, block))
+    queries = blocks.select(*keys, "block", F.col("frames").alias("to_frames"), F.col(q).alias("_q"))
+    sources = blocks.select(*keys, "block", "frames", "ok", F.col(k).alias("_k"), *[F.col(v).alias(f"_v_{v}") for v in values])
+    return _meetings(queries, sources, keys), _last(blocks, F.col("block"))
 
 
 def attention_weights(
     df: DataFrame,
     q: str = "q",
     k: str = "k",
-    values: Sequence[str] = (),
     n_head: int = 1,
     keys: Sequence[str] = PIXEL_KEYS,
     t: str = "t",
     valid: str | None = None,
+    block: int = BLOCK,
 ) -> DataFrame:
     """softmax(q.k / sqrt(d)) per head; padded frames score -1000.
 
-    One row per key: ``frames``, ``ok``, ``attention`` (head, frame out, frame in,
-    row-major) and the flattened ``values``.
+    One row per key, block of queries (``to_block``) and block of sources (``block``): their time
+    steps ``to_frames`` and ``frames``, and ``attention`` (head, frame out, frame in, row-major).
     """
-    series = gather_series(df, [q, k, *values], keys, t, valid)
-    return series.withColumn("attention", _weights_udf(n_head)("frames", "ok", q, k)).drop(q, k)
+    meetings, most = _beside(df, q, k, [], keys, t, valid, block)
+    parts = meetings.select(*keys, "to_block", "block", _partial(n_head)("to_frames", "_q", "ok", "_k", F.lit(None).cast("array<double>")).alias("_s"))
+    whole = _merged(parts, [*keys, "to_block"], "block", most, "_s", _merge(n_head))
+
+    @F.arrow_udf("array<double>")
+    def weights(outs: pa.Array, q: pa.Array, ok: pa.Array, k: pa.Array, top: pa.Array, total: pa.Array) -> pa.Array:
+        made = []
+        for o, qs, good, ks, most, sums in zip(outs, q, ok, k, top, total):
+            n, m = len(o.values), len(good.values)
+            score = _scores(_heads(_numbers(qs), n, n_head), _heads(_numbers(ks), m, n_head), _numbers(good))
+            most, sums = (_numbers(x).reshape(n_head, n, 1) for x in (most, sums))
+            made.append((np.exp(score - most) / sums).ravel())
+        return pa.array(made, pa.list_(pa.float64()))
+
+    return meetings.join(whole, [*keys, "to_block"]).select(
+        *keys, "to_block", "block", "to_frames", "frames", weights("to_frames", "_q", "ok", "_k", "_s.top", "_s.total").alias("attention")
+    )
 
 
 def temporal_attention(
@@ -129,11 +193,23 @@ def temporal_attention(
     t: str = "t",
     valid: str | None = None,
     out: str = "attended",
+    block: int = BLOCK,
 ) -> DataFrame:
     """Weighted sum of ``v`` over the frames of the same key; heads are channel groups."""
-    series = attention_weights(df, q, k, [v], n_head, keys, t, valid)
-    done = series.withColumn("_o", _apply_udf(n_head, "group", False)("frames", "ok", "attention", v))
-    return _per_frame(done, "_o", out, keys, t)
+    meetings, most = _beside(df, q, k, [v], keys, t, valid, block)
+    parts = meetings.select(*keys, "to_block", "to_frames", "block", _partial(n_head)("to_frames", "_q", "ok", "_k", f"_v_{v}").alias("_s"))
+    done = _merged(parts, [*keys, "to_block", "to_frames"], "block", most, "_s", _merge(n_head))
+
+    @F.arrow_udf("array<double>")
+    def divided(outs: pa.Array, total: pa.Array, summed: pa.Array) -> pa.Array:
+        made = []
+        for o, sums, values in zip(outs, total, summed):
+            n = len(o.values)
+            share = _numbers(sums).reshape(n_head, n).T[:, :, None]
+            made.append((_heads(_numbers(values), n, n_head) / share).ravel())
+        return pa.array(made, pa.list_(pa.float64()))
+
+    return _per_frame(done.withColumn("_o", divided("to_frames", "_s.total", "_s.sum")), "_o", out, keys, t)
 
 
 def apply_attention(
@@ -146,45 +222,62 @@ def apply_attention(
     t: str = "t",
     valid: str | None = None,
     out: str = "attended",
+    block: int = BLOCK,
 ) -> DataFrame:
-    """Reuse weights of :func:`attention_weights` on other values of the same frames.
+    """Reuse weights of :func:`attention_weights` on other values of the same frames, in the same blocks.
 
     'group' pairs head h with channel group h; 'mean' averages the heads first.
     Padded source frames get weight 0.
     """
     if mode not in ("group", "mean"):
         raise ValueError("mode must be 'group' or 'mean'")
-    series = gather_series(values, [v], keys, t, valid)
-    joined = weights.select(*keys, "attention").join(series, list(keys))
-    done = joined.withColumn(
-        "_o", _apply_udf(n_head, mode, True)("frames", "ok", "attention", v)
+    series = gather_blocks(values, [v], keys, t, valid, block).select(*keys, "block", "ok", F.col(v).alias("_v"))
+
+    @F.arrow_udf("array<double>")
+    def apply(outs: pa.Array, ok: pa.Array, w: pa.Array, v: pa.Array) -> pa.Array:
+        made = []
+        for o, good, ws, vs in zip(outs, ok, w, v):
+            n, good = len(o.values), _numbers(good)
+            ws = _numbers(ws).reshape(n_head, n, -1) * (good != 0)
+            if mode == "mean":
+                made.append((ws.mean(axis=0) @ _numbers(vs).reshape(len(good), -1)).ravel())
+            else:
+                made.append(np.einsum("hij,jhc->ihc", ws, _heads(_numbers(vs), len(good), n_head)).ravel())
+        return pa.array(made, pa.list_(pa.float64()))
+
+    parts = weights.join(series, [*keys, "block"]).select(
+        *keys, "to_block", "to_frames", "block", apply.asNondeterministic()("to_frames", "ok", "attention", "_v").alias("_o")
     )
-    return _per_frame(done, "_o", out, keys, t)
+    most = _last(values, F.floor(F.col(t) / block))
+    return _per_frame(_merged(parts, [*keys, "to_block", "to_frames"], "block", most, "_o", _summed()), "_o", out, keys, t)
 
 
-def resize_maps(weights: DataFrame, shape: tuple[int, int], w: str = "w") -> DataFrame:
+def resize_maps(weights: DataFrame, shape: tuple[int, int], w: str = "w", mode: str = "group") -> DataFrame:
     """Weight maps at the resolution of the values they will be applied to.
 
-    One row per (sample, head, t_out, t_in) with a row-major map. Enlarged
-    bilinearly; reduced, where neither side grows, by adaptive block means.
+    One row per (sample, head, t_out, t_in) with a row-major map. With 'group', enlarged
+    bilinearly and reduced, where neither side grows, by adaptive block means; with
+    'mean', bilinearly both ways.
     """
     h, wd = F.col("height"), F.col("width")
-    grow = (F.lit(shape[0]) > h) | (F.lit(shape[1]) > wd)
-    larger = grids.resample_bilinear(F.col(w), h, wd, shape)
-    smaller = grids.downsample_mean(F.col(w), h, wd, shape)
-    resized = weights.withColumn(w, F.when(grow, larger).otherwise(smaller))
-    return resized.withColumns({"height": F.lit(shape[0]), "width": F.lit(shape[1])})
+    bilinear = grids.resample_bilinear(F.col(w), h, wd, shape)
+    if mode == "mean":
+        resized = bilinear
+    else:
+        grow = (F.lit(shape[0]) > h) | (F.lit(shape[1]) > wd)
+        resized = F.when(grow, bilinear).otherwise(grids.downsample_mean(F.col(w), h, wd, shape))
+    return weights.withColumn(w, resized).withColumns({"height": F.lit(shape[0]), "width": F.lit(shape[1])})
 
 
 def mean_heads(weights: DataFrame, w: str = "w", sample: str = "sample_id") -> DataFrame:
-    """Weight maps averaged over the heads, as head 0."""
+    """Weight maps averaged over the heads, as head 0; the maps of a frame pair's heads are one row."""
     by = [sample, "t_out", "t_in", "height", "width"]
-    rows = weights.select(*by, F.posexplode(w).alias("_p", "_v"))
-    means = rows.groupBy(*by, "_p").agg(F.avg("_v").alias("_v"))
-    ordered = F.sort_array(F.collect_list(F.struct("_p", "_v")))
-    return means.groupBy(*by).agg(F.transform(ordered, lambda s: s["_v"]).alias(w)).withColumn(
-        "head", F.lit(0)
+    maps = weights.groupBy(*by).agg(F.collect_list(w).alias("_l"))
+    n = F.size("_l")
+    total = F.aggregate(
+        F.slice("_l", F.lit(2), n), F.get("_l", F.lit(0)), lambda s, m: F.zip_with(s, m, lambda a, b: a + b)
     )
+    return maps.select(*by, F.transform(total, lambda v: v / n).alias(w)).withColumn("head", F.lit(0))
 
 
 def apply_maps(
@@ -202,21 +295,32 @@ def apply_maps(
 
     ``weights`` has one map per (sample, head, t_out, t_in) at any resolution. With
     'group', head h weighs the h-th group of bands; with 'mean' the mean of the
-    heads weighs all. Padded source frames count as 0. Products are summed
-    map-side before they are shuffled.
+    heads weighs all. Padded source frames count as 0. Whole arrays are multiplied and
+    summed, FAN source frames at a time; pixel rows are made of the result only.
     """
     if mode not in ("group", "mean"):
         raise ValueError("mode must be 'group' or 'mean'")
     if mode == "mean":
         weights, n_head = mean_heads(weights, w, sample), 1
     size = len(bands) // n_head
-    maps = resize_maps(weights, shape, w).select(sample, "head", "t_out", "t_in", "width", w)
+    maps = resize_maps(weights, shape, w, mode).select(sample, "head", "t_out", "t_in", w)
     ok = (F.col(valid).cast("int") != 0) if valid else F.lit(True)
     source = frames.select(sample, F.col("t").alias("t_in"), ok.alias("_ok"), *bands)
     rows = maps.join(source.where("_ok"), [sample, "t_in"])
-    pixels = grids.explode_pixels(rows, [w, *bands], [sample, "head", "t_out"])
-    sums = [
-        F.sum(F.when(F.col("head") == i // size, F.col(w) * F.col(b))).alias(b)
-        for i, b in enumerate(bands)
+    # The bands of the head's group, weighted; the others stay out of the row.
+    weighted = [F.transform(F.array(*[F.col(b) for b in bands[i : i + size]]), lambda b: F.zip_with(w, b, lambda x, y: x * y)) for i in range(0, len(bands), size)]
+    group = F.lit(None).cast("array<array<double>>")
+    for i, made in enumerate(weighted):
+        group = F.when(F.col("head") == i, made).otherwise(group)
+    rows = rows.select(sample, "t_out", "head", F.col("t_in").cast("bigint").alias("t_in"), F.flatten(group).cast("array<double>").alias("_o"))
+    most = _last(frames, F.col("t"))
+    summed = _merged(rows.where("_o is not null"), [sample, "t_out", "head"], "t_in", most, "_o", _summed())
+    n = shape[0] * shape[1]
+    pixels = summed.select(
+        sample, F.col("t_out").alias("t"), "head", "_o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_p")
+    )
+    values = [
+        F.max(F.when(F.col("head") == i // size, F.get("_o", F.col("_p") + (i % size) * n))).alias(b) for i, b in enumerate(bands)
     ]
-    return pixels.groupBy(sample, F.col("t_out").alias("t"), "y", "x").agg(*sums)
+    y, x = F.floor(F.col("_p") / shape[1]).cast("int").alias("y"), (F.col("_p") % shape[1]).cast("int").alias("x")
+    return pixels.groupBy(sample, "t", y, x).agg(*values)

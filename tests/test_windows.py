@@ -123,11 +123,12 @@ def softmax(x):
     return e / e.sum(-1, keepdims=True)
 
 
-@pytest.mark.parametrize("n_head", [1, 2])
-def test_attention(spark, n_head):
+@pytest.mark.parametrize("n_head,block", [(1, 256), (2, 256), (2, 2), (1, 1)])
+def test_attention(spark, monkeypatch, n_head, block):
+    monkeypatch.setattr(attention, "FAN", 2)
     rng = np.random.default_rng(2)
     rows, want = [], {}
-    for s, n in enumerate((3, 5, 3)):
+    for s, n in enumerate((3, 9, 3)):
         q, k, v = rng.random((n, 4)), rng.random((n, 4)), rng.random((n, 6))
         ok = np.arange(n) != n - 1
         parts, mean_w = [], []
@@ -142,10 +143,33 @@ def test_attention(spark, n_head):
     df = spark.createDataFrame(
         rows, "sample_id int, y int, x int, t int, ok boolean, q array<double>, k array<double>, v array<double>"
     )
-    for r in attention.temporal_attention(df, n_head=n_head, valid="ok").collect():
+    for r in attention.temporal_attention(df, n_head=n_head, valid="ok", block=block).collect():
         assert np.allclose(r.attended, want[r.sample_id][0][r.t])
-    weights = attention.attention_weights(df, n_head=n_head, valid="ok")
-    for r in attention.apply_attention(weights, df, n_head=n_head, mode="mean", valid="ok").collect():
+    weights = attention.attention_weights(df, n_head=n_head, valid="ok", block=block)
+    assert weights.where(F.size("attention") > n_head * block * block).isEmpty()
+    for r in attention.apply_attention(weights, df, n_head=n_head, mode="mean", valid="ok", block=block).collect():
         assert np.allclose(r.attended, want[r.sample_id][1][r.t])
     with pytest.raises(ValueError):
         attention.apply_attention(weights, df, mode="max")
+
+
+def test_attention_with_extreme_scores(spark):
+    """Scores far apart in different blocks: the running maximum keeps exponentials finite."""
+    rows = [(0, 0, 0, t, [1.0], [float(800 * t)], [float(t)]) for t in range(6)]
+    df = spark.createDataFrame(rows, "sample_id int, y int, x int, t int, q array<double>, k array<double>, v array<double>")
+    got = attention.temporal_attention(df, block=2).collect()
+    assert len(got) == 6 and all(np.allclose(r.attended, [5.0]) for r in got)
+
+
+@pytest.mark.parametrize("mode", ["group", "mean"])
+def test_maps_are_resized_by_mode(spark, mode):
+    """Shrinking: block means for groups of heads, bilinear for their mean."""
+    w = np.arange(16.0).reshape(4, 4)
+    df = spark.createDataFrame([("a", 0, 0, 0, 4, 4, w.ravel().tolist())], "sample_id string, head int, t_out int, t_in int, height int, width int, w array<double>")
+    got = attention.resize_maps(df, (2, 2), mode=mode).first().w
+    # Half size: pixel centres fall on the corner of four pixels, so both give their mean.
+    assert np.allclose(got, [2.5, 4.5, 10.5, 12.5])
+    odd = attention.resize_maps(df, (1, 1), mode=mode).first().w
+    assert np.allclose(odd, [7.5])
+    third = attention.resize_maps(df, (3, 3), mode=mode).first().w
+    assert np.allclose(third[0], 2.5 if mode == "group" else 0.833333, atol=1e-5)
