@@ -110,12 +110,18 @@ def coverage_of(frames: DataFrame) -> DataFrame:
     )
 
 
+def usable_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of the frames of usable samples, which may lend their masks."""
+    usable = chosen(spark, sf_dir).select("sample_id").distinct()
+    return coverage_of(scene_frames(spark, sf_dir)).join(usable, "sample_id", "left_semi")
+
+
 @register(
     "donor_masks",
     query("draws", "SELECT sample_id, t, donor_sample, donor_t FROM draws"),
 )
 def donor_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    donors = gaps.donor_index(settle(coverage_of(scene_frames(spark, sf_dir))))
+    donors = gaps.donor_index(settle(usable_coverage(spark, sf_dir)))
     masked = settle(drawn_frames(spark, sf_dir).where(F.col("masked") == 1))
     return gaps.draw_donors(masked, donors).select("sample_id", "t", "donor_sample", "donor_t")
 
@@ -131,14 +137,14 @@ LEFT JOIN f ON f.tile = s.tile AND f.donor_sample = s.donor_sample AND f.donor_n
   {digits(hexa(0, 'donor', 'sample_id', 't'))} AS hf FROM drawn WHERE masked = 1""",
         f=f"""SELECT tile, sample_id AS donor_sample, t AS donor_t, count(*) OVER (PARTITION BY sample_id) AS n,
   row_number() OVER (PARTITION BY sample_id ORDER BY {hexa(0, 'donor_order', 'sample_id', 't')}) - 1 AS donor_no
-FROM stats WHERE coverage >= 0.1""",
+FROM stats WHERE coverage >= 0.1 AND sample_id IN (SELECT sample_id FROM usable)""",
         s=f"""SELECT tile, donor_sample, count(*) OVER (PARTITION BY tile) AS m,
   row_number() OVER (PARTITION BY tile ORDER BY {hexa(0, 'donor_sample_order', 'donor_sample')}) - 1 AS sample_no
 FROM (SELECT DISTINCT tile, donor_sample FROM f)""",
     ),
 )
 def donor_masks_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    donors = gaps.donor_index(settle(coverage_of(scene_frames(spark, sf_dir))), draw="sample")
+    donors = gaps.donor_index(settle(usable_coverage(spark, sf_dir)), draw="sample")
     masked = settle(drawn_frames(spark, sf_dir).where(F.col("masked") == 1))
     return gaps.draw_donors(masked, donors, draw="sample").select(
         "sample_id", "t", "donor_sample", "donor_t"

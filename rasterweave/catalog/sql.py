@@ -170,11 +170,11 @@ FROM (SELECT t.*, q.eff, CASE WHEN pos <> 0 AND row_number() OVER (PARTITION BY
   FROM whole t JOIN quota q USING (sample_id))""",
 )
 BLOCKS["donors"] = (
-    ("stats",),
+    ("stats", "usable"),
     f"""SELECT tile, sample_id AS donor_sample, t AS donor_t,
   row_number() OVER (PARTITION BY tile ORDER BY {hexa(0, 'donor_order', 'sample_id', 't')}) - 1 AS donor_no,
   count(*) OVER (PARTITION BY tile) AS n
-FROM stats WHERE coverage >= 0.1""",
+FROM stats WHERE coverage >= 0.1 AND sample_id IN (SELECT sample_id FROM usable)""",
 )
 BLOCKS["draws"] = (
     ("drawn", "donors"),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import uuid
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -14,12 +16,13 @@ from rasterweave.catalog.frames import _QUALITY_OUT, _ids, _quality_columns, _r
 from rasterweave.catalog.simulation import SETTINGS, chosen, simulated, targets
 from rasterweave.catalog.sql import BANDS, query
 from rasterweave.functions import grids
-from rasterweave.plans.ingest import score_frames
+from rasterweave.plans.ingest import ingest_files, score_frames
 from rasterweave.plans.simulate import training_set
 from rasterweave.sources.cubes import CUBE_KEY, cubes_to_frames
 from rasterweave.sources.driver_tables import scene_frames
-from rasterweave.sources.settle import settle
-from rasterweave.sources.simulations import not_yet_simulated, target_differences
+from rasterweave.sources.frames import keep_listed, list_samples, read_frames
+from rasterweave.sources.settle import settle, shared_folder
+from rasterweave.sources.simulations import not_yet_simulated, read_simulation, target_differences, write_simulation
 
 
 def _pack(bands: list[str]):
@@ -63,17 +66,16 @@ _NAME = "'tile' || tile || '/s' || sample_id || '_2018-01-01_2018-03-01_x'"
     query(
         "pix",
         f"""SELECT {_NAME} AS sample_id, 'tile' || tile AS tile, t, strftime(DATE '2018-01-05' + CAST(5 * t AS INTEGER), '%Y-%m-%d') AS acq_date,
-  y, x, round(CAST(CAST(b0 AS FLOAT) AS DOUBLE), 5) AS b0, round(CAST(CAST(b3 AS FLOAT) AS DOUBLE), 5) AS b3, round(CAST(CAST(cloud_prob AS FLOAT) AS DOUBLE), 3) AS cloud_prob, 3 * cloud_mask AS class_id, cloud_mask FROM pix""",
+  y, x, {", ".join(f"round(CAST(CAST({b} AS FLOAT) AS DOUBLE), 5) AS {b}" for b in BANDS)}, round(CAST(CAST(cloud_prob AS FLOAT) AS DOUBLE), 3) AS cloud_prob, 3 * cloud_mask AS class_id, cloud_mask FROM pix""",
     ),
 )
 def cube_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = cubes_to_frames(cube_files(spark, sf_dir))
-    arrays = ["b0", "b3", "cloud_prob", "class_id", "cloud_mask"]
+    arrays = [*BANDS, "cloud_prob", "class_id", "cloud_mask"]
     p = grids.explode_pixels(frames, arrays, ["sample_id", "tile", "t", "acq_date"])
     return p.select(
         "sample_id", "tile", *_ids("t"), F.date_format("acq_date", "yyyy-MM-dd").alias("acq_date"),
-        *_ids("y", "x"), F.round(F.col("b0").cast("double"), 5).alias("b0"),
-        F.round(F.col("b3").cast("double"), 5).alias("b3"),
+        *_ids("y", "x"), *[F.round(F.col(b).cast("double"), 5).alias(b) for b in BANDS],
         F.round(F.col("cloud_prob").cast("double"), 3).alias("cloud_prob"),
         *_ids("class_id", "cloud_mask"),
     )
@@ -97,6 +99,54 @@ def cube_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SPLIT_QUALITY = " UNION ALL ".join(
+    f"""SELECT '{split}' AS split, {_NAME} AS sample_id, 'tile' || tile AS tile, t, round(cloud_pct, 6) AS cloud_pct,
+  CAST(impaired AS BIGINT) AS impaired, CAST(valid_obs AS BIGINT) AS valid_obs,
+  CAST(sum(valid_obs) OVER (PARTITION BY sample_id) >= 5 AS BIGINT) AS usable FROM {source}"""
+    for split, source in (("train", "fr"), ("iid", "fr_noprob"))
+)
+
+
+@register("ingest_two_splits", query(("fr", "fr_noprob"), _SPLIT_QUALITY))
+def ingest_two_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same names ingested as training and as test cubes: stored, scored and listed by split."""
+    target = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    ingest_files(spark, settle(cube_files(spark, sf_dir)), target, "train")
+    ingest_files(spark, settle(cube_files(spark, sf_dir, context=4)), target, "iid")
+    frames = read_frames(spark, f"{target}/frames")
+    listed = keep_listed(list_samples(frames), spark.read.parquet(f"{target}/valid_samples")).withColumn("_ok", F.lit(1))
+    quality = spark.read.parquet(f"{target}/frame_quality").join(listed, ["split", "tile", "sample_id"], "left")
+    return quality.select(
+        "split", "sample_id", "tile", *_ids("t"), _r("cloud_pct", "cloud_pct"), *_ids("impaired", "valid_obs"),
+        F.coalesce("_ok", F.lit(0)).cast("bigint").alias("usable"),
+    )
+
+
+@register(
+    "simulation_round_trip",
+    query(
+        "sim",
+        f"""SELECT sample_id, pos, t, CAST(max(masked) AS BIGINT) AS masked, CAST(max(fully_masked) AS BIGINT) AS fully_masked,
+  CAST(sum(mask) AS BIGINT) AS n_hidden, {", ".join(f"round(sum({b}), 5) AS sum_{b}" for b in BANDS)} FROM sim GROUP BY ALL""",
+    ),
+)
+def simulation_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs added to a store in parts, one of them repeated; the first one read back."""
+    path = f"{shared_folder(spark)}/simulation-{uuid.uuid4().hex}"
+    target = ["sample_id", "pos", "t", *BANDS, "cloud_mask"]
+    one = simulated(spark, sf_dir)
+    write_simulation(spark, one.where("sample_id % 2 = 0"), path, SETTINGS.run_key, target)
+    write_simulation(spark, one, path, SETTINGS.run_key, target)
+    other = replace(SETTINGS, ratio_masked_frames=0.25)
+    write_simulation(spark, simulated(spark, sf_dir, other), path, other.run_key, target)
+    back = read_simulation(spark, path, SETTINGS.run_key)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return back.select(
+        *_ids("sample_id", "pos", "t", "masked", "fully_masked"), total("mask").cast("bigint").alias("n_hidden"),
+        *[F.round(total(b), 5).alias(f"sum_{b}") for b in BANDS],
+    )
+
+
 @register(
     "not_yet_simulated",
     query("usable", "SELECT sample_id FROM usable WHERE sample_id % 3 <> 0"),

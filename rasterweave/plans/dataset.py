@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterweave.functions import grids, radiometry
-from rasterweave.operators import geometry, quality
-from rasterweave.plans.simulate import choose_frames, clean_bands, simulate_gaps, training_set
+from rasterweave.operators import geometry, quality, sequences
+from rasterweave.plans.simulate import apply_stored_masks, choose_frames, clean_bands, simulate_gaps, training_set
 from rasterweave.schema import ReadOptions, band_columns
-from rasterweave.sources.frames import list_samples, pair_sensors, read_frames
+from rasterweave.sources.frames import keep_listed, list_samples, pair_sensors, read_frames
 from rasterweave.sources.settle import settle
+from rasterweave.sources.simulations import read_simulation
 
 RADAR = ["vv", "vh"]
 
@@ -21,7 +22,7 @@ def _prepared(
     frames: DataFrame, options: ReadOptions, bands: list[str], radar: DataFrame | None, seed: int
 ) -> tuple[DataFrame, list[str]]:
     """Augmented, cropped and scaled frames; all arrays of a frame are changed alike."""
-    arrays = [*bands, "cloud_mask"]
+    arrays = [*bands, "cloud_mask", *options.extra]
     if options.include_radar:
         # Paired first, so that both sensors are turned and cropped together.
         frames = pair_sensors(frames, radar.select("sample_id", "t", *RADAR))
@@ -38,6 +39,8 @@ def _prepared(
     if options.include_radar:
         scale = radiometry.per_pixel(radiometry.scale_radar)
         frames = frames.withColumns({r: scale(F.col(r)) for r in RADAR})
+    if options.drop_black:
+        frames = sequences.drop_black(frames, bands, ["tile", "sample_id"])
     return frames, arrays
 
 
@@ -53,16 +56,24 @@ def model_samples(
     """Training rows from the ``frames`` and ``frame_quality`` tables below ``root``.
 
     Selection follows ``options.filter``, gaps follow ``options.mask`` (none without
-    it); masks are lent by frames cropped and turned like the targets. A row
+    it); masks are lent by frames of chosen samples, cropped and turned like the targets. With
+    ``options.stored_run`` the sequences and masks of that run are used as they are stored. A row
     holds up to ``row_frames`` frames.
     """
     if options.include_radar and radar is None:
         raise ValueError("include_radar needs the radar frames")
+    append_mask = options.channels.endswith("-mask")
+    if options.stored_run is not None:
+        stored = read_simulation(spark, options.stored_run, options.mask.run_key)
+        gappy = apply_stored_masks(stored, band_columns(stored.columns), options.mask)
+        return training_set(
+            gappy, band_columns(stored.columns), row_frames, options.position_strategy, append_mask, extra=options.extra
+        )
     n_bands = n_bands or (4 if options.sensor == "four-band" else 13)
     raw = read_frames(spark, f"{root}/frames", options, n_bands)
     bands = band_columns(raw.columns)
     scored = spark.read.parquet(f"{root}/frame_quality")
-    scored = scored.join(list_samples(raw), ["tile", "sample_id"], "left_semi")
+    scored = keep_listed(scored, list_samples(raw))
     if options.include_radar:
         scored = scored.join(radar.select("sample_id").distinct(), "sample_id", "left_semi")
     chosen = settle(choose_frames(scored, options.filter, options.max_seq_length, seed))
@@ -89,6 +100,7 @@ def model_samples(
         bands,
         row_frames,
         options.position_strategy,
-        append_mask=options.channels.endswith("-mask"),
+        append_mask=append_mask,
         radar=RADAR if options.include_radar else (),
+        extra=options.extra,
     )

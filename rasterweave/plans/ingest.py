@@ -10,8 +10,9 @@ from rasterweave.operators.quality import FRAME_KEYS, flag_frames, frame_statist
 from rasterweave.operators.sequences import valid_samples
 from rasterweave.operators.gaps import split_by_tile
 from rasterweave.schema import FilterSettings, frames_schema
-from rasterweave.sources.cubes import cubes_to_frames, inventory
-from rasterweave.sources.frames import write_frames, write_valid_samples
+from rasterweave.sources.cubes import cubes_to_frames, inventory, list_files
+from rasterweave.sources.frames import SAMPLE_KEYS, write_frames, write_valid_samples
+from rasterweave.sources.settle import settle
 
 # --- fixed values -----------------------------------------------------------
 FOUR_BAND_FILTER = FilterSettings("cloud-free", 5, return_valid_obs_only=False)
@@ -32,20 +33,20 @@ def score_frames(
     """
     if prob_as_fraction:
         frames = frames.withColumn("cloud_prob", F.transform("cloud_prob", lambda v: v * 100.0))
-    stats = frame_statistics_arrays(frames, FRAME_KEYS, prob="cloud_prob" if with_prob else None)
+    keep = [c for c in ("split", *FRAME_KEYS) if c in frames.columns]
+    stats = frame_statistics_arrays(frames, keep, prob="cloud_prob" if with_prob else None)
     return flag_frames(stats, strict, with_prob)
 
 
 def usable_samples(quality: DataFrame, two_sensor: bool = False) -> DataFrame:
-    """Samples the later steps may use."""
-    return valid_samples(quality, TWO_SENSOR_FILTER if two_sensor else FOUR_BAND_FILTER)
+    """Samples the later steps may use, by split, tile and name as far as the table has them."""
+    keys = [c for c in SAMPLE_KEYS if c in quality.columns]
+    return valid_samples(quality, TWO_SENSOR_FILTER if two_sensor else FOUR_BAND_FILTER, keys)
 
 
-def train_val_files(files: DataFrame, val_size: int = VALIDATION_SIZE, seed: int = 0) -> DataFrame:
-    """Cube files with their split; all samples of a tile are in one split."""
-    listed = inventory(files)
-    splits = split_by_tile(listed, val_size, seed).select("tile", "split")
-    return files.join(listed.join(splits, "tile").select("path", "tile", "split"), "path")
+def train_val_tiles(names: DataFrame, val_size: int = VALIDATION_SIZE, seed: int = 0) -> DataFrame:
+    """(tile, split) from the names of cube files; all samples of a tile are in one split."""
+    return split_by_tile(inventory(names), val_size, seed).select("tile", "split")
 
 
 def store_quality(quality: DataFrame, path: str) -> None:
@@ -61,27 +62,62 @@ def unscored(spark: SparkSession, frames: DataFrame, path: str) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return frames
-    return frames.join(known.select("tile", "sample_id", "t"), ["tile", "sample_id", "t"], "left_anti")
+    keys = [*SAMPLE_KEYS, "t"]
+    return frames.join(known.select(*keys), keys, "left_anti")
+
+
+def cube_content(spark: SparkSession, source: str) -> DataFrame:
+    """(path, content, ...) of the cube files below ``source``."""
+    return (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.npz")
+        .option("recursiveFileLookup", "true")
+        .load(source)
+    )
 
 
 def ingest_cubes(
     spark: SparkSession, source: str, target: str, split: str, with_prob: bool | None = None
 ) -> None:
-    """Convert the cubes below ``source``: frames, frame_quality and valid_samples tables.
+    """Convert the cubes below ``source``: frames, frame_quality and valid_samples tables."""
+    ingest_files(spark, cube_content(spark, source), target, split, with_prob)
+
+
+def ingest_train_val(
+    spark: SparkSession, source: str, target: str, val_size: int = VALIDATION_SIZE, seed: int = 0
+) -> None:
+    """The same for training cubes, tiles divided into the splits 'train' and 'val'.
+
+    The division looks at names only, before any content is read.
+    """
+    tiles = settle(train_val_tiles(list_files(spark, source), val_size, seed))
+    ingest_files(spark, cube_content(spark, source), target, "train", tiles=tiles)
+
+
+def ingest_files(
+    spark: SparkSession,
+    files: DataFrame,
+    target: str,
+    split: str,
+    with_prob: bool | None = None,
+    tiles: DataFrame | None = None,
+) -> None:
+    """Cube files (path, content) to the tables below ``target``.
 
     Cubes are decoded once; quality is scored on the stored frames, whose mask and
-    probability columns are all that is read again.
+    probability columns are all that is read again. Names may come again in another split: every
+    table and key has it. ``tiles`` (tile, split) divides the files' tiles into splits; one row a tile,
+    small enough for the optimizer to send along.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.npz")
-        .option("recursiveFileLookup", "true")
-        .load(source)
-    )
-    write_frames(cubes_to_frames(files, split), f"{target}/frames")
+    frames = cubes_to_frames(files, split)
+    splits = [split]
+    if tiles is not None:
+        frames = frames.drop("split").join(tiles, "tile")
+        splits = ["train", "val"]
+    write_frames(frames, f"{target}/frames")
     stored = spark.read.schema(frames_schema(4)).parquet(f"{target}/frames")
     prob = split in ("train", "val") if with_prob is None else with_prob
-    fresh = unscored(spark, stored.where(F.col("split") == split), f"{target}/frame_quality")
+    fresh = unscored(spark, stored.where(F.col("split").isin(splits)), f"{target}/frame_quality")
     store_quality(score_frames(fresh, with_prob=prob), f"{target}/frame_quality")
     quality = spark.read.parquet(f"{target}/frame_quality")
     write_valid_samples(usable_samples(quality), f"{target}/valid_samples")

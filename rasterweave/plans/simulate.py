@@ -42,7 +42,7 @@ def simulate_gaps(
     """Chosen frames with mask, masked, fully_masked and the filled bands ``<band>_in``.
 
     ``chosen`` comes from :func:`choose_frames`; ``coverage`` is any table of (tile,
-    sample_id, t, coverage), such as the frame quality. Both are used several
+    sample_id, t, coverage), such as the frame quality; only chosen samples lend masks. Both are used several
     times and should be stored tables (see ``settle``), as should nothing larger:
     which frame gets which mask is decided on scalars, and the band arrays are
     read and shuffled once, in the final join. Masks are lent within the
@@ -62,8 +62,9 @@ def simulate_gaps(
         return gaps.mask_sequence(own.withColumn("mask", F.col("cloud_mask")), bands, settings)
 
     drawn = settle(gaps.sample_masked_frames(chosen, settings, earlier))
+    usable = chosen.select("tile", "sample_id").distinct()
     donors = gaps.donor_index(
-        coverage, settings.min_donor_coverage, settings.seed, settings.donor_draw
+        coverage.join(usable, ["tile", "sample_id"], "left_semi"), settings.min_donor_coverage, settings.seed, settings.donor_draw
     )
     draws = settle(
         gaps.draw_donors(

@@ -163,8 +163,16 @@ class ReadOptions:
     crop: CropSettings | None = None
     mask: MaskSettings | None = None
     augment: bool = False
+    #: Leave out samples with a frame whose scaled bands are all 0.
+    drop_black: bool = False
+    #: Arrays returned beside the sample: cloud_prob, class_id.
+    extra: tuple[str, ...] = ()
+    #: Folder of a stored simulation, whose run by ``mask`` is read instead of simulating.
+    stored_run: str | None = None
 
     def __post_init__(self) -> None:
+        _require(set(self.extra) <= {"cloud_prob", "class_id"}, "extra may hold cloud_prob and class_id")
+        _require(self.stored_run is None or self.mask is not None, "a stored run is told by mask settings")
         _require(self.sensor in ("four-band", "thirteen-band"), f"unknown sensor {self.sensor!r}")
         splits = SPLITS if self.sensor == "four-band" else SENSOR_SPLITS
         _require(self.split in splits, f"split must be one of {splits}")

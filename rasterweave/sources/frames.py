@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from rasterweave.schema import ReadOptions, frames_schema
 
 
+#: A name may come again in another split, and in another tile.
+SAMPLE_KEYS = ("split", "tile", "sample_id")
+
+
 def write_frames(frames: DataFrame, path: str, mode: str = "append") -> None:
     """Parquet by split and tile, compressed with zstd.
 
@@ -59,10 +63,12 @@ def _stored_split(options: ReadOptions) -> str:
     return options.split
 
 
-def list_samples(frames: DataFrame, name_contains: str | None = None) -> DataFrame:
-    """Distinct (tile, sample_id); e.g. name_contains='ROIs' for ROI-named samples only."""
+def list_samples(frames: DataFrame, name_contains: str | None = None, ordered: bool = False) -> DataFrame:
+    """Distinct (split, tile, sample_id), sorted if ``ordered``; e.g. name_contains='ROIs' for ROI-named samples only."""
     rows = frames.where(F.col("sample_id").contains(name_contains)) if name_contains else frames
-    return rows.select("tile", "sample_id").distinct()
+    keys = [c for c in SAMPLE_KEYS if c in frames.columns]
+    listed = rows.select(*keys).distinct()
+    return listed.orderBy(*keys) if ordered else listed
 
 
 def union_splits(parts: Sequence[DataFrame]) -> DataFrame:
@@ -78,8 +84,10 @@ def write_valid_samples(samples: DataFrame, path: str) -> None:
     samples.write.mode("overwrite").parquet(path)
 
 
-def keep_listed(frames: DataFrame, samples: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
-    """Frames of the samples on a stored list."""
+def keep_listed(frames: DataFrame, samples: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    """Frames of the samples on a stored list; by split, tile and name as far as both have them."""
+    if keys is None:
+        keys = [c for c in SAMPLE_KEYS if c in frames.columns and c in samples.columns]
     return frames.join(samples.select(*keys), list(keys), "left_semi")
 
 

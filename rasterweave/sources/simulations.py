@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterweave.schema import MaskSettings
+from rasterweave.sources.commits import commit, read_committed
+from rasterweave.sources.settle import forget, settle
 
 TARGET, MASKS = "target", "masks"
 FRAME = ["sample_id", "pos"]
@@ -66,32 +69,39 @@ def write_simulation(
 ) -> None:
     """Add one run: targets of new samples once, and this run's masks once.
 
-    A sample stored earlier must have the same target frames again; otherwise
-    nothing is written and an error is raised.
+    The simulation is evaluated once, into a staged table; the comparison and both
+    parts start from there and become visible by one commit. A sample stored earlier must have
+    the same target frames again; otherwise nothing is added and an error is raised. A run
+    that is repeated adds the samples it lacks.
     """
-    labelled = simulated.withColumn("run_key", F.lit(run_key))
-    try:
-        stored = spark.read.parquet(f"{path}/{TARGET}")
-        masks = spark.read.parquet(f"{path}/{MASKS}")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        stored = masks = None
-    new_target, new_masks = labelled, labelled
+    name = uuid.uuid4().hex
+    columns = list(dict.fromkeys([*MASK_COLUMNS, *target]))
+    staged = settle(simulated.withColumn("run_key", F.lit(run_key)).select(*columns))
+    stored, masks = (read_committed(spark, path, kind) for kind in (TARGET, MASKS))
+    new_target, new_masks = staged, staged
     if stored is not None:
-        columns = [c for c in target if c not in FRAME]
-        if not target_differences(stored, labelled, columns).isEmpty():
+        compared = [c for c in target if c not in FRAME]
+        if not target_differences(stored, staged, compared).isEmpty():
+            forget(staged)
             raise RuntimeError("the simulated targets differ from those stored by an earlier run")
-        new_target = labelled.join(stored.select("sample_id").distinct(), "sample_id", "left_anti")
+        new_target = staged.join(stored.select("sample_id").distinct(), "sample_id", "left_anti")
         done = masks.where(F.col("run_key") == run_key).select("sample_id").distinct()
-        new_masks = labelled.join(done, "sample_id", "left_anti")
-    out = lambda df: df.write.mode("append").option("compression", "zstd")
-    # Targets first: a job that dies in between is completed by running it again.
-    out(new_target.select(*dict.fromkeys([*FRAME, *target]))).parquet(f"{path}/{TARGET}")
-    out(new_masks.select(*MASK_COLUMNS)).partitionBy("run_key").parquet(f"{path}/{MASKS}")
+        new_masks = staged.join(done, "sample_id", "left_anti")
+    out = lambda df: df.write.option("compression", "zstd")
+    out(new_target.select(*dict.fromkeys([*FRAME, *target]))).parquet(f"{path}/{name}/{TARGET}")
+    out(new_masks.select(*MASK_COLUMNS)).parquet(f"{path}/{name}/{MASKS}")
+    commit(spark, path, name)
+    forget(staged)
+
+
+def read_masks(spark: SparkSession, path: str) -> DataFrame | None:
+    """Masks of all complete runs; None if there is none."""
+    return read_committed(spark, path, MASKS)
 
 
 def read_simulation(spark: SparkSession, path: str, run_key: str) -> DataFrame:
-    """Target frames with the masks of one run; the run is a partition, so only it is read."""
-    masks = spark.read.parquet(f"{path}/{MASKS}").where(F.col("run_key") == run_key)
-    return spark.read.parquet(f"{path}/{TARGET}").join(masks.drop("run_key"), FRAME)
+    """Target frames with the masks of one run. Each write holds one run, so the others' row groups are passed over."""
+    masks, stored = read_masks(spark, path), read_committed(spark, path, TARGET)
+    if masks is None:
+        raise ValueError(f"no complete simulation below {path}")
+    return stored.join(masks.where(F.col("run_key") == run_key).drop("run_key"), FRAME)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rasterweave.plans import ingest
 from rasterweave.schema import MaskSettings, ReadOptions, frames_schema
 from rasterweave.sources import cubes, simulations
+from rasterweave.sources.commits import drop_uncommitted, read_committed
 from rasterweave.sources.frames import (
     keep_listed,
     list_samples,
@@ -92,8 +93,37 @@ def test_ingest_end_to_end(spark, npz_root, tmp_path):
     assert quality.where("valid_obs = 1").count() == 12
     valid = spark.read.parquet(f"{out}/valid_samples")
     assert keep_listed(frames, valid.limit(1)).count() == 6
-    files = ingest.train_val_files(cubes.list_files(spark, str(root)), val_size=1)
-    assert sorted(r.split for r in files.collect()) == ["train", "val"]
+    tiles = ingest.train_val_tiles(cubes.list_files(spark, str(root)), val_size=1)
+    assert sorted(r.split for r in tiles.collect()) == ["train", "val"]
+
+
+def test_ingest_divides_tiles_into_train_and_val(spark, npz_root, tmp_path):
+    root, _ = npz_root
+    out = str(tmp_path / "out")
+    ingest.ingest_train_val(spark, str(root / "train"), out, val_size=1)
+    frames = spark.read.parquet(f"{out}/frames")
+    assert sorted(r.split for r in frames.select("split", "tile").distinct().collect()) == ["train", "val"]
+    assert spark.read.parquet(f"{out}/frame_quality").groupBy("split").count().count() == 2
+    assert [tuple(r) for r in list_samples(frames, ordered=True).collect()] == sorted(tuple(r) for r in list_samples(frames).collect())
+
+
+def test_equal_names_in_two_splits(spark, tmp_path):
+    """Each split keeps its own frames, its own flags and its own place on the list."""
+    out = str(tmp_path / "out")
+    for split, hidden in (("train", 0), ("iid", 1)):
+        c = np.full((4, 4, 7, 6), 0.4, "float32")
+        c[:, :, 4] = 0
+        c[:, :, -1] = hidden
+        d = tmp_path / split / "context" / "tileA"
+        d.mkdir(parents=True)
+        np.savez(d / "context_s1_2018-01-01_2018-01-31_x.npz" if split == "iid" else d / "s1_2018-01-01_2018-01-31_x.npz", highresdynamic=c)
+        ingest.ingest_cubes(spark, str(tmp_path / split), out, split)
+    quality = spark.read.parquet(f"{out}/frame_quality")
+    assert {(r.split, r.valid_obs, r["count"]) for r in quality.groupBy("split", "valid_obs").count().collect()} == {("train", 1, 6), ("iid", 0, 6)}
+    valid = spark.read.parquet(f"{out}/valid_samples")
+    assert [r.split for r in valid.collect()] == ["train"]
+    frames = spark.read.parquet(f"{out}/frames")
+    assert {r.split for r in keep_listed(frames, valid).collect()} == {"train"}
 
 
 def test_repeated_ingest_scores_new_frames_only(spark, npz_root, tmp_path):
@@ -167,14 +197,47 @@ def test_simulation_store(spark, tmp_path):
     assert simulations.read_simulation(spark, path, key).count() == 4
     other = MaskSettings(ratio_masked_frames=0.3).run_key
     simulations.write_simulation(spark, simulation(spark, ["a"], mask=0), path, other, ["b0"])
-    assert spark.read.parquet(f"{path}/target").count() == 4
+    assert read_committed(spark, path, "target").count() == 4
     assert simulations.read_simulation(spark, path, other).count() == 2
-    masks = spark.read.parquet(f"{path}/masks")
+    masks = simulations.read_masks(spark, path)
     left = simulations.not_yet_simulated(simulation(spark, ["a", "b", "c"]), masks, other)
     assert {r.sample_id for r in left.collect()} == {"b", "c"}
     with pytest.raises(RuntimeError):
         simulations.write_simulation(spark, simulation(spark, ["a"], shift=0.1), path, "new", ["b0"])
-    assert spark.read.parquet(f"{path}/masks").where("run_key = 'new'").isEmpty()
+    assert simulations.read_masks(spark, path).where("run_key = 'new'").isEmpty()
+    assert read_committed(spark, str(tmp_path / "none"), "masks") is None
+
+
+def test_killed_write_leaves_nothing_to_see(spark, tmp_path, monkeypatch):
+    path, key = str(tmp_path / "sim"), MaskSettings().run_key
+    simulations.write_simulation(spark, simulation(spark, ["a"]), path, key, ["b0"])
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(simulations, "commit", killed)
+        with pytest.raises(KeyboardInterrupt):
+            simulations.write_simulation(spark, simulation(spark, ["b"]), path, key, ["b0"])
+    assert {r.sample_id for r in simulations.read_simulation(spark, path, key).collect()} == {"a"}
+    assert len(drop_uncommitted(spark, path)) == 1 and drop_uncommitted(spark, path) == []
+    simulations.write_simulation(spark, simulation(spark, ["b"]), path, key, ["b0"])
+    assert {r.sample_id for r in simulations.read_simulation(spark, path, key).collect()} == {"a", "b"}
+
+
+def test_simulation_is_evaluated_once(spark, tmp_path):
+    path, seen = str(tmp_path / "sim"), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    counted = simulation(spark, ["a", "b"])
+    counted = counted.mapInArrow(count, counted.schema)
+    for _ in range(2):
+        simulations.write_simulation(spark, counted, path, "k", ["b0"])
+    assert seen.value == 8
 
 
 def test_earlier_draws_pick_the_closest_run(spark):
@@ -228,7 +291,11 @@ def test_workflow_from_cubes_to_scores(spark, tmp_path):
     assert a.keys() == b.keys() and len(a) == 60
     assert all(np.isclose(a[k], b[k]) for k in a)
     assert a[("linear", "masked_mae", "observed")] == 0.0
+    from rasterweave.plans.dataset import model_samples
+
+    direct = model_samples(spark, out, ReadOptions(channels="bgr-nir-mask", mask=settings, stored_run=f"{out}/sim"), 6).collect()
     rows = simulate.training_set(again, bands, 6, append_mask=True, extra=["masked"]).collect()
+    assert {r.sample_id: r.x for r in direct} == {r.sample_id: r.x for r in rows}
     assert len(rows) == 4 and {len(r.x) for r in rows} == {6} and {len(r.x[0]) for r in rows} == {5}
 
 
@@ -264,6 +331,9 @@ def test_model_samples(spark, tmp_path):
             assert x[3] == [float(v) for v in m]
             assert all(a == (1.0 if hidden else b) for a, b, hidden in zip(x[0], y[0], m))
     assert sum(any(m) for r in rows for m in r.masks) == 9
+    shown = ReadOptions(channels="bgr", filter=FilterSettings("cloud-free", 5), drop_black=True, extra=("cloud_prob", "class_id"))
+    rows = model_samples(spark, out, shown, row_frames=8).collect()
+    assert len(rows) == 3 and all(len(r.cloud_prob[0]) == 64 == len(r.class_id[0]) for r in rows)
     plain = ReadOptions(channels="bgr-nir", filter=FilterSettings(None), position_strategy="absolute")
     rows = model_samples(spark, out, plain, row_frames=4).collect()
     assert len(rows) == 6 and all(r.x == r.y for r in rows)
