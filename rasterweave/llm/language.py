@@ -25,6 +25,7 @@ from rasterweave.llm import words as W
 
 #: Documents per language that are counted, in expectation.
 SAMPLE = 3000
+_DRAW_BITS = 62
 BUCKETS = 1 << 16
 PENALTY = 1.0
 SMOOTH = 0.5
@@ -73,17 +74,22 @@ def _counted(text: pa.Array) -> pa.Array:
     return W.list_array(np.array(sizes, np.int64), pairs)
 
 
+def draw_below(count: int) -> int:
+    """Hashes of _DRAW_BITS bits below it are drawn: about SAMPLE of ``count`` documents, of any number."""
+    return max(1, int((1 << _DRAW_BITS) * min(1.0, SAMPLE / count)))
+
+
 def fit(docs: DataFrame, usable: Column, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
     """Log-probabilities of trigram buckets for each language, by name."""
     known = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(id_column), F.lit(1 << 20)).alias("h")
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.shiftrightunsigned(F.xxhash64(id_column), 64 - _DRAW_BITS).alias("h")
     )
     sizes = known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages in column {lang!r}")
     if not sizes:
         return {"names": []}
-    part = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int((1 << 20) * min(1.0, SAMPLE / r["count"])))])
+    part = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], draw_below(r["count"]))])
     counted = (
         known.filter(F.col("h") < part[F.col("lang")])
         .select("lang", F.inline(_counted("text")))
