@@ -180,8 +180,11 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, beam: int = BEAM,
         d.alias("d"), F.explode(F.sequence(F.lit(0), (number[d] - 1).cast("int"))).alias("shard"), "v",
         F.array("vec_id").alias("ids"), F.lit(1).alias("asks"),
     )
-    total = sum(shards.values())
-    dealt = stored.union(asked).repartition(total, "d", "shard").sortWithinPartitions("d", "shard", "asks")
+    # Shards of all lengths are numbered through, and each is a partition of its own.
+    sizes_in_order = sorted(shards)
+    first = F.create_map(*[F.lit(x) for i, d in enumerate(sizes_in_order) for x in (d, sum(shards[e] for e in sizes_in_order[:i]))])
+    dealt = stored.union(asked).repartitionById(sum(shards.values()), (first[F.col("d")] + F.col("shard")).cast("int"))
+    dealt = dealt.sortWithinPartitions("d", "shard", "asks")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per shard: its points come first, then the queries."""
