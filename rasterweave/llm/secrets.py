@@ -37,6 +37,9 @@ from rasterweave.sources.settle import settle
 KINDS = ("assign", "access", "hex", "crf")
 #: Windows of words of each class that are learned from.
 FIT_ROWS = 1500
+#: Documents whose windows are counted before, and how many times FIT_ROWS the tasks may give of a class.
+COUNTED = 5_000
+MARGIN = 8
 WINDOW = 8
 ROUNDS = 60
 #: One of so many windows without findings is looked at.
@@ -173,6 +176,37 @@ def broken(data: np.ndarray, offsets: np.ndarray, found: W.Words, at: np.ndarray
     return [(places[:, i:j], t) for i, j, t in zip(words.first[:-1].tolist(), words.first[1:].tolist(), tags)]
 
 
+def thresholds(texts: DataFrame) -> list[int]:
+    """For each class of windows, the hash below which about MARGIN times FIT_ROWS of all windows lie.
+
+    From a sample of about COUNTED documents, chosen by the hash of the text. What all tasks
+    together give is then bounded, however many there are; a class that the sample lacks is not bounded.
+    """
+    total = texts.agg(F.count("text")).first()[0]
+    drawn = min(1.0, COUNTED / max(1, total))
+    some = texts.filter(F.shiftrightunsigned(F.xxhash64("text"), 2) < F.lit(max(1, int((1 << 62) * drawn)))) if drawn < 1 else texts
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(4, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in W.chunks(batch.column(0)):
+                found = W.Words(data, offsets, W.NON_SPACE)
+                if not len(found):
+                    continue
+                ends = {np.searchsorted(found.start, offsets[r] + end, "left") - 1 for r, _, _, end in patterns(data, offsets)}
+                at = np.array(sorted(ends), np.int64)
+                digits = _count((data >= 48) & (data <= 57))
+                numbers = int((digits[found.end] > digits[found.start]).sum())
+                n += (len(found) // EVERY, len(at), max(0, numbers - len(at)), int(((found.end - found.start)[at] > PIECE).sum()))
+        yield pa.RecordBatch.from_arrays([pa.array(range(4), pa.int32()), pa.array(n)], ["label", "n"])
+
+    counts = dict.fromkeys(range(4), 0)
+    counts.update({r["label"]: r["n"] for r in some.mapInArrow(count, "label int, n bigint").groupBy("label").agg(F.sum("n").alias("n")).collect()})
+    whole = (1 << 64) - 1
+    share = [min(1.0, MARGIN * FIT_ROWS * drawn / counts[c]) if counts[c] else 1.0 for c in range(4)]
+    return [min(whole, int((whole // EVERY if c == 0 else whole) * share[c])) for c in range(4)]
+
+
 def fit(docs: DataFrame, text: str = "text") -> dict:
     """Weights of features and transitions, learned from pattern findings."""
 
@@ -182,6 +216,7 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
         limit = [np.uint64(0xFFFFFFFFFFFFFFFF)] * 4
         # Of the windows elsewhere only some are looked at, by their own hash.
         limit[0] //= np.uint64(EVERY)
+        limit = [min(x, np.uint64(y)) for x, y in zip(limit, below)]
         for batch in batches:
             for _, _, data, offsets in W.chunks(batch.column(0)):
                 found = W.Words(data, offsets, W.NON_SPACE)
@@ -228,9 +263,9 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
         types = [pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["label", "rank", "places", "tags"])
 
-    every = settle(docs.select(F.col(text).cast("string")).mapInArrow(
-        examples, "label int, rank bigint, places array<int>, tags array<int>"
-    ))
+    texts = docs.select(F.col(text).cast("string").alias("text"))
+    below = thresholds(texts)
+    every = settle(texts.mapInArrow(examples, "label int, rank bigint, places array<int>, tags array<int>"))
     # The windows with the smallest rank of each class, equal ones once.
     rows = [
         r for label in range(4)

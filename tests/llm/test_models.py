@@ -368,3 +368,25 @@ def test_urls(spark):
     assert got == list(cases.values())
     assert urls.digest(pages.limit(0)).count() == 0 and "_hits" in urls.judge(pages).columns
     assert {r["verdict"] for r in urls.judge(pages, (), (), ()).select("judged.verdict").collect()} == {"allow"}
+
+
+def test_language_draw_at_any_size():
+    """Also of billions of documents some are drawn, in proportion."""
+    assert language.draw_below(10) == 1 << 62
+    for count in (4_000_000_000, 10**12):
+        assert abs(language.draw_below(count) / (1 << 62) * count / language.SAMPLE - 1) < 1e-6
+
+
+def test_secret_windows_do_not_grow_with_tasks(spark, monkeypatch):
+    """The rows that the fit takes from all tasks stay about the same, and few, in forty or in a hundred tasks."""
+    monkeypatch.setattr(secrets, "FIT_ROWS", 20)
+    monkeypatch.setattr(secrets, "COUNTED", 400)
+    texts = [(i, f"note {i} has number {i * 7} and token = abcdef{i:012d} end of line {i % 13} word{i}") for i in range(3000)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    given = []
+    settle = secrets.settle
+    monkeypatch.setattr(secrets, "settle", lambda df: given.append(settle(df)) or given[-1])
+    for tasks in (40, 100):
+        secrets.fit(docs.repartition(tasks))
+    few, many = (g.count() for g in given)
+    assert many <= 1.05 * few and many < 4 * secrets.MARGIN * 20
