@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.catalog import register
+from rasterweave.catalog import SQL, register
 from rasterweave.catalog.frames import _ids, _r
 from rasterweave.catalog.series import window_plan_sql
 from rasterweave.catalog.simulation import simulated
@@ -152,6 +152,20 @@ def metrics_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mode_means(spark, sf_dir).select("method", "metric", "stratum", finite.alias("mean"), "n")
 
 
+@register("metrics_by_mode_merged", SQL["metrics_by_mode"])
+def metrics_by_mode_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same means from stored states: of a first part of the sequences, then of those that came later."""
+    scored = settle(evaluate.score_modes_tiles(simulated(spark, sf_dir), list(BANDS)))
+    keys = ["method", "metric", "stratum"]
+    states = [
+        settle(metrics.mean_states(metrics.to_long(scored.where(part), ["method", "sample_id"], "masked_"), keys))
+        for part in ("sample_id % 3 = 0", "sample_id % 3 <> 0")
+    ]
+    out = metrics.means_of_states(metrics.merge_states(states[0].unionByName(states[1]), keys), keys)
+    finite = F.when(F.col("mean") < float("inf"), F.round("mean", 6))
+    return out.select(*keys, finite.alias("mean"), "n")
+
+
 @register(
     "best_run",
     query(

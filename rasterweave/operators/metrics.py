@@ -252,6 +252,56 @@ def to_long(
     return long.where(F.col("value").isNotNull()) if skip_missing else long
 
 
+#: Sums are kept to this many decimals, so that they do not depend on the order of their parts.
+_EXACT = "decimal(38,18)"
+_STATE = ("total", "weight", "rest", "infinite", "n", "missing")
+
+
+def mean_states(
+    values: DataFrame, keys: Sequence[str] = ("metric", "stratum"), value: str = "value", weight: str | None = None
+) -> DataFrame:
+    """What a mean per key is made of, to be stored and merged with the states of other samples.
+
+    ``total`` and ``weight`` are decimal sums, which are the same however rows are dealt out;
+    ``rest`` is the sum of values too large for them, ``infinite`` the number of infinite values by
+    their sign, ``n`` the values that count and ``missing`` those that do not (NULL, NaN).
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    v = F.col(value).cast("double")
+    usable = v.isNotNull() & ~F.isnan(v)
+    endless = F.abs(v) == float("inf")
+    part = F.when(usable & ~endless, v * w)
+    small = F.abs(part) < 1e19
+    zero = F.lit(0).cast(_EXACT)
+    return values.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(small, part).try_cast(_EXACT)), zero).alias("total"),
+        F.coalesce(F.sum(F.when(usable, w).try_cast(_EXACT)), zero).alias("weight"),
+        F.coalesce(F.sum(F.when(~small, part)), F.lit(0.0)).alias("rest"),
+        F.coalesce(F.sum(F.when(usable & endless, F.sign(v)).cast("bigint")), F.lit(0).cast("bigint")).alias("infinite"),
+        F.count(F.when(usable, 1)).alias("n"),
+        F.count(F.when(~usable, 1)).alias("missing"),
+    )
+
+
+def merge_states(states: DataFrame, keys: Sequence[str] = ("metric", "stratum")) -> DataFrame:
+    """One state per key from any number of them, such as the union of stored tables."""
+    kinds = {c: states.schema[c].dataType.simpleString() for c in _STATE}
+    return states.groupBy(*keys).agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in _STATE])
+
+
+def means_of_states(states: DataFrame, keys: Sequence[str] = ("metric", "stratum"), empty: str = "skip") -> DataFrame:
+    """(keys, mean, n) of merged states."""
+    if empty not in ("skip", "nan"):
+        raise ValueError("empty must be 'skip' or 'nan'")
+    total = F.col("total").cast("double") + F.col("rest")
+    mean = F.when(F.col("infinite") > 0, F.lit(float("inf"))).when(F.col("infinite") < 0, F.lit(float("-inf"))).otherwise(
+        F.try_divide(total, F.col("weight").cast("double"))
+    )
+    if empty == "nan":
+        mean = F.when(F.col("missing") == 0, mean).otherwise(F.lit(float("nan")))
+    return states.select(*keys, mean.alias("mean"), "n")
+
+
 def mean_over_samples(
     values: DataFrame,
     keys: Sequence[str] = ("metric", "stratum"),
@@ -259,16 +309,11 @@ def mean_over_samples(
     weight: str | None = None,
     empty: str = "skip",
 ) -> DataFrame:
-    """Weighted mean per key; a missing value is skipped, or sticks with empty='nan'."""
-    if empty not in ("skip", "nan"):
-        raise ValueError("empty must be 'skip' or 'nan'")
-    n = F.col(weight).cast("double") if weight else F.lit(1.0)
-    v = F.col(value).cast("double")
-    usable = v.isNotNull() & ~F.isnan(v)
-    mean = F.try_divide(F.sum(F.when(usable, v * n)), F.sum(F.when(usable, n)))
-    if empty == "nan":
-        mean = F.when(F.every(usable), mean).otherwise(F.lit(float("nan")))
-    return values.groupBy(*keys).agg(mean.alias("mean"), F.count(F.when(usable, 1)).alias("n"))
+    """Weighted mean per key; a missing value is skipped, or sticks with empty='nan'.
+
+    The result is the same, to the last bit, however the rows are dealt out.
+    """
+    return means_of_states(mean_states(values, keys, value, weight), keys, empty)
 
 
 def loss_terms(

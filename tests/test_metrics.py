@@ -199,3 +199,28 @@ def test_predictor_that_is_right_scores_perfectly(spark, gappy):
         assert r.mae_all == 0 and r.psnr_occluded == math.inf and math.isclose(r.ssim_all, 1.0)
     shifted = lambda pdf: copied(pdf).assign(p_b0=pdf["b0_in"].map(lambda v: v + 0.1))
     assert all(math.isclose(r.mae_all, 0.05) for r in E.score_predictor(frames, ["b0", "b1"], shifted, 4).collect())
+
+
+def test_means_do_not_depend_on_how_rows_are_dealt_out(spark):
+    rng = np.random.default_rng(2)
+    rows = [("m", str(i % 3), float(v), float(w)) for i, (v, w) in enumerate(zip(rng.normal(0, 1e5, 3000) ** 3 / 1e5, rng.random(3000)))]
+    df = spark.createDataFrame(rows, "metric string, stratum string, value double, w double")
+    keys = ["metric", "stratum"]
+    seen = set()
+    for n in (1, 3, 16):
+        whole = M.mean_over_samples(df.repartition(n), weight="w")
+        halves = [M.mean_states(df.where(t).repartition(n), keys, weight="w") for t in ("w < 0.3", "w >= 0.3")]
+        merged = M.means_of_states(M.merge_states(halves[0].union(halves[1]), keys), keys)
+        seen |= {tuple(sorted(map(tuple, d.collect()))) for d in (whole, merged)}
+    assert len(seen) == 1
+    means = {r.stratum: r["mean"] for r in M.mean_over_samples(df, weight="w").collect()}
+    for s, mean in means.items():
+        mine = [(v, w) for _, g, v, w in rows if g == s]
+        assert math.isclose(mean, math.fsum(v * w for v, w in mine) / math.fsum(w for _, w in mine), rel_tol=1e-12)
+
+
+def test_states_of_odd_values(spark):
+    rows = [("a", None), ("a", float("nan")), ("a", 2.0), ("b", float("inf")), ("b", 1.0), ("c", None), ("d", 1e25), ("d", 3e25)]
+    df = spark.createDataFrame(rows, "metric string, value double").withColumn("stratum", F.lit("all"))
+    got = {r.metric: (r["mean"], r.n) for r in M.mean_over_samples(df).collect()}
+    assert got == {"a": (2.0, 1), "b": (math.inf, 2), "c": (None, 0), "d": (2e25, 2)}
