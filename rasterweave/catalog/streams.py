@@ -12,7 +12,7 @@ from rasterweave.catalog.frames import _PROB, _QUALITY_OUT, _quality_columns
 from rasterweave.catalog.sql import query
 from rasterweave.sources.driver_tables import frames_of, table
 from rasterweave.sources.settle import shared_folder
-from rasterweave.streaming.feed import fill_arriving, flag_arriving, metric_means
+from rasterweave.streaming.feed import fill_arriving, flag_arriving, latest, metric_means, upsert_into
 
 
 #: Files of one micro-batch at most.
@@ -79,13 +79,15 @@ def stream_impute_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     "stream_metric_means",
     """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type,
   round(avg(least(1.0::DOUBLE, value / 500)), 6) AS mean, CAST(count(*) AS DOUBLE) AS weight
-FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
-GROUP BY date_trunc('hour', ts), event_type""",
+FROM events GROUP BY date_trunc('hour', ts), event_type""",
 )
 def stream_metric_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly means per event type; windows still open at the end are not emitted."""
+    """Hourly means per event type, as they stand at the end: windows still open are there too."""
     means = metric_means(_events(spark, sf_dir), "seen_at", ["event_type"], "v")
-    out = drain(spark, means)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    writer = upsert_into(means, f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    out = latest(spark, f"{folder}/out", means.schema, ["window", "event_type"])
     hour = F.date_format(F.col("window.start").cast("timestamp_ntz"), "yyyy-MM-dd HH")
     return out.select(hour.alias("hour"), "event_type", F.round("mean", 6).alias("mean"), "weight")
 

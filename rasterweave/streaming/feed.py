@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rasterweave.operators.quality import FRAME_KEYS, flag_frames, frame_statistics_arrays
@@ -91,6 +93,27 @@ def fill_arriving(
     )
 
 
+def upsert_into(stream: DataFrame, folder: str) -> DataStreamWriter:
+    """A writer of changed rows: each micro-batch is a folder of its own, written over if it runs again.
+
+    Rows are what the query's keys are at now, windows that are still open included; read the
+    current ones with :func:`latest`.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return stream.writeStream.outputMode("update").foreachBatch(write)
+
+
+def latest(spark: SparkSession, folder: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """The last row of each key that :func:`upsert_into` has written."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(folder)
+    rest = [c for c in schema.names if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_l"))
+    return last.select(*keys, *[F.col(f"_l.{c}").alias(c) for c in rest]).select(*schema.names)
+
+
 def metric_means(
     stream: DataFrame,
     event_time: str,

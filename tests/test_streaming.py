@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from rasterweave.operators.impute import impute
-from rasterweave.streaming.feed import fill_arriving, metric_means
+from rasterweave.streaming.feed import fill_arriving, latest, metric_means, upsert_into
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "sample_id string, seen_at timestamp, event_id bigint, mask int, v double"
@@ -77,3 +77,22 @@ def test_window_means_wait_for_the_watermark(spark, tmp_path):
     means = metric_means(source(spark, folder), "seen_at", ["sample_id"], "v", delay="10 minutes")
     got = drain(spark, means, out)
     assert sorted((r["mean"], r.weight) for r in got.collect()) == [((0 + 30 + 59) / 3, 3.0), (61.0, 1.0)]
+
+
+def test_upserts_show_open_windows_and_survive_a_repeated_batch(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for name, ids in (("p0", [0, 30]), ("p1", [45, 61, 150])):
+        write(spark, folder, name, rows(ids))
+        means = metric_means(source(spark, folder), "seen_at", ["sample_id"], "v", delay="3 hours")
+        writer = upsert_into(means, f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    wanted = [(25.0, 3.0), (61.0, 1.0), (150.0, 1.0)]
+    now = lambda: sorted((r["mean"], r.weight) for r in latest(spark, f"{out}/rows", means.schema, ["window", "sample_id"]).collect())
+    assert now() == wanted
+    batches = sorted(p.name for p in (tmp_path / "out" / "rows").glob("batch=*"))
+    assert len(batches) >= 2
+    # A batch that runs again is written over its own folder.
+    spark.read.parquet(f"{out}/rows/{batches[-1]}").repartition(3).write.mode("overwrite").parquet(f"{out}/rows/copy")
+    spark.read.parquet(f"{out}/rows/copy").write.mode("overwrite").parquet(f"{out}/rows/{batches[-1]}")
+    (tmp_path / "out" / "rows" / "copy").rename(tmp_path / "copy")
+    assert now() == wanted
