@@ -10,7 +10,7 @@ fit a task - the frames of one pixel - neighbours are found by one plain scan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,34 +125,50 @@ def runs(
     keys: Sequence[str],
     t: str,
     member: Column,
-    linked: Column,
+    linked: Callable[[Column, Column], Column],
     payload: Sequence[str] = (),
     *,
     block: Column,
 ) -> DataFrame:
     """Maximal runs of member rows: (keys, run_start, run_end, run_len).
 
-    ``linked`` decides from the row and its predecessor among the members (struct
-    ``before``, holding ``t`` and ``payload``) whether the run goes on. The other
-    rows of a key form one more row with NULL bounds and length 0, so that no key
-    is lost and no join is needed to bring it back.
+    ``linked(row, before)`` decides from a member and its predecessor among the members (structs
+    of ``t`` and ``payload``) whether the run goes on. A key without members has one row with NULL
+    bounds and length 0, so that none is lost and no join is needed to bring it back.
+
+    Rows are shuffled once. A block's members are one sorted array, cut into its runs in place; of each block only the first and the last
+    run can go on elsewhere, and only these are looked at along the key.
     """
-    rows = df.select(*keys, t, *payload, F.coalesce(member, F.lit(False)).alias("_member"))
-    lagged = with_neighbours(
-        rows, keys, [t], F.col("_member"), [t, *payload],
-        prev="before", next=None, inclusive=False, block=block,
-    )
-    opens = F.col("_member") & (F.col("before").isNull() | ~linked)
-    labelled = with_neighbours(
-        lagged.withColumn("_opens", opens).drop("before"),
-        keys, [t], F.col("_opens"), [t], prev="_run", next=None, block=block,
-    )
-    start = F.when(F.col("_member"), F.col(f"_run.{t}"))
-    return (
-        labelled.groupBy(*keys, start.alias("run_start"))
-        .agg(
-            F.max(F.when(F.col("_member"), F.col(t))).alias("run_end"),
-            F.count(F.when(F.col("_member"), 1)).alias("run_len"),
+    keys = list(keys)
+    entry = F.when(member, F.struct(F.col(t), *[F.col(p) for p in payload]))
+    blocks = df.groupBy(*keys, block.alias("_block")).agg(F.array_sort(F.collect_list(entry)).alias("_m"))
+
+    def opens(x: Column, i: Column) -> Column:
+        return (i == 0) | F.coalesce(~linked(x, F.get(F.col("_m"), i - 1)), F.lit(True))
+
+    first = F.filter(F.transform("_m", lambda x, i: F.when(opens(x, i), i)), lambda i: i.isNotNull())
+    cut = blocks.withColumn("_first", first)
+
+    def run(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(F.col("_first"), k + 1), F.size("_m")) - 1
+        return F.struct(
+            F.get(F.col("_m"), start).alias("head"), F.get(F.col("_m"), end).alias("tail"),
+            (end - start + 1).cast("bigint").alias("len"), ((k == 0) | (k == F.size("_first") - 1)).alias("edge"), (k == 0).alias("opening"),
         )
-        .select(*keys, "run_start", "run_end", "run_len")
+
+    # An outer explode leaves a row of a block without members: its key is not lost.
+    each = cut.select(*keys, "_block", F.explode_outer(F.transform("_first", run)).alias("_r")).select(*keys, "_block", "_r.*")
+    bounds = [F.col(f"head.{t}").alias("run_start"), F.col(f"tail.{t}").alias("run_end"), F.coalesce("len", F.lit(0).cast("bigint")).alias("run_len")]
+
+    edges = each.where("edge is null or edge")
+    order = Window.partitionBy(*keys).orderBy("_block", F.col("opening").desc_nulls_last())
+    # Blocks without members have no say in whether a run goes on.
+    before = F.last("tail", ignorenulls=True).over(order.rowsBetween(_ALL_BEFORE, -1))
+    fresh = F.when(F.col("head").isNotNull(), ~F.col("opening") | F.col("before").isNull() | F.coalesce(~linked(F.col("head"), F.col("before")), F.lit(True)))
+    numbered = edges.withColumn("before", before).withColumn("_new", F.coalesce(fresh.cast("int"), F.lit(0)))
+    numbered = numbered.withColumn("_no", F.when(F.col("head").isNotNull(), F.sum("_new").over(order.rowsBetween(_ALL_BEFORE, 0))))
+    joined = numbered.groupBy(*keys, "_no").agg(
+        F.min(f"head.{t}").alias("run_start"), F.max(f"tail.{t}").alias("run_end"), F.coalesce(F.sum("len"), F.lit(0)).cast("bigint").alias("run_len")
     )
+    inner = each.where("not edge").select(*keys, *bounds)
+    return inner.unionByName(joined.drop("_no"))

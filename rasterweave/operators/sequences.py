@@ -36,7 +36,7 @@ def longest_good_run(
     block_size: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Longest run of consecutive good frames: bounds and length, 0/0/0 if none."""
-    linked = F.col(t) - F.col(f"before.{t}") == 1
+    linked = lambda row, before: row[t] - before[t] == 1
     found = runs(quality, keys, t, F.col(valid) == 1, linked, block=blocks_of(t, block_size))
     return _longest(found, keys)
 
@@ -51,7 +51,7 @@ def longest_run_within_gap(
     block_size: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Longest chain of good frames whose neighbours are at most ``max_days`` apart."""
-    linked = F.datediff(F.col(day), F.col(f"before.{day}")) <= max_days
+    linked = lambda row, before: F.datediff(row[day], before[day]) <= max_days
     found = runs(
         quality, keys, t, F.col(valid) == 1, linked, [day], block=blocks_of(t, block_size)
     )
@@ -66,7 +66,7 @@ def max_invalid_run(
     block_size: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Longest run of invalid frames per key, 0 if every frame is valid."""
-    linked = F.col(t) - F.col(f"before.{t}") == 1
+    linked = lambda row, before: row[t] - before[t] == 1
     found = runs(quality, keys, t, F.col(valid) == 0, linked, block=blocks_of(t, block_size))
     return found.groupBy(*keys).agg(F.max("run_len").cast("bigint").alias("max_invalid"))
 
