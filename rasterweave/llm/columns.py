@@ -1,8 +1,27 @@
-"""Names for columns that an operator adds for its own use."""
+"""Names for columns that an operator adds for its own use, and the rows of an Arrow batch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """At most ``rows`` rows in the Arrow batches of the jobs run within.
+
+    Of batches of whole documents, the executor and the Python worker hold several copies.
+    """
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def unused(df: DataFrame, stem: str) -> str:

@@ -13,15 +13,19 @@ share one (pigeonhole). Blocks with many shingles come first, those that are
 frequent in the corpus last: their frequency is counted over all documents in a
 table of fixed size. Sets near a band's lower end also join the band below.
 
-Equal sets are one node. In each group of nodes with a common block all are held
+Equal sets are one node with one of its texts; a task makes keys of a node once. In each group of nodes with a common block all are held
 against the smallest and the largest node; pairs whose sizes fit and whose parity sketches, with a bit
-for each element, are near enough are verified on their whole sets. Then pairs whose
+for each element, are near enough are verified on their whole sets, from the two nodes' texts. Texts that are
+not asked for are left where they lie, as far as a bitmap of at most MOST_BITS bits tells; a join decides. Then pairs whose
 components still differ go the same way, if 256 bits of their sketches let them. No link between different sets is lost, and a group of
-thousands of copies gives twice as many pairs as it has members.
+thousands of copies gives twice as many pairs as it has members. Keys of blocks are
+shuffled once; those in frequent places, which may be hot, are summed up before their join.
 
-NULL and empty texts have empty sets and stand alone. Rows that repeat an id are
+NULL and empty texts have empty sets and stand alone, texts of any length are used whole. Rows that
+repeat an id, with one text or several, are
 separate documents. Rows with a NULL id take part, but cannot name a component; linked
-only with each other, or alone, they have NULL.
+only with each other, or alone, they have NULL. Other columns do not matter, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,13 +34,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterweave.llm import words as W
-from rasterweave.llm.columns import unused
+from rasterweave.llm.columns import arrow_rows, unused
 from rasterweave.llm.graphs import components
-from rasterweave.sources.settle import settle
+from rasterweave.sources.settle import forget, settle
 
 SHINGLE = 5
 PERCENT = 80
@@ -44,8 +48,10 @@ PERCENT = 80
 PLACES = 1 << 16
 FREQUENT = 8
 _GROWTH = 5 / 3
-#: Ids of texts to verify that are broadcast; more are joined by a shuffle.
-SENT_IDS = 500_000
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
+#: Bits of the bitmap of texts asked for: eight for each text, within these bounds.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 
 
 def shingles(text: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -177,88 +183,122 @@ def _frequent(docs: DataFrame, text: str, size: int, bands: Bands) -> np.ndarray
     return table
 
 
-def _keys(docs: DataFrame, text: str, size: int, bands: Bands, frequent: np.ndarray) -> DataFrame:
-    """(key, node): the blocks by which each set is joined."""
+def _keys(docs: DataFrame, size: int, bands: Bands, frequent: np.ndarray) -> DataFrame:
+    """(key, node, late): the blocks by which each set is joined, and whether they lie in frequent places."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for h, bounds in shingles(batch.column(0), size):
                 signs, need = _signatures(h, bounds), bands.differ(np.diff(bounds)) + 1
+                fresh = np.zeros(len(signs), bool)
+                fresh[np.unique(signs, return_index=True)[1]] = True
+                fresh &= ~np.array([s in seen for s in signs.tolist()], bool)
+                seen.update(signs[fresh].tolist())
                 for some, keys, filled in sketches(h, bounds, bands):
-                    late = frequent[(keys >> np.uint64(48)).astype(np.int64)].astype(np.uint64)
-                    rank = (late << np.uint64(63)) | ((np.uint64(64) - np.minimum(filled, 64).astype(np.uint64)) << np.uint64(56)) | (keys >> np.uint64(8))
+                    new = fresh[some]
+                    some, keys, filled = some[new], keys[new], filled[new]
+                    late = frequent[(keys >> np.uint64(48)).astype(np.int64)]
+                    rank = (late.astype(np.uint64) << np.uint64(63)) | ((np.uint64(64) - np.minimum(filled, 64).astype(np.uint64)) << np.uint64(56)) | (keys >> np.uint64(8))
                     order = np.argsort(rank, axis=1, kind="stable")
                     use = np.arange(keys.shape[1]) < need[some][:, None]
-                    chosen = np.take_along_axis(keys, order, 1)[use].view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(chosen), pa.array(np.repeat(signs[some], need[some]))], ["key", "node"]
-                    )
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.take_along_axis(keys, order, 1)[use].view(np.int64)),
+                        pa.array(np.repeat(signs[some], need[some])), pa.array(np.take_along_axis(late, order, 1)[use]),
+                    ], ["key", "node", "late"])
+
+    return docs.select("text").mapInArrow(emit, "key bigint, node bigint, late boolean")
+
+
+def _groups(keys: DataFrame) -> DataFrame:
+    """(key, node, centre, last) of nodes with a common block; centre and last are the group's smallest and largest."""
+    ends = (F.min("node").alias("centre"), F.max("node").alias("last"))
+    # No key outside the frequent places is held by many: one shuffle brings a group together.
+    own = Window.partitionBy("key")
+    rare = (
+        keys.filter(~F.col("late")).select("key", "node")
+        .select("key", "node", F.min("node").over(own).alias("centre"), F.max("node").over(own).alias("last"))
+    )
+    late = keys.filter("late").select("key", "node")
+    often = late.join(late.groupBy("key").agg(*ends).filter("centre <> last"), "key")
+    return rare.filter("centre <> last").distinct().union(often.distinct())
+
+
+def _marks() -> tuple[Column, Column]:
+    """Two hashes that stand for a text."""
+    return F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(emit, "key bigint, node bigint")
+
+def _asked_for(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(h, g, text), once each, of the documents whose hashes are ``asked`` (h, g) for."""
+    bits = int(min(MOST_BITS, max(LEAST_BITS, 1 << (8 * asked.count()).bit_length())))
+    place = F.pmod("h", F.lit(bits))
+    rows = asked.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, int(pmod(h, {bits}) & 63))").alias("bit"))
+    rows = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        at = h.to_numpy() & (bits - 1)
+        return pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    # Copies are put together in the tasks that hold them, before the shuffle.
+    texts = docs.filter("text is not null").select(*_marks(), "text").filter(maybe.asNondeterministic()("h"))
+    return settle(texts.groupBy("h", "g").agg(F.first("text").alias("text")).join(asked, ["h", "g"], "left_semi"))
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets link.
+    """Those of the distinct pairs (a, b) whose whole sets link.
 
     Texts are brought together, not sets: they are smaller once compressed.
     """
 
     @F.arrow_udf("boolean")
-    def link(x: pa.Array, y: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+    def link(x: pa.Array, y: pa.Array) -> pa.Array:
         out = []
-        a, b = a.to_numpy(), b.to_numpy()
-        for at in range(0, len(x), 128):
-            sides = []
-            for text, sign in ((x, a), (y, b)):
-                sets = []
-                for h, bounds in shingles(text.slice(at, 128), size):
-                    # A repeated id may stand for another text: then this is no pair.
-                    right = _signatures(h, bounds) == sign[at + len(sets) : at + len(sets) + len(bounds) - 1]
-                    sets += [h[i:j] if ok else None for i, j, ok in zip(bounds[:-1], bounds[1:], right)]
-                sides.append(sets)
+        for at in range(0, len(x), 64):
+            sides = [
+                [h[i:j] for h, bounds in shingles(text.slice(at, 64), size) for i, j in zip(bounds[:-1], bounds[1:])]
+                for text in (x, y)
+            ]
             for g, h in zip(*sides):
-                if g is None or h is None:
-                    out.append(False)
-                    continue
                 both = int((h[np.minimum(np.searchsorted(h, g), len(h) - 1)] == g).sum())
                 out.append(100 * both >= percent * (len(g) + len(h) - both))
         return pa.array(out, pa.bool_())
 
-    @F.arrow_udf("boolean")
-    def near(n: pa.Array, o: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
-        """Whether parity sketches leave a link possible. The longer one is folded."""
-        out = []
-        for n, o, x, y in zip(n.to_pylist(), o.to_pylist(), x, y):
-            x, y = x.values.to_numpy(), y.values.to_numpy()
-            while len(x) > len(y):
-                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-            while len(y) > len(x):
-                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-            apart = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
-            out.append((100 + percent) * apart <= (100 - percent) * (n + o))
-        return pa.array(out, pa.bool_())
-
     def side(name):
-        return nodes.select(
-            F.col("node").alias(name), F.col("doc_id").alias(f"d{name}"), F.col("n").alias(f"n{name}"), F.col("sketch").alias(f"s{name}")
+        return nodes.select(F.col("node").alias(name), F.col("h").alias(f"h{name}"), F.col("g").alias(f"g{name}"), F.col("n").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
+
+    def folded(s, length):
+        parts = F.sequence(F.lit(0), (F.size(s) / length).cast("int") - 1)
+        return F.transform(
+            F.sequence(F.lit(1), length),
+            lambda i: F.aggregate(parts, F.lit(0).cast("bigint"), lambda x, k: x.bitwiseXOR(F.element_at(s, i + k * length))),
         )
 
-    named = settle(
+    # Whether parity sketches leave a link possible. The longer one is folded.
+    short = F.least(F.size("sa"), F.size("sb"))
+    apart = F.aggregate(
+        F.zip_with(folded(F.col("sa"), short), folded(F.col("sb"), short), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.lit(0), lambda x, n: x + n,
+    )
+    near = settle(
         pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
         .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        .withColumn("ok", near.asNondeterministic()("na", "nb", "sa", "sb")).filter("ok").select("a", "b", "da", "db")
+        .filter((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b", "ha", "ga", "hb", "gb")
     )
-    # Few texts are asked for. Their ids are sent to all while they are few enough; beyond, both sides are shuffled.
-    ids = settle(named.select(F.col("da").alias("_id")).union(named.select("db")).distinct())
-    small = ids.count() <= SENT_IDS
-    docs = settle(docs.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"))
-    x = docs.select(F.col("doc_id").alias("da_"), F.col("text").alias("x"))
-    y = docs.select(F.col("doc_id").alias("db_"), F.col("text").alias("y"))
+    asked = settle(near.select(F.col("ha").alias("h"), F.col("ga").alias("g")).union(near.select("hb", "gb")).distinct())
+    held = _asked_for(docs, asked)
     both = (
-        named.join(x, F.col("da").eqNullSafe(F.col("da_"))).select("a", "b", "db", "x")
-        .join(y, F.col("db").eqNullSafe(F.col("db_"))).select("a", "b", link.asNondeterministic()("x", "y", "a", "b").alias("ok"))
+        near.join(held.toDF("ha", "ga", "x"), ["ha", "ga"]).select("a", "b", "hb", "gb", "x")
+        .join(held.toDF("hb", "gb", "y"), ["hb", "gb"])
+        .select("a", "b", link.asNondeterministic()("x", "y").alias("ok"))
     )
-    return both.filter("ok").select("a", "b").distinct()
+    done = settle(both.filter("ok").select("a", "b"))
+    forget(near, asked, held)
+    return done
 
 
 def _fits(x: str, y: str, percent: int) -> Column:
@@ -272,6 +312,12 @@ def _fits(x: str, y: str, percent: int) -> Column:
 
 
 def _placed(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    # All jobs that use Python run within.
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _placed_in_batches(docs, size, percent, doc_id, text)
+
+
+def _placed_in_batches(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, text_hash, n, component, component_id) of each document; component is a node, NULL for empty sets."""
     bands = Bands(percent)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -294,43 +340,36 @@ def _placed(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
         )
 
     known = settle(
-        docs.select("doc_id", F.xxhash64("text").alias("text_hash"), signed.asNondeterministic()("text").alias("s"))
-        .select("doc_id", "text_hash", "s.*")
+        docs.select("doc_id", *_marks(), signed.asNondeterministic()("text").alias("s")).select("doc_id", "h", "g", "s.*")
     )
     light = settle(known.filter("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3", "sketch")]
-    ))
-
-    keys = _keys(docs, "text", size, bands, _frequent(docs, "text", size, bands))
-    centres = keys.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre <> last")
-    groups = settle(keys.join(centres, "key").distinct())
+        F.min("doc_id").alias("low"), F.min(F.struct("h", "g")).alias("m"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3", "sketch")]
+    ).select("*", "m.*").drop("m"))
+    groups = settle(_groups(_keys(docs, size, bands, _frequent(docs, "text", size, bands))))
 
     stars = (
         groups.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
         .union(groups.filter("node not in (centre, last)").select(F.col("node").alias("a"), F.col("last").alias("b")))
         .distinct()
     )
-    links = settle(_linked(stars, docs, light, size, percent))
+    links = _linked(stars, docs, light, size, percent)
     first = settle(components(links))
 
-    placed = groups.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = (
-        placed.filter("node not in (centre, last)").groupBy("key")
-        .agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("key")
+    placed = (
+        groups.filter("node not in (centre, last)").join(first, "node", "left")
+        .select("key", "node", F.coalesce("component", "node").alias("component"))
     )
+    split = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("key")
     # Many keys name the same two nodes, so pairs are made once per pair of nodes.
-    others = (
-        placed.filter("node not in (centre, last)").join(split, "key").select("key", "node", "component").distinct()
-        .join(light.drop("doc_id", "sketch"), "node")
-    )
+    others = placed.join(split, "key").select("key", "node", "component").join(light.drop("low", "h", "g", "sketch"), "node")
     x, y = others.alias("x"), others.alias("y")
-    crossing = (
+    crossing = settle(
         x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
                & (F.col("x.component") != F.col("y.component")) & _fits("x", "y", percent))
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"),
                 F.col("x.component").alias("ca"), F.col("y.component").alias("cb")).distinct()
     )
-    crossing = settle(crossing)
+    forget(groups)
     final = first
     if not crossing.isEmpty():
         more = _linked(crossing.select("a", "b"), docs, light, size, percent).join(crossing, ["a", "b"])
@@ -341,14 +380,15 @@ def _placed(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
             first.join(second, "component", "left").select("node", F.coalesce("_joined", "component").alias("component"))
             .union(alone.select("component", "_joined"))
         )
-    named = (
-        light.select("node", "doc_id").join(final, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-    )
-    names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(names, "component").select("node", "component", "component_id")
-    return known.join(named, (known["node"] == named["node"]) & (known["n"] > 0), "left").select(
-        known["doc_id"], "text_hash", known["n"], "component", F.coalesce("component_id", known["doc_id"]).alias("component_id")
+    named = light.select("node", "low").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = settle(named.join(names, "component").select("node", "component", "component_id"))
+    told = known.select("doc_id", "h", "n", "node").join(named, "node", "left")
+    forget(light, links, crossing)
+    has = F.col("n") > 0
+    return told.select(
+        "doc_id", F.col("h").alias("text_hash"), "n", F.when(has, F.col("component")).alias("component"),
+        F.coalesce(F.when(has, F.col("component_id")), "doc_id").alias("component_id"),
     )
 
 

@@ -139,6 +139,27 @@ def test_jaccard_keeps_one_row_of_each_class(spark):
     assert rows(jaccard.keep_first(twice).select("doc_id", "text")) == sorted([w for w in wanted if w[1]], key=str)
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_jaccard_ids_of_many_texts(spark, doc_id):
+    """A thousand texts without an id, or with the same one: texts are fetched by node, not by id."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(500):
+        w = prose(rng, 40, 5000).split(" ")
+        texts += [" ".join(w), " ".join([*w, "more"])]
+    docs = spark.createDataFrame([(doc_id, t) for t in texts], DOCS)
+    got = jaccard.classes(docs, 4, 85).collect()
+    assert len(got) == 1000 and {r["component_id"] for r in got} == {doc_id}
+    assert jaccard.keep_first(docs, 4, 85).count() == 500
+
+
+def test_jaccard_long_text(spark):
+    rng = random.Random(6)
+    long = prose(rng, 60_000, 40_000)
+    docs = spark.createDataFrame([(2, long), (1, long + " end"), (3, long[: len(long) // 2])], DOCS)
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.digest(docs).collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
 def test_bands_cover_all_linked_sizes():
     for percent in (60, 80, 85):
         bands = jaccard.Bands(percent)
