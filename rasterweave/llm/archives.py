@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterweave.llm.ranks import hot_join
-from rasterweave.sources.settle import settle, shared_folder
+from rasterweave.sources.settle import forget, settle, shared_folder
 
 # --- fixed values: the format's own names -----------------------------------
 VERSION = b"WARC/1.1\r\n"
@@ -157,6 +157,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END)
         .option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
     )
+    forget(stored, again)
 
 
 def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,23 +203,29 @@ def _payload(block: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives below ``path``; ``whole`` tells whether length and digest are right."""
-    pieces = spark.read.schema("value string").option("lineSep", VERSION.decode()).text(path)
-    return pieces.filter("value <> ''").select(F.col("value").cast("binary")).mapInArrow(
+def read_records(spark: SparkSession, path: str, segments: bool | None = None) -> DataFrame:
+    """One row per record of the archives below ``path``; ``whole`` tells whether length and digest are right.
+
+    ``segments`` keeps only records that are segments, or only those that are not.
+    """
+    pieces = spark.read.schema("value string").option("lineSep", VERSION.decode()).text(path).filter("value <> ''")
+    if segments is not None:
+        head = F.lower(F.substring_index("value", END, 1))
+        pieces = pieces.filter(F.contains(head, F.lit("\r\nwarc-segment-number:")) == segments)
+    return pieces.select(F.col("value").cast("binary")).mapInArrow(
         _fields,
         "kind string, id string, page bigint, url string, digest string, number bigint, origin string, total bigint, "
         "refers_to string, block binary, whole boolean",
     )
 
 
-def reassembled(records: DataFrame) -> DataFrame:
-    """(id, kind, page, url, digest, refers_to, payload, intact) of each page, its segments put together; revisits have no payload."""
+def reassembled(spark: SparkSession, path: str) -> DataFrame:
+    """Of the archives below ``path``, (id, kind, page, url, digest, refers_to, payload, intact) of each page, its segments put together; revisits have no payload."""
     told = ("kind", "page", "url", "digest", "refers_to")
-    one = records.filter("number is null and kind in ('response', 'revisit')").select("id", *told, "block", F.col("whole").alias("intact"))
+    one = read_records(spark, path, False).filter("kind in ('response', 'revisit')").select("id", *told, "block", F.col("whole").alias("intact"))
     first = F.col("kind") == "response"
     many = (
-        records.filter("number is not null and kind in ('response', 'continuation')")
+        read_records(spark, path, True).filter("kind in ('response', 'continuation')")
         .groupBy(F.when(first, F.col("id")).otherwise(F.col("origin")).alias("id")).agg(
             *[F.max(F.when(first, F.col(c))).alias(c) for c in told],
             F.max("total").alias("total"), F.every("whole").alias("whole"),
@@ -242,7 +249,7 @@ def digest(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
-    found = settle(reassembled(read_records(spark, path)).select(
+    found = settle(reassembled(spark, path).select(
         "id", "kind", "page", "refers_to",
         F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"),
     ))

@@ -228,7 +228,7 @@ def test_broken_archives(spark, tmp_path):
     def read(some, name):
         (tmp_path / name).mkdir()
         (tmp_path / name / "x.warc").write_bytes(b"".join(some))
-        back = archives.reassembled(archives.read_records(spark, str(tmp_path / name)))
+        back = archives.reassembled(spark, str(tmp_path / name))
         return {r["page"]: (r["intact"], r["payload"] and bytes(r["payload"]).decode()) for r in back.collect()}
 
     assert read(reversed(records), "turned") == {1: (True, html), 2: (True, "fine")}
