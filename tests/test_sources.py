@@ -365,3 +365,13 @@ def test_two_sensor_samples(spark, tmp_path):
     rows = model_samples(spark, out, options, 6, radar=radar).collect()
     assert [r.sample_id for r in rows] == ["a"]
     assert rows[0].x[0] == [[0.5, 1.0], [1.0, 1.0], [1.0, 1.0], [1.0, 1.0], [0.0, 0.8], [1.0, 0.0]]
+
+
+def test_forgotten_tables_are_deleted(spark):
+    import os
+
+    from rasterweave.sources.settle import forget, settle
+
+    one, two = settle(spark.range(3)), settle(spark.range(4))
+    forget(one)
+    assert not os.path.exists(one._settled_in.removeprefix("file:")) and two.count() == 4
