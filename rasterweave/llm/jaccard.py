@@ -17,7 +17,8 @@ Equal sets are one node with one of its texts; a task makes keys of a node once.
 against the smallest and the largest node; pairs whose sizes fit and whose parity sketches, with a bit
 for each element, are near enough are verified on their whole sets, from the two nodes' texts. Texts that are
 not asked for are left where they lie, as far as a bitmap of at most MOST_BITS bits tells; a join decides. Then pairs whose
-components still differ go the same way, if 256 bits of their sketches let them. No link between different sets is lost, and a group of
+components still differ go the same way, if FOLDED * 64 bits of their sketches let them: with fewer, most pairs
+of a family just below the limit would pass. No link between different sets is lost, and a group of
 thousands of copies gives twice as many pairs as it has members. Keys of blocks are
 shuffled once; those in frequent places, which may be hot, are summed up before their join.
 
@@ -48,6 +49,8 @@ PERCENT = 80
 PLACES = 1 << 16
 FREQUENT = 8
 _GROWTH = 5 / 3
+#: Words of the sketches by which pairs of a group are held against each other; a parity sketch has as many at least.
+FOLDED = 16
 #: Rows of an Arrow batch of texts.
 BATCH_ROWS = 1000
 #: Bits of the bitmap of texts asked for: eight for each text, within these bounds.
@@ -90,9 +93,9 @@ def _signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _parity(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words of the parity sketches, words of each): at least as many bits as elements, 256 at least."""
+    """(words of the parity sketches, words of each): at least as many bits as elements, and FOLDED words."""
     n = np.diff(bounds)
-    length = np.int64(1) << np.maximum(2, np.ceil(np.log2(np.maximum(n, 1) / 64)).astype(np.int64))
+    length = np.maximum(FOLDED, np.int64(1) << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64))
     first = np.cumsum(length) - length
     place = np.repeat(first, n) + ((h >> np.uint64(6)) & np.repeat(length - 1, n).astype(np.uint64)).astype(np.int64)
     order = np.argsort(place, kind="stable")
@@ -249,6 +252,15 @@ def _asked_for(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return settle(texts.groupBy("h", "g").agg(F.first("text").alias("text")).join(asked, ["h", "g"], "left_semi"))
 
 
+def _folded(s: str | Column, length: int | Column) -> Column:
+    """A parity sketch folded to ``length`` words."""
+    parts = F.sequence(F.lit(0), (F.size(s) / length).cast("int") - 1)
+    return F.transform(
+        F.sequence(F.lit(1), F.lit(length) if isinstance(length, int) else length),
+        lambda i: F.aggregate(parts, F.lit(0).cast("bigint"), lambda x, k: x.bitwiseXOR(F.element_at(s, i + k * length))),
+    )
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose whole sets link.
 
@@ -271,17 +283,10 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, perc
     def side(name):
         return nodes.select(F.col("node").alias(name), F.col("h").alias(f"h{name}"), F.col("g").alias(f"g{name}"), F.col("n").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
 
-    def folded(s, length):
-        parts = F.sequence(F.lit(0), (F.size(s) / length).cast("int") - 1)
-        return F.transform(
-            F.sequence(F.lit(1), length),
-            lambda i: F.aggregate(parts, F.lit(0).cast("bigint"), lambda x, k: x.bitwiseXOR(F.element_at(s, i + k * length))),
-        )
-
     # Whether parity sketches leave a link possible. The longer one is folded.
     short = F.least(F.size("sa"), F.size("sb"))
     apart = F.aggregate(
-        F.zip_with(folded(F.col("sa"), short), folded(F.col("sb"), short), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.zip_with(_folded("sa", short), _folded("sb", short), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
         F.lit(0), lambda x, n: x + n,
     )
     near = settle(
@@ -304,7 +309,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, perc
 def _fits(x: str, y: str, percent: int) -> Column:
     """Sizes and parity sketches that do not rule out a link."""
     n, o = F.col(f"{x}.n"), F.col(f"{y}.n")
-    apart = sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(4)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(FOLDED)), F.lit(0))
     return (
         (100 * F.least(n, o) >= percent * F.greatest(n, o))
         & ((100 + percent) * apart <= (100 - percent) * (n + o))
@@ -322,28 +327,26 @@ def _placed_in_batches(docs: DataFrame, size: int, percent: int, doc_id: str, te
     bands = Bands(percent)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
-    @F.arrow_udf("struct<node:bigint,n:bigint,s0:bigint,s1:bigint,s2:bigint,s3:bigint,sketch:array<bigint>>")
+    @F.arrow_udf("struct<node:bigint,n:bigint,sketch:array<bigint>>")
     def signed(text: pa.Array) -> pa.Array:
-        parts = [[np.zeros(0, np.int64)] for _ in range(7)]
+        parts = [[np.zeros(0, np.int64)] for _ in range(3)]
         counts = [np.zeros(0, np.int64)]
         for h, bounds in shingles(text, size):
             words, length = _parity(h, bounds)
-            first = (np.cumsum(length) - length) // 4
-            folded = np.bitwise_xor.reduceat(words.reshape(-1, 4), first, axis=0)
-            columns = (_signatures(h, bounds), np.diff(bounds), *(folded[:, i].view(np.int64) for i in range(4)), words.view(np.int64))
+            columns = (_signatures(h, bounds), np.diff(bounds), words.view(np.int64))
             for part, column in zip(parts, columns):
                 part.append(np.ascontiguousarray(column))
             counts.append(length)
         flat = [pa.array(np.concatenate(p)) for p in parts]
         return pa.StructArray.from_arrays(
-            [*flat[:6], W.list_array(np.concatenate(counts), flat[6])], ["node", "n", "s0", "s1", "s2", "s3", "sketch"]
+            [*flat[:2], W.list_array(np.concatenate(counts), flat[2])], ["node", "n", "sketch"]
         )
 
     known = settle(
         docs.select("doc_id", *_marks(), signed.asNondeterministic()("text").alias("s")).select("doc_id", "h", "g", "s.*")
     )
     light = settle(known.filter("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("low"), F.min(F.struct("h", "g")).alias("m"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3", "sketch")]
+        F.min("doc_id").alias("low"), F.min(F.struct("h", "g")).alias("m"), *[F.first(c).alias(c) for c in ("n", "sketch")]
     ).select("*", "m.*").drop("m"))
     groups = settle(_groups(_keys(docs, size, bands, _frequent(docs, "text", size, bands))))
 
@@ -361,7 +364,9 @@ def _placed_in_batches(docs: DataFrame, size: int, percent: int, doc_id: str, te
     )
     split = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("key")
     # Many keys name the same two nodes, so pairs are made once per pair of nodes.
-    others = placed.join(split, "key").select("key", "node", "component").join(light.drop("low", "h", "g", "sketch"), "node")
+    sketched = light.select("node", "n", _folded("sketch", FOLDED).alias("s"))
+    sketched = sketched.select("node", "n", *[F.get("s", F.lit(i)).alias(f"s{i}") for i in range(FOLDED)])
+    others = placed.join(split, "key").select("key", "node", "component").join(sketched, "node")
     x, y = others.alias("x"), others.alias("y")
     crossing = settle(
         x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))

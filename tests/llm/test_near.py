@@ -180,3 +180,24 @@ def test_components(spark):
     got = dict(map(tuple, graphs.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()))
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
     assert graphs.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_jaccard_family_below_the_limit_is_not_verified_by_pairs(spark, monkeypatch):
+    """Copies that share blocks but differ in more than linked sets can: the sketches tell them apart."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    docs = []
+    for d in range(30):
+        w = list(base)
+        for at in rng.sample(range(0, 400, 10), 6):
+            w[at] = f"x{d}.{at}"
+        docs.append((d, " ".join(w)))
+    made, linked = [], jaccard._linked
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return linked(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_linked", counted)
+    assert rows(jaccard.classes(spark.createDataFrame(docs, DOCS), 5, 80)) == sorted(brute.classes(docs, 5, 80), key=str)
+    assert sum(made[1:]) < 100
