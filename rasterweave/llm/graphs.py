@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterweave.sources.settle import settle
+from rasterweave.sources.settle import forget, settle
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for the nodes of links (a, b); component is the smallest node.
 
     Alternates the large-star and small-star steps, each a combined minimum per node
-    and a join, until only stars are left; each round starts from a stored table. The
-    number of rounds grows with the logarithm of the longest path.
+    and a join, until only stars are left; each step starts from a stored table, for plans of
+    both hold the first one several times and take the driver's memory. The number of rounds
+    grows with the logarithm of the longest path.
     """
     edges = settle(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
@@ -23,13 +24,14 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Nodes keep a link to their minimum even where all their links point down.
-        large = large.union(least.filter("u <> m").select("u", F.col("m").alias("v"))).distinct()
+        large = settle(large.union(least.filter("u <> m").select("u", F.col("m").alias("v"))).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v"))).distinct()
         )
-        edges = settle(small)
+        before, edges = edges, settle(small)
+        forget(before, large)
         # Done when every node points to one node that itself points nowhere.
         points = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
         targets = edges.select(F.col("v").alias("u")).distinct().withColumn("root", F.lit(1))

@@ -358,10 +358,12 @@ def _placed_in_batches(docs: DataFrame, size: int, percent: int, doc_id: str, te
     links = _linked(stars, docs, light, size, percent)
     first = settle(components(links))
 
-    placed = (
+    # Stored, for the plan of the crossing pairs holds it four times.
+    placed = settle(
         groups.filter("node not in (centre, last)").join(first, "node", "left")
         .select("key", "node", F.coalesce("component", "node").alias("component"))
     )
+    forget(groups)
     split = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("key")
     # Many keys name the same two nodes, so pairs are made once per pair of nodes.
     sketched = light.select("node", "n", _folded("sketch", FOLDED).alias("s"))
@@ -374,7 +376,7 @@ def _placed_in_batches(docs: DataFrame, size: int, percent: int, doc_id: str, te
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"),
                 F.col("x.component").alias("ca"), F.col("y.component").alias("cb")).distinct()
     )
-    forget(groups)
+    forget(placed)
     final = first
     if not crossing.isEmpty():
         more = _linked(crossing.select("a", "b"), docs, light, size, percent).join(crossing, ["a", "b"])

@@ -33,6 +33,8 @@ K = 25
 POWER = 8
 THRESHOLD = 0.3
 _BLOCK = 2048
+#: Rows that are scaled to unit length at a time, as that takes several copies of them.
+_SCALED = 256
 
 
 def _class_table() -> np.ndarray:
@@ -74,7 +76,9 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Unit TF-IDF rows (zero rows stay zero)."""
     v = np.log1p(counts) * idf
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    for at in range(0, len(v), _SCALED):
+        v[at : at + _SCALED] /= np.maximum(np.linalg.norm(v[at : at + _SCALED], axis=1, keepdims=True), 1e-12)
+    return v
 
 
 @F.arrow_udf(T.ArrayType(T.FloatType()))
@@ -111,8 +115,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "do
     order = np.argsort(rows[id_column].to_numpy(), kind="stable")
     counts = rows["counts"].combine_chunks().flatten().to_numpy().reshape(-1, TERMS)[order]
     target = rows["target"].to_numpy()[order]
+    del rows
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 0.1
     v = _weigh(counts, idf)
+    del counts
     _, directions = np.linalg.eigh(v.T @ v)
     projection = directions[:, ::-1][:, :DIMENSIONS]
     latent = v @ projection

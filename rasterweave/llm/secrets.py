@@ -48,6 +48,8 @@ EVERY = 61
 PIECE = 8
 OUT, BEGIN, INSIDE = range(3)
 MASK = "[secret]"
+#: Windows of so many words, or fewer, are padded to one size; longer ones by powers of two.
+PADDED = 32
 
 _ASSIGN = re.compile(
     rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE
@@ -266,32 +268,61 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
     texts = docs.select(F.col(text).cast("string").alias("text"))
     below = thresholds(texts)
     every = settle(texts.mapInArrow(examples, "label int, rank bigint, places array<int>, tags array<int>"))
-    # The windows with the smallest rank of each class, equal ones once.
-    rows = [
-        r for label in range(4)
-        for r in every.filter(F.col("label") == label).groupBy("rank")
-        .agg(F.min(F.struct("places", "tags")).alias("w")).select("rank", "w.*").orderBy("rank").limit(FIT_ROWS).collect()
+    # The windows with the smallest rank of each class, equal ones once, as Arrow columns: rows of Python
+    # numbers would take the driver many times their size.
+    parts = [
+        every.filter(F.col("label") == label).groupBy("rank")
+        .agg(F.min(F.struct("places", "tags")).alias("w")).select("rank", "w.*").orderBy("rank").limit(FIT_ROWS)
+        .select("places", "tags").toArrow()
+        for label in range(4)
     ]
-    return learn([(np.array(r["places"]).reshape(-1, len(_GROUPS)), np.array(r["tags"])) for r in rows])
+    chosen = pa.concat_tables(parts).combine_chunks()
+    places, tags = (chosen[c].combine_chunks() for c in ("places", "tags"))
+    return learn(
+        places.flatten().to_numpy().reshape(-1, len(_GROUPS)).astype(np.int16), tags.flatten().to_numpy().astype(np.int8),
+        tags.value_lengths().to_numpy().astype(np.int64),
+    )
+
 
+def learn(places: np.ndarray, tags: np.ndarray, size: np.ndarray) -> dict:
+    """Maximum likelihood with a small penalty, by adaptive gradient steps.
 
-def learn(examples: list[tuple[np.ndarray, np.ndarray]]) -> dict:
-    """Maximum likelihood with a small penalty, by adaptive gradient steps."""
+    Takes a row of places and a tag for each word, and the number of words of each window. Only windows of
+    like sizes are padded to one size, so memory follows the words, however long one window is.
+    """
     weights, move = np.zeros((_PLACES[-1], 3)), np.zeros((3, 3))
-    if not any(t.any() for _, t in examples):
+    if not tags.any():
         return {"weights": np.zeros((_PLACES[-1], 3), np.float32), "move": move.astype(np.float32), "learned": False}
-    n, steps = len(examples), max(len(t) for _, t in examples)
-    size = np.array([len(t) for _, t in examples])
-    places, tags = np.zeros((n, steps, len(_GROUPS)), np.int64), np.zeros((n, steps), np.int64)
-    for i, (p, t) in enumerate(examples):
-        places[i, : len(t)], tags[i, : len(t)] = p, t
-    used, at = np.unique(places, return_inverse=True)
-    at = at.reshape(places.shape)
+    seen = np.zeros(_PLACES[-1], bool)
+    for g in range(len(_GROUPS)):
+        seen[places[:, g]] = True
+    used = np.flatnonzero(seen)
+    at = (np.cumsum(seen) - 1).astype(np.int16)[np.ascontiguousarray(places.T)]
+    # (words, places of these in a padded table, tags there, sizes) of the windows of like sizes.
+    first, padded = np.cumsum(size) - size, []
+    like = np.ceil(np.log2(np.maximum(size, PADDED) / PADDED))
+    for k in np.unique(like):
+        some = size[like == k]
+        real = np.arange(some.max()) < some[:, None]
+        words = (first[like == k][:, None] + np.arange(some.max()))[real]
+        own = np.zeros(real.shape, np.int8)
+        own[real] = tags[words]
+        padded.append((words, real, own, some))
     w, seen_w, seen_m = weights[used], np.zeros((len(used), 3)), np.zeros((3, 3))
+    by_word = np.empty((len(tags), 3))
     for _ in range(ROUNDS):
-        by_emit, by_move = likelihood(w[at].sum(2), move, tags, size)
+        of_word = w[at[0]]
+        for group in at[1:]:
+            of_word += w[group]
+        by_move = np.zeros((3, 3))
+        for words, real, own, some in padded:
+            emit = np.zeros((*real.shape, 3))
+            emit[real] = of_word[words]
+            by_emit, by_pair = likelihood(emit, move, own, some)
+            by_word[words] = by_emit[real]
+            by_move += by_pair
         by_w = np.stack([
-            np.bincount(at.ravel(), np.repeat(by_emit[:, :, k].ravel(), len(_GROUPS)), len(used)) for k in range(3)
+            sum(np.bincount(group, by_word[:, k], len(used)) for group in at) for k in range(3)
         ], 1) - 1e-2 * w
         by_move = by_move - 1e-2 * move
         seen_w += by_w**2

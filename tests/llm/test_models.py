@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -40,6 +41,17 @@ def test_quality_edges(spark, docs):
     assert quality.keep_good(some, labels).columns == some.columns
 
 
+def test_weighing_takes_few_copies():
+    counts, idf = np.random.default_rng(1).poisson(0.3, (2048, quality.TERMS)).astype(np.float32), np.linspace(0.1, 2, quality.TERMS)
+    tracemalloc.start()
+    got = quality._weigh(counts, idf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.7 * got.nbytes
+    plain = np.log1p(counts) * idf
+    assert np.array_equal(got, plain / np.linalg.norm(plain, axis=1, keepdims=True))
+
+
 def test_votes_are_exact():
     rng = np.random.default_rng(0)
     known, asked = rng.normal(size=(300, 8)), rng.normal(size=(50, 8))
@@ -220,6 +232,17 @@ def test_secrets_fit_is_independent_of_order(spark, docs):
     assert models[0]["learned"] and np.allclose(models[0]["weights"], models[1]["weights"], rtol=0, atol=1e-5)
 
 
+def test_secrets_fit_follows_the_words_not_the_longest_window(spark):
+    rng = np.random.default_rng(5)
+    values = ["".join(rng.choice(list("abcdef0123456789"), n)) for n in [24] * 300 + [1200]]
+    docs = spark.createDataFrame([(i, f"one and {i} two token = {v} over the thing") for i, v in enumerate(values)], "doc_id bigint, text string")
+    tracemalloc.start()
+    model = secrets.fit(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model["learned"] and peak < 12e6
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(2)
     for _ in range(200):

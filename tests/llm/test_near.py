@@ -182,6 +182,15 @@ def test_components(spark):
     assert graphs.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_are_stored_in_small_plans(spark, monkeypatch):
+    reads, store = [], graphs.settle
+    monkeypatch.setattr(graphs, "settle", lambda df: (reads.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size()), store(df))[1])
+    links = [(i, i + 1) for i in range(40)]
+    got = graphs.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    assert {r["component"] for r in got} == {0} and len(got) == 41
+    assert len(reads) > 4 and max(reads) <= 6
+
+
 def test_jaccard_family_below_the_limit_is_not_verified_by_pairs(spark, monkeypatch):
     """Copies that share blocks but differ in more than linked sets can: the sketches tell them apart."""
     rng = random.Random(5)
