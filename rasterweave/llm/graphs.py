@@ -13,8 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps, each a combined minimum per node
     and a join, until only stars are left; each step starts from a stored table, for plans of
-    both hold the first one several times and take the driver's memory. The number of rounds
-    grows with the logarithm of the longest path.
+    both hold the first one several times and take the driver's memory. So does each task, hence
+    no shuffle more than these take. The number of rounds grows with the logarithm of the longest path.
     """
     edges = settle(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
@@ -22,24 +22,26 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # Nodes keep a link to their minimum even where all their links point down.
-        large = settle(large.union(least.filter("u <> m").select("u", F.col("m").alias("v"))).distinct())
+        # A node's link to its minimum stays, also where all its links point down; the others lead from the minimum.
+        # Links that repeat, at most two for each, go in the next step.
+        large = settle(
+            both.join(least, "u").filter("v > u or v = m")
+            .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        )
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v"))).distinct()
+            large.join(low, "u")
+            .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         )
         before, edges = edges, settle(small)
         forget(before, large)
         # Done when every node points to one node that itself points nowhere.
-        points = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        targets = edges.select(F.col("v").alias("u")).distinct().withColumn("root", F.lit(1))
-        if points.join(targets, "u", "left").filter("n > 1 or root = 1").isEmpty():
+        ends = (
+            edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+            .union(edges.select("v", F.lit(0), F.lit(1)))
+            .groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+        )
+        if ends.filter("out > 1 or (out = 1 and into = 1)").isEmpty():
             break
     roots = edges.select(F.col("v").alias("node")).distinct()
-    return (
-        edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-        .union(roots.select("node", F.col("node").alias("component")))
-        .groupBy("node").agg(F.min("component").alias("component"))
-    )
+    return edges.toDF("node", "component").union(roots.select("node", F.col("node").alias("component")))

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterweave.llm import words as W
-from rasterweave.llm.columns import arrow_rows, unused
+from rasterweave.llm.columns import arrow_rows, no_late_broadcasts, unused
 from rasterweave.llm.graphs import components
 from rasterweave.sources.settle import forget, settle
 
@@ -317,8 +317,8 @@ def _fits(x: str, y: str, percent: int) -> Column:
 
 
 def _placed(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    # All jobs that use Python run within.
-    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+    # All jobs that use Python run within. There are many with joins of small tables, so the driver's memory counts.
+    with arrow_rows(docs.sparkSession, BATCH_ROWS), no_late_broadcasts(docs.sparkSession):
         return _placed_in_batches(docs, size, percent, doc_id, text)
 
 
@@ -377,17 +377,12 @@ def _placed_in_batches(docs: DataFrame, size: int, percent: int, doc_id: str, te
                 F.col("x.component").alias("ca"), F.col("y.component").alias("cb")).distinct()
     )
     forget(placed)
-    final = first
+    named = light.select("node", "low").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if not crossing.isEmpty():
         more = _linked(crossing.select("a", "b"), docs, light, size, percent).join(crossing, ["a", "b"])
         second = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         second = settle(second.select(F.col("node").alias("component"), F.col("component").alias("_joined")))
-        alone = second.join(first.select("component").distinct(), "component", "left_anti")
-        final = (
-            first.join(second, "component", "left").select("node", F.coalesce("_joined", "component").alias("component"))
-            .union(alone.select("component", "_joined"))
-        )
-    named = light.select("node", "low").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = named.join(second, "component", "left").select("node", "low", F.coalesce("_joined", "component").alias("component"))
     names = named.groupBy("component").agg(F.min("low").alias("component_id"))
     named = settle(named.join(names, "component").select("node", "component", "component_id"))
     told = known.select("doc_id", "h", "n", "node").join(named, "node", "left")

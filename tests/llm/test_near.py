@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterweave.llm import decontamination, graphs, jaccard, substrings
+from rasterweave.llm.columns import no_late_broadcasts
 from tests.llm import brute
 
 DOCS = "doc_id bigint, text string"
@@ -191,6 +192,43 @@ def test_components_are_stored_in_small_plans(spark, monkeypatch):
     assert len(reads) > 4 and max(reads) <= 6
 
 
+def tasks_of(spark, group, run):
+    """What ``run`` gives and the tasks it takes with 20 partitions to each shuffle, however little is in them."""
+    names = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    sc.setJobGroup(group, group)
+    try:
+        out = run()
+        stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+        return out, sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_components_take_few_tasks(spark):
+    """The driver keeps record of each task."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
+    with no_late_broadcasts(spark):
+        got, tasks = tasks_of(spark, "components", lambda: graphs.components(links).collect())
+    assert {tuple(r) for r in got} == {(i, 0) for i in range(41)}
+    assert tasks < 900
+
+
+def test_jaccard_broadcasts_no_shuffled_tables(spark):
+    seen, key = [], "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    docs = spark.createDataFrame([(i, "a b c d e f g") for i in range(3)], DOCS)
+    before, keys = spark.conf.get(key, None), jaccard._keys
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(jaccard, "_keys", lambda *a: (seen.append(spark.conf.get(key, None)), keys(*a))[1])
+        jaccard.classes(docs, 5, 80).collect()
+    assert seen == ["-1"] and spark.conf.get(key, None) == before
+
+
 def test_jaccard_family_below_the_limit_is_not_verified_by_pairs(spark, monkeypatch):
     """Copies that share blocks but differ in more than linked sets can: the sketches tell them apart."""
     rng = random.Random(5)
