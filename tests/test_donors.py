@@ -53,3 +53,15 @@ def scenes(spark, sf_dir):
 def test_donor_masks(spark, sf_dir, scenes):
     want = {(s, t, *scenes.frame(s, t)) for s, t in scenes.masked}
     assert {tuple(r) for r in QUERIES["donor_masks"](spark, sf_dir).collect()} == want
+
+
+def test_donor_masks_two_stage(spark, sf_dir, scenes):
+    def frame(s: int, t: int) -> tuple[int, int]:
+        lenders = scenes.lenders[scenes.frames[s, t].tile]
+        order = sorted({d for d, _ in lenders}, key=lambda d: _h("donor_sample_order", d))
+        donor = _pick(order, "donor_sample", s, t)
+        frames = sorted((k for k in lenders if k[0] == donor), key=lambda k: _h("donor_order", *k))
+        return _pick(frames, "donor", s, t)
+
+    want = {(s, t, *frame(s, t)) for s, t in scenes.masked}
+    assert {tuple(r) for r in QUERIES["donor_masks_two_stage"](spark, sf_dir).collect()} == want
