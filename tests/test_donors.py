@@ -65,3 +65,29 @@ def test_donor_masks_two_stage(spark, sf_dir, scenes):
 
     want = {(s, t, *frame(s, t)) for s, t in scenes.masked}
     assert {tuple(r) for r in QUERIES["donor_masks_two_stage"](spark, sf_dir).collect()} == want
+
+
+def _masks(scenes) -> dict[tuple[int, int], list[int]]:
+    """Of every good frame of a valid sample: real clouds, and on masked frames the lent ones."""
+    lent = {k: scenes.frames[scenes.frame(*k)].cloud_mask for k in scenes.masked}
+    out = {}
+    for s, ts in scenes.good.items():
+        for t in ts:
+            real = scenes.frames[s, t].cloud_mask
+            out[s, t] = [max(a, b) for a, b in zip(lent.get((s, t), real), real)]
+    return out
+
+
+def _values(scenes, s: int, t: int, band: str) -> list[float]:
+    return [v or 0.0 for v in scenes.frames[s, t][band]]
+
+
+def test_simulate_gaps(spark, sf_dir, scenes):
+    want = {}
+    for (s, t), mask in _masks(scenes).items():
+        hidden = [[1.0 if m else v for m, v in zip(mask, _values(scenes, s, t, f"b{b}"))] for b in range(4)]
+        want.update({(s, t, i // 4, i % 4): (m, *[h[i] for h in hidden]) for i, m in enumerate(mask)})
+    rows = QUERIES["simulate_gaps"](spark, sf_dir).collect()
+    got = {(r.sample_id, r.t, r.y, r.x): (r.mask, r.b0_in, r.b1_in, r.b2_in, r.b3_in) for r in rows}
+    assert len(rows) == len(want) and got.keys() == want.keys()
+    assert [k for k in want if got[k] != pytest.approx(want[k], abs=1e-6)] == []
