@@ -91,3 +91,9 @@ def test_simulate_gaps(spark, sf_dir, scenes):
     got = {(r.sample_id, r.t, r.y, r.x): (r.mask, r.b0_in, r.b1_in, r.b2_in, r.b3_in) for r in rows}
     assert len(rows) == len(want) and got.keys() == want.keys()
     assert [k for k in want if got[k] != pytest.approx(want[k], abs=1e-6)] == []
+
+
+def test_union_masks(spark, sf_dir, scenes):
+    want = {(s, t, i // 4, i % 4, m) for (s, t), mask in _masks(scenes).items() for i, m in enumerate(mask)}
+    rows = QUERIES["union_masks"](spark, sf_dir).collect()
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
