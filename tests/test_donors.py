@@ -97,3 +97,35 @@ def test_union_masks(spark, sf_dir, scenes):
     want = {(s, t, i // 4, i % 4, m) for (s, t), mask in _masks(scenes).items() for i, m in enumerate(mask)}
     rows = QUERIES["union_masks"](spark, sf_dir).collect()
     assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+
+
+def _fills(seen: list[tuple[int, float]], day: int) -> tuple:
+    """last, next, closest, linear of a pixel, from the frames that show it."""
+    before = [x for x in seen if x[0] <= day][-1:]
+    after = [x for x in seen if x[0] >= day][:1]
+    last, ahead = before[0][1] if before else None, after[0][1] if after else None
+    if not (before and after):
+        one = ahead if last is None else last
+        return last, ahead, one, one
+    (d0, v0), (d1, v1) = before[0], after[0]
+    linear = v0 if d0 == d1 else v0 + (v1 - v0) * ((day - d0) / (d1 - d0))
+    return last, ahead, v0 if day - d0 <= d1 - day else v1, linear
+
+
+def test_impute_raster(spark, sf_dir, scenes):
+    masks, day = _masks(scenes), {k: r.acq_date.toordinal() for k, r in scenes.frames.items()}
+    want = {}
+    for s, ts in scenes.good.items():
+        assert len({day[s, t] for t in ts}) == len(ts)
+        values = {(t, b): _values(scenes, s, t, f"b{b}") for t in ts for b in range(4)}
+        for i in range(16):
+            seen = [t for t in ts if not masks[s, t][i]]
+            for t in ts:
+                each = [_fills([(day[s, u], values[u, b][i]) for u in seen], day[s, t]) for b in range(4)]
+                want[s, t, i // 4, i % 4] = [v for four in each for v in four]
+    rows = QUERIES["impute_raster"](spark, sf_dir).collect()
+    names = [f"b{b}_{m}" for b in range(4) for m in ("last", "next", "closest", "linear")]
+    got = {(r.sample_id, r.t, r.y, r.x): [r[n] for n in names] for r in rows}
+    assert len(rows) == len(want) and got.keys() == want.keys()
+    empty = lambda values: [-1.0 if v is None else v for v in values]
+    assert [k for k in want if empty(got[k]) != pytest.approx(empty(want[k]), abs=1e-6)] == []
