@@ -129,3 +129,25 @@ def test_impute_raster(spark, sf_dir, scenes):
     assert len(rows) == len(want) and got.keys() == want.keys()
     empty = lambda values: [-1.0 if v is None else v for v in values]
     assert [k for k in want if empty(got[k]) != pytest.approx(empty(want[k]), abs=1e-6)] == []
+
+
+def test_total_loss(spark, sf_dir, scenes):
+    masks = _masks(scenes)
+    parts = {
+        "l1_loss": lambda m, c: True,
+        "l1_loss_occluded_input_pixels": lambda m, c: m == 1,
+        "l1_loss_observed_input_pixels": lambda m, c: m == 0,
+        "masked_l1_loss": lambda m, c: c == 0,
+    }
+    rows = {r.sample_id: r for r in QUERIES["total_loss"](spark, sf_dir).collect()}
+    assert rows.keys() == scenes.good.keys()
+    for s, ts in scenes.good.items():
+        pixels = []
+        for t in ts:
+            mask, cloud = masks[s, t], scenes.frames[s, t].cloud_mask
+            bands = [_values(scenes, s, t, f"b{b}") for b in range(4)]
+            pixels += [(m, c, sum(1.0 - v[i] for v in bands) / 4 if m else 0.0) for i, (m, c) in enumerate(zip(mask, cloud))]
+        for name, of in parts.items():
+            errors = [e for m, c, e in pixels if of(m, c)]
+            want = sum(errors) / len(errors) if errors else None
+            assert rows[s][name] == (want if want is None else pytest.approx(want, abs=1e-6)), (s, name)
